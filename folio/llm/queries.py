@@ -6,5 +6,63 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folio.tables import table
+
+from . import mpeg_audio, url_filter
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as an MPEG audio stream in a media column, read back and probed."""
+    media = mpeg_audio.store(table(spark, sf_dir, "documents"), "text", keep=("doc_id",))
+    return mpeg_audio.probe(media, keep=("doc_id",))
+
+
+#: The rules of the URL filter's query, and its listed sites (each under three top-level domains).
+URL_RULES = [
+    url_filter.Rule("com", "/", "allow"),
+    url_filter.Rule("example.com", "/en/", "block"),
+    url_filter.Rule("www.example.com", "/en/", "allow"),
+    url_filter.Rule("net", "/es/", "block"),
+    url_filter.Rule("net", "/fr/", "block"),
+]
+LISTED_SITES = ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets")
+LISTED_URLS = [f"{site}.example.{top}/" for site in LISTED_SITES for top in ("com", "net", "org")]
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by the rules, else by the listed canonical URLs."""
+    listed = spark.createDataFrame([(u,) for u in LISTED_URLS], "url string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), listed, URL_RULES)
+
+
+ORACLES["op3_url_filter"] = f"""
+WITH named AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule
+  FROM named)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
+    WHEN rule IS NOT NULL THEN 'block'
+    WHEN regexp_matches(host, '^(.*[.])?({"|".join(LISTED_SITES)})[.]example[.](com|net|org)$') THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM ruled
+"""
