@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folio.tables import table
 
-from . import mpeg_audio, url_filter
+from . import cube_mixing, mpeg_audio, suffix_repetition, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +67,17 @@ SELECT page_id, host, path, rule, CASE
     ELSE 'allow' END AS verdict
 FROM ruled
 """
+
+
+@query
+def op4_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text judged by its base figures and by its maximal repeats."""
+    judged = suffix_repetition.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words", "longest_repeat")
+
+
+@query
+def op6_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to 150% of their words by source weights."""
+    mixed = cube_mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
