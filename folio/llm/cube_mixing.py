@@ -117,7 +117,8 @@ def _balance(df: DataFrame, blocks: int, last: bool) -> DataFrame:
     """One level: the cube's flight in each (source, block), with the landing at the last level."""
 
     def run(t: pa.Table) -> pa.Table:
-        order = np.lexsort((t["size"].to_numpy(), t["__hash"].to_numpy()))
+        # Small documents come last, so that what stays open weighs little.
+        order = np.lexsort((t["__hash"].to_numpy(), -t["size"].to_numpy()))
         t = t.take(pa.array(order))
         draws = ((t["__hash"].to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) / float(1 << 53)
         size = t["size"].to_numpy()
