@@ -32,6 +32,8 @@ from ._common import WORD_PATTERN, staged
 SEED = 20_240_601
 BLOCK_ROWS = 1024
 FAN_IN = 256
+#: Documents of each source that wait for the landing.
+RESERVE = 64
 #: Source tables of up to so many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -68,9 +70,13 @@ def targets(sized: DataFrame, weights: tuple[int, ...], total_percent: int, most
     return rows.withColumn("target", target).withColumn("ratio", ratio).select("source", "source_size", "n_documents", "weight", "target", "ratio")
 
 
-def flight(chance: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """Move probabilities through the null space of (1, size) until two open ones are left at most."""
+def flight(chance: np.ndarray, size: np.ndarray, draws: np.ndarray, documents: bool = True) -> np.ndarray:
+    """Move probabilities through the null space of the constraints until fewer open ones are left.
+
+    The constraints are words and, with ``documents``, documents: two, or one, stay open at most.
+    """
     p, s, u = chance.tolist(), size.tolist(), draws.tolist()
+    width = 3 if documents else 2
     tiny = 1e-12
     held: list[int] = []
     for i in range(len(p)):
@@ -78,11 +84,14 @@ def flight(chance: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarra
             held.append(i)
         else:
             p[i] = float(p[i] > 0.5)
-        while len(held) == 3:
-            a, b, c = held
-            move = (s[c] - s[b], s[a] - s[c], s[b] - s[a])
+        while len(held) == width:
+            if documents:
+                a, b, c = held
+                move = (s[c] - s[b], s[a] - s[c], s[b] - s[a])
+            else:
+                move = (s[held[1]], -s[held[0]])
             if not any(move):
-                move = (1, -1, 0)
+                move = (1, -1, 0)[:width]
             up = min((1 - p[k]) / m if m > 0 else p[k] / -m for k, m in zip(held, move, strict=True) if m)
             down = min(p[k] / m if m > 0 else (1 - p[k]) / -m for k, m in zip(held, move, strict=True) if m)
             step = up if u[i] * (up + down) < down else -down
@@ -92,7 +101,7 @@ def flight(chance: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarra
             for k in held:
                 if k not in still:
                     p[k] = float(p[k] > 0.5)
-            if len(still) == 3:  # rounding left all three open: close the nearest
+            if len(still) == width:  # rounding left all open: close the nearest
                 k = min(held, key=lambda k: min(p[k], 1 - p[k]))
                 p[k] = float(p[k] > 0.5)
                 still.remove(k)
@@ -113,21 +122,29 @@ def land(chance: np.ndarray, size: np.ndarray) -> np.ndarray:
     return p
 
 
-def _balance(df: DataFrame, blocks: int, last: bool) -> DataFrame:
+def _balance(df: DataFrame, fan_in: int, first: bool, last: bool) -> DataFrame:
     """One level: the cube's flight in each (source, block), with the landing at the last level."""
 
     def run(t: pa.Table) -> pa.Table:
-        # Small documents come last, so that what stays open weighs little.
-        order = np.lexsort((t["__hash"].to_numpy(), -t["size"].to_numpy()))
-        t = t.take(pa.array(order))
+        t = t.take(pa.array(np.lexsort((t["size"].to_numpy(), t["__hash"].to_numpy()))))
         draws = ((t["__hash"].to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) / float(1 << 53)
-        size = t["size"].to_numpy()
-        p = flight(t["__chance"].to_numpy(), size, draws)
+        size, p = t["size"].to_numpy(), t["__chance"].to_numpy().copy()
+        reserve = t["__reserve"].to_numpy(zero_copy_only=False).copy()
+        if first:
+            # The first blocks keep rows of all sizes out of the flight, for the landing.
+            blocks = max(1, t["__blocks"][0].as_py())
+            reserve[: min(-(-RESERVE // blocks), len(p) // 2) if t["__block"][0].as_py() < RESERVE else 0] = True
+        main = np.flatnonzero(~reserve)
+        p[main] = flight(p[main], size[main], draws[main])
         if last:
-            p = land(p, size)
+            # Landing: drop the document constraint and let ever smaller documents absorb the words still open.
+            rest = np.flatnonzero((p > 0) & (p < 1))
+            rest = rest[np.lexsort((rest, -size[rest]))]
+            p[rest] = land(flight(p[rest], size[rest], draws[rest], documents=False), size[rest])
+        t = t.set_column(t.schema.get_field_index("__reserve"), "__reserve", pa.array(reserve))
         return t.set_column(t.schema.get_field_index("__chance"), "__chance", pa.array(p, pa.float64()))
 
-    block = F.pmod(F.floor(F.col("__block") / blocks), F.lit(1 << 62))
+    block = F.pmod(F.floor(F.col("__block") / fan_in), F.lit(1 << 62))
     return df.withColumn("__block", block.cast("long")).groupBy("source", "__block").applyInArrow(run, df.schema)
 
 
@@ -152,16 +169,16 @@ def mix(
     per = small.withColumn("__blocks", F.ceil(F.col("n_documents") / BLOCK_ROWS)).withColumnRenamed("source", "__source").drop("weight", "n_documents")
     rows = sized.join(per, sized["source"].eqNullSafe(per["__source"]), "left").drop("__source")
     chance = F.col("ratio") - F.floor("ratio")
-    rows = rows.withColumn("__block", F.pmod(F.xxhash64("__hash"), F.col("__blocks"))).withColumn("__chance", chance).drop("__blocks")
+    rows = rows.withColumn("__block", F.pmod(F.xxhash64("__hash"), F.col("__blocks"))).withColumn("__chance", chance).withColumn("__reserve", F.lit(False))
     blocks = -(-(seen["most"] or 0) // BLOCK_ROWS)
     done = None
-    level = _balance(rows, 1, last=blocks <= 1)
+    level = _balance(rows, 1, True, blocks <= 1)
     while blocks > 1:
         level = staged(level, "mix-level")
         closed = level.where(F.col("__chance").isin(0.0, 1.0))
         done = closed if done is None else done.unionByName(closed)
         blocks = -(-blocks // FAN_IN)
-        level = _balance(level.where(~F.col("__chance").isin(0.0, 1.0)), FAN_IN, last=blocks <= 1)
+        level = _balance(level.where(~F.col("__chance").isin(0.0, 1.0)), FAN_IN, False, blocks <= 1)
     done = level if done is None else done.unionByName(level)
     copies = (F.floor("ratio") + F.col("__chance")).cast("long")
     return done.select(*(F.col(f"k_{k}").alias(k) for k in keep), *([] if "size" in keep else ["size"]), *([] if "source" in keep else ["source"]), "source_size", "target", "ratio", copies.alias("copies"))
