@@ -133,7 +133,7 @@ def _balance(df: DataFrame, fan_in: int, first: bool, last: bool) -> DataFrame:
         if first:
             # The first blocks keep rows of all sizes out of the flight, for the landing.
             blocks = max(1, t["__blocks"][0].as_py())
-            reserve[: min(-(-RESERVE // blocks), len(p) // 2) if t["__block"][0].as_py() < RESERVE else 0] = True
+            reserve[: -(-RESERVE // blocks) if t["__block"][0].as_py() < RESERVE else 0] = True
         main = np.flatnonzero(~reserve)
         p[main] = flight(p[main], size[main], draws[main])
         if last:

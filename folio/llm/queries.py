@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.tables import table
 
-from . import cube_mixing, mpeg_audio, suffix_repetition, url_filter
+from . import cube_mixing, lp_packing, mpeg_audio, suffix_repetition, unigram_langid, url_filter
+
+#: Places of the public vocabularies.
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECE_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +86,19 @@ def op6_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150% of their words by source weights."""
     mixed = cube_mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query
+def op5_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    packed = lp_packing.pack_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op8_unigram_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learnt from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = unigram_langid.fit(docs.where(~unigram_langid.held_out(F.col("doc_id"))), PIECE_VOCABULARY)
+    found = unigram_langid.identify(docs, model)
+    return found.select("doc_id", unigram_langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
