@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folio.tables import table
 
-from . import cube_mixing, lp_packing, mpeg_audio, suffix_repetition, unigram_langid, url_filter
+from . import cube_mixing, lp_packing, mpeg_audio, suffix_repetition, unigram_langid, url_filter, zip_warc
 
 #: Places of the public vocabularies.
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -102,3 +102,24 @@ def op8_unigram_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = unigram_langid.fit(docs.where(~unigram_langid.held_out(F.col("doc_id"))), PIECE_VOCABULARY)
     found = unigram_langid.identify(docs, model)
     return found.select("doc_id", unigram_langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op1_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record in ZIP packages, then read back by ranges."""
+    manifest = zip_warc.write_packages(table(spark, sf_dir, "pages"))
+    return zip_warc.read_packages(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op1_zip_warc"] = """
+WITH h AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
+d AS (SELECT page_id, p, sha1(p) AS x, min(page_id) OVER (PARTITION BY p) AS f FROM h),
+b AS (SELECT page_id, strlen(p) AS n, f, array_to_string(list_transform(range(40), lambda i: substr(
+  '0000000100100011010001010110011110001001101010111100110111101111', 4 * (strpos('0123456789abcdef', substr(x, (i + 1)::INT, 1)) - 1)::INT + 1, 4)), '') AS bits FROM d)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + 16 * substr(bits, (5 * i + 1)::INT, 1)::INT
+    + 8 * substr(bits, (5 * i + 2)::INT, 1)::INT + 4 * substr(bits, (5 * i + 3)::INT, 1)::INT + 2 * substr(bits, (5 * i + 4)::INT, 1)::INT + substr(bits, (5 * i + 5)::INT, 1)::INT)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = f THEN NULL ELSE f END AS refers_to
+FROM b
+"""
