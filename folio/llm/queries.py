@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folio.tables import table
 
-from . import cube_mixing, line_spread, lp_packing, mpeg_audio, suffix_repetition, unigram_langid, url_filter, zip_warc
+from . import cube_mixing, line_spread, lp_packing, metric_join, mpeg_audio, suffix_repetition, unigram_langid, url_filter, zip_warc
 
 #: Places of the public vocabularies.
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -148,3 +148,9 @@ k AS (SELECT doc_id, n_lines, CASE WHEN applies THEN len(cuts) ELSE 0 END AS n_r
   CASE WHEN applies THEN array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(cuts, i)), lambda i: ls[i]), chr(10)) ELSE text END AS t FROM r)
 SELECT doc_id, n_lines, n_removed, length(t) AS kept_chars, md5(t) AS kept_md5 FROM k
 """
+
+
+@query
+def op10_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents linked by 4-word shingles at a Jaccard similarity of 85% or more."""
+    return metric_join.classify(table(spark, sf_dir, "documents"))
