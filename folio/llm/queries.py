@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folio.tables import table
 
-from . import cube_mixing, line_spread, lp_packing, metric_join, mpeg_audio, suffix_repetition, unigram_langid, url_filter, zip_warc
+from . import cube_mixing, line_spread, lp_packing, metric_join, mpeg_audio, suffix_repetition, trie_lm, unigram_langid, url_filter, zip_warc
 
 #: Places of the public vocabularies.
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -154,3 +154,9 @@ SELECT doc_id, n_lines, n_removed, length(t) AS kept_chars, md5(t) AS kept_md5 F
 def op10_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents linked by 4-word shingles at a Jaccard similarity of 85% or more."""
     return metric_join.classify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole texts scored by the unigram base and by the trie model of the training texts."""
+    return trie_lm.score(table(spark, sf_dir, "documents"))
