@@ -1,11 +1,73 @@
-"""Corpus pipeline (stages are added as their operators land)."""
+"""Corpus pipeline: language ID, line dedup, near-duplicate join, mixing, packing.
+
+Every stage takes the documents that its predecessor kept, all of them, and all
+but the last return the columns of ``documents``.  Extra columns pass through.
+
+* ``language_id`` drops documents whose language is undetermined (no letter, or
+  no language more likely than all others together).
+* ``line_dedup`` cuts lines that stand on many sources, but at their first
+  place; ``n_chars`` follows the text.
+* ``near_duplicates`` keeps the document with the smallest id of each group
+  linked by shingles of five words at a similarity of 0.8 or more.
+* ``mixing`` repeats or leaves out documents so that sources meet their targets.
+* ``packing`` tokenises what is left and packs it into sequences.
+
+A null text has no letter, so it goes in the first stage; later stages take
+null or empty texts as their operators define.  SQL can't express the stages
+(models, balanced sampling, packing), so the tests hold them against
+brute-force versions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folio.llm import cube_mixing, line_spread, lp_packing, metric_join, unigram_langid
+from folio.llm._common import staged
+from folio.llm.queries import LEAST_SITES, MOST_REMOVED, PIECE_VOCABULARY, WORD_TOKENIZER
+from folio.tables import table
+
+LEAST_POSTERIOR = 0.5
+SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = unigram_langid.fit(docs, PIECE_VOCABULARY)
+    found = unigram_langid.identify(docs, model, keep=tuple(docs.columns), names=("__pred", "__score"))
+    return found.where((F.col("__pred") != unigram_langid.UNDETERMINED) & (F.col("__score") >= LEAST_POSTERIOR)).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cleaned = line_spread.dedup(docs, LEAST_SITES, MOST_REMOVED, counts=("__lines", "__removed"))
+    n_chars = F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cleaned.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = metric_join.classify(docs, size=SHINGLE_WORDS, percent=SIMILARITY_PERCENT)
+    copies = staged(groups.where("component_id IS NOT NULL AND NOT doc_id <=> component_id").select("doc_id", F.col("doc_id").alias("id")).distinct(), "copies")
+    few = copies.count() <= metric_join.BROADCAST_NODES
+    side = copies.select(F.col("id").alias("__copy"))
+    return docs.join(F.broadcast(side) if few else side, docs["doc_id"].eqNullSafe(F.col("__copy")), "left_anti")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    mixed = cube_mixing.mix(docs, keep=tuple(docs.columns), copies="__copies")
+    return mixed.where("__copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__nth")).drop("__nth")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return lp_packing.pack_documents(docs, WORD_TOKENIZER)
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, f in STAGES:
-        docs = f(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -157,9 +157,12 @@ def mix(
     total_percent: int = 150,
     most_repeats: int = 2,
     key: str = "doc_id",
+    copies: str = "copies",
 ) -> DataFrame:
     """``keep`` columns, size, source, source_size, target, ratio and ``copies`` of every row.
 
+    A ``keep`` column of the same name as one of these stands instead of it.
+
     Sources weigh ``weights``, repeating, by code point of their name, null last.
     """
     sized = df.select(*(F.col(k).alias(f"k_{k}") for k in keep), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), F.xxhash64(F.lit(SEED), F.col(key)).alias("__hash"))
@@ -180,5 +183,5 @@ def mix(
         blocks = -(-blocks // FAN_IN)
         level = _balance(level.where(~F.col("__chance").isin(0.0, 1.0)), FAN_IN, False, blocks <= 1)
     done = level if done is None else done.unionByName(level)
-    copies = (F.floor("ratio") + F.col("__chance")).cast("long")
-    return done.select(*(F.col(f"k_{k}").alias(k) for k in keep), *([] if "size" in keep else ["size"]), *([] if "source" in keep else ["source"]), "source_size", "target", "ratio", copies.alias("copies"))
+    made = {"size": F.col("size"), "source": F.col("source"), "source_size": F.col("source_size"), "target": F.col("target"), "ratio": F.col("ratio"), copies: (F.floor("ratio") + F.col("__chance")).cast("long")}
+    return done.select(*(F.col(f"k_{k}").alias(k) for k in keep), *(c.alias(name) for name, c in made.items() if name not in keep))

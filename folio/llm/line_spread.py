@@ -62,8 +62,8 @@ def _small(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.count() <= BROADCAST_LINES else side
 
 
-def remove(df: DataFrame, found: DataFrame, most_removed: float = 0.8, key: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
-    """``df`` with the boilerplate lines cut from ``text``, and n_lines, n_removed."""
+def remove(df: DataFrame, found: DataFrame, most_removed: float = 0.8, key: str = "doc_id", text: str = "text", site: str = "source", counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``df`` with the boilerplate lines cut from ``text``, and its numbers of lines and of removed lines under the names in ``counts``."""
     hits = _lines(df, key, text, site).join(_small(found), ["__h1", "__h2"])
     hits = hits.where(~F.struct("__key", "__pos").eqNullSafe(F.col("first")))
     cuts = hits.groupBy("__key", "__text").agg(F.collect_set("__pos").alias("__cuts"), F.sum("__chars").alias("__cut_chars"), F.count("*").alias("__hits"))
@@ -77,13 +77,13 @@ def remove(df: DataFrame, found: DataFrame, most_removed: float = 0.8, key: str
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.filter(lines, lambda x: x.rlike(HAS_WORD))))
     return joined.select(
         *(F.when(applies, kept).otherwise(F.col(text)).alias(text) if c == text else rows[c] for c in df.columns),
-        n_lines.cast("long").alias("n_lines"),
-        F.when(applies, F.size("__cuts")).otherwise(0).cast("long").alias("n_removed"),
+        n_lines.cast("long").alias(counts[0]),
+        F.when(applies, F.size("__cuts")).otherwise(0).cast("long").alias(counts[1]),
     )
 
 
-def dedup(df: DataFrame, least_sites: int = 10, most_removed: float = 0.8, key: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
-    return remove(df, boilerplate(df, least_sites, key, text, site), most_removed, key, text, site)
+def dedup(df: DataFrame, least_sites: int = 10, most_removed: float = 0.8, key: str = "doc_id", text: str = "text", site: str = "source", counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    return remove(df, boilerplate(df, least_sites, key, text, site), most_removed, key, text, site, counts)
 
 
 def digest(text: Column) -> Column:

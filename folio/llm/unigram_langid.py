@@ -133,8 +133,8 @@ def fit(df: DataFrame, vocabulary: str, text: str = "text", lang: str = "lang",
     return Model(languages, prior, place, chance, max(map(len, names), default=1))
 
 
-def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, lang_pred and score (the posterior of the language named) of every row."""
+def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns, lang_pred and score (the posterior of the language named) of every row, or these two under other ``names``."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,19 +150,19 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
             if new and k:
                 seen.update(zip(new, range(len(seen), len(seen) + len(new)), strict=True))
                 scores = np.vstack([scores, held.likelihoods(new)])
-            names, best = [], []
+            named, best = [], []
             for r in rows:
                 if not r or not k:
-                    names.append(UNDETERMINED)
+                    named.append(UNDETERMINED)
                     best.append(0.0)
                     continue
                 total = scores[np.fromiter(map(seen.__getitem__, r), np.int64, len(r))].sum(axis=0) + held.prior
                 top = int(total.argmax())
-                names.append(held.languages[top])
+                named.append(held.languages[top])
                 best.append(float(1 / np.exp(total - total[top]).sum()))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(names, pa.string()), pa.array(best, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(named, pa.string()), pa.array(best, pa.float64())], names=[*keep, *names])
 
-    schema = df.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = df.select(*keep).schema.add(names[0], "string").add(names[1], "double")
     return df.select(*keep, df[text].alias("__text")).mapInArrow(run, schema)
 
 
