@@ -16,8 +16,9 @@ of pivots of its own, boundary documents are replicated by the windows, and
 cells are joined recursively.  Links are exact comparisons of whole sets.
 
 Exact copies (equal sets) are one node.  The global order puts shingles that
-many documents hold last; it comes from a count sketch of fixed size, and any
-order gives the same links.  Components are found by minimum-label propagation
+many nodes hold last: all shingles are counted in shards, and the most frequent
+ones, a bounded number of them, are made known to every task.  Any order gives
+the same links; a better one gives smaller buckets.  Components are found by minimum-label propagation
 over the links, which are one star per region plus the second round's links.
 
 Defined cases: a null text, an empty one and one without words have an empty
@@ -28,7 +29,6 @@ component of its exact copies, or null; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,13 +37,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, forget, slices, staged
-from ._words import WordHashes, shingle_sets
+from ._common import forget, slices, staged
+from ._planes import expand, expand_sorted, press, press_sorted, runs
+from ._words import shingle_sets
 
-#: Counters of the sketch that orders shingles, and the counters of one shuffled row.
-COUNTERS, CHUNK = 1 << 22, 1 << 16
+#: The most frequent shingles that every task knows; nodes that hold a shingle for it to count as frequent.
+KNOWN, LEAST_FREQUENT = 3_000_000, 3
 #: Node tables of up to so many rows are broadcast, larger ones joined by a shuffle.
 BROADCAST_NODES = 500_000
+#: Shingles of fewer nodes than this are grouped in packed shards, which bounds the group; the others by joins.
+HOT = 50_000
+SHARD_SHINGLES = 2_000_000
+#: Members of a region that meet one copy of its pivot.
+SALT_ROWS = 20_000
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -52,70 +58,174 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _summaries(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """Per document its set's size and signature; per task the chunks of its shingle counts (key null, slot set)."""
+    """key, the size n of its set, and the set's signature s1, s2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, counts = WordHashes(), np.zeros(COUNTERS, np.int64)
-        names = ["key", "n", "s1", "s2", "slot", "counts"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for part in slices(batches, "__text"):
-            sets = shingle_sets([x or b"" for x in as_bytes(part.column("__text"))], size, cache)
+            sets = shingle_sets(part.column("__text"), size)
             signs = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets]).reshape(-1, 2)
-            n = np.array([len(s) for s in sets], np.int64)
-            if n.sum():
-                counts += np.bincount((np.concatenate(sets) >> np.uint64(42)).astype(np.int64), minlength=COUNTERS)
-            none = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays([part.column("__key"), pa.array(n), pa.array(signs[:, 0]), pa.array(signs[:, 1]), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
-        for slot in range(COUNTERS // CHUNK):
-            chunk = counts[slot * CHUNK : (slot + 1) * CHUNK]
-            if chunk.any():
-                row = (None, None, None, None, slot, zlib.compress(chunk.astype("<u4").tobytes(), 1))
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([part.column("__key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(signs[:, 0]), pa.array(signs[:, 1])], names=["key", "n", "s1", "s2"])
 
-    return df.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text")).mapInArrow(run, "key long, n long, s1 long, s2 long, slot int, counts binary")
+    return df.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text")).mapInArrow(run, "key long, n long, s1 long, s2 long")
 
 
-def _levels(chunks: DataFrame) -> np.ndarray:
-    """How common the shingles of each counter are: four steps for a doubling.  Its size is fixed."""
+class Order:
+    """Levels of the known frequent shingles; all others have level 0.
 
-    def add(t: pa.Table) -> pa.Table:
-        total = np.zeros(CHUNK, np.int64)
-        for c in t["counts"].to_pylist():
-            total += np.frombuffer(zlib.decompress(c), "<u4")
-        level = np.minimum(4 * np.log2(total + 1), 255).astype(np.uint8)
-        return pa.table({"slot": t["slot"][:1], "level": pa.array([level.tobytes()], pa.binary())})
-
-    levels = np.zeros(COUNTERS, np.uint8)
-    for row in chunks.groupBy("slot").applyInArrow(add, "slot int, level binary").collect():
-        levels[row["slot"] * CHUNK : (row["slot"] + 1) * CHUNK] = np.frombuffer(row["level"], np.uint8)
-    return levels
+    Shingles are told apart by their first bits only, 32 times as many values
+    as there are shingles; a clash moves a shingle back in the order, no more.
+    """
 
+    def __init__(self, bits: int, keys: np.ndarray, counts: np.ndarray):
+        by = np.argsort(keys)
+        self.shift, self.keys, self.counts = np.uint64(64 - bits), keys[by], np.minimum(counts[by], 1 << 30).astype(np.int32)
+
+    def count(self, shingles: np.ndarray) -> np.ndarray:
+        """Nodes that hold each shingle where it is a known one, else 0."""
+        if not len(self.keys):
+            return np.zeros(len(shingles), np.int64)
+        keys = shingles >> self.shift
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[at], 0)
+
+
+def _frequent(rows: DataFrame, size: int, total: int) -> Order:
+    """Count the shingles of all nodes (key, text) in shards; gather the ``KNOWN`` most frequent at most."""
+    bits = min(48, max(24, total.bit_length() + 5))
+    shift = np.uint64(64 - bits)
+    shards = max(4, -(-total // (2 * SHARD_SHINGLES)))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+            keys, counts = np.unique(np.concatenate(held) >> shift, return_counts=True)
+            shard = (keys * np.uint64(shards) >> np.uint64(bits)).astype(np.int64)
+            out = [(s, press_sorted(keys[i:j]), press(counts[i:j])) for s, i, j in runs(shard)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "x", "y"])
+
+        held, n = [], 0
+        for part in slices(batches, "text"):
+            held += [s for s in shingle_sets(part.column("text"), size) if len(s)]
+            n = sum(map(len, held))
+            if n >= SHARD_SHINGLES:
+                yield flush(held)
+                held, n = [], 0
+        if n:
+            yield flush(held)
 
-def _prefixes(df: DataFrame, key: str, text: str, size: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """node, n, first shingles in the global order of every document with a set."""
-    shared = df.sparkSession.sparkContext.broadcast(levels)
+    def add(t: pa.Table) -> pa.Table:
+        keys, at = np.unique(np.concatenate([expand_sorted(x) for x in t["x"].to_pylist()]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([expand(x) for x in t["y"].to_pylist()])).astype(np.int64)
+        often = counts >= LEAST_FREQUENT
+        histogram = np.bincount(np.minimum(counts[often], 65535), minlength=1)
+        return pa.table({"histogram": pa.array([press(histogram)], pa.binary()), "keys": pa.array([press(keys[often])], pa.binary()), "counts": pa.array([press(counts[often])], pa.binary())})
+
+    counted = staged(rows.mapInArrow(send, "shard long, x binary, y binary").groupBy("shard").applyInArrow(add, "histogram binary, keys binary, counts binary"), "frequent")
+    histogram = np.zeros(65536, np.int64)
+    for row in counted.select("histogram").toLocalIterator():
+        part = expand(bytes(row["histogram"])).astype(np.int64)
+        histogram[: len(part)] += part
+    held = np.cumsum(histogram[::-1])[::-1]
+    least = int(np.argmax(held <= KNOWN)) if held[-1] <= KNOWN else 65535
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                keys, counts = expand(x), expand(y)
+                kept = counts >= least
+                yield pa.RecordBatch.from_arrays([pa.array([press_sorted(keys[kept])], pa.binary()), pa.array([press(counts[kept])], pa.binary())], names=["x", "y"])
+
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for row in counted.select("keys", "counts").mapInArrow(cut, "x binary, y binary").toLocalIterator():
+        keys.append(expand_sorted(bytes(row["x"])))
+        counts.append(expand(bytes(row["y"])).astype(np.int64))
+    forget(counted)
+    return Order(bits, np.concatenate(keys)[-KNOWN:], np.concatenate(counts)[-KNOWN:])
+
+
+def _packed(rows: DataFrame, size: int, percent: int, order: Order, shards: int) -> DataFrame:
+    """The first shingles of every node (key, text) in the global order, as packed arrays by shard; hot ones as single rows of shard -1.
+
+    ``band`` is the size class; sets that link are in the same or in neighbouring ones.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(order)
+    schema = pa.schema([("shard", pa.int64()), ("shingle", pa.int64()), ("node", pa.int64()), ("band", pa.int64()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, level = WordHashes(), shared.value
-        for part in slices(batches, "__text"):
-            rows = []
-            for s in shingle_sets([x or b"" for x in as_bytes(part.column("__text"))], size, cache):
-                most = prefix_length(len(s), percent) if len(s) else 0
-                # Rare counters first; within a level the sorted hashes keep their order.
-                rows.append(s[np.argsort(level[(s >> np.uint64(42)).astype(np.int64)], kind="stable")[:most]].view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(r) for r in rows])], pa.int32()), pa.array(np.concatenate(rows) if rows else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("__key"), lists], names=["node", "prefix"])
+        order = shared.value
+
+        def flush(held: list) -> Iterator[pa.RecordBatch]:
+            shingle, node, band, count = (np.concatenate([h[k] for h in held]) for k in range(4))
+            hot = count >= HOT
+            if hot.any():
+                none = pa.nulls(int(hot.sum()), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(none), -1)), pa.array(shingle[hot].view(np.int64)), pa.array(node[hot]), pa.array(band[hot]), none, none, none], schema=schema)
+            shingle, node, band = shingle[~hot], node[~hot], band[~hot]
+            shard = (shingle % np.uint64(shards)).astype(np.int64)
+            by = np.lexsort((shingle, shard))
+            shingle, node, band, shard = shingle[by], node[by], band[by], shard[by]
+            out = [(s, None, None, None, press_sorted(shingle[i:j]), press(node[i:j]), press(band[i:j])) for s, i, j in runs(shard)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+        held, n = [], 0
+        for part in slices(batches, "text"):
+            sets = shingle_sets(part.column("text"), size)
+            lengths = np.array([len(s) for s in sets], np.int64)
+            counts = np.split(order.count(np.concatenate(sets)), np.cumsum(lengths)[:-1])
+            for node, s, c in zip(part.column("key").to_pylist(), sets, counts, strict=True):
+                if not len(s):
+                    continue
+                # Within a level the sorted hashes keep their order.
+                first = np.argsort((4 * np.log2(c + 1)).astype(np.int16), kind="stable")[: prefix_length(len(s), percent)]
+                held.append((s[first], np.full(len(first), node), np.full(len(first), size_band(len(s), percent)), c[first]))
+                n += len(first)
+            if n >= SHARD_SHINGLES:
+                yield from flush(held)
+                held, n = [], 0
+        if n:
+            yield from flush(held)
+
+    return rows.mapInArrow(run, "shard long, shingle long, node long, band long, x binary, y binary, z binary")
+
+
+def size_band(n: int, percent: int) -> int:
+    """Whole powers of 100 / percent in n: sizes within the threshold's ratio differ by one band at most."""
+    return int(np.log(n) / (np.log(100 / percent) + 1e-12) + 1e-9)
+
+
+def _edges(packed: DataFrame) -> DataFrame:
+    """pivot, node: every document with the pivots (smallest nodes) of its buckets."""
 
-    return df.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text")).mapInArrow(run, "node long, prefix array<long>")
+    def run(t: pa.Table) -> pa.Table:
+        shingle = np.concatenate([expand_sorted(x) for x in t["x"].to_pylist()])
+        node, band = (np.concatenate([expand(x) for x in t[c].to_pylist()]).astype(np.int64) for c in "yz")
+        # A node stands in its own band and, as a guest, in the next one; a bucket without an own node has no pairs of its own.
+        shingle, node, band, guest = np.tile(shingle, 2), np.tile(node, 2), np.r_[band, band + 1], np.repeat([0, 1], len(node))
+        order = np.lexsort((node, guest, band, shingle))
+        shingle, node, band, guest = shingle[order], node[order], band[order], guest[order]
+        first = np.flatnonzero(np.r_[True, (shingle[1:] != shingle[:-1]) | (band[1:] != band[:-1])])
+        sizes = np.diff(np.r_[first, len(node)])
+        pivot = np.repeat(np.minimum.reduceat(node, first), sizes)
+        kept = np.repeat(guest[first] == 0, sizes) & (pivot != node)
+        pairs = np.unique(np.stack([pivot[kept], node[kept]], axis=1), axis=0)
+        return pa.table({"pivot": pa.array(pairs[:, 0], pa.int64()), "node": pa.array(pairs[:, 1], pa.int64())})
+
+    cold = packed.where("shard >= 0").groupBy("shard").applyInArrow(run, "pivot long, node long")
+    rows = packed.where("shard < 0").select("shingle", "node", "band")
+    if rows.isEmpty():
+        return cold.distinct()
+    rows = rows.withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") + F.col("guest"))
+    buckets = rows.groupBy("shingle", "band").agg(F.min("node").alias("pivot"), F.count("*").alias("k"), F.min("guest").alias("own")).where("k > 1 AND own = 0").select("shingle", "band", "pivot")
+    hot = rows.join(buckets, ["shingle", "band"]).where("node <> pivot").select("pivot", "node")
+    return cold.unionByName(hot).distinct()
 
 
 def _sets(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """node and its set as sorted 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for part in slices(batches, "__text"):
-            sets = [s.tobytes() for s in shingle_sets([x or b"" for x in as_bytes(part.column("__text"))], size, cache)]
+            sets = [s.tobytes() for s in shingle_sets(part.column("__text"), size)]
             yield pa.RecordBatch.from_arrays([part.column("__key"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     return df.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text")).mapInArrow(run, "node long, shingles binary")
@@ -199,21 +309,51 @@ def join_region(sets: list[np.ndarray], percent: int, may_pair=None) -> list[tup
 # --- the join ------------------------------------------------------------------
 
 
-def _first_round(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pivot, node, n, d, linked of every member of a region."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "a", 8 << 20):
-            found = [links_at(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a, b in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True)]
-            n = [len(a) // 8 for a in part.column("a").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("pivot"), part.column("node"), pa.array(n, pa.int64()), pa.array([x[1] for x in found], pa.float64()), pa.array([bool(x[0]) for x in found])], names=["pivot", "node", "n", "d", "linked"])
-
-    own = sets.select(F.col("node"), F.col("shingles").alias("a"))
-    pivots = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("b"))
-    return edges.join(own, "node").join(pivots, "pivot").select("pivot", "node", "a", "b").mapInArrow(run, "pivot long, node long, n long, d double, linked boolean")
+def _first_round(own: DataFrame, edges: DataFrame, size: int, percent: int) -> DataFrame:
+    """pivot, node, n, d, linked of every member of a region.
 
-
-def _second_round(first: DataFrame, sets: DataFrame, percent: int, small_region: int = 64) -> DataFrame:
+    Sets are made from the texts and sent to their regions.  A region is
+    streamed: its pivot comes first and only the pivot is held.  Large regions
+    are salted, with a copy of the pivot for each salt.
+    """
+    salts = F.ceil(F.col("k") / SALT_ROWS)
+    sizes = edges.groupBy("pivot").agg(F.count("*").alias("k"))
+    members = edges.join(sizes, "pivot").select("node", "pivot", F.pmod(F.xxhash64("node"), salts).cast("long").alias("salt"), F.lit(1).alias("own"))
+    pivots = sizes.select(F.col("pivot").alias("node"), "pivot", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.lit(0).alias("own"))
+    places = staged(members.unionByName(pivots).groupBy("node").agg(F.collect_list(F.struct("pivot", "salt", "own")).alias("places")), "places")
+    side = F.broadcast(places) if places.count() <= BROADCAST_NODES else places
+    placed = own.join(side.withColumnRenamed("node", "key"), "key")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            sets = [s.tobytes() for s in shingle_sets(part.column("text"), size)]
+            rows = [(p["pivot"], p["salt"], p["own"], k, s) for k, s, ps in zip(part.column("key").to_pylist(), sets, part.column("places").to_pylist(), strict=True) for p in ps]
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            for at in range(0, len(rows), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 1000], strict=True), types, strict=True)], names=["pivot", "salt", "own", "node", "shingles"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        region, pivot_sets = None, []
+        for batch in batches:
+            rows = []
+            for pivot, salt, own, node, s in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (pivot, salt) != region:
+                    region, pivot_sets = (pivot, salt), []
+                shingles = np.frombuffer(s, np.uint64)
+                if not own:
+                    pivot_sets.append(shingles)
+                    continue
+                found = [links_at(shingles, p, percent) for p in pivot_sets]
+                rows.append((pivot, node, len(shingles), min(d for _, d in found), any(x for x, _ in found)))
+            if rows:
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["pivot", "node", "n", "d", "linked"])
+
+    sent = placed.mapInArrow(send, "pivot long, salt long, own int, node long, shingles binary")
+    return sent.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "own").mapInArrow(meet, "pivot long, node long, n long, d double, linked boolean")
+
+
+def _second_round(own: DataFrame, first: DataFrame, size: int, percent: int, small_region: int = 64) -> DataFrame:
     """Links (a, b) among the members that are not linked to their pivot, and with those in the window.
 
     Regions of more than ``small_region`` such members are cut into windows of
@@ -225,10 +365,11 @@ def _second_round(first: DataFrame, sets: DataFrame, percent: int, small_region:
     open_ = first.where(~F.col("linked")).groupBy("pivot").agg(F.min("d").alias("nearest"))
     members = first.join(open_, "pivot").where(~F.col("linked") | (F.col("d") >= F.col("nearest") - eps - 1e-9))
     sizes = members.groupBy("pivot").agg(F.count("*").alias("k")).where("k > 1")
-    members = members.join(sizes, "pivot")
+    members = staged(members.join(sizes, "pivot"), "open-members")
+    sets = _sets(_near(own, members.select("node").distinct(), "key"), "key", "text", size)
     wide = F.col("k") > small_region
     ring = F.when(wide, F.floor(F.col("d") / (eps + 1e-9))).otherwise(0)
-    band = F.when(wide, F.floor(F.log("n") / float(-np.log(percent / 100) + 1e-9))).otherwise(0)
+    band = F.when(wide, F.floor(F.log("n") / float(np.log(100 / percent) + 1e-12))).otherwise(0)
     steps = F.when(wide, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     placed = members.select("pivot", "node", "linked", ring.cast("int").alias("ring"), band.cast("int").alias("band"), steps.alias("steps"))
     placed = placed.withColumn("up", F.explode("steps")).withColumn("over", F.explode("steps"))
@@ -279,23 +420,20 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4,
     The links connect all nodes that are linked, directly or through others;
     pairs that others connect already are not repeated.
     """
-    summary = staged(_summaries(df, key, text, size), "sets")
-    docs = summary.where("slot IS NULL")
+    docs = staged(_summaries(df, key, text, size), "sets")
     classes = staged(docs.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("key").alias("node")), "classes")
-    nodes = classes.where("node IS NOT NULL").select("node").distinct()
-    levels = _levels(summary.where("slot IS NOT NULL"))
-    prefixes = staged(_prefixes(df, key, text, size, percent, levels).join(nodes, "node", "left_semi"), "prefixes")
-    rows = prefixes.select("node", F.explode("prefix").alias("shingle"))
-    buckets = rows.groupBy("shingle").agg(F.min("node").alias("pivot"), F.count("*").alias("k")).where("k > 1").select("shingle", "pivot")
-    edges = staged(rows.join(buckets, "shingle").where("node <> pivot").select("pivot", "node").distinct(), "edges")
-    near = staged(edges.select("node").unionByName(edges.select(F.col("pivot").alias("node"))).distinct(), "near")
+    nodes = staged(classes.where("node IS NOT NULL").select("node").distinct(), "nodes")
+    sums = classes.agg(F.sum("n").alias("n"), F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).alias("prefix")).first()
     own = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    sets = staged(_sets(_near(own, near, "key"), "key", "text", size), "near-sets")
-    first = staged(_first_round(edges, sets, percent), "first-round")
-    links = first.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")).unionByName(_second_round(first, sets, percent))
+    rows = _near(own, nodes, "key")
+    order = _frequent(rows, size, int(sums["n"] or 0))
+    packed = staged(_packed(rows, size, percent, order, max(4, -(-int(sums["prefix"] or 0) // SHARD_SHINGLES))), "prefixes")
+    edges = staged(_edges(packed), "edges")
+    first = staged(_first_round(own, edges, size, percent), "first-round")
+    links = first.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")).unionByName(_second_round(own, first, size, percent))
     links = staged(links, "links")
     members = docs.join(classes.select("s1", "s2", "node"), ["s1", "s2"], "left").select("key", "n", F.when(F.col("n") > 0, F.col("node")).otherwise(F.col("key")).alias("node"))
-    forget(prefixes, edges, near, sets, first)
+    forget(packed, edges, first)
     return members, links
 
 
