@@ -1,4 +1,4 @@
-"""The named queries of the engine and the SQL that gives the same rows."""
+"""The named queries of the engine and, in ``oracles``, the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -7,11 +7,533 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.functions import geometry as G
+from folio.functions import markup as M
+from folio.functions import text as T
+from folio.operators import blocks as B
+from folio.operators import catalog as C
+from folio.operators import evidence as E
+from folio.operators import layout as L
+from folio.operators import roles as R
+from folio.operators import search as S
+from folio.operators import style as Y
+from folio.streaming import trace as X
 from folio.tables import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+#: The questions that the search queries ask.
+QUESTIONS = [("q1", "the thing of the Nation"), ("q2", "thether ERTION with THAN"), ("q3", "para los gestion queasmitaó"), ("q4", "please find documents about ATION ENTHE 2024")]
+ENTITIES = [("q1", "Thenth"), ("q1", "the "), ("q2", "ERTION"), ("q3", "ciónado"), ("q4", "ENTHE")]
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def six(name: str):
+    return F.round(F.col(name), 6).alias(name)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def raw_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.derived(documents(spark, sf_dir))
+
+
+def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.canonical(raw_blocks(spark, sf_dir))
+
+
+def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.classify_pages(L.page_metrics(canonical(spark, sf_dir)))
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search records of all indexable blocks."""
+    rows = raw_blocks(spark, sf_dir).where(S.indexable(F.col("content")))
+    block = F.concat(F.lit("block-"), F.col("block_index"))
+    return rows.select(
+        F.concat_ws(":", F.lit("fallback"), "doc_id", "page", "block_index").alias("record_id"), "doc_id", (F.col("page") - 1).alias("page"), block.alias("block_id"), F.col("content").alias("text"),
+        F.when(F.col("raw_label") == "doc_title", 0.8).when(F.col("raw_label") == "paragraph_title", 0.4).otherwise(0.0).alias("role_confidence"), (F.col("raw_label") == "table").alias("needs_review"),
+    )
+
+
+def questions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(QUESTIONS, "query_id string, query string")
+
+
+# --- search ------------------------------------------------------------------
+
+
+@query
+def tokenize_counts(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"), F.size(F.array_distinct(T.tokens(F.col("text")))).cast("long").alias("n_distinct"))
+
+
+@query
+def query_profile(spark, sf_dir):
+    p = S.profile(questions(spark))
+    return p.select("query_id", "normalized", F.array_join("query_tokens", "|").alias("query_tokens"), F.array_join("entities", "|").alias("entities"), F.array_join("lexical_queries", "|").alias("lexical_queries"))
+
+
+@query
+def search_records(spark, sf_dir):
+    rows = records(spark, sf_dir)
+    text = S.embedding_text(F.col("doc_id"), F.col("page") + 1, F.col("text"))
+    return rows.select("record_id", F.length(text).cast("long").alias("embedding_chars"), F.md5(text).alias("embedding_md5"))
+
+
+@query
+def bm25_docfreq(spark, sf_dir):
+    return S.postings(records(spark, sf_dir)).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df >= 5")
+
+
+def _hits(hits: DataFrame) -> DataFrame:
+    return hits.select("query_id", "record_id", F.round("score", 6).alias("score"), F.array_join("matched", ",").alias("matched"), F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def bm25_topk(spark, sf_dir):
+    return _hits(S.bm25(records(spark, sf_dir), questions(spark).where("query_id = 'q1'")))
+
+
+@query
+def bm25_multi_query(spark, sf_dir):
+    return _hits(S.bm25(records(spark, sf_dir), questions(spark)))
+
+
+@query
+def bm25_doc_filter(spark, sf_dir):
+    return _hits(S.bm25(records(spark, sf_dir), questions(spark), doc_ids=list(range(0, 40))))
+
+
+def entity_rows(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ENTITIES, "query_id string, entity string")
+
+
+@query
+def entity_grounding(spark, sf_dir):
+    return S.ground_entities(records(spark, sf_dir), entity_rows(spark)).select("query_id", "entity", "match_count", six("match_ratio"), "factor", "is_common")
+
+
+@query
+def entity_scores(spark, sf_dir):
+    return S.entity_scores(records(spark, sf_dir), entity_rows(spark))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Embeddings as vectors of the first block of the document of that id, and the vector 0 as the query."""
+    rows = table(spark, sf_dir, "embeddings")
+    own = rows.select(F.concat(F.lit("fallback:"), F.col("vec_id"), F.lit(":1:1")).alias("record_id"), "embedding")
+    return own, rows.where("vec_id = 0").select(F.lit("q1").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query
+def knn_topk(spark, sf_dir):
+    found = S.nearest(*vectors(spark, sf_dir), top=20)
+    return found.select("query_id", "record_id", F.round("distance", 5).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+def _hybrid(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    rows = records(spark, sf_dir)
+    profiles = S.profile(questions(spark)).withColumn("expansion", F.when(F.col("query_id") == "q1", '{"entities": ["Thenth"], "semantic_queries": [], "lexical_queries": ["thing eronin"]}').otherwise("not-json"))
+    return S.search(rows, S.expand(profiles), *vectors(spark, sf_dir)), rows
+
+
+@query
+def hybrid_search(spark, sf_dir):
+    found, _ = _hybrid(spark, sf_dir)
+    return found.select(
+        "query_id", F.col("rank").cast("long").alias("rank"), "record_id", F.array_join("channels", ",").alias("channels"), F.round("score", 6).alias("score"), F.round("bm25", 6).alias("bm25"), F.round("distance", 5).alias("distance"), six("entity"), F.array_join("terms", ",").alias("terms")
+    )
+
+
+@query
+def search_output(spark, sf_dir):
+    found, rows = _hybrid(spark, sf_dir)
+    return S.output_line(found.join(rows.select("record_id", "text"), "record_id"))
+
+
+# --- text --------------------------------------------------------------------
+
+
+@query
+def clean_text(spark, sf_dir):
+    clean = T.clean_text(F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", F.length(clean).cast("long").alias("n_chars"), F.md5(clean).alias("clean_md5"))
+
+
+@query
+def script_buckets(spark, sf_dir):
+    names = ("hangul", "latin", "han", "other")
+    return documents(spark, sf_dir).select("doc_id", *(c.cast("long").alias(n) for c, n in zip(T.script_counts(F.col("text")), names, strict=True)))
+
+
+@query
+def text_quality(spark, sf_dir):
+    rows = canonical(spark, sf_dir)
+    t = F.col("text")
+    return rows.select("block_id", "page", F.round(T.weird_ratio(t), 6).alias("weird"), F.round(T.long_token_ratio(t), 6).alias("long_tokens"), F.round(T.repeat_penalty(t), 6).alias("repeat"), "quality")
+
+
+@query
+def language_detect(spark, sf_dir):
+    hangul, latin, han, _ = T.script_counts(F.coalesce("text", F.lit("")))
+    return documents(spark, sf_dir).select("doc_id", T.language_of(hangul, latin, han).alias("language"))
+
+
+@query
+def financial_signal(spark, sf_dir):
+    return canonical(spark, sf_dir).groupBy("doc_id").agg(F.count_if(T.financial_signal(F.col("text"))).alias("signals"))
+
+
+@query
+def stable_hash(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.stable_hash(F.col("doc_id").cast("string"), F.col("source")).alias("hash"), T.safe_name(F.concat("source", F.lit(" /"), "lang")).alias("name"), T.role_name(F.concat_ws(" ", "lang", "source")).alias("role"))
+
+
+@query
+def ordered_dedupe(spark, sf_dir):
+    lines = documents(spark, sf_dir).select("doc_id", T.dedupe_texts(F.split("text", "\n"), 5).alias("lines"))
+    return lines.select("doc_id", F.size("lines").cast("long").alias("n"), F.md5(F.array_join("lines", "\n")).alias("lines_md5"))
+
+
+# --- layout ------------------------------------------------------------------
+
+
+@query
+def canonical_blocks(spark, sf_dir):
+    return canonical(spark, sf_dir).select("doc_id", "page", "block_id", "label", "reading_order", "n1", "n2", "n3", "n4", F.length("text").cast("long").alias("chars"))
+
+
+@query
+def page_metrics(spark, sf_dir):
+    return L.page_metrics(canonical(spark, sf_dir))
+
+
+@query
+def page_archetype(spark, sf_dir):
+    return page_table(spark, sf_dir).select("doc_id", "page", "archetype", "pattern", "warnings", "large_visual")
+
+
+@query
+def page_specs(spark, sf_dir):
+    return L.page_specs(page_table(spark, sf_dir))
+
+
+@query
+def doc_family(spark, sf_dir):
+    return L.document_family(canonical(spark, sf_dir), page_table(spark, sf_dir))
+
+
+@query
+def section_order(spark, sf_dir):
+    return L.section_order(canonical(spark, sf_dir), page_table(spark, sf_dir))
+
+
+@query
+def style_tokens(spark, sf_dir):
+    return L.style_tokens(canonical(spark, sf_dir), page_table(spark, sf_dir))
+
+
+@query
+def image_slots(spark, sf_dir):
+    return L.image_slots(canonical(spark, sf_dir), page_table(spark, sf_dir))
+
+
+@query
+def unsupported_blocks(spark, sf_dir):
+    return L.unsupported_blocks(canonical(spark, sf_dir))
+
+
+@query
+def repeating_elements(spark, sf_dir):
+    return L.repeating_elements(canonical(spark, sf_dir), ("text", "paragraph_title", "vision_footnote"))
+
+
+@query
+def review_gate(spark, sf_dir):
+    blocks, pages = canonical(spark, sf_dir), page_table(spark, sf_dir)
+    return L.review_gate(L.document_family(blocks, pages), pages, L.section_order(blocks, pages))
+
+
+# --- roles -------------------------------------------------------------------
+
+
+@query
+def zone_tags(spark, sf_dir):
+    return canonical(spark, sf_dir).select("block_id", "page", F.array_join(G.zones(*(F.col(f"n{i}") for i in range(1, 5))), ",").alias("zones"), G.alignment(F.col("n1"), F.col("n3")).alias("alignment"))
+
+
+@query
+def neighbor_topk(spark, sf_dir):
+    return R.neighbours(canonical(spark, sf_dir)).select("block_id", "relation", "neighbour", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
+
+
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stand-in for a model's answers: a role for each block by arithmetic, wrong ones included."""
+    blocks = canonical(spark, sf_dir)
+    at = F.col("doc_id") + F.col("reading_order") * 3
+    roles = F.array(*map(F.lit, ("main_title", "section_heading", "body", "evidence", "summary", "metadata", "disclaimer", "oddity")))
+    domains = F.array(*map(F.lit, ("report_title", "thesis_heading", "supporting_argument", "key_data_box", "report_title")))
+    return blocks.select(
+        "doc_id", "page", "block_id", "reading_order", "quality", ((F.length("text") > 0) | F.col("label").isin("table", "chart", "image")).alias("eligible"),
+        F.when(at % 17 == 0, "backend_error").when(at % 19 == 0, "invalid_json").alias("error"), F.get(roles, (at % 8).cast("int")).alias("generic_role"), F.get(domains, (at % 6).cast("int")).alias("domain_role"), ((at % 101) / 100.0).alias("confidence"),
+    )
+
+
+@query
+def role_gate(spark, sf_dir):
+    return R.gate(decisions(spark, sf_dir)).select("block_id", "source", "fallback_reason", "generic_role", "domain_role", "confidence", "needs_review", "attempted")
+
+
+@query
+def role_policy(spark, sf_dir):
+    gated = R.gate(decisions(spark, sf_dir))
+    used, purpose = R.policy(F.col("generic_role"), F.col("domain_role"), F.lit(None).cast("string"))
+    name, parent, level = R.enrich(F.col("generic_role"), F.col("domain_role"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    return gated.select("block_id", used.alias("used"), purpose.alias("purpose"), name.alias("role_name"), parent.alias("parent"), level.alias("level"))
+
+
+@query
+def section_ids(spark, sf_dir):
+    return R.section_ids(R.gate(decisions(spark, sf_dir))).select("block_id", "section_id", "orphan")
+
+
+@query
+def semantic_summary(spark, sf_dir):
+    return R.summary(R.gate(decisions(spark, sf_dir)))
+
+
+@query
+def source_breakdown(spark, sf_dir):
+    return R.breakdown(documents(spark, sf_dir), "source")
+
+
+# --- catalog -----------------------------------------------------------------
+
+
+def catalog_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, page images and files in the catalog's columns, derived from documents and their pages."""
+    docs = documents(spark, sf_dir).select("doc_id", F.concat("source", F.lit("-"), "doc_id").alias("display_name"), (F.col("doc_id") % 4 + 1).cast("int").alias("process_status"))
+    pages = raw_blocks(spark, sf_dir).where("block_index = 1 AND doc_id % 7 <> 0").select("doc_id", F.col("page").alias("display_order"), F.concat_ws("/", "doc_id", "page").alias("file_id"))
+    return docs, pages, pages.select("file_id", F.lit("image/png").alias("mime_type"))
+
+
+@query
+def document_list(spark, sf_dir):
+    docs, images, _ = catalog_tables(spark, sf_dir)
+    return C.document_list(docs, images)
+
+
+@query
+def documents_ready(spark, sf_dir):
+    docs, _, _ = catalog_tables(spark, sf_dir)
+    return C.all_exist(docs, [1, 2, 2]).crossJoin(C.all_ready(docs, [2, 6, 10]))
+
+
+@query
+def page_image_at(spark, sf_dir):
+    _, images, files = catalog_tables(spark, sf_dir)
+    return C.page_images(images, files).where("page = 1").select("doc_id", "file_id", "mime_type")
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    depth = F.create_map(*(F.lit(x) for pair in C.DEPTHS.items() for x in pair))[F.col("role")]
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chat_id"), F.col("turn").alias("message_id"), depth.alias("depth"), F.col("text").alias("content_text"))
+
+
+@query
+def chat_detail(spark, sf_dir):
+    talk = messages(spark, sf_dir)
+    chats = talk.groupBy("chat_id").agg(C.chat_name(F.min_by("content_text", "message_id")).alias("display_name"))
+    sources = chats.select("chat_id", F.explode(F.array(F.col("chat_id"), F.col("chat_id") + 1)).alias("doc_id"))
+    found = C.chat_detail(chats, sources, talk)
+    return found.select("chat_id", "display_name", F.array_join(F.transform("source_ids", lambda x: x.cast("string")), ",").alias("source_ids"), F.size("messages").cast("long").alias("n_messages"), F.md5(F.array_join(F.transform("messages", lambda m: m["content_text"]), "\n")).alias("messages_md5"))
+
+
+@query
+def message_groups(spark, sf_dir):
+    return C.message_groups(messages(spark, sf_dir))
+
+
+@query
+def message_visibility(spark, sf_dir):
+    return messages(spark, sf_dir).groupBy("chat_id").agg(F.count_if(F.col("depth") <= C.VISIBLE_DEPTH).alias("visible"), F.count_if(F.col("depth") > C.VISIBLE_DEPTH).alias("hidden"))
+
+
+@query
+def artifact_upsert(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    old = docs.select("doc_id", F.lit("ocr").alias("artifact_name"), F.col("n_chars").alias("size"))
+    new = docs.where("doc_id % 3 = 0").select("doc_id", F.lit("ocr").alias("artifact_name"), F.lit(0).cast("long").alias("size"))
+    return C.upsert(old, new, ["doc_id", "artifact_name"])
+
+
+@query
+def artifact_invalid(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 == 0, F.substring("props", 1, 4)).otherwise(F.col("props")).alias("content_json"))
+    valid, invalid = C.split_valid(events, "k int")
+    return valid.select("event_id", F.col("parsed.k").cast("long").alias("k"), F.lit(True).alias("valid")).unionByName(invalid.select("event_id", F.lit(None).cast("long").alias("k"), F.lit(False).alias("valid")))
+
+
+@query
+def artifacts_missing(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    have = docs.where("doc_id % 2 = 0").select("doc_id", F.lit("ocr").alias("artifact_name"))
+    return C.missing(docs, have, ["ocr", "style"])
+
+
+# --- logs --------------------------------------------------------------------
+
+
+def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.create_map(*(F.lit(x) for pair in {"signup": "run_started", "purchase": "run_completed", "error": "run_failed"}.items() for x in pair))[F.col("event_type")]
+    component = F.when(F.col("event_type") == "view", "search_index").when(F.col("event_type") == "click", "write")
+    return table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("run_id"), F.coalesce(kind, F.col("event_type")).alias("event"), component.alias("component"))
+
+
+@query
+def event_router(spark, sf_dir):
+    return X.route(trace(spark, sf_dir)).groupBy("component", "to_search").agg(F.count("*").alias("n"))
+
+
+@query
+def run_status(spark, sf_dir):
+    return X.latest(trace(spark, sf_dir)).select("run_id", "event_id", X.status_of(F.col("event")).alias("status"))
+
+
+@query
+def log_tail(spark, sf_dir):
+    return X.tail(trace(spark, sf_dir), 3).select("run_id", "event_id", F.col("from_end").cast("long").alias("from_end"))
+
+
+@query
+def step_durations(spark, sf_dir):
+    return X.step_durations(trace(spark, sf_dir), "run_started", ("run_completed", "run_failed"))
+
+
+@query
+def status_stream(spark, sf_dir):
+    """T5 as a stream over the events file, run until there is nothing more to read."""
+    import uuid
+
+    schema = table(spark, sf_dir, "events").schema
+    events = X.stream(spark, sf_dir, schema, "events.parquet").select("event_id", "ts", F.col("user_id").alias("run_id"), F.col("event_type").alias("event"))
+    name = f"status_{uuid.uuid4().hex}"
+    from folio.shared import shared_dir
+
+    return X.drain(X.status_counts(events), name, f"{shared_dir(spark)}/{name}")
+
+
+# --- markup and evidence -------------------------------------------------------
+
+
+@query
+def html_preview(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", S.preview(F.col("html")).alias("preview"))
+
+
+@query
+def html_structured(spark, sf_dir):
+    """Every page's blocks as structured HTML, by its digest."""
+    rows = raw_blocks(spark, sf_dir)
+    block_id = F.concat(F.lit("page-"), F.col("page"), F.lit("-block-"), F.col("block_index"))
+    html = M.block_html(block_id, F.col("raw_label"), F.col("content"), *(F.col(c) for c in ("x1", "y1", "x2", "y2", "width", "height")))
+    pages = rows.select("doc_id", "page", "block_index", html.alias("html")).groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_index", "html"))), lambda b: b["html"]).alias("parts"))
+    return pages.select("doc_id", "page", F.md5(M.page_html(F.concat(F.lit("page-"), F.col("page")), F.col("parts"))).alias("html_md5"))
+
+
+@query
+def json_extract(spark, sf_dir):
+    wrapped = F.concat(F.lit("Here: "), F.col("props"), F.lit(" done"))
+    return table(spark, sf_dir, "events").select("event_id", M.json_text(wrapped).alias("json_text"), F.get_json_object(M.json_object(wrapped), "$.k").alias("k"), M.json_object(wrapped, whole=True).alias("whole"))
+
+
+@query
+def document_extract(spark, sf_dir):
+    answer = F.concat(F.lit("Answer follows. <page id=\"p\">"), F.substring("html", 1, 80), F.lit("</page> end"))
+    full = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("x <document id=\"output\">"), answer, F.lit("</document> y"))).otherwise(answer)
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(M.document_block(full)).alias("document_md5"))
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analysis answers made of documents: evidence, sources and unsupported blocks as JSON."""
+    made = F.concat(
+        F.lit('{"query": "q", "source_documents": [{"document_id": "s1", "used": "yes", "reason": " r "}], "evidence": [{"document_id": "'), F.col("source"), F.lit('", "page_id": 1, "block_id": "block-1", "matched_via": "entity"}, {"document_id": "'), F.col("source"),
+        F.lit('", "page_id": "x", "block_id": "b2", "matched_via": ["semantic", "bm25", "semantic"]}, {"document_id": "", "block_id": "b3"}], "unsupported_blocks": [{"block_id": "target-page-1-block-11", "support_status": "partially_supported", "required_action": "empty_cells"}, {"block_id": "no", "required_action": "empty_block"}, {"block_id": "output-page-2-block-3", "support_status": "bad", "required_action": "bad"}]}'),
+    )
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("id"), made.alias("payload"), F.array(F.lit("s1"), F.lit("s2")).alias("source_ids"))
+
+
+@query
+def evidence_normalize(spark, sf_dir):
+    return E.evidence(payloads(spark, sf_dir)).select("id", "document_id", "page_id", "block_id", "matched_via")
+
+
+@query
+def sources_normalize(spark, sf_dir):
+    return E.source_documents(payloads(spark, sf_dir)).select("id", "document_id", "used", "reason")
+
+
+@query
+def unsupported_normalize(spark, sf_dir):
+    return E.unsupported(payloads(spark, sf_dir)).select("id", "block_id", "support_status", "required_action")
+
+
+@query
+def sanitize_table(spark, sf_dir):
+    html = F.concat(F.lit('<div id="page-1-block-1"><table><tr><td>k</td><td>a</td><td>b</td></tr><tr><td>'), F.col("source"), F.lit("</td><td>"), F.col("lang"), F.lit("</td><td>-</td></tr></table></div>"))
+    action = F.when(F.col("doc_id") % 2 == 0, "empty_table_values").otherwise("empty_cells")
+    rows = documents(spark, sf_dir).select("doc_id", html.alias("html"), action.alias("required_action"), F.array(F.lit("a")).alias("columns"))
+    return E.sanitize(rows).select("doc_id", "sanitized", "violates")
+
+
+# --- style -------------------------------------------------------------------
+
+
+@query
+def line_grouping(spark, sf_dir):
+    boxes = raw_blocks(spark, sf_dir).select("doc_id", "page", F.concat_ws("-", F.lit("b"), "block_index").alias("box_id"), "x1", (F.col("y1") / 2).cast("int").alias("y1"), F.col("y2"))
+    return Y.group_lines(boxes)
+
+
+@query
+def median_color(spark, sf_dir):
+    part = lambda k: (F.floor(F.col("event_id") / k) % 256).cast("int")
+    pixels = table(spark, sf_dir, "events").select("event_type", part(1).alias("red"), part(3).alias("green"), part(7).alias("blue"))
+    found = Y.median_colour(pixels, "event_type")
+    return found.select("event_type", T.color_css(F.col("red"), F.col("green"), F.col("blue")).alias("color"))
+
+
+@query
+def font_merge(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("b"), F.col("l_suppkey")).alias("block_id"), F.col("l_returnflag").alias("font"), F.col("l_quantity").alias("cost"), F.when(F.col("l_linenumber") == 7, float("nan")).otherwise(F.col("l_tax")).alias("size"))
+    return Y.merge_fonts(rows).select("block_id", "font", six("size"))
+
+
+@query
+def edit_slice(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark")
+    return rows.select("item_id", Y.edit_slice(F.substring("text", 1, 120), F.substring("text", 20, 30)).alias("s")).select("item_id", "s.first", "s.stop")
+
+
+@query
+def char_align(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id")).alias("block_id"), F.substring("text", 1, 12).alias("text"))
+    letters = rows.select("block_id", "text", F.posexplode(F.split("text", "")).alias("pos", "char"))
+    return Y.align_characters(letters.select("block_id", "text", (F.col("pos") * 10).cast("int").alias("xmin"), (F.col("pos") * 10 + 9).cast("int").alias("xmax"), "char"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n_documents"))
+    """Hybrid search over all blocks of all documents."""
+    return hybrid_search(spark, sf_dir)
