@@ -92,7 +92,7 @@ def text_quality(cleaned: Column) -> Column:
     short = F.when(length < 6, 1.0).when(length < 15, 0.5).otherwise(0.0)
     repeat = F.greatest(repeat_penalty(cleaned), long_token_ratio(cleaned))
     score = 1.0 - weird_ratio(cleaned) * 0.4 - mixed * 0.3 - repeat * 0.2 - short * 0.1
-    return F.when(length == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(score, 4))))
+    return F.when(length == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(score + 1e-9, 4))))
 
 
 def language_of(hangul: Column, latin: Column, han: Column) -> Column:

@@ -16,6 +16,8 @@ LISTS = ("list", "fnote", "vision_footnote")
 SUBSTANTIAL, BODY_CHARS, TITLE_CHARS = 20, 40, 80
 COLUMN_GAP, TITLE_GAP, LARGE_VISUAL, LOW_QUALITY, SLOT_AREA = 0.18, 0.03, 0.18, 0.55, 0.03
 STYLE = {"body": 0.028, "title": 1.8, "subtitle": 1.3, "paragraph": 0.018, "section": 0.03, "width": 0.52, "line_height": 1.45}
+#: Lifts a half that binary fractions put just below it, so that halves round up.
+HALF = 1e-9
 ANCHORS = ("cover_summary", "body_narrative")
 HEADINGS = ("document_title", "section_heading", "subheading")
 
@@ -51,7 +53,7 @@ def page_metrics(blocks: DataFrame) -> DataFrame:
         total(label.isin("table", "chart")).alias("table_ratio"), total(label.isin("image", "chart")).alias("visual_ratio"), total(F.col("substantial")).alias("text_ratio"),
         total(F.col("n3") <= G.SIDEBAR).alias("sidebar_ratio"), total(F.col("meta")).alias("meta_ratio"),
         F.least(F.lit(4), F.greatest(F.lit(1), 1 + F.coalesce(F.sum("break"), F.lit(0)))).cast("int").alias("columns"),
-        F.round(F.coalesce(F.median(F.when(F.col("substantial"), F.col("quality"))), F.lit(0.75)), 4).alias("quality"),
+        F.round(F.coalesce(F.median(F.when(F.col("substantial"), F.col("quality"))), F.lit(0.75)) + HALF, 4).alias("quality"),
         F.count_if(label == "table").alias("tables"), F.count_if(label == "image").alias("images"), F.count_if(F.col("textual")).alias("text_blocks"), F.count_if(F.col("substantial")).alias("substantial_blocks"),
         F.count_if(F.col("textual") & has_text).alias("filled_text_blocks"), F.count_if(T.financial_signal(F.col("text"))).alias("financial_signals"),
         some(_notice(F.col("text"))).alias("has_notice"), some(raw.isin(*LISTS)).alias("has_list"),
@@ -196,7 +198,7 @@ def review_gate(families: DataFrame, pages: DataFrame, sections: DataFrame) -> D
     """doc_id, score, low_pages, unsupported_pages, review_required, notes."""
     low = F.col("quality") < LOW_QUALITY
     per_doc = pages.groupBy("doc_id").agg(
-        F.round(F.avg("quality"), 4).alias("score"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(low, F.col("page")))), lambda p: p.cast("string")), ",").alias("low_pages"),
+        F.round(F.avg("quality") + HALF, 4).alias("score"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(low, F.col("page")))), lambda p: p.cast("string")), ",").alias("low_pages"),
         F.count_if(F.col("archetype").isin("evidence_table", "compliance")).alias("unsupported_pages"),
     )
     rows = families.join(per_doc, "doc_id").join(sections.select("doc_id").distinct().withColumn("sectioned", F.lit(True)), "doc_id", "left")
