@@ -21,7 +21,7 @@ UNSURE = frozenset("\x1c\x1d\x1e\x1f\x85᠎​﻿")
 #: Letters up to here have one code point each when composed and in lower case.
 LAST_PLAIN = "ɏ"
 PUNCTUATION = ".,!?;:"
-MOST_CHUNKS = 400_000
+MOST_CHUNKS = 250_000
 
 
 def _byte_letters() -> list[str]:
@@ -59,7 +59,6 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = {b: c for b, c in enumerate(_byte_letters())}
-        self.cores = Generations(self._core, MOST_CHUNKS // 2)
         self.tails = Generations(self._whole, 10_000)
         self.chunks = Generations(self._chunk, MOST_CHUNKS)
 
@@ -75,7 +74,7 @@ class Encoder:
         core = lower.rstrip(PUNCTUATION)
         if core.isalpha() and max(core) <= LAST_PLAIN:
             tail = lower[len(core) :]
-            return self.cores[core] + self.tails[tail] if tail else self.cores[core]
+            return self._core(core) + self.tails[tail] if tail else self._core(core)
         return self._whole(chunk)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -85,7 +84,7 @@ class Encoder:
                 out.append(b"".join(map(self.chunks.__getitem__, text.split())))
             else:
                 out.append(self._whole(text))
-            for cache in (self.chunks, self.cores, self.tails):
+            for cache in (self.chunks, self.tails):
                 cache.turn()
         return out
 
