@@ -90,3 +90,42 @@ def missing(documents: DataFrame, artifacts: DataFrame, names: list[str]) -> Dat
     """doc_id, artifact_name of artifacts still to build."""
     wanted = documents.select("doc_id", F.explode(F.array(*map(F.lit, names))).alias("artifact_name"))
     return wanted.join(artifacts.select("doc_id", "artifact_name"), ["doc_id", "artifact_name"], "left_anti")
+
+
+def clear(artifacts: DataFrame, doc_id: int | None = None, names: list[str] | None = None) -> DataFrame:
+    """Artifacts that stay when those of a document, of some names, or both are cleared."""
+    gone = F.lit(True)
+    if doc_id is not None:
+        gone = gone & (F.col("doc_id") == doc_id)
+    if names is not None:
+        gone = gone & F.col("artifact_name").isin(names)
+    return artifacts.where(~gone)
+
+
+def check_version(config: DataFrame, expected: int, key: str = "schema_version") -> None:
+    """Raise if the stored schema version is another one; a store without one is new."""
+    row = config.where(F.col("key") == key).select("value").first()
+    if row is not None and int(row["value"]) != expected:
+        raise ValueError(f"schema version {row['value']}, {expected} is needed: delete the store")
+
+
+def fetch_page(pages: DataFrame, requests: DataFrame) -> DataFrame:
+    """doc_id, page, answer: a page's HTML for each request (doc_id, page from 1), or what is wrong with it."""
+    sizes = pages.groupBy("doc_id").agg(F.max("page").alias("n_pages"))
+    rows = requests.join(sizes, "doc_id", "left").join(pages, ["doc_id", "page"], "left")
+    wrong = F.when(F.col("n_pages").isNull(), F.format_string("document %d does not exist", "doc_id")).when(~F.col("page").between(1, F.col("n_pages")), F.format_string("page must be between 1 and %d", "n_pages"))
+    return rows.select("doc_id", "page", F.coalesce(wrong, F.col("html"), F.lit("")).alias("answer"))
+
+
+def overlay(blocks: DataFrame) -> DataFrame:
+    """Blocks that have any role, in reading order within their page."""
+    roles = [F.col(c) for c in ("generic_role", "domain_role", "generated_role_name") if c in blocks.columns]
+    return blocks.where(F.coalesce(*roles).isNotNull()).orderBy("doc_id", "page", F.coalesce("reading_order", F.lit(9999)), "block_id")
+
+
+def export_chat(messages: DataFrame, trace_depth: int = 70) -> tuple[DataFrame, DataFrame]:
+    """Trace lines (value), and one markdown text per chat of all its messages in order."""
+    trace = messages.where(F.col("depth") == trace_depth).orderBy("chat_id", "message_id").select(F.col("content_text").alias("value"))
+    part = F.concat(F.lit("## "), F.col("message_id"), F.lit(" ("), F.col("depth"), F.lit(")\n\n"), F.coalesce("content_text", F.lit("")), F.lit("\n"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("message_id", "part"))), lambda m: m["part"]), "\n")
+    return trace, messages.withColumn("part", part).groupBy("chat_id").agg(text.alias("markdown"))

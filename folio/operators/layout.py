@@ -205,3 +205,21 @@ def review_gate(families: DataFrame, pages: DataFrame, sections: DataFrame) -> D
     bad, family = F.length("low_pages") > 0, F.col("family").isin("form", "unknown")
     notes = F.array(F.when(bad, F.concat(F.lit("low_ocr_quality_pages:"), F.col("low_pages"))), F.when(F.col("sectioned").isNull(), "no_narrative_sections_extracted"), F.when(family, "unsupported_for_mvp"))
     return rows.select("doc_id", "family", "score", "low_pages", "unsupported_pages", (bad | family).alias("review_required"), F.array_join(F.filter(notes, lambda n: n.isNotNull()), ";").alias("notes"))
+
+
+def template(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, template_id, template: family, page specs, sections, style, slots and review of a document as one JSON object."""
+    families, sections = document_family(blocks, pages), section_order(blocks, pages)
+
+    def listed(rows: DataFrame, name: str, *order: str) -> DataFrame:
+        return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*order, *(c for c in rows.columns if c != "doc_id" and c not in order)))).alias(name))
+
+    style = style_tokens(blocks, pages)
+    parts = [
+        listed(page_specs(pages), "pages", "page"), listed(sections, "sections", "section_id"), listed(image_slots(blocks, pages), "image_slots", "page", "slot_id"), listed(unsupported_blocks(blocks), "unsupported", "page", "block_id"),
+        listed(repeating_elements(blocks), "repeating", "text"), style.select("doc_id", F.struct(*(c for c in style.columns if c != "doc_id")).alias("style")), review_gate(families, pages, sections).drop("family"),
+    ]
+    rows = families
+    for part in parts:
+        rows = rows.join(part, "doc_id", "left")
+    return rows.select("doc_id", F.concat(F.lit("template-"), T.stable_hash(F.col("doc_id").cast("string"), F.col("family"))).alias("template_id"), F.to_json(F.struct(*(c for c in rows.columns if c != "doc_id"))).alias("template"))

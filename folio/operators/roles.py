@@ -164,3 +164,48 @@ def breakdown(rows: DataFrame, key: str) -> DataFrame:
     counts = rows.groupBy(key).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     return counts.crossJoin(F.broadcast(total)).select(key, "n", F.round(100.0 * F.col("n") / F.greatest("total", F.lit(1)), 1).alias("share"))
+
+
+LEVELS = ("document", "section", "block")
+DECISION = "block_id string, generic_role string, domain_role string, role_confidence double, section_purpose string, reason string, generated_role_name string, generated_role_level string"
+DECISION_KEYS = tuple(x.split()[0] for x in DECISION.split(", ")) + ("generated_role_description", "generated_parent_role_name", "used_for_generation", "needs_review")
+
+
+def parse_decision(rows: DataFrame, answer: str = "answer") -> DataFrame:
+    """A model's answer about a block as columns, and ``error``: invalid_json, schema_mismatch or null.
+
+    Unknown keys, unknown roles or levels, a confidence outside 0 to 1 and an
+    answer about another block don't match the schema.
+    """
+    from folio.functions import markup as M
+
+    text = M.json_text(F.col(answer))
+    rows = rows.withColumn("__json", text).withColumn("d", F.from_json("__json", DECISION))
+    d, keys = F.col("d"), F.json_object_keys("__json")
+    every = [role for allowed in DOMAINS.values() for role in allowed]
+    fits = (
+        (F.size(F.array_except(keys, F.array(*map(F.lit, DECISION_KEYS)))) == 0)
+        & d["generic_role"].isin(*DOMAINS)
+        & (d["domain_role"].isNull() | d["domain_role"].isin(*every))
+        & d["role_confidence"].between(0, 1)
+        & (d["block_id"] == F.col("block_id"))
+        & (d["generated_role_level"].isNull() | F.lower(F.trim(d["generated_role_level"])).isin(*LEVELS))
+    )
+    error = F.when(F.col("__json").isNull() | keys.isNull(), "invalid_json").when(~F.coalesce(fits, F.lit(False)), "schema_mismatch")
+    known = lambda c: F.when(F.col("error").isNull(), c)
+    kept = [c for c in rows.columns if c not in ("__json", "d", answer)]
+    return rows.withColumn("error", error).select(
+        *kept, "error", known(d["generic_role"]).alias("generic_role"), known(d["domain_role"]).alias("domain_role"), known(F.round(d["role_confidence"], 4)).alias("confidence"),
+        known(F.nullif(F.trim(d["section_purpose"]), F.lit(""))).alias("section_purpose"), known(F.split(F.trim(d["reason"]), "\n")[0]).alias("reason"),
+    )
+
+
+def context(blocks: DataFrame) -> DataFrame:
+    """doc_id, page, block_id, payload: what a model is told about a block, as JSON with its neighbours in order."""
+    zone = G.zones(F.col("n1"), F.col("n2"), F.col("n3"), F.col("n4"))
+    near = neighbours(blocks)
+    texts = blocks.select("doc_id", "page", F.col("block_id").alias("neighbour"), F.col("label").alias("n_label"), F.col("text").alias("n_text"))
+    listed = near.join(texts, ["doc_id", "page", "neighbour"]).groupBy("doc_id", "page", "block_id").agg(F.array_sort(F.collect_list(F.struct("place", "relation", F.col("neighbour").alias("block_id"), F.col("n_label").alias("label"), F.col("n_text").alias("text")))).alias("neighbours"))
+    rows = blocks.join(listed, ["doc_id", "page", "block_id"], "left")
+    payload = F.to_json(F.struct("block_id", "label", "raw_label", "text", "reading_order", zone.alias("zones"), F.array("n1", "n2", "n3", "n4").alias("bbox"), "neighbours"))
+    return rows.select("doc_id", "page", "block_id", payload.alias("payload"))
