@@ -156,6 +156,13 @@ fs AS (SELECT *, channels = 'entity' AS eo, round(CASE WHEN channels = 'entity'
   ELSE 0.45::DOUBLE * coalesce(greatest(0, 1 - least(distance, 1.5)), 0) + 0.35::DOUBLE * coalesce(CASE WHEN best > 0 THEN bm25 / best END, 0) + 0.05::DOUBLE * coalesce(entity, 0) + 0.10::DOUBLE * rc - 0.02::DOUBLE * nr END, 9) AS score FROM sd)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY eo, score DESC, coalesce(distance, 999), coalesce(bm25, 0) DESC, doc_id, page, block_id) AS rank, record_id, channels, round(score, 6) AS score, round(bm25, 6) AS bm25, round(distance, 5) AS distance, round(entity, 6) AS entity, terms FROM fs QUALIFY rank <= 12"""
 
+_four = "coalesce(printf('%.4f', {0}), 'n/a')".format
+_cut = strip(r"regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')")
+ORACLES["search_output"] = rf"""WITH found AS (SELECT * FROM ({ORACLES["hybrid_search"].replace("SELECT query_id, row_number() OVER", "SELECT doc_id, page, block_id, score AS s, bm25 AS b, distance AS d, query_id, row_number() OVER")})), {LINES},
+shown AS (SELECT f.*, {_cut.replace("text", "content")} AS t FROM found f JOIN blocks k ON f.record_id = 'fallback:' || k.doc_id || ':' || k.page || ':' || k.block_index)
+SELECT query_id, rank, concat_ws(' ', 'Candidate #' || rank || ':', 'document=' || doc_id, 'page=' || (page + 1), 'block=' || block_id, 'score=' || {_four("s")}, 'distance=' || {_four("d")}, 'bm25=' || {_four("b")}, 'channels=' || channels, 'terms=' || coalesce(nullif(terms, ''), 'n/a'),
+  'preview=' || CASE WHEN length(t) > 240 THEN regexp_replace(substr(t, 1, 237), '\s+$', '') || '...' ELSE t END) AS line FROM shown"""
+
 # --- text ---
 ORACLES["clean_text"] = f"SELECT doc_id, length({clean('text')}) AS n_chars, md5({clean('text')}) AS clean_md5 FROM documents"
 ORACLES["script_buckets"] = "SELECT doc_id, " + ", ".join(f"{c} AS {n}" for c, n in zip(_s, ("hangul", "latin", "han", "other"), strict=True)) + " FROM documents"
@@ -245,6 +252,13 @@ ORACLES["status_stream"] = "SELECT user_id AS run_id, count(*) AS n_events, arg_
 # --- markup and evidence ---
 _flat = strip(r"regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')")
 ORACLES["html_preview"] = rf"WITH f AS (SELECT page_id, {_flat} AS t FROM pages) SELECT page_id, CASE WHEN length(t) > 240 THEN regexp_replace(substr(t, 1, 237), '\s+$', '') || '...' ELSE t END AS preview FROM f"
+_escaped = f"replace(replace(replace({strip('content')}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+ORACLES["html_structured"] = f"""WITH {LINES}, i AS (SELECT *, 'page-' || page || '-block-' || block_index AS id FROM blocks),
+h AS (SELECT doc_id, page, block_index, '<div id="' || id || '" data-bbox="[' || concat_ws(', ', x1 * 1000 // width, y1 * 1000 // height, x2 * 1000 // width, y2 * 1000 // height) || ']">' || {NL} ||
+  CASE raw_label WHEN 'image' THEN '  <img src="/' || id || '/image">' WHEN 'table' THEN '  ' || content ELSE '  <p>' || {_escaped} || '</p>' END || {NL} || '</div>' AS html FROM i)
+SELECT doc_id, page, md5('<page id="page-' || page || '">' || {NL} || string_agg(html, {NL} ORDER BY block_index) || {NL} || '</page>') AS html_md5 FROM h GROUP BY doc_id, page"""
+ORACLES["document_extract"] = """WITH a AS (SELECT page_id, '<page id="p">' || substr(html, 1, 80) || '</page>' AS pg FROM pages)
+SELECT page_id, md5(CASE WHEN page_id % 2 = 0 THEN '<document id="output">Answer follows. ' || pg || ' end</document>' ELSE '<document id="output">' || chr(10) || pg || chr(10) || '</document>' END) AS document_md5 FROM a"""
 ORACLES["json_extract"] = "SELECT event_id, props AS json_text, props->>'$.k' AS k, NULL AS whole FROM events"
 ORACLES["evidence_normalize"] = "SELECT doc_id AS id, source AS document_id, 1 AS page_id, 'block-1' AS block_id, 'entity' AS matched_via FROM documents UNION ALL SELECT doc_id, source, 0, 'b2', 'semantic,bm25' FROM documents"
 ORACLES["sources_normalize"] = "SELECT doc_id AS id, 's1' AS document_id, true AS used, 'r' AS reason FROM documents UNION ALL SELECT doc_id, 's2', false, '' FROM documents"
