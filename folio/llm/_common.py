@@ -2,37 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from folio.shared import shared_dir
+
 #: Bytes that separate words; ``bytes.split()`` splits on exactly these.
 WORD_SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: The same class as a Java / RE2 / Python pattern.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the cluster's ``spark.checkpoint.dir``.  Where that is unset a local
-    master gets a temporary folder; a real cluster must name one.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must be set for local-cluster")
-    made = f"file://{tempfile.mkdtemp(prefix='folio-shared-')}"
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
 def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/folio/{name}-{uuid.uuid4().hex}"
 
@@ -64,8 +48,17 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def give_back() -> None:
+    """Return memory that earlier tasks of this worker have freed to the system; workers outlive tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``most_bytes`` at most in each (one row at least)."""
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -33,7 +33,7 @@ from ._common import slices
 
 UNDETERMINED = "und"
 SAMPLE_ROWS = 40_000
-MOST_WORDS = 300_000
+MOST_WORDS = 200_000
 SMOOTHING = 0.05
 #: Probability of a letter that is no piece, the same in every language.
 UNKNOWN = 1e-9
@@ -137,13 +137,16 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
     """``keep`` columns, lang_pred and score (the posterior of the language named) of every row, or these two under other ``names``."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
+    # A kept text is read from its own column rather than sent twice.
+    read = text if text in keep else "__text"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         k = len(held.languages)
         seen: dict[str, int] = {}
         scores = np.empty((0, k))
-        for part in slices(batches, "__text"):
-            rows = [LETTERS.findall((x or "").lower()) for x in part.column("__text").to_pylist()]
+        for part in slices(batches, read):
+            rows = [LETTERS.findall((x or "").lower()) for x in part.column(read).to_pylist()]
             if len(seen) > MOST_WORDS:
                 seen, scores = {}, np.empty((0, k))
             new = list({w for r in rows for w in r if w not in seen})
@@ -163,7 +166,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(named, pa.string()), pa.array(best, pa.float64())], names=[*keep, *names])
 
     schema = df.select(*keep).schema.add(names[0], "string").add(names[1], "double")
-    return df.select(*keep, df[text].alias("__text")).mapInArrow(run, schema)
+    return df.select(*keep, *([] if text in keep else [df[text].alias("__text")])).mapInArrow(run, schema)
 
 
 def held_out(key: Column, parts: int = 5) -> Column:
