@@ -144,7 +144,11 @@ class Trie:
 
     @staticmethod
     def pack(v: np.ndarray, u: np.ndarray, w: np.ndarray, count: np.ndarray, discount: float, least3: int) -> bytes:
-        """From distinct (v, u, w) sorted in this order with counts over 0; u = 0 stands for no usable word."""
+        """From distinct (v, u, w) sorted in this order with counts over 0.
+
+        u = 0 stands for no usable word, w = 0 for any word that is no
+        successor; what it counts is left over for the unigrams.
+        """
         words, vk = np.unique(v, return_inverse=True)
         pair = np.lexsort((w, vk))
         fresh = np.r_[True, (vk[pair][1:] != vk[pair][:-1]) | (w[pair][1:] != w[pair][:-1])] if len(v) else np.zeros(0, bool)
@@ -153,13 +157,17 @@ class Trie:
         two_v, two_w = vk[pair][fresh], w[pair][fresh]
         two_n = np.bincount(place, count, len(two_v)) if len(v) else np.zeros(0)
         total2 = np.bincount(two_v, two_n, len(words))
-        kinds2 = np.bincount(two_v, minlength=len(words))
+        named = two_w > 0
+        place = (np.cumsum(named) - 1)[place] if len(v) else place
+        two_v, two_w, two_n = two_v[named], two_w[named], two_n[named]
+        p2 = (two_n - discount) / total2[two_v]
+        left2 = 1 - np.bincount(two_v, p2, len(words))
         first2 = np.searchsorted(two_v, np.arange(len(words)))
 
         context = np.r_[True, (vk[1:] != vk[:-1]) | (u[1:] != u[:-1])] if len(v) else np.zeros(0, bool)
         ck = np.cumsum(context) - 1
         total3 = np.bincount(ck, count) if len(v) else np.zeros(0)
-        kept = (count >= least3) & (u > 0)
+        kept = (count >= least3) & (u > 0) & (w > 0)
         used = np.unique(ck[kept])
         heads = np.flatnonzero(context)[used]
         k3 = np.searchsorted(used, ck[kept])
@@ -173,8 +181,8 @@ class Trie:
                 Level.pack(two_v, two_w, len(words)),
                 Level.pack(vk[heads], u[heads], len(words)),
                 Level.pack(k3[order], relative[order], len(used)),
-                Quantised.pack((two_n - discount) / total2[two_v]),
-                Quantised.pack(discount * kinds2 / total2),
+                Quantised.pack(p2),
+                Quantised.pack(np.maximum(left2, 1e-9)),
                 Quantised.pack(p3[order]),
                 Quantised.pack(np.maximum(left3, 1e-9)),
             )

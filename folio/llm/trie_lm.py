@@ -28,19 +28,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, slices, stage_path, staged
-from ._words import MULTIPLY, WordHashes, finish
+from ._common import slices, stage_path, staged
+from ._planes import expand, expand_sorted, press, press_sorted, runs
+from ._words import MULTIPLY, finish, text_hash, word_hashes
 from .elias_fano import Trie
 from .zip_warc import file_system
 
 #: Bytes of text in a block; tokens for which one shard is made.
 BLOCK, SHARD_TOKENS = 8 << 20, 1_000_000
 #: Below so many training occurrences a word is no context: v for bigrams, u for trigrams.
-LEAST_V, LEAST_U = 2, 4
+LEAST_V, LEAST_U = 2, 8
+#: Rarer words are no successors; they get the unigram's share only.
+LEAST_W = 2
 DISCOUNT, LEAST_3 = 0.75, 2
 ADD = 0.1
 #: No word can hold a space, so these are no words.
@@ -52,15 +54,7 @@ def held_out(key: Column, parts: int = 10) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % parts == 0, F.lit(False))
 
 
-def pack(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
-
-
-def unpack(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
-
-
-BLOCKS = "block long, keys array<long>, held array<boolean>, n_tokens array<int>, tokens binary, words binary"
+BLOCKS = "block long, keys array<long>, held array<boolean>, n_tokens array<int>, tokens binary, words binary, ranks binary"
 
 
 def _blocks(df: DataFrame, key: str, text: str, held: Column) -> DataFrame:
@@ -70,15 +64,16 @@ def _blocks(df: DataFrame, key: str, text: str, held: Column) -> DataFrame:
         from pyspark import TaskContext
 
         made = TaskContext.get().partitionId() << 32
-        cache = WordHashes()
+        end = text_hash(END)
         for part in slices(batches, "text", BLOCK):
-            rows = [(x or b"").lower().split() for x in as_bytes(part.column("text"))]
-            for r in rows:
-                r.append(END)
-            hashes = np.concatenate([cache.of(r) for r in rows])
-            words, tokens = np.unique(hashes, return_inverse=True)
-            one = [made, part.column("key").to_pylist(), part.column("held").to_pylist(), [len(r) for r in rows], pack(tokens.astype("<u4")), pack(words)]
-            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary())
+            hashes, lengths = word_hashes(part.column("text"))
+            hashes, lengths = np.insert(hashes, np.cumsum(lengths), end), lengths + 1
+            words, tokens, times = np.unique(hashes, return_inverse=True, return_counts=True)
+            # Common words get small numbers, which pack well; the words themselves stay sorted.
+            rank = np.empty(len(words), np.int64)
+            rank[np.argsort(-times, kind="stable")] = np.arange(len(words))
+            one = [made, part.column("key").to_pylist(), part.column("held").to_pylist(), lengths.tolist(), press(rank[tokens]), press_sorted(words), press(rank)]
+            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(one, types, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
             made += 1
 
@@ -87,22 +82,24 @@ def _blocks(df: DataFrame, key: str, text: str, held: Column) -> DataFrame:
 
 
 class Block:
-    """A block's tokens with their training flags."""
+    """A block's tokens, as numbers of its words by frequency, with their training flags."""
 
     def __init__(self, row: dict):
         self.row = row
         self.lengths = np.array(row["n_tokens"], np.int64)
         self.held = np.array(row["held"], bool)
-        self.tokens = unpack(row["tokens"], "<u4").astype(np.int64)
-        self.words = unpack(row["words"], "<u8")
+        self.tokens = expand(row["tokens"]).astype(np.int64)
         self.trains = np.repeat(~self.held, self.lengths)
 
-    def word_counts(self) -> np.ndarray:
-        return np.bincount(self.tokens[self.trains], minlength=len(self.words))
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes in order, the number of each, and its training occurrences."""
+        ranks = expand(self.row["ranks"]).astype(np.int64)
+        counts = np.bincount(self.tokens[self.trains], minlength=len(ranks))
+        return expand_sorted(self.row["words"]), ranks, counts[ranks]
 
     def requests(self, ids: np.ndarray, counts: np.ndarray, shards: int) -> tuple[np.ndarray, ...]:
         """Distinct (v, u, w) by shard with training counts; the request of each token (-1: none)."""
-        w = ids[self.tokens]
+        w = np.where(counts >= LEAST_W, ids, 0)[self.tokens]
         usable_v = np.where(counts >= LEAST_V, ids, 0)[self.tokens]
         usable_u = np.where(counts >= LEAST_U, ids, 0)[self.tokens]
         firsts = np.cumsum(self.lengths) - self.lengths
@@ -137,21 +134,15 @@ def _chunks(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
 
 
-def _runs(shard: np.ndarray) -> list[tuple[int, int, int]]:
-    """(shard, first, stop) of each run of a sorted array."""
-    at = np.flatnonzero(np.diff(np.r_[-1, shard, -2])) if len(shard) else np.zeros(1, np.int64)
-    return [(int(shard[i]), int(i), int(j)) for i, j in zip(at[:-1], at[1:], strict=True)]
-
-
 def _word_requests(blocks: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row)
-                n = b.word_counts()
+                words, ranks, n = b.words()
                 # Hashes are sorted, and shards are ranges of hashes.
-                shard = ((b.words >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-                rows = [(0, s, row["block"], pack(b.words[i:j]), None, None, pack(n[i:j].astype("<u4"))) for s, i, j in _runs(shard)]
+                shard = ((words >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+                rows = [(0, s, row["block"], press_sorted(words[i:j]), press(ranks[i:j]), None, press(n[i:j])) for s, i, j in runs(shard)]
                 yield from _chunks(rows).to_batches()
 
     return blocks.mapInArrow(run, CHUNK)
@@ -162,17 +153,20 @@ def _count_words(requests: DataFrame, shards: int) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         shard = t["shard"][0].as_py()
-        asked = [unpack(x, "<u8") for x in t["x"].to_pylist()]
+        asked = [expand_sorted(x) for x in t["x"].to_pylist()]
         words, at = np.unique(np.concatenate(asked), return_inverse=True)
-        total = np.bincount(at, np.concatenate([unpack(x, "<u4") for x in t["n"].to_pylist()])).astype(np.int64)
+        total = np.bincount(at, np.concatenate([expand(x) for x in t["n"].to_pylist()])).astype(np.int64)
         seen = total > 0
-        number = np.where(seen, (np.cumsum(seen) - 1) * shards + shard + RESERVED, 0)
+        # Words that can be in a trie are numbered densely; common ones get small numbers, which pack well.
+        used = int((total >= min(LEAST_V, LEAST_U, LEAST_W)).sum())
+        number = np.zeros(len(words), np.int64)
+        number[np.argsort(-total, kind="stable")[:used]] = np.arange(used) * shards + shard + RESERVED
         rows, p = [], 0
-        for block, a in zip(t["block"].to_pylist(), asked, strict=True):
+        for block, a, ranks in zip(t["block"].to_pylist(), asked, t["y"].to_pylist(), strict=True):
             own = at[p : p + len(a)]
-            rows.append((1, shard, block, pack(number[own]), None, None, pack(total[own])))
+            rows.append((1, shard, block, press(number[own]), ranks, None, press(total[own])))
             p += len(a)
-        rows.append((9, shard, int(total.sum()), None, None, None, pack(np.array([seen.sum()], np.int64))))
+        rows.append((9, shard, int(total.sum()), None, None, None, press(np.array([seen.sum()]))))
         return _chunks(rows)
 
     return requests.groupBy("shard").applyInArrow(run, CHUNK)
@@ -182,20 +176,27 @@ def _replied(t: pa.Table, kind: int) -> list[dict]:
     return sorted((r for r in t.to_pylist() if r["kind"] == kind), key=lambda r: r["shard"])
 
 
-def _joined(rows: list[dict], column: str, kind: str) -> np.ndarray:
-    return np.concatenate([unpack(r[column], kind) for r in rows]) if rows else np.zeros(0, kind)
+def _joined(rows: list[dict], column: str) -> np.ndarray:
+    return np.concatenate([expand(r[column]) for r in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
+
+
+def _word_table(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Number in the tries and training count of each of a block's words."""
+    at = _joined(rows, "y")
+    ids, counts = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    ids[at], counts[at] = _joined(rows, "x"), _joined(rows, "n")
+    return ids, counts
 
 
 def _trie_requests(blocks: DataFrame, replies: DataFrame, shards: int) -> DataFrame:
     def run(own: pa.Table, words: pa.Table) -> pa.Table:
         rows, found = [], _replied(words, 1)
         for row in own.to_pylist():
-            ids, counts = _joined(found, "x", "<i8"), _joined(found, "n", "<i8")
-            shard, v, u, w, n, _ = Block(row).requests(ids, counts, shards)
-            rows += [(2, s, row["block"], pack(v[i:j]), pack(u[i:j]), pack(w[i:j]), pack(n[i:j].astype("<u4"))) for s, i, j in _runs(shard)]
+            shard, v, u, w, n, _ = Block(row).requests(*_word_table(found), shards)
+            rows += [(2, s, row["block"], press_sorted(v[i:j]), press(u[i:j]), press(w[i:j]), press(n[i:j])) for s, i, j in runs(shard)]
         return _chunks(rows)
 
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, CHUNK)
+    return blocks.drop("words", "ranks").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, CHUNK)
 
 
 def open_trie(path: str) -> Trie:
@@ -212,8 +213,9 @@ def _answer(requests: DataFrame, folder: str) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         shard = t["shard"][0].as_py()
-        v, u, w = (np.concatenate([unpack(x, "<i8") for x in t[c].to_pylist()]) for c in "xyz")
-        n = np.concatenate([unpack(x, "<u4") for x in t["n"].to_pylist()]).astype(np.int64)
+        asked = [expand_sorted(x) for x in t["x"].to_pylist()]
+        v = np.concatenate(asked).astype(np.int64)
+        u, w, n = (np.concatenate([expand(x) for x in t[c].to_pylist()]).astype(np.int64) for c in "yzn")
         order = np.lexsort((w, u, v))
         sv, su, sw = v[order], u[order], w[order]
         fresh = np.r_[True, (sv[1:] != sv[:-1]) | (su[1:] != su[:-1]) | (sw[1:] != sw[:-1])]
@@ -232,9 +234,9 @@ def _answer(requests: DataFrame, folder: str) -> DataFrame:
         place[order] = np.cumsum(fresh) - 1
         codes_a, codes_b = encode(a), encode(b)
         rows, p = [], 0
-        for block, x in zip(t["block"].to_pylist(), t["x"].to_pylist(), strict=True):
-            own = place[p : p + len(unpack(x, "<i8"))]
-            rows.append((3, shard, block, pack(codes_a[own]), pack(codes_b[own]), None, None))
+        for block, x in zip(t["block"].to_pylist(), asked, strict=True):
+            own = place[p : p + len(x)]
+            rows.append((3, shard, block, press(codes_a[own]), press(codes_b[own]), None, None))
             p += len(own)
         return _chunks(rows)
 
@@ -242,13 +244,13 @@ def _answer(requests: DataFrame, folder: str) -> DataFrame:
 
 
 def encode(x: np.ndarray) -> np.ndarray:
-    """16-bit codes of numbers from 2**-64 to 1, a thousandth of a bit apart; 0 for 0."""
+    """Codes of numbers from 2**-64 to 1, a hundredth of a bit apart; 0 for 0."""
     with np.errstate(divide="ignore"):
-        return np.where(x > 0, np.clip(np.round((np.log2(x) + 64) * 1000), 1, 65535), 0).astype("<u2")
+        return np.where(x > 0, np.clip(np.round((np.log2(x) + 64) * 100), 1, 6400), 0).astype("<u2")
 
 
 def decode(codes: np.ndarray) -> np.ndarray:
-    return np.where(codes > 0, np.exp2(codes / 1000 - 64), 0.0)
+    return np.where(codes > 0, np.exp2(codes / 100 - 64), 0.0)
 
 
 SCORED = "key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -260,8 +262,8 @@ def _score(blocks: DataFrame, replies: DataFrame, shards: int, n_all: int, n_wor
     def run(own: pa.Table, found: pa.Table) -> pa.Table:
         out = []
         words, tries = _replied(found, 1), _replied(found, 3)
-        ids, counts = _joined(words, "x", "<i8"), _joined(words, "n", "<i8")
-        a, b = decode(_joined(tries, "x", "<u2")), decode(_joined(tries, "y", "<u2"))
+        ids, counts = _word_table(words)
+        a, b = decode(_joined(tries, "x")), decode(_joined(tries, "y"))
         for row in own.to_pylist():
             block = Block(row)
             where = block.requests(ids, counts, shards)[-1]
@@ -278,7 +280,7 @@ def _score(blocks: DataFrame, replies: DataFrame, shards: int, n_all: int, n_wor
             ], names=names))
         return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
 
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, SCORED)
+    return blocks.drop("words", "ranks").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, SCORED)
 
 
 def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: Column | None = None) -> DataFrame:
@@ -293,10 +295,11 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: Column |
     words = staged(_count_words(_word_requests(blocks, shards), shards), "lm-words")
     n_all, n_words = 0, 0
     for row in words.where("kind = 9").select("block", "n").toLocalIterator():  # one small row per shard
-        n_all, n_words = n_all + row["block"], n_words + int(unpack(bytes(row["n"]), "<i8")[0])
+        n_all, n_words = n_all + row["block"], n_words + int(expand(bytes(row["n"]))[0])
     replies = words.where("kind = 1")
     folder = stage_path(spark, "lm-trie")
-    answers = staged(_answer(_trie_requests(blocks, replies, shards), folder), "lm-answers")
+    # Not staged: replies go straight on to the blocks, and the requests' shuffle is their only other copy.
+    answers = _answer(_trie_requests(blocks, replies, shards), folder)
     out = _score(blocks, replies.unionByName(answers), shards, n_all, n_words).withColumnRenamed("key", key)
     out.model_path = folder
     return out
