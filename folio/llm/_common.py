@@ -21,26 +21,26 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/folio/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, part: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts lineage and survives the loss of executors; the folder's path is
-    kept as ``df.staged_path`` for :func:`forget`.
+    kept as ``df.staged_path`` for :func:`forget`.  ``part``, the last column,
+    makes a folder for each of its values.
     """
     spark = df.sparkSession
     path = stage_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=part)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
 
 
-def forget(*frames: DataFrame) -> None:
-    """Delete staged tables that no later plan reads."""
-    for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def forget(df: DataFrame, folder: str = "") -> None:
+    """Delete a staged table, or one folder of it, that no later plan reads."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{df.staged_path}/{folder}".rstrip("/"))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:

@@ -433,7 +433,8 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4,
     links = first.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")).unionByName(_second_round(own, first, size, percent))
     links = staged(links, "links")
     members = docs.join(classes.select("s1", "s2", "node"), ["s1", "s2"], "left").select("key", "n", F.when(F.col("n") > 0, F.col("node")).otherwise(F.col("key")).alias("node"))
-    forget(packed, edges, first)
+    for table in (packed, edges, first):
+        forget(table)
     return members, links
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices, stage_path, staged
+from ._common import forget, slices, stage_path, staged
 from ._planes import expand, expand_sorted, press, press_sorted, runs
 from ._words import MULTIPLY, finish, text_hash, word_hashes
 from .elias_fano import Trie
@@ -54,11 +54,11 @@ def held_out(key: Column, parts: int = 10) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % parts == 0, F.lit(False))
 
 
-BLOCKS = "block long, keys array<long>, held array<boolean>, n_tokens array<int>, tokens binary, words binary, ranks binary"
+BLOCKS = "block long, keys array<long>, held array<boolean>, n_tokens array<int>, tokens binary, words binary, ranks binary, counts binary, part int"
 
 
 def _blocks(df: DataFrame, key: str, text: str, held: Column) -> DataFrame:
-    """Blocks of texts: word numbers of all tokens, and the hashes of the block's distinct words in order."""
+    """Two rows for each block of texts: word numbers of all tokens (part 0); its distinct words' hashes in order, numbers and training counts (part 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -72,9 +72,12 @@ def _blocks(df: DataFrame, key: str, text: str, held: Column) -> DataFrame:
             # Common words get small numbers, which pack well; the words themselves stay sorted.
             rank = np.empty(len(words), np.int64)
             rank[np.argsort(-times, kind="stable")] = np.arange(len(words))
-            one = [made, part.column("key").to_pylist(), part.column("held").to_pylist(), lengths.tolist(), press(rank[tokens]), press_sorted(words), press(rank)]
-            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(one, types, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
+            held_out = part.column("held").to_pylist()
+            counts = np.bincount(tokens, np.repeat(~np.array(held_out, bool), lengths), len(words)).astype(np.int64)
+            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.binary()] * 4, pa.int32())
+            texts = (made, part.column("key").to_pylist(), held_out, lengths.tolist(), press(rank[tokens]), None, None, None, 0)
+            vocabulary = (made, None, None, None, None, press_sorted(words), press(rank), press(counts), 1)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(texts, vocabulary, strict=True), types, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
             made += 1
 
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), held.alias("held"))
@@ -91,12 +94,6 @@ class Block:
         self.tokens = expand(row["tokens"]).astype(np.int64)
         self.trains = np.repeat(~self.held, self.lengths)
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes in order, the number of each, and its training occurrences."""
-        ranks = expand(self.row["ranks"]).astype(np.int64)
-        counts = np.bincount(self.tokens[self.trains], minlength=len(ranks))
-        return expand_sorted(self.row["words"]), ranks, counts[ranks]
-
     def requests(self, ids: np.ndarray, counts: np.ndarray, shards: int) -> tuple[np.ndarray, ...]:
         """Distinct (v, u, w) by shard with training counts; the request of each token (-1: none)."""
         w = np.where(counts >= LEAST_W, ids, 0)[self.tokens]
@@ -134,18 +131,17 @@ def _chunks(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
 
 
-def _word_requests(blocks: DataFrame, shards: int) -> DataFrame:
+def _word_requests(words: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = Block(row)
-                words, ranks, n = b.words()
+                words, ranks, n = expand_sorted(row["words"]), expand(row["ranks"]), expand(row["counts"])
                 # Hashes are sorted, and shards are ranges of hashes.
                 shard = ((words >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
                 rows = [(0, s, row["block"], press_sorted(words[i:j]), press(ranks[i:j]), None, press(n[i:j])) for s, i, j in runs(shard)]
                 yield from _chunks(rows).to_batches()
 
-    return blocks.mapInArrow(run, CHUNK)
+    return words.mapInArrow(run, CHUNK)
 
 
 def _count_words(requests: DataFrame, shards: int) -> DataFrame:
@@ -196,7 +192,7 @@ def _trie_requests(blocks: DataFrame, replies: DataFrame, shards: int) -> DataFr
             rows += [(2, s, row["block"], press_sorted(v[i:j]), press(u[i:j]), press(w[i:j]), press(n[i:j])) for s, i, j in runs(shard)]
         return _chunks(rows)
 
-    return blocks.drop("words", "ranks").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, CHUNK)
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, CHUNK)
 
 
 def open_trie(path: str) -> Trie:
@@ -280,7 +276,7 @@ def _score(blocks: DataFrame, replies: DataFrame, shards: int, n_all: int, n_wor
             ], names=names))
         return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
 
-    return blocks.drop("words", "ranks").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, SCORED)
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, SCORED)
 
 
 def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: Column | None = None) -> DataFrame:
@@ -289,10 +285,13 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: Column |
     The trie's shards stay in the shared folder under the returned frame's ``model_path``.
     """
     spark = df.sparkSession
-    blocks = staged(_blocks(df, key, text, held_out(F.col(key)) if held is None else held), "lm-blocks")
+    both = staged(_blocks(df, key, text, held_out(F.col(key)) if held is None else held), "lm-blocks", "part")
+    blocks = both.where("part = 0").select("block", "keys", "held", "n_tokens", "tokens")
+    vocabulary = both.where("part = 1").select("block", "words", "ranks", "counts")
     tokens = blocks.agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda x, y: x + y))).first()[0] or 0
     shards = max(4, -(-tokens // SHARD_TOKENS))
-    words = staged(_count_words(_word_requests(blocks, shards), shards), "lm-words")
+    words = staged(_count_words(_word_requests(vocabulary, shards), shards), "lm-words")
+    forget(both, "part=1")
     n_all, n_words = 0, 0
     for row in words.where("kind = 9").select("block", "n").toLocalIterator():  # one small row per shard
         n_all, n_words = n_all + row["block"], n_words + int(expand(bytes(row["n"]))[0])
