@@ -70,13 +70,9 @@ def targets(sized: DataFrame, weights: tuple[int, ...], total_percent: int, most
     return rows.withColumn("target", target).withColumn("ratio", ratio).select("source", "source_size", "n_documents", "weight", "target", "ratio")
 
 
-def flight(chance: np.ndarray, size: np.ndarray, draws: np.ndarray, documents: bool = True) -> np.ndarray:
-    """Move probabilities through the null space of the constraints until fewer open ones are left.
-
-    The constraints are words and, with ``documents``, documents: two, or one, stay open at most.
-    """
+def flight(chance: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Move probabilities through the null space of (1, size) until two open ones are left at most."""
     p, s, u = chance.tolist(), size.tolist(), draws.tolist()
-    width = 3 if documents else 2
     tiny = 1e-12
     held: list[int] = []
     for i in range(len(p)):
@@ -84,14 +80,11 @@ def flight(chance: np.ndarray, size: np.ndarray, draws: np.ndarray, documents: b
             held.append(i)
         else:
             p[i] = float(p[i] > 0.5)
-        while len(held) == width:
-            if documents:
-                a, b, c = held
-                move = (s[c] - s[b], s[a] - s[c], s[b] - s[a])
-            else:
-                move = (s[held[1]], -s[held[0]])
+        while len(held) == 3:
+            a, b, c = held
+            move = (s[c] - s[b], s[a] - s[c], s[b] - s[a])
             if not any(move):
-                move = (1, -1, 0)[:width]
+                move = (1, -1, 0)
             up = min((1 - p[k]) / m if m > 0 else p[k] / -m for k, m in zip(held, move, strict=True) if m)
             down = min(p[k] / m if m > 0 else (1 - p[k]) / -m for k, m in zip(held, move, strict=True) if m)
             step = up if u[i] * (up + down) < down else -down
@@ -101,7 +94,7 @@ def flight(chance: np.ndarray, size: np.ndarray, draws: np.ndarray, documents: b
             for k in held:
                 if k not in still:
                     p[k] = float(p[k] > 0.5)
-            if len(still) == width:  # rounding left all open: close the nearest
+            if len(still) == 3:  # rounding left all open: close the nearest
                 k = min(held, key=lambda k: min(p[k], 1 - p[k]))
                 p[k] = float(p[k] > 0.5)
                 still.remove(k)
@@ -110,15 +103,14 @@ def flight(chance: np.ndarray, size: np.ndarray, draws: np.ndarray, documents: b
 
 
 def land(chance: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Close the last open probabilities by the choice whose words, then documents, are nearest to expectation."""
+    """Close the open probabilities from large to small documents, each the way that leaves fewer words (for empty ones: documents) owed."""
     p = chance.copy()
     rest = np.flatnonzero((p > 0) & (p < 1))
-    best = min(
-        range(1 << len(rest)),
-        key=lambda c: (abs(sum((c >> j & 1) * size[k] - p[k] * size[k] for j, k in enumerate(rest))), abs(sum((c >> j & 1) - p[k] for j, k in enumerate(rest))), c),
-    )
-    for j, k in enumerate(rest):
-        p[k] = best >> j & 1
+    words = documents = 0.0
+    for k in rest[np.lexsort((rest, -size[rest]))].tolist():
+        words, documents = words + p[k] * size[k], documents + p[k]
+        p[k] = float(words >= size[k] / 2 if size[k] else documents >= 0.5)
+        words, documents = words - p[k] * size[k], documents - p[k]
     return p
 
 
@@ -137,10 +129,8 @@ def _balance(df: DataFrame, fan_in: int, first: bool, last: bool) -> DataFrame:
         main = np.flatnonzero(~reserve)
         p[main] = flight(p[main], size[main], draws[main])
         if last:
-            # Landing: drop the document constraint and let ever smaller documents absorb the words still open.
-            rest = np.flatnonzero((p > 0) & (p < 1))
-            rest = rest[np.lexsort((rest, -size[rest]))]
-            p[rest] = land(flight(p[rest], size[rest], draws[rest], documents=False), size[rest])
+            # Ever smaller documents of the reserve settle the words still owed.
+            p = land(p, size)
         t = t.set_column(t.schema.get_field_index("__reserve"), "__reserve", pa.array(reserve))
         return t.set_column(t.schema.get_field_index("__chance"), "__chance", pa.array(p, pa.float64()))
 

@@ -79,7 +79,7 @@ def test_mixing_meets_targets(spark):
     for s in total:
         own = [r for r in got if r["source"] == s]
         assert own[0]["target"] == pytest.approx(expected[s]) and own[0]["source_size"] == total[s]
-        assert abs(sum(r["size"] * r["copies"] for r in own) - expected[s]) <= 5
+        assert abs(sum(r["size"] * r["copies"] for r in own) - expected[s]) <= 20
     assert max(r["copies"] for r in got) <= 2
 
 
