@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import forget, slices, stage_path, staged
+from ._common import forget, give_back, slices, stage_path, staged
 from ._planes import expand, expand_sorted, press, press_sorted, runs
 from ._words import MULTIPLY, finish, text_hash, word_hashes
 from .elias_fano import Trie
@@ -40,9 +40,10 @@ from .zip_warc import file_system
 #: Bytes of text in a block; tokens for which one shard is made.
 BLOCK, SHARD_TOKENS = 8 << 20, 1_000_000
 #: Below so many training occurrences a word is no context: v for bigrams, u for trigrams.
-LEAST_V, LEAST_U = 2, 8
-#: Rarer words are no successors; they get the unigram's share only.
-LEAST_W = 2
+#: A trigram of LEAST_3 occurrences has a first word of as many, so no trigram is lost by LEAST_U.
+LEAST_V, LEAST_U = 1, 2
+#: Rarer words are no successors: words that training lacks get the unigram's share only.
+LEAST_W = 1
 DISCOUNT, LEAST_3 = 0.75, 2
 ADD = 0.1
 #: No word can hold a space, so these are no words.
@@ -96,11 +97,14 @@ class Block:
 
     def requests(self, ids: np.ndarray, counts: np.ndarray, shards: int) -> tuple[np.ndarray, ...]:
         """Distinct (v, u, w) by shard with training counts; the request of each token (-1: none)."""
+        ids = narrow(ids)
         w = np.where(counts >= LEAST_W, ids, 0)[self.tokens]
         usable_v = np.where(counts >= LEAST_V, ids, 0)[self.tokens]
         usable_u = np.where(counts >= LEAST_U, ids, 0)[self.tokens]
         firsts = np.cumsum(self.lengths) - self.lengths
-        v, u = np.r_[0, usable_v[:-1]], np.r_[0, 0, usable_u[:-2]][: len(w)]
+        v, u = np.zeros_like(w), np.zeros_like(w)
+        v[1:], u[2:] = usable_v[:-1], usable_u[:-2]
+        del usable_v, usable_u
         v[firsts] = BOS
         u[firsts] = BOS
         u[firsts[self.lengths > 1] + 1] = BOS
@@ -117,6 +121,11 @@ class Block:
         return shard[fresh], v[fresh], u[fresh], w[fresh], n, where
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """The same numbers in half the memory, where they fit."""
+    return x.astype(np.int32) if not len(x) or x.max() < 1 << 31 else x.astype(np.int64)
+
+
 def shard_of(v: np.ndarray, shards: int) -> np.ndarray:
     return (finish(v.astype(np.uint64) * MULTIPLY) % np.uint64(shards)).astype(np.int64)
 
@@ -148,6 +157,7 @@ def _count_words(requests: DataFrame, shards: int) -> DataFrame:
     """Replies with count and number of each word asked for; one row per shard (kind 9) with its tokens and words."""
 
     def run(t: pa.Table) -> pa.Table:
+        give_back()
         shard = t["shard"][0].as_py()
         asked = [expand_sorted(x) for x in t["x"].to_pylist()]
         words, at = np.unique(np.concatenate(asked), return_inverse=True)
@@ -186,6 +196,7 @@ def _word_table(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
 
 def _trie_requests(blocks: DataFrame, replies: DataFrame, shards: int) -> DataFrame:
     def run(own: pa.Table, words: pa.Table) -> pa.Table:
+        give_back()
         rows, found = [], _replied(words, 1)
         for row in own.to_pylist():
             shard, v, u, w, n, _ = Block(row).requests(*_word_table(found), shards)
@@ -208,14 +219,15 @@ def _answer(requests: DataFrame, folder: str) -> DataFrame:
     """Build, write and map each shard's trie; reply with the codes of (a, b) to every request."""
 
     def run(t: pa.Table) -> pa.Table:
+        give_back()
         shard = t["shard"][0].as_py()
         asked = [expand_sorted(x) for x in t["x"].to_pylist()]
-        v = np.concatenate(asked).astype(np.int64)
-        u, w, n = (np.concatenate([expand(x) for x in t[c].to_pylist()]).astype(np.int64) for c in "yzn")
+        v = narrow(np.concatenate(asked))
+        u, w, n = (narrow(np.concatenate([expand(x) for x in t[c].to_pylist()])) for c in "yzn")
         order = np.lexsort((w, u, v))
         sv, su, sw = v[order], u[order], w[order]
         fresh = np.r_[True, (sv[1:] != sv[:-1]) | (su[1:] != su[:-1]) | (sw[1:] != sw[:-1])]
-        total = np.add.reduceat(n[order], np.flatnonzero(fresh))
+        total = np.add.reduceat(n[order], np.flatnonzero(fresh), dtype=np.int64)
         known = total > 0
         sv, su, sw = sv[fresh], su[fresh], sw[fresh]
         fs, base = file_system(folder)
@@ -256,6 +268,7 @@ def _score(blocks: DataFrame, replies: DataFrame, shards: int, n_all: int, n_wor
     names = [x.split()[0] for x in SCORED.split(", ")]
 
     def run(own: pa.Table, found: pa.Table) -> pa.Table:
+        give_back()
         out = []
         words, tries = _replied(found, 1), _replied(found, 3)
         ids, counts = _word_table(words)

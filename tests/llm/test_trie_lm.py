@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folio.llm.elias_fano import EliasFano, Level, Trie
 from folio.llm import trie_lm
@@ -86,6 +87,42 @@ def test_scores(spark):
     assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
 
 
+def _model(rows):
+    """log10 scores of (key, text, held) rows by dictionaries, with all words and the count rule for trigrams only."""
+    d, split = trie_lm.DISCOUNT, {k: ["<s>", "<s>", *t.lower().split(), "</s>"] for k, t, _ in rows}
+    one, two, three = Counter(), defaultdict(Counter), defaultdict(Counter)
+    for k, _, held in rows:
+        for u, v, w in zip(split[k], split[k][1:], split[k][2:], strict=False):
+            if not held:
+                one[w] += 1
+                two[v][w] += 1
+                three[u, v][w] += 1
+    total = sum(one.values())
+
+    def p(u, v, w):
+        x = (one[w] + trie_lm.ADD) / (total + trie_lm.ADD * (len(one) + 1))
+        for found, least in ((two.get(v, Counter()), 1), (three.get((u, v), Counter()), trie_lm.LEAST_3)):
+            n, used = sum(found.values()), {s: c - d for s, c in found.items() if c >= least}
+            if used:
+                x = used.get(w, 0) / n + (1 - sum(used.values()) / n) * x
+        return x
+
+    return {k: sum(np.log10(p(*t)) for t in zip(s, s[1:], s[2:], strict=False)) for k, s in split.items()}
+
+
+def test_rare_words_are_contexts_and_successors(spark):
+    rng = np.random.default_rng(8)
+    common = [f"c{i}" for i in range(30)]
+    rows = [(i, " ".join([*rng.choice(common, 20), f"once{i}", f"alone{i}"]), False) for i in range(100)]
+    # A passage of names that stands in three training texts and one held-out text.
+    names = " ".join(f"name{i}" for i in range(12))
+    rows += [(200 + i, f"{names} {rng.choice(common)}", i == 3) for i in range(4)]
+    got = trie_lm.score(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), held=F.col("doc_id") == 203)
+    expected = _model(rows)
+    for r in got.collect():
+        assert r["score"] == pytest.approx(expected[r["doc_id"]], rel=0.02)
+
+
 def test_empty_and_untrained(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert trie_lm.score(empty).collect() == []
