@@ -3,12 +3,15 @@
 Documents become pieces of at most ``capacity`` tokens.  What the driver sees is
 the histogram of piece lengths, which has ``capacity`` entries at most whatever
 the input's size.  The linear program (how often is each pattern of lengths
-used) is solved by multiplicative weights: a knapsack dynamic program prices
-the best pattern under the current weights, the pattern is used for a share of
-what is left of its scarcest length, and the weights of covered lengths fall.
-Use counts are rounded down; the rest, a bounded number of groups, is placed by
-best fit.  The solution is a table of slot ranges by length; every piece finds
-its slot by its number among the pieces of its length.
+used) is solved approximately by multiplicative weights.  In every round one
+knapsack dynamic program prices the best pattern through each length under the
+current weights; all patterns near the best are used at once, so that each
+length gains a small share of its pieces, and the weights of covered lengths
+fall.  The rounds add up to a fractional solution that covers (nearly) the whole
+histogram.  Its use counts are rounded, with what is lost carried on to the next
+pattern through the same length; the rest, a few pieces of each length, is placed
+by best fit.  The solution is a table of slot ranges by length; every
+piece finds its slot by its number among the pieces of its length.
 
 Numbering is done in two steps so that no length's pieces meet in one task:
 hash buckets within a length, and running sums of bucket counts.
@@ -34,10 +37,16 @@ from . import token_cache
 from ._common import slices, staged
 
 END = np.array([0], "<u4").tobytes()
-#: Rounds of pricing; pieces in a numbering bucket.
-ROUNDS = 150
+#: Rounds of pricing at most; pieces in a numbering bucket.
+ROUNDS = 1000
 #: Starting weights are the share of a sequence to this power: long pieces first, short ones fill.
 GREED = 1.15
+#: Patterns within this share of the best one are used; share of a length's pieces that a round covers at most.
+SLACK, STEP = 0.4, 0.5
+#: Share of the fullest pattern's tokens that a pattern may lack.
+LOSS = 0.01
+#: Fall of the logarithm of a length's weight from no cover to full cover.
+FALL = 1.0
 BUCKET_ROWS = 20_000
 
 Pattern = tuple[tuple[int, int], ...]
@@ -63,8 +72,8 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, .
     return df.select(*keep, df[text].alias("__text")).mapInArrow(run, schema)
 
 
-def price(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """The knapsack pattern of largest value (index of length -> times), times cut to ``most``."""
+def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """By room: the largest value of a pattern, and the length (its index) put in last (-1: the room's last token stays free)."""
     best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     reach = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
@@ -74,6 +83,12 @@ def price(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: i
             j = int(worth.argmax())
             if worth[j] > best[c]:
                 best[c], last[c] = worth[j], j
+    return best, last
+
+
+def price(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
+    """The knapsack pattern of largest value (index of length -> times), times cut to ``most``."""
+    _, last = knapsack(lengths, values, capacity)
     found: dict[int, int] = defaultdict(int)
     c = capacity
     while c > 0:
@@ -85,6 +100,56 @@ def price(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: i
     return {j: min(n, int(most[j])) for j, n in found.items() if most[j]}
 
 
+def price_each(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The best pattern through each length with a value, where it is near the best of all.
+
+    Returns the lengths (indices) that the patterns go through, and for the
+    patterns' entries, in order of patterns, the pattern, the length and its
+    times, cut to ``most``.
+    """
+    some = np.flatnonzero(values > 0)
+    own, worth = lengths[some], values[some]
+    best, last = knapsack(own, worth, capacity)
+    through = np.flatnonzero(worth + best[capacity - own] >= (1 - SLACK) * best[capacity])
+    # Rooms whose last token stays free are skipped.
+    down = np.maximum.accumulate(np.where(last >= 0, np.arange(capacity + 1), 0))
+    entries = [np.arange(len(through)) * len(some) + through]
+    rows, room = np.arange(len(through)), down[capacity - own[through]]
+    while (live := room > 0).any():
+        rows, room = rows[live], room[live]
+        item = last[room]
+        entries.append(rows * len(some) + item)
+        room = down[room - own[item]]
+    code, times = np.unique(np.concatenate(entries), return_counts=True)
+    item = some[code % len(some)]
+    row, times = code // len(some), np.minimum(times, np.maximum(most[item], 1)).astype(np.int64)
+    # Patterns that the cut leaves with free room wait until there are no fuller ones.
+    fill = np.bincount(row, lengths[item] * times)
+    full = fill >= (1 - LOSS) * fill.max()
+    return some[through][full], (np.cumsum(full) - 1)[row[full[row]]], item[full[row]], times[full[row]]
+
+
+def fractional(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The fractional solution, by rounds: patterns as ``price_each`` gives them, and how often each is used."""
+    left, weight = need.copy(), (lengths / capacity) ** GREED
+    for _ in range(rounds):
+        # What rounding errors leave of a length is nothing.
+        values = np.where(left > 1e-6, weight, 0.0)
+        if not values.any():
+            return
+        through, row, item, times = price_each(lengths, values, np.floor(left), capacity)
+        firsts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        # Every pattern would use up its scarcest length; all are scaled so that no length gains more than its part.
+        wish = np.minimum.reduceat(left[item] / times, firsts)
+        wanted = np.bincount(item, wish[row] * times, len(lengths))
+        part = np.minimum(left, np.maximum(STEP * need, 1))
+        used = wish * np.minimum.reduceat((part[item] / wanted[item]), firsts)
+        gained = np.bincount(item, used[row] * times, len(lengths))
+        left = np.maximum(left - gained, 0)
+        weight *= np.exp(-FALL * gained / need)
+        yield through, row, item, times, used
+
+
 def best_fit(left: dict[int, int], capacity: int) -> dict[Pattern, int]:
     """Best fit by decreasing length, over groups of equal sequences rather than single ones."""
     groups: dict[int, list[tuple[Pattern, int]]] = defaultdict(list)
@@ -128,19 +193,18 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> dic
     if n := histogram.get(capacity, 0):
         out[((capacity, 1),)] += n
     need = np.array([histogram[x] for x in lengths.tolist()], np.float64)
-    left, weight = need.copy(), (lengths / capacity) ** GREED
-    for _ in range(rounds if len(lengths) else 0):
-        values = np.where(left >= 1, weight, 0.0)
-        if not values.any():
-            break
-        pattern = price(lengths, values, left, capacity)
-        share = min(left[j] // t for j, t in pattern.items())
-        # A round covers a half of its scarcest length, so that other patterns get their part of it.
-        times = int(max(1, share // 2))
-        out[tuple(sorted(((int(lengths[j]), t) for j, t in pattern.items()), reverse=True))] += times
-        for j, t in pattern.items():
-            left[j] -= times * t
-            weight[j] *= 1 - 0.02 * (times * t / need[j])
+    left, carried = need.astype(np.int64), np.full(len(lengths), 0.5)
+    for through, row, item, times, used in fractional(lengths, need, capacity, rounds):
+        carried[through] += used
+        firsts = np.flatnonzero(np.r_[True, row[1:] != row[:-1], True])
+        for i in np.flatnonzero(carried[through] >= 1).tolist():
+            own = slice(firsts[i], firsts[i + 1])
+            j, t = item[own], times[own]
+            n = min(int(carried[through[i]]), int((left[j] // t).min()))
+            if n:
+                carried[through[i]] -= n
+                left[j] -= n * t
+                out[tuple(zip(lengths[j][::-1].tolist(), t[::-1].tolist(), strict=True))] += n
     rest = {int(x): int(n) for x, n in zip(lengths.tolist(), left.tolist(), strict=True) if n}
     for pattern, n in best_fit(rest, capacity).items():
         out[pattern] += n

@@ -42,6 +42,19 @@ def test_solution_holds_the_histogram(histogram):
     assert sum(solved.values()) <= 1.12 * -(-total // 2048) + 1
 
 
+@pytest.mark.parametrize("mean, spread", [(5.5, 1.0), (6.8, 0.6)])
+def test_the_program_packs_nearly_all_tokens(monkeypatch, mean, spread):
+    lengths = np.random.default_rng(0).lognormal(mean, spread, 500_000).astype(int) % 2047 + 1
+    histogram = dict(Counter(lengths.tolist()))
+    rests, best_fit = [], P.best_fit
+    monkeypatch.setattr(P, "best_fit", lambda left, capacity: rests.append(dict(left)) or best_fit(left, capacity))
+    solved = P.solve(histogram, 2048)
+    total = sum(length * n for length, n in histogram.items())
+    assert sum(length * n for length, n in rests[0].items()) <= 0.05 * total
+    assert sum(n * sum(length * t for length, t in pattern) for pattern, n in solved.items()) == total
+    assert sum(solved.values()) <= 1.005 * -(-total // 2048)
+
+
 def test_price_is_the_best_pattern():
     rng = np.random.default_rng(0)
     lengths = np.array([3, 5, 7, 11])
