@@ -1,9 +1,10 @@
 """Language-model scoring with a sharded Elias-Fano n-gram trie.
 
 Absolute discounting over trigrams, bigrams and the add-0.1 unigrams:
-P(w | u v) = a + b * P(w), where a and b come from the trie.  The model grows
-with the corpus, so it is never gathered: it lives in shards by the middle word
-v, each an Elias-Fano trie file in the shared folder that its task memory-maps.
+P(w | u v) = a + b * P(w), where a and b come from the trie.  All counts of all
+training tokens are in the model.  It grows with the corpus, so it is never
+gathered: it lives in shards by the middle word v, each an Elias-Fano trie file
+in the shared folder that its task memory-maps.
 
 1. Texts become blocks of word numbers with the block's distinct words.
 2. Each block sends its distinct words to the word shards, which count them over
@@ -16,6 +17,12 @@ v, each an Elias-Fano trie file in the shared folder that its task memory-maps.
 Requests and replies are packed arrays, one row per block and shard, distinct
 within the block, so a very common word or pair costs one entry per block.
 
+A word v of more than ``shard_tokens`` training tokens is split over many
+shards by (v, u), which hold its trigrams.  Its bigrams are counted first, in
+shards by (v, w); what driver and tasks learn of them as a whole is how many
+successors each such word has, one number for every ``shard_tokens`` tokens of
+the corpus at most.
+
 Defined cases: a null or empty text has one token, the end; a null id is kept
 and trains; rows that repeat are separate texts; with no training text every
 word is unknown; an empty table gives an empty result.
@@ -39,12 +46,7 @@ from .zip_warc import file_system
 
 #: Bytes of text in a block; tokens for which one shard is made.
 BLOCK, SHARD_TOKENS = 8 << 20, 1_000_000
-#: Below so many training occurrences a word is no context: v for bigrams, u for trigrams.
-#: A trigram of LEAST_3 occurrences has a first word of as many, so no trigram is lost by LEAST_U.
-LEAST_V, LEAST_U = 1, 2
-#: Rarer words are no successors: words that training lacks get the unigram's share only.
-LEAST_W = 1
-DISCOUNT, LEAST_3 = 0.75, 2
+DISCOUNT = 0.75
 ADD = 0.1
 #: No word can hold a space, so these are no words.
 END = b" end"
@@ -95,22 +97,42 @@ class Block:
         self.tokens = expand(row["tokens"]).astype(np.int64)
         self.trains = np.repeat(~self.held, self.lengths)
 
-    def requests(self, ids: np.ndarray, counts: np.ndarray, shards: int) -> tuple[np.ndarray, ...]:
-        """Distinct (v, u, w) by shard with training counts; the request of each token (-1: none)."""
-        ids = narrow(ids)
-        w = np.where(counts >= LEAST_W, ids, 0)[self.tokens]
-        usable_v = np.where(counts >= LEAST_V, ids, 0)[self.tokens]
-        usable_u = np.where(counts >= LEAST_U, ids, 0)[self.tokens]
+    def known(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens after a known context word, and their v, u and w (numbers; 0: none)."""
+        w = narrow(ids)[self.tokens]
         firsts = np.cumsum(self.lengths) - self.lengths
         v, u = np.zeros_like(w), np.zeros_like(w)
-        v[1:], u[2:] = usable_v[:-1], usable_u[:-2]
-        del usable_v, usable_u
+        v[1:], u[2:] = w[:-1], w[:-2]
         v[firsts] = BOS
         u[firsts] = BOS
         u[firsts[self.lengths > 1] + 1] = BOS
         asked = np.flatnonzero(v > 0)
-        v, u, w, trains = v[asked], u[asked], w[asked], self.trains[asked]
-        shard = shard_of(v, shards)
+        return asked, v[asked], u[asked], w[asked]
+
+    def parts(self, counts: np.ndarray, shard_tokens: int) -> np.ndarray:
+        """Into how many parts the word before each token is split, by its training count."""
+        before = np.r_[0, counts[self.tokens][:-1]]
+        before[np.cumsum(self.lengths) - self.lengths] = 0
+        return -(-before // shard_tokens)
+
+    def requests(self, ids: np.ndarray, counts: np.ndarray, shards: int, shard_tokens: int) -> tuple[np.ndarray, ...]:
+        """Distinct (v, u, w) by shard with training counts; the request of each token (-1: none)."""
+        asked, v, u, w = self.known(ids)
+        parts = self.parts(counts, shard_tokens)[asked]
+        shard = np.where(parts > 1, shards + shard_of(v, shards, u, parts), shard_of(v, shards))
+        return self._distinct(asked, shard, v, u, w)
+
+    def split_requests(self, ids: np.ndarray, counts: np.ndarray, shards: int, shard_tokens: int) -> tuple[np.ndarray, ...]:
+        """The same for the (v, w) of split words, with v's training count in place of u."""
+        asked, v, _, w = self.known(ids)
+        parts = self.parts(counts, shard_tokens)[asked]
+        own = (parts > 1) & (w > 0)
+        asked, v, w, parts = asked[own], v[own], w[own], parts[own]
+        total = narrow(np.r_[0, counts[self.tokens]])[asked]
+        return self._distinct(asked, shard_of(v, shards, w, parts), v, total, w)
+
+    def _distinct(self, asked: np.ndarray, shard: np.ndarray, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+        trains = self.trains[asked]
         order = np.lexsort((w, u, v, shard))
         v, u, w, shard = v[order], u[order], w[order], shard[order]
         fresh = np.r_[True, (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])] if len(v) else np.zeros(0, bool)
@@ -126,8 +148,35 @@ def narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.int32) if not len(x) or x.max() < 1 << 31 else x.astype(np.int64)
 
 
-def shard_of(v: np.ndarray, shards: int) -> np.ndarray:
-    return (finish(v.astype(np.uint64) * MULTIPLY) % np.uint64(shards)).astype(np.int64)
+def shard_of(v: np.ndarray, shards: int, other: np.ndarray | None = None, parts: np.ndarray | None = None) -> np.ndarray:
+    """The shard of each word, or of that of its parts which holds ``other``."""
+    h = v.astype(np.uint64) * MULTIPLY
+    if other is not None:
+        h = finish(h) + finish(other.astype(np.uint64) * MULTIPLY) % np.maximum(parts, 1).astype(np.uint64)
+    return (finish(h) % np.uint64(shards)).astype(np.int64)
+
+
+def contexts(v: np.ndarray, u: np.ndarray, shard: np.ndarray | None = None) -> np.ndarray:
+    """Where (v, u) begins anew among sorted requests."""
+    fresh = np.r_[True, (v[1:] != v[:-1]) | (u[1:] != u[:-1])][: len(v)]
+    if shard is not None:
+        fresh[1:] |= shard[1:] != shard[:-1]
+    return fresh
+
+
+def press_inner(v: np.ndarray, u: np.ndarray) -> bytes:
+    """``u``, sorted within equal ``v``: steps that begin anew with each v."""
+    steps = np.diff(u.astype(np.int64), prepend=0)
+    heads = np.flatnonzero(np.r_[True, v[1:] != v[:-1]][: len(v)])
+    steps[heads] = u[heads]
+    return press(steps)
+
+
+def expand_inner(v: np.ndarray, data: bytes) -> np.ndarray:
+    steps = expand(data).astype(np.int64)
+    upto = np.cumsum(steps)
+    heads = np.flatnonzero(np.r_[True, v[1:] != v[:-1]][: len(v)])
+    return upto - np.repeat(upto[heads] - steps[heads], np.diff(np.r_[heads, len(v)]))
 
 
 CHUNK = "kind int, shard long, block long, x binary, y binary, z binary, n binary"
@@ -154,7 +203,7 @@ def _word_requests(words: DataFrame, shards: int) -> DataFrame:
 
 
 def _count_words(requests: DataFrame, shards: int) -> DataFrame:
-    """Replies with count and number of each word asked for; one row per shard (kind 9) with its tokens and words."""
+    """Replies with count and number of each word asked for; one row per shard (kind 9) with its tokens, its most frequent word's count and its words."""
 
     def run(t: pa.Table) -> pa.Table:
         give_back()
@@ -163,8 +212,8 @@ def _count_words(requests: DataFrame, shards: int) -> DataFrame:
         words, at = np.unique(np.concatenate(asked), return_inverse=True)
         total = np.bincount(at, np.concatenate([expand(x) for x in t["n"].to_pylist()])).astype(np.int64)
         seen = total > 0
-        # Words that can be in a trie are numbered densely; common ones get small numbers, which pack well.
-        used = int((total >= min(LEAST_V, LEAST_U, LEAST_W)).sum())
+        # Training words are numbered densely; common ones get small numbers, which pack well.
+        used = int(seen.sum())
         number = np.zeros(len(words), np.int64)
         number[np.argsort(-total, kind="stable")[:used]] = np.arange(used) * shards + shard + RESERVED
         rows, p = [], 0
@@ -172,7 +221,7 @@ def _count_words(requests: DataFrame, shards: int) -> DataFrame:
             own = at[p : p + len(a)]
             rows.append((1, shard, block, press(number[own]), ranks, None, press(total[own])))
             p += len(a)
-        rows.append((9, shard, int(total.sum()), None, None, None, press(np.array([seen.sum()]))))
+        rows.append((9, shard, int(total.sum()), None, None, press(np.array([total.max()])), press(np.array([seen.sum()]))))
         return _chunks(rows)
 
     return requests.groupBy("shard").applyInArrow(run, CHUNK)
@@ -194,13 +243,14 @@ def _word_table(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     return ids, counts
 
 
-def _trie_requests(blocks: DataFrame, replies: DataFrame, shards: int) -> DataFrame:
+def _trie_requests(blocks: DataFrame, replies: DataFrame, shards: int, shard_tokens: int, split: bool = False) -> DataFrame:
     def run(own: pa.Table, words: pa.Table) -> pa.Table:
         give_back()
-        rows, found = [], _replied(words, 1)
+        rows, (ids, counts) = [], _word_table(_replied(words, 1))
         for row in own.to_pylist():
-            shard, v, u, w, n, _ = Block(row).requests(*_word_table(found), shards)
-            rows += [(2, s, row["block"], press_sorted(v[i:j]), press(u[i:j]), press(w[i:j]), press(n[i:j])) for s, i, j in runs(shard)]
+            block = Block(row)
+            shard, v, u, w, n, _ = (block.split_requests if split else block.requests)(ids, counts, shards, shard_tokens)
+            rows += [(2, s, row["block"], press_sorted(v[i:j]), press_inner(v[i:j], u[i:j]), press(w[i:j]), press(n[i:j])) for s, i, j in runs(shard)]
         return _chunks(rows)
 
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, CHUNK)
@@ -215,72 +265,122 @@ def open_trie(path: str) -> Trie:
         return Trie(file.read())
 
 
-def _answer(requests: DataFrame, folder: str) -> DataFrame:
-    """Build, write and map each shard's trie; reply with the codes of (a, b) to every request."""
+class Asked:
+    """The requests of one shard, those of all blocks in one order."""
+
+    def __init__(self, t: pa.Table):
+        self.blocks = t["block"].to_pylist()
+        each = [expand_sorted(x) for x in t["x"].to_pylist()]
+        self.stops = np.cumsum([len(x) for x in each])
+        self.own_v = narrow(np.concatenate(each))
+        self.own_u = narrow(np.concatenate([expand_inner(x, y) for x, y in zip(each, t["y"].to_pylist(), strict=True)]))
+        del each
+        w, n = (narrow(np.concatenate([expand(x) for x in t[c].to_pylist()])) for c in "zn")
+        order = np.lexsort((w, self.own_u, self.own_v))
+        v, u, w = self.own_v[order], self.own_u[order], w[order]
+        fresh = np.r_[True, (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])]
+        self.count = np.add.reduceat(n[order], np.flatnonzero(fresh), dtype=np.int64)
+        self.v, self.u, self.w = v[fresh], u[fresh], w[fresh]
+        self.place = np.empty(len(v), np.int64)
+        self.place[order] = np.cumsum(fresh) - 1
+
+    def by_block(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each block with the places of its requests, and of the first ones of its contexts."""
+        for block, i, j in zip(self.blocks, np.r_[0, self.stops[:-1]], self.stops, strict=True):
+            own = self.place[i:j]
+            yield block, own, own[contexts(self.own_v[i:j], self.own_u[i:j])]
+
+
+def written(folder: str, name: str, data: bytes) -> Trie:
+    """The trie of ``data``, written and mapped.  A retried or second attempt writes the same bytes; the move into place is whole or not at all."""
+    fs, base = file_system(folder)
+    fs.create_dir(base, recursive=True)
+    temporary = f"{base}/{name}-{uuid.uuid4().hex}.tmp"
+    with fs.open_output_stream(temporary) as out:
+        out.write(data)
+    fs.move(temporary, f"{base}/{name}.trie")
+    return open_trie(f"{folder}/{name}.trie")
+
+
+def _answer(requests: DataFrame, folder: str, shards: int) -> DataFrame:
+    """Build, write and map each shard's trie; reply with the codes of a to every request and of b to every context."""
 
     def run(t: pa.Table) -> pa.Table:
         give_back()
-        shard = t["shard"][0].as_py()
-        asked = [expand_sorted(x) for x in t["x"].to_pylist()]
-        v = narrow(np.concatenate(asked))
-        u, w, n = (narrow(np.concatenate([expand(x) for x in t[c].to_pylist()])) for c in "yzn")
-        order = np.lexsort((w, u, v))
-        sv, su, sw = v[order], u[order], w[order]
-        fresh = np.r_[True, (sv[1:] != sv[:-1]) | (su[1:] != su[:-1]) | (sw[1:] != sw[:-1])]
-        total = np.add.reduceat(n[order], np.flatnonzero(fresh), dtype=np.int64)
-        known = total > 0
-        sv, su, sw = sv[fresh], su[fresh], sw[fresh]
-        fs, base = file_system(folder)
-        fs.create_dir(base, recursive=True)
-        # A retried or second attempt writes the same bytes; the move into place is whole or not at all.
-        temporary = f"{base}/{shard:08d}-{uuid.uuid4().hex}.tmp"
-        with fs.open_output_stream(temporary) as out:
-            out.write(Trie.pack(sv[known], su[known], sw[known], total[known].astype(float), DISCOUNT, LEAST_3))
-        fs.move(temporary, f"{base}/{shard:08d}.trie")
-        a, b = open_trie(f"{folder}/{shard:08d}.trie").query(sv, su, sw)
-        place = np.empty(len(v), np.int64)
-        place[order] = np.cumsum(fresh) - 1
-        codes_a, codes_b = encode(a), encode(b)
-        rows, p = [], 0
-        for block, x in zip(t["block"].to_pylist(), asked, strict=True):
-            own = place[p : p + len(x)]
-            rows.append((3, shard, block, press(codes_a[own]), press(codes_b[own]), None, None))
-            p += len(own)
-        return _chunks(rows)
+        shard, asked = t["shard"][0].as_py(), Asked(t)
+        known = asked.count > 0
+        data = Trie.pack(asked.v[known], asked.u[known], asked.w[known], asked.count[known].astype(float), DISCOUNT, whole=shard < shards)
+        a, b = map(encode, written(folder, f"{shard:08d}", data).query(asked.v, asked.u, asked.w))
+        return _chunks([(3, shard, block, press(a[own]), press(b[heads]), None, None) for block, own, heads in asked.by_block()])
+
+    return requests.groupBy("shard").applyInArrow(run, CHUNK)
+
+
+def _answer_split(requests: DataFrame, folder: str) -> DataFrame:
+    """Bigrams of split words: replies with the codes of their probabilities, and one row per shard (kind 8) with its words' numbers of successors."""
+
+    def run(t: pa.Table) -> pa.Table:
+        give_back()
+        shard, asked = t["shard"][0].as_py(), Asked(t)
+        known = asked.count > 0
+        v, w, none = asked.v[known], asked.w[known], np.zeros_like(asked.u)
+        # The word's training count stands in u's place.
+        data = Trie.pack(v, none[known], w, asked.count[known].astype(float), DISCOUNT, total=asked.u[known].astype(float))
+        p = encode(written(folder, f"split-{shard:08d}", data).query(asked.v, none, asked.w)[0])
+        words, n = np.unique(v, return_counts=True)
+        rows = [(5, shard, block, press(p[own]), None, None, None) for block, own, _ in asked.by_block()]
+        return _chunks([*rows, (8, shard, None, press(words), press(n), None, None)])
 
     return requests.groupBy("shard").applyInArrow(run, CHUNK)
 
 
+#: Steps of a reply's code in one bit.
+STEPS = 32
+
+
 def encode(x: np.ndarray) -> np.ndarray:
-    """Codes of numbers from 2**-64 to 1, a hundredth of a bit apart; 0 for 0."""
+    """Codes of numbers from 2**-64 to 1, even steps of their logarithm apart; 0 for 0."""
     with np.errstate(divide="ignore"):
-        return np.where(x > 0, np.clip(np.round((np.log2(x) + 64) * 100), 1, 6400), 0).astype("<u2")
+        return np.where(x > 0, np.clip(np.round((np.log2(x) + 64) * STEPS), 1, 64 * STEPS), 0).astype("<u2")
 
 
 def decode(codes: np.ndarray) -> np.ndarray:
-    return np.where(codes > 0, np.exp2(codes / 100 - 64), 0.0)
+    return np.where(codes > 0, np.exp2(codes / STEPS - 64), 0.0)
 
 
 SCORED = "key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(blocks: DataFrame, replies: DataFrame, shards: int, n_all: int, n_words: int) -> DataFrame:
+def _score(blocks: DataFrame, replies: DataFrame, shards: int, shard_tokens: int, n_all: int, n_words: int, successors: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     names = [x.split()[0] for x in SCORED.split(", ")]
+    shared = blocks.sparkSession.sparkContext.broadcast(successors)
 
     def run(own: pa.Table, found: pa.Table) -> pa.Table:
         give_back()
         out = []
-        words, tries = _replied(found, 1), _replied(found, 3)
+        words, tries, split = (_replied(found, kind) for kind in (1, 3, 5))
         ids, counts = _word_table(words)
-        a, b = decode(_joined(tries, "x")), decode(_joined(tries, "y"))
+        a, b, p2 = decode(_joined(tries, "x")), decode(_joined(tries, "y")), decode(_joined(split, "x"))
+        split_words, n_successors = shared.value
         for row in own.to_pylist():
             block = Block(row)
-            where = block.requests(ids, counts, shards)[-1]
+            shard, v, u, _, _, where = block.requests(ids, counts, shards, shard_tokens)
             base = (counts + ADD) / (n_all + ADD * (n_words + 1))
             p1 = base[block.tokens]
             p = p1.copy()
+            if len(split_words):
+                _, v2, total, _, _, where2 = block.split_requests(ids, counts, shards, shard_tokens)
+                # Tokens after a split word, with a successor or not, have its left-over share of the unigram.
+                asked, before, _, _ = block.known(ids)
+                after = block.parts(counts, shard_tokens)[asked] > 1
+                asked, before = asked[after], before[after]
+                left = n_successors[np.searchsorted(split_words, before)] * DISCOUNT / counts[block.tokens[asked - 1]]
+                p[asked] = left * p1[asked]
+                some = where2 >= 0
+                p[some] += p2[where2[some]]
             asked = where >= 0
-            p[asked] = a[where[asked]] + b[where[asked]] * p1[asked]
+            context = np.cumsum(contexts(v, u, shard)) - 1
+            p[asked] = a[where[asked]] + b[context[where[asked]]] * p[asked]
             firsts = np.cumsum(block.lengths) - block.lengths
             sums = [np.add.reduceat(x, firsts) for x in (counts[block.tokens] > 0, np.log10(base)[block.tokens], np.log10(p))]
             out.append(pa.table([
@@ -292,7 +392,7 @@ def _score(blocks: DataFrame, replies: DataFrame, shards: int, n_all: int, n_wor
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, SCORED)
 
 
-def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: Column | None = None) -> DataFrame:
+def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: Column | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every text.
 
     The trie's shards stay in the shared folder under the returned frame's ``model_path``.
@@ -302,16 +402,25 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: Column |
     blocks = both.where("part = 0").select("block", "keys", "held", "n_tokens", "tokens")
     vocabulary = both.where("part = 1").select("block", "words", "ranks", "counts")
     tokens = blocks.agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda x, y: x + y))).first()[0] or 0
-    shards = max(4, -(-tokens // SHARD_TOKENS))
+    shards = max(4, -(-tokens // shard_tokens))
     words = staged(_count_words(_word_requests(vocabulary, shards), shards), "lm-words")
     forget(both, "part=1")
-    n_all, n_words = 0, 0
-    for row in words.where("kind = 9").select("block", "n").toLocalIterator():  # one small row per shard
-        n_all, n_words = n_all + row["block"], n_words + int(expand(bytes(row["n"]))[0])
-    replies = words.where("kind = 1")
+    n_all, n_words, most = 0, 0, 0
+    for row in words.where("kind = 9").select("block", "z", "n").toLocalIterator():  # one small row per shard
+        n_all, n_words, most = n_all + row["block"], n_words + int(expand(bytes(row["n"]))[0]), max(most, int(expand(bytes(row["z"]))[0]))
+    replies = found = words.where("kind = 1")
     folder = stage_path(spark, "lm-trie")
+    split, successors = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if most > shard_tokens:
+        bigrams = staged(_answer_split(_trie_requests(blocks, replies, shards, shard_tokens, split=True), folder), "lm-split")
+        for row in bigrams.where("kind = 8").select("x", "y").toLocalIterator():  # a number for every part of a split word
+            split.append(expand(bytes(row["x"])).astype(np.int64))
+            successors.append(expand(bytes(row["y"])).astype(np.int64))
+        found = found.unionByName(bigrams.where("kind = 5"))
+    split, at = np.unique(np.concatenate(split), return_inverse=True)
+    successors = np.bincount(at, np.concatenate(successors), len(split))
     # Not staged: replies go straight on to the blocks, and the requests' shuffle is their only other copy.
-    answers = _answer(_trie_requests(blocks, replies, shards), folder)
-    out = _score(blocks, replies.unionByName(answers), shards, n_all, n_words).withColumnRenamed("key", key)
+    answers = _answer(_trie_requests(blocks, replies, shards, shard_tokens), folder, shards)
+    out = _score(blocks, found.unionByName(answers), shards, shard_tokens, n_all, n_words, (split, successors)).withColumnRenamed("key", key)
     out.model_path = folder
     return out
