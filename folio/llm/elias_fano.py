@@ -7,6 +7,7 @@ Nothing is decoded as a whole: a lookup reads the sampled counts, one stretch of
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
 import numpy as np
 
@@ -32,22 +33,57 @@ IN_BYTE = _select_table()
 def _words(bits: np.ndarray, multiple: int = 1) -> np.ndarray:
     """A vector of 0 and 1 as 64-bit words, a multiple of ``multiple`` of them."""
     packed = np.packbits(bits, bitorder="little")
-    return np.concatenate((packed, np.zeros(-len(packed) % (8 * multiple), np.uint8))).view("<u8")
+    return np.concatenate((packed, np.zeros(-max(len(packed), 1) % (8 * multiple) + (not len(packed)), np.uint8))).view("<u8")
 
 
-def _step(cells: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which cell of each row holds the row's r-th one, that cell, and which of its ones it is."""
-    rows = np.arange(len(r))
-    upto = np.cumsum(np.bitwise_count(cells), axis=1, dtype=np.int64)
-    k = np.minimum((upto <= r[:, None]).sum(axis=1), cells.shape[1] - 1)
-    return k, cells[rows, k], r - np.where(k > 0, upto[rows, np.maximum(k - 1, 0)], 0)
+def _lanes(width: int) -> np.uint64:
+    """A one at the foot of each of a word's lanes of ``width`` bits."""
+    return np.uint64(sum(1 << k for k in range(0, 64, width)))
+
+
+BYTES, QUARTERS = _lanes(8), _lanes(16)
+TOPS, HIGH_TOPS = BYTES << np.uint64(7), QUARTERS << np.uint64(15)
+PAIRS, NIBBLES, HALVES = (np.uint64(sum(((1 << w) - 1) << k for k in range(0, 64, 2 * w))) for w in (1, 2, 4))
+
+
+def _stretch_sums(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running counts of ones over each row's eight words, four 16-bit lanes in each of two numbers (the second without the first's sum)."""
+    both = np.bitwise_count(words).astype(np.uint16).view(np.uint64) * QUARTERS
+    return both[:, 0], both[:, 1]
+
+
+def _lane(x: np.ndarray, k: np.ndarray, width: int) -> np.ndarray:
+    """The lane before the k-th one; 0 before the first."""
+    mask = np.uint64((1 << width) - 1)
+    return np.where(k > 0, x >> (np.maximum(k, 1) - 1).astype(np.uint64) * np.uint64(width) & mask, np.uint64(0))
+
+
+def _before_word(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Ones in the words before the k-th one of each row."""
+    first, second = _stretch_sums(words)
+    late = k >= STRETCH // 2
+    own = _lane(np.where(late, second, first), np.where(late, k - STRETCH // 2, k), 16)
+    return (own + np.where(late, first >> np.uint64(48), np.uint64(0))).astype(np.int64)
 
 
 def _place(words: np.ndarray, r: np.ndarray) -> np.ndarray:
     """The place of the r-th one in each row of ``words`` (rows of STRETCH words)."""
-    word, found, r = _step(words, r)
-    byte, found, r = _step(found[:, None].view(np.uint8), r)
-    return word * 64 + byte * 8 + IN_BYTE[found, np.minimum(r, 7)]
+    first, second = _stretch_sums(words)
+    r = r.astype(np.uint64)
+    late = r >= first >> np.uint64(48)
+    r = r - np.where(late, first >> np.uint64(48), np.uint64(0))
+    sums = np.where(late, second, first)
+    # Lanes whose running count is r at most: their top bits survive the subtraction.
+    k = np.bitwise_count(((r * QUARTERS | HIGH_TOPS) - sums) & HIGH_TOPS).astype(np.int64)
+    r = r - _lane(sums, k, 16)
+    word = k + late * (STRETCH // 2)
+    found = words[np.arange(len(r)), word]
+    counts = found - (found >> ONE & PAIRS)
+    counts = (counts & NIBBLES) + (counts >> np.uint64(2) & NIBBLES)
+    counts = (counts + (counts >> np.uint64(4)) & HALVES) * BYTES
+    byte = np.bitwise_count(((r * BYTES | TOPS) - counts) & TOPS).astype(np.int64)
+    r = r - _lane(counts, byte, 8)
+    return word * 64 + byte * 8 + IN_BYTE[(found >> (byte * 8).astype(np.uint64) & np.uint64(255)).astype(np.int64), r.astype(np.int64)]
 
 
 class Bits:
@@ -85,13 +121,24 @@ class Bits:
 
     def rank(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bit at each place, and how many ones stand before it."""
-        flat, word, shift = self.words.reshape(-1), at >> 6, (at & 63).astype(np.uint64)
-        here = flat[word]
-        before = self.ones[word // STRETCH] + np.bitwise_count(here & ((ONE << shift) - ONE))
-        for k in range(STRETCH - 1):
-            earlier = word // STRETCH * STRETCH + k
-            before = before + np.where(earlier < word, np.bitwise_count(flat[earlier]), 0)
-        return (here >> shift & ONE).astype(bool), before
+        here, before = np.empty(len(at), bool), np.empty(len(at), np.int64)
+        for i in range(0, len(at), CHUNK):
+            own = at[i : i + CHUNK]
+            stretch, word, shift = own // (64 * STRETCH), own // 64 % STRETCH, (own & 63).astype(np.uint64)
+            words = self.words[stretch]
+            found = words[np.arange(len(own)), word]
+            here[i : i + CHUNK] = found >> shift & ONE
+            before[i : i + CHUNK] = self.ones[stretch] + _before_word(words, word) + np.bitwise_count(found & ((ONE << shift) - ONE))
+        return here, before
+
+    def ones_after(self, at: np.ndarray) -> np.ndarray:
+        """How many ones stand in a row from each place on; 64 stands for 64 or more."""
+        flat = self.words.reshape(-1)
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        here = flat[np.minimum(word, flat.size - 1)] >> shift
+        later = np.where(word + 1 < flat.size, flat[np.minimum(word + 1, flat.size - 1)], np.uint64(0)) << ONE << (np.uint64(63) - shift)
+        gap = ~(here | later)
+        return np.bitwise_count(~gap & (gap - ONE)).astype(np.int64)
 
 
 class EliasFano:
@@ -139,12 +186,18 @@ class EliasFano:
         """Values at positions."""
         return (self.high.select(i) - i) << self.low_bits | self.low_of(i).astype(np.int64)
 
-    def _upto(self, high: np.ndarray) -> np.ndarray:
-        """How many values have a high part of ``high`` at most."""
-        inside = (high >= 0) & (high < self.high.zeros())
-        found = np.where(high < 0, 0, self.n)
-        found[inside] = self.high.select(high[inside], one=False) - high[inside]
-        return found
+    def _bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many values have a smaller high part, and how many have this one at most."""
+        zeros = self.high.zeros()
+        at = np.full(len(high), -1)
+        later = np.flatnonzero((high > 0) & (high <= zeros))
+        at[later] = self.high.select(high[later] - 1, one=False)
+        first = np.where(high > zeros, self.n, at + 1 - high)
+        run = self.high.ones_after(at + 1)
+        stop = np.where(high > zeros, self.n, first + run)
+        long = np.flatnonzero((run == 64) & (high < zeros))
+        stop[long] = self.high.select(high[long], one=False) - high[long]
+        return first, stop
 
     def successor(self, x: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Position of the first value >= x within [first, stop), and whether it equals x.
@@ -152,7 +205,7 @@ class EliasFano:
         ``first`` must not lie behind x's bucket unless all its values are larger.
         """
         high = x >> self.low_bits
-        bucket, end = self._upto(high - 1), self._upto(high)
+        bucket, end = self._bucket(high)
         lo, hi = np.clip(bucket, first, stop), np.clip(end, first, stop)
         bound, low = hi.copy(), x.astype(np.uint64) & self.mask
         while len(open_ := np.flatnonzero(lo < hi)):
@@ -270,12 +323,14 @@ class Trie:
             at = self.tables[-1].end
 
     @staticmethod
-    def pack(v: np.ndarray, u: np.ndarray, w: np.ndarray, count: np.ndarray, discount: float, whole: bool = True, total: np.ndarray | None = None) -> bytes:
+    def pack(v: np.ndarray, u: np.ndarray, w: np.ndarray, count: np.ndarray, discount: float, lean: Callable[[np.ndarray], np.ndarray], whole: bool = True, total: np.ndarray | None = None) -> bytes:
         """From distinct (v, u, w) sorted in this order with counts over 0; u = 0 stands for no word, w is over 0.
 
-        Without ``whole`` the words' bigrams are not all here: level 2 has no
-        probabilities, and a query gives what level 3 leaves over as a whole.
-        ``total`` has each row's count of v where its tokens are not all here.
+        Trigrams are discounted; bigrams after a word of count n leave ``lean(n)``
+        to the unigrams.  Without ``whole`` the words' bigrams are not all here:
+        level 2 has no probabilities, and a query gives what level 3 leaves over
+        as a whole.  ``total`` has each row's count of v where its tokens are
+        not all here.
         """
         words, vk = np.unique(v, return_inverse=True)
         pair = np.lexsort((w, vk))
@@ -283,14 +338,13 @@ class Trie:
         place = np.empty(len(v), np.int64)
         place[pair] = np.cumsum(fresh) - 1
         two_v, two_w = vk[pair][fresh], w[pair][fresh]
-        two_n = np.bincount(place, count, len(two_v)) if len(v) else np.zeros(0)
         first2 = np.searchsorted(two_v, np.arange(len(words)))
-        if whole:
+        p2 = left2 = np.zeros(0)
+        if whole and len(v):
+            two_n = np.bincount(place, count, len(two_v))
             total2 = np.bincount(two_v, two_n, len(words)) if total is None else total[np.searchsorted(v, words)]
-            p2 = (two_n - discount) / total2[two_v]
-            left2 = np.bincount(two_v, minlength=len(words)) * discount / total2
-        else:
-            p2, left2 = np.zeros(0), np.zeros(0)
+            left2 = lean(total2)
+            p2 = (1 - left2[two_v]) * two_n / total2[two_v]
 
         context = np.r_[True, (vk[1:] != vk[:-1]) | (u[1:] != u[:-1])] if len(v) else np.zeros(0, bool)
         ck = np.cumsum(context) - 1

@@ -1,8 +1,9 @@
 """Language-model scoring with a sharded Elias-Fano n-gram trie.
 
-Absolute discounting over trigrams, bigrams and the add-0.1 unigrams:
-P(w | u v) = a + b * P(w), where a and b come from the trie.  All counts of all
-training tokens are in the model.  It grows with the corpus, so it is never
+P(w | u v) = a + b * P(w), where a and b come from the trie: trigrams with
+absolute discounting, over bigrams that leave ``lean`` of a word's count to it,
+over the add-0.1 unigrams.  All counts of all training tokens are in the model.
+It grows with the corpus, so it is never
 gathered: it lives in shards by the middle word v, each an Elias-Fano trie file
 in the shared folder that its task memory-maps.
 
@@ -18,10 +19,8 @@ Requests and replies are packed arrays, one row per block and shard, distinct
 within the block, so a very common word or pair costs one entry per block.
 
 A word v of more than ``shard_tokens`` training tokens is split over many
-shards by (v, u), which hold its trigrams.  Its bigrams are counted first, in
-shards by (v, w); what driver and tasks learn of them as a whole is how many
-successors each such word has, one number for every ``shard_tokens`` tokens of
-the corpus at most.
+shards: its trigrams by (v, u), and its bigrams by (v, w).  What a bigram leaves
+to the unigram depends on v's count alone, so no part needs to know another.
 
 Defined cases: a null or empty text has one token, the end; a null id is kept
 and trains; rows that repeat are separate texts; with no training text every
@@ -47,6 +46,8 @@ from .zip_warc import file_system
 #: Bytes of text in a block; tokens for which one shard is made.
 BLOCK, SHARD_TOKENS = 8 << 20, 1_000_000
 DISCOUNT = 0.75
+#: What bigrams leave to the unigrams after a word seen once, and how that falls with the word's count.
+LEAN, FALL = 0.9, 0.1
 ADD = 0.1
 #: No word can hold a space, so these are no words.
 END = b" end"
@@ -129,7 +130,7 @@ class Block:
         own = (parts > 1) & (w > 0)
         asked, v, w, parts = asked[own], v[own], w[own], parts[own]
         total = narrow(np.r_[0, counts[self.tokens]])[asked]
-        return self._distinct(asked, shard_of(v, shards, w, parts), v, total, w)
+        return self._distinct(asked, 2 * shards + shard_of(v, shards, w, parts), v, total, w)
 
     def _distinct(self, asked: np.ndarray, shard: np.ndarray, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
         trains = self.trains[asked]
@@ -203,7 +204,7 @@ def _word_requests(words: DataFrame, shards: int) -> DataFrame:
 
 
 def _count_words(requests: DataFrame, shards: int) -> DataFrame:
-    """Replies with count and number of each word asked for; one row per shard (kind 9) with its tokens, its most frequent word's count and its words."""
+    """Replies with count and number of each word asked for; one row per shard (kind 9) with its tokens and words."""
 
     def run(t: pa.Table) -> pa.Table:
         give_back()
@@ -221,7 +222,7 @@ def _count_words(requests: DataFrame, shards: int) -> DataFrame:
             own = at[p : p + len(a)]
             rows.append((1, shard, block, press(number[own]), ranks, None, press(total[own])))
             p += len(a)
-        rows.append((9, shard, int(total.sum()), None, None, press(np.array([total.max()])), press(np.array([seen.sum()]))))
+        rows.append((9, shard, int(total.sum()), None, None, None, press(np.array([seen.sum()]))))
         return _chunks(rows)
 
     return requests.groupBy("shard").applyInArrow(run, CHUNK)
@@ -243,14 +244,18 @@ def _word_table(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     return ids, counts
 
 
-def _trie_requests(blocks: DataFrame, replies: DataFrame, shards: int, shard_tokens: int, split: bool = False) -> DataFrame:
+def lean(n: np.ndarray) -> np.ndarray:
+    return LEAN * np.maximum(n, 1.0) ** -FALL
+
+
+def _trie_requests(blocks: DataFrame, replies: DataFrame, shards: int, shard_tokens: int) -> DataFrame:
     def run(own: pa.Table, words: pa.Table) -> pa.Table:
         give_back()
         rows, (ids, counts) = [], _word_table(_replied(words, 1))
         for row in own.to_pylist():
             block = Block(row)
-            shard, v, u, w, n, _ = (block.split_requests if split else block.requests)(ids, counts, shards, shard_tokens)
-            rows += [(2, s, row["block"], press_sorted(v[i:j]), press_inner(v[i:j], u[i:j]), press(w[i:j]), press(n[i:j])) for s, i, j in runs(shard)]
+            for shard, v, u, w, n, _ in (block.requests(ids, counts, shards, shard_tokens), block.split_requests(ids, counts, shards, shard_tokens)):
+                rows += [(2, s, row["block"], press_sorted(v[i:j]), press_inner(v[i:j], u[i:j]), press(w[i:j]), press(n[i:j])) for s, i, j in runs(shard)]
         return _chunks(rows)
 
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, CHUNK)
@@ -303,33 +308,24 @@ def written(folder: str, name: str, data: bytes) -> Trie:
 
 
 def _answer(requests: DataFrame, folder: str, shards: int) -> DataFrame:
-    """Build, write and map each shard's trie; reply with the codes of a to every request and of b to every context."""
-
-    def run(t: pa.Table) -> pa.Table:
-        give_back()
-        shard, asked = t["shard"][0].as_py(), Asked(t)
-        known = asked.count > 0
-        data = Trie.pack(asked.v[known], asked.u[known], asked.w[known], asked.count[known].astype(float), DISCOUNT, whole=shard < shards)
-        a, b = map(encode, written(folder, f"{shard:08d}", data).query(asked.v, asked.u, asked.w))
-        return _chunks([(3, shard, block, press(a[own]), press(b[heads]), None, None) for block, own, heads in asked.by_block()])
+    """Build, write and map each shard's trie; reply with the codes of a to every request and of b to every context (kind 3).
 
-    return requests.groupBy("shard").applyInArrow(run, CHUNK)
-
-
-def _answer_split(requests: DataFrame, folder: str) -> DataFrame:
-    """Bigrams of split words: replies with the codes of their probabilities, and one row per shard (kind 8) with its words' numbers of successors."""
+    The second range of shards has trigrams of split words, the third their
+    bigrams, to which the reply is a alone (kind 5).
+    """
 
     def run(t: pa.Table) -> pa.Table:
         give_back()
         shard, asked = t["shard"][0].as_py(), Asked(t)
-        known = asked.count > 0
-        v, w, none = asked.v[known], asked.w[known], np.zeros_like(asked.u)
-        # The word's training count stands in u's place.
-        data = Trie.pack(v, none[known], w, asked.count[known].astype(float), DISCOUNT, total=asked.u[known].astype(float))
-        p = encode(written(folder, f"split-{shard:08d}", data).query(asked.v, none, asked.w)[0])
-        words, n = np.unique(v, return_counts=True)
-        rows = [(5, shard, block, press(p[own]), None, None, None) for block, own, _ in asked.by_block()]
-        return _chunks([*rows, (8, shard, None, press(words), press(n), None, None)])
+        known, pairs = asked.count > 0, shard >= 2 * shards
+        v, u, w, n = (x[known] for x in (asked.v, asked.u, asked.w, asked.count))
+        # The word's training count stands in u's place in requests of bigrams.
+        none = np.zeros_like(asked.u)
+        data = Trie.pack(v, none[known] if pairs else u, w, n.astype(float), DISCOUNT, lean, whole=not shards <= shard < 2 * shards, total=u.astype(float) if pairs else None)
+        a, b = map(encode, written(folder, f"{shard:08d}", data).query(asked.v, none if pairs else asked.u, asked.w))
+        if pairs:
+            return _chunks([(5, shard, block, press(a[own]), None, None, None) for block, own, _ in asked.by_block()])
+        return _chunks([(3, shard, block, press(a[own]), press(b[heads]), None, None) for block, own, heads in asked.by_block()])
 
     return requests.groupBy("shard").applyInArrow(run, CHUNK)
 
@@ -351,33 +347,27 @@ def decode(codes: np.ndarray) -> np.ndarray:
 SCORED = "key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(blocks: DataFrame, replies: DataFrame, shards: int, shard_tokens: int, n_all: int, n_words: int, successors: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _score(blocks: DataFrame, replies: DataFrame, shards: int, shard_tokens: int, n_all: int, n_words: int) -> DataFrame:
     names = [x.split()[0] for x in SCORED.split(", ")]
-    shared = blocks.sparkSession.sparkContext.broadcast(successors)
 
     def run(own: pa.Table, found: pa.Table) -> pa.Table:
         give_back()
         out = []
-        words, tries, split = (_replied(found, kind) for kind in (1, 3, 5))
+        words, tries, pairs = (_replied(found, kind) for kind in (1, 3, 5))
         ids, counts = _word_table(words)
-        a, b, p2 = decode(_joined(tries, "x")), decode(_joined(tries, "y")), decode(_joined(split, "x"))
-        split_words, n_successors = shared.value
+        a, b, p2 = decode(_joined(tries, "x")), decode(_joined(tries, "y")), decode(_joined(pairs, "x"))
         for row in own.to_pylist():
             block = Block(row)
-            shard, v, u, _, _, where = block.requests(ids, counts, shards, shard_tokens)
             base = (counts + ADD) / (n_all + ADD * (n_words + 1))
             p1 = base[block.tokens]
             p = p1.copy()
-            if len(split_words):
-                _, v2, total, _, _, where2 = block.split_requests(ids, counts, shards, shard_tokens)
-                # Tokens after a split word, with a successor or not, have its left-over share of the unigram.
-                asked, before, _, _ = block.known(ids)
-                after = block.parts(counts, shard_tokens)[asked] > 1
-                asked, before = asked[after], before[after]
-                left = n_successors[np.searchsorted(split_words, before)] * DISCOUNT / counts[block.tokens[asked - 1]]
-                p[asked] = left * p1[asked]
-                some = where2 >= 0
-                p[some] += p2[where2[some]]
+            if len(p2):
+                after = np.flatnonzero(block.parts(counts, shard_tokens) > 1)
+                p[after] *= lean(counts[block.tokens[after - 1]])
+                where = block.split_requests(ids, counts, shards, shard_tokens)[-1]
+                asked = where >= 0
+                p[asked] += p2[where[asked]]
+            shard, v, u, _, _, where = block.requests(ids, counts, shards, shard_tokens)
             asked = where >= 0
             context = np.cumsum(contexts(v, u, shard)) - 1
             p[asked] = a[where[asked]] + b[context[where[asked]]] * p[asked]
@@ -405,22 +395,13 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: Column |
     shards = max(4, -(-tokens // shard_tokens))
     words = staged(_count_words(_word_requests(vocabulary, shards), shards), "lm-words")
     forget(both, "part=1")
-    n_all, n_words, most = 0, 0, 0
-    for row in words.where("kind = 9").select("block", "z", "n").toLocalIterator():  # one small row per shard
-        n_all, n_words, most = n_all + row["block"], n_words + int(expand(bytes(row["n"]))[0]), max(most, int(expand(bytes(row["z"]))[0]))
-    replies = found = words.where("kind = 1")
+    n_all, n_words = 0, 0
+    for row in words.where("kind = 9").select("block", "n").toLocalIterator():  # one small row per shard
+        n_all, n_words = n_all + row["block"], n_words + int(expand(bytes(row["n"]))[0])
+    replies = words.where("kind = 1")
     folder = stage_path(spark, "lm-trie")
-    split, successors = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if most > shard_tokens:
-        bigrams = staged(_answer_split(_trie_requests(blocks, replies, shards, shard_tokens, split=True), folder), "lm-split")
-        for row in bigrams.where("kind = 8").select("x", "y").toLocalIterator():  # a number for every part of a split word
-            split.append(expand(bytes(row["x"])).astype(np.int64))
-            successors.append(expand(bytes(row["y"])).astype(np.int64))
-        found = found.unionByName(bigrams.where("kind = 5"))
-    split, at = np.unique(np.concatenate(split), return_inverse=True)
-    successors = np.bincount(at, np.concatenate(successors), len(split))
     # Not staged: replies go straight on to the blocks, and the requests' shuffle is their only other copy.
     answers = _answer(_trie_requests(blocks, replies, shards, shard_tokens), folder, shards)
-    out = _score(blocks, found.unionByName(answers), shards, shard_tokens, n_all, n_words, (split, successors)).withColumnRenamed("key", key)
+    out = _score(blocks, replies.unionByName(answers), shards, shard_tokens, n_all, n_words).withColumnRenamed("key", key)
     out.model_path = folder
     return out

@@ -62,22 +62,21 @@ def test_trie_matches_dictionaries():
     counts = Counter(zip((rng.zipf(1.6, 6000) % 20 + 1).tolist(), (rng.zipf(1.5, 6000) % 15).tolist(), (rng.zipf(1.4, 6000) % 39 + 1).tolist(), strict=True))
     keys = sorted(counts)
     v, u, w = (np.array(x, np.int64) for x in zip(*keys, strict=True))
-    trie = Trie(Trie.pack(v, u, w, np.array([counts[k] for k in keys], float), d))
+    trie = Trie(Trie.pack(v, u, w, np.array([counts[k] for k in keys], float), d, trie_lm.lean))
     pairs, total2, total3 = Counter(), Counter(), Counter()
     for (a, b, c), n in counts.items():
         pairs[a, c] += n
         total2[a] += n
         total3[a, b] += n
-    used2, used3 = defaultdict(float), defaultdict(float)
-    for (a, c), n in pairs.items():
-        used2[a] += (n - d) / total2[a]
+    used3 = defaultdict(float)
     for (a, b, c), n in counts.items():
         if b:
             used3[a, b] += (n - d) / total3[a, b]
     qv, qu, qw = rng.integers(0, 24, 4000), rng.integers(0, 17, 4000), rng.integers(0, 42, 4000)
     got_a, got_b = trie.query(qv, qu, qw)
     for a, b, c, x, y in zip(qv.tolist(), qu.tolist(), qw.tolist(), got_a, got_b, strict=True):
-        one, left = ((pairs[a, c] - d) / total2[a] if (a, c) in pairs else 0, 1 - used2[a]) if a in total2 else (0, 1)
+        left = trie_lm.lean(total2[a]) if a in total2 else 1
+        one = (1 - left) * pairs[a, c] / total2[a] if a in total2 else 0
         if (a, b) in used3:
             n, rest = counts.get((a, b, c), 0), 1 - used3[a, b]
             one, left = ((n - d) / total3[a, b] if n else 0) + rest * one, rest * left
@@ -132,10 +131,14 @@ def _model(rows):
 
     def p(u, v, w):
         x = (one[w] + trie_lm.ADD) / (total + trie_lm.ADD * (len(one) + 1))
-        for found in (two.get(v), three.get((u, v))):
-            if found:
-                n = sum(found.values())
-                x = max(found[w] - d, 0) / n + d * len(found) / n * x
+        if v in two:
+            n = sum(two[v].values())
+            left = trie_lm.LEAN * n**-trie_lm.FALL
+            x = (1 - left) * two[v][w] / n + left * x
+        if (u, v) in three:
+            found = three[u, v]
+            n = sum(found.values())
+            x = max(found[w] - d, 0) / n + d * len(found) / n * x
         return x
 
     return {k: sum(np.log10(p(*t)) for t in zip(s, s[1:], s[2:], strict=False)) for k, s in split.items()}
