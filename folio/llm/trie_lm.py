@@ -89,59 +89,86 @@ def _blocks(df: DataFrame, key: str, text: str, held: Column) -> DataFrame:
 
 
 class Block:
-    """A block's tokens, as numbers of its words by frequency, with their training flags."""
+    """A block's tokens, as numbers of its words by frequency, with their training flags.
 
-    def __init__(self, row: dict):
-        self.row = row
+    ``ids`` and ``counts`` are its words' numbers in the tries (0: none) and
+    training counts.  Within the block, words go by codes: their ids' ranks.
+    """
+
+    def __init__(self, row: dict, ids: np.ndarray, counts: np.ndarray, shards: int, shard_tokens: int):
+        self.row, self.ids, self.counts, self.shards = row, ids, counts, shards
         self.lengths = np.array(row["n_tokens"], np.int64)
         self.held = np.array(row["held"], bool)
         self.tokens = expand(row["tokens"]).astype(np.int64)
         self.trains = np.repeat(~self.held, self.lengths)
-
-    def known(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens after a known context word, and their v, u and w (numbers; 0: none)."""
-        w = narrow(ids)[self.tokens]
+        # 0 and BOS are the least ids, so they are codes too.
+        self.names, code = np.unique(np.r_[0, BOS, ids], return_inverse=True)
+        code = code[2:].astype(np.int32)
+        self.times = np.zeros(len(self.names), np.int64)
+        self.times[code[ids > 0]] = counts[ids > 0]
+        # Into how many parts each word is split as a middle word.
+        self.parts = -(-self.times // shard_tokens)
+        w = code[self.tokens]
         firsts = np.cumsum(self.lengths) - self.lengths
         v, u = np.zeros_like(w), np.zeros_like(w)
         v[1:], u[2:] = w[:-1], w[:-2]
         v[firsts] = BOS
         u[firsts] = BOS
         u[firsts[self.lengths > 1] + 1] = BOS
-        asked = np.flatnonzero(v > 0)
-        return asked, v[asked], u[asked], w[asked]
-
-    def parts(self, counts: np.ndarray, shard_tokens: int) -> np.ndarray:
-        """Into how many parts the word before each token is split, by its training count."""
-        before = np.r_[0, counts[self.tokens][:-1]]
-        before[np.cumsum(self.lengths) - self.lengths] = 0
-        return -(-before // shard_tokens)
+        #: Tokens after a known word, and their v, u and w.
+        self.asked = np.flatnonzero(v > 0)
+        self.v, self.u, self.w = v[self.asked], u[self.asked], w[self.asked]
 
-    def requests(self, ids: np.ndarray, counts: np.ndarray, shards: int, shard_tokens: int) -> tuple[np.ndarray, ...]:
+    def requests(self) -> tuple[np.ndarray, ...]:
         """Distinct (v, u, w) by shard with training counts; the request of each token (-1: none)."""
-        asked, v, u, w = self.known(ids)
-        parts = self.parts(counts, shard_tokens)[asked]
-        shard = np.where(parts > 1, shards + shard_of(v, shards, u, parts), shard_of(v, shards))
-        return self._distinct(asked, shard, v, u, w)
+        v, u, w, n, where = self._distinct(self.asked, self.v, self.u, self.w)
+        name = self.names
+        split = shard_of(name[v], self.shards, name[u], self.parts[v]) + self.shards
+        return self._by_shard(np.where(self.parts[v] > 1, split, shard_of(name[v], self.shards)), name[v], name[u], name[w], n, where)
 
-    def split_requests(self, ids: np.ndarray, counts: np.ndarray, shards: int, shard_tokens: int) -> tuple[np.ndarray, ...]:
+    def split_requests(self) -> tuple[np.ndarray, ...]:
         """The same for the (v, w) of split words, with v's training count in place of u."""
-        asked, v, _, w = self.known(ids)
-        parts = self.parts(counts, shard_tokens)[asked]
-        own = (parts > 1) & (w > 0)
-        asked, v, w, parts = asked[own], v[own], w[own], parts[own]
-        total = narrow(np.r_[0, counts[self.tokens]])[asked]
-        return self._distinct(asked, 2 * shards + shard_of(v, shards, w, parts), v, total, w)
-
-    def _distinct(self, asked: np.ndarray, shard: np.ndarray, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
-        trains = self.trains[asked]
-        order = np.lexsort((w, u, v, shard))
-        v, u, w, shard = v[order], u[order], w[order], shard[order]
-        fresh = np.r_[True, (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])] if len(v) else np.zeros(0, bool)
+        own = (self.parts[self.v] > 1) & (self.w > 0)
+        v, _, w, n, where = self._distinct(self.asked[own], self.v[own], np.zeros_like(self.v[own]), self.w[own])
+        name = self.names
+        return self._by_shard(2 * self.shards + shard_of(name[v], self.shards, name[w], self.parts[v]), name[v], self.times[v], name[w], n, where)
+
+    def _distinct(self, asked: np.ndarray, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = in_order(v, u, w)
+        v, u, w = v[order], u[order], w[order]
+        fresh = changes(v, u, w)
         place = np.cumsum(fresh) - 1
+        n = np.bincount(place, self.trains[asked][order], int(fresh.sum())).astype(np.int64)
         where = np.full(len(self.tokens), -1)
         where[asked[order]] = place
-        n = np.bincount(place, trains[order], int(fresh.sum())).astype(np.int64) if len(v) else np.zeros(0, np.int64)
-        return shard[fresh], v[fresh], u[fresh], w[fresh], n, where
+        return v[fresh], u[fresh], w[fresh], n, where
+
+    @staticmethod
+    def _by_shard(shard: np.ndarray, *rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        by = np.argsort(shard, kind="stable")
+        back = np.empty(len(by) + 1, np.int64)
+        back[by], back[-1] = np.arange(len(by)), -1
+        return shard[by], *(x[by] for x in rows[:-1]), back[rows[-1]]
+
+
+def changes(*keys: np.ndarray) -> np.ndarray:
+    """Where a row of sorted keys differs from the one before it."""
+    fresh = np.ones(len(keys[0]), bool)
+    fresh[1:] = False
+    for k in keys:
+        fresh[1:] |= k[1:] != k[:-1]
+    return fresh
+
+
+def in_order(*keys: np.ndarray) -> np.ndarray:
+    """The rows' order by the keys, the first one leading; by one number where they fit into it."""
+    widths = [int(k.max()).bit_length() if len(k) else 0 for k in keys]
+    if sum(widths) > 64:
+        return np.lexsort(keys[::-1])
+    one = keys[0].astype(np.uint64)
+    for k, width in zip(keys[1:], widths[1:], strict=True):
+        one = one << np.uint64(width) | k.astype(np.uint64)
+    return np.argsort(one)
 
 
 def narrow(x: np.ndarray) -> np.ndarray:
@@ -157,18 +184,10 @@ def shard_of(v: np.ndarray, shards: int, other: np.ndarray | None = None, parts:
     return (finish(h) % np.uint64(shards)).astype(np.int64)
 
 
-def contexts(v: np.ndarray, u: np.ndarray, shard: np.ndarray | None = None) -> np.ndarray:
-    """Where (v, u) begins anew among sorted requests."""
-    fresh = np.r_[True, (v[1:] != v[:-1]) | (u[1:] != u[:-1])][: len(v)]
-    if shard is not None:
-        fresh[1:] |= shard[1:] != shard[:-1]
-    return fresh
-
-
 def press_inner(v: np.ndarray, u: np.ndarray) -> bytes:
     """``u``, sorted within equal ``v``: steps that begin anew with each v."""
     steps = np.diff(u.astype(np.int64), prepend=0)
-    heads = np.flatnonzero(np.r_[True, v[1:] != v[:-1]][: len(v)])
+    heads = np.flatnonzero(changes(v))
     steps[heads] = u[heads]
     return press(steps)
 
@@ -176,7 +195,7 @@ def press_inner(v: np.ndarray, u: np.ndarray) -> bytes:
 def expand_inner(v: np.ndarray, data: bytes) -> np.ndarray:
     steps = expand(data).astype(np.int64)
     upto = np.cumsum(steps)
-    heads = np.flatnonzero(np.r_[True, v[1:] != v[:-1]][: len(v)])
+    heads = np.flatnonzero(changes(v))
     return upto - np.repeat(upto[heads] - steps[heads], np.diff(np.r_[heads, len(v)]))
 
 
@@ -228,8 +247,8 @@ def _count_words(requests: DataFrame, shards: int) -> DataFrame:
     return requests.groupBy("shard").applyInArrow(run, CHUNK)
 
 
-def _replied(t: pa.Table, kind: int) -> list[dict]:
-    return sorted((r for r in t.to_pylist() if r["kind"] == kind), key=lambda r: r["shard"])
+def _of_kind(rows: list[dict], kind: int) -> list[dict]:
+    return sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["shard"])
 
 
 def _joined(rows: list[dict], column: str) -> np.ndarray:
@@ -248,17 +267,23 @@ def lean(n: np.ndarray) -> np.ndarray:
     return LEAN * np.maximum(n, 1.0) ** -FALL
 
 
-def _trie_requests(blocks: DataFrame, replies: DataFrame, shards: int, shard_tokens: int) -> DataFrame:
-    def run(own: pa.Table, words: pa.Table) -> pa.Table:
+def _told(t: pa.Table, shards: int, shard_tokens: int) -> list[Block]:
+    """The blocks of a group (one) with the numbers and counts of their words."""
+    rows = t.to_pylist()
+    ids, counts = _word_table(_of_kind(rows, 1))
+    return [Block(r, ids, counts, shards, shard_tokens) for r in rows if r["kind"] is None]
+
+
+def _trie_requests(told: DataFrame, shards: int, shard_tokens: int) -> DataFrame:
+    def run(t: pa.Table) -> pa.Table:
         give_back()
-        rows, (ids, counts) = [], _word_table(_replied(words, 1))
-        for row in own.to_pylist():
-            block = Block(row)
-            for shard, v, u, w, n, _ in (block.requests(ids, counts, shards, shard_tokens), block.split_requests(ids, counts, shards, shard_tokens)):
-                rows += [(2, s, row["block"], press_sorted(v[i:j]), press_inner(v[i:j], u[i:j]), press(w[i:j]), press(n[i:j])) for s, i, j in runs(shard)]
+        rows = []
+        for block in _told(t, shards, shard_tokens):
+            for shard, v, u, w, n, _ in (block.requests(), block.split_requests()):
+                rows += [(2, s, block.row["block"], press_sorted(v[i:j]), press_inner(v[i:j], u[i:j]), press(w[i:j]), press(n[i:j])) for s, i, j in runs(shard)]
         return _chunks(rows)
 
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, CHUNK)
+    return told.groupBy("block").applyInArrow(run, CHUNK)
 
 
 def open_trie(path: str) -> Trie:
@@ -281,9 +306,9 @@ class Asked:
         self.own_u = narrow(np.concatenate([expand_inner(x, y) for x, y in zip(each, t["y"].to_pylist(), strict=True)]))
         del each
         w, n = (narrow(np.concatenate([expand(x) for x in t[c].to_pylist()])) for c in "zn")
-        order = np.lexsort((w, self.own_u, self.own_v))
+        order = in_order(np.unique(self.own_v, return_inverse=True)[1], self.own_u, w)
         v, u, w = self.own_v[order], self.own_u[order], w[order]
-        fresh = np.r_[True, (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])]
+        fresh = changes(v, u, w)
         self.count = np.add.reduceat(n[order], np.flatnonzero(fresh), dtype=np.int64)
         self.v, self.u, self.w = v[fresh], u[fresh], w[fresh]
         self.place = np.empty(len(v), np.int64)
@@ -293,7 +318,7 @@ class Asked:
         """Each block with the places of its requests, and of the first ones of its contexts."""
         for block, i, j in zip(self.blocks, np.r_[0, self.stops[:-1]], self.stops, strict=True):
             own = self.place[i:j]
-            yield block, own, own[contexts(self.own_v[i:j], self.own_u[i:j])]
+            yield block, own, own[changes(self.own_v[i:j], self.own_u[i:j])]
 
 
 def written(folder: str, name: str, data: bytes) -> Trie:
@@ -347,39 +372,37 @@ def decode(codes: np.ndarray) -> np.ndarray:
 SCORED = "key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(blocks: DataFrame, replies: DataFrame, shards: int, shard_tokens: int, n_all: int, n_words: int) -> DataFrame:
+def _score(told: DataFrame, answers: DataFrame, shards: int, shard_tokens: int, n_all: int, n_words: int) -> DataFrame:
     names = [x.split()[0] for x in SCORED.split(", ")]
 
     def run(own: pa.Table, found: pa.Table) -> pa.Table:
         give_back()
         out = []
-        words, tries, pairs = (_replied(found, kind) for kind in (1, 3, 5))
-        ids, counts = _word_table(words)
+        found = found.to_pylist()
+        tries, pairs = _of_kind(found, 3), _of_kind(found, 5)
         a, b, p2 = decode(_joined(tries, "x")), decode(_joined(tries, "y")), decode(_joined(pairs, "x"))
-        for row in own.to_pylist():
-            block = Block(row)
+        for block in _told(own, shards, shard_tokens):
+            counts = block.counts[block.tokens]
             base = (counts + ADD) / (n_all + ADD * (n_words + 1))
-            p1 = base[block.tokens]
-            p = p1.copy()
-            if len(p2):
-                after = np.flatnonzero(block.parts(counts, shard_tokens) > 1)
-                p[after] *= lean(counts[block.tokens[after - 1]])
-                where = block.split_requests(ids, counts, shards, shard_tokens)[-1]
-                asked = where >= 0
-                p[asked] += p2[where[asked]]
-            shard, v, u, _, _, where = block.requests(ids, counts, shards, shard_tokens)
+            p = base.copy()
+            after = block.parts[block.v] > 1
+            p[block.asked[after]] *= lean(block.times[block.v[after]])
+            where = block.split_requests()[-1]
+            asked = where >= 0
+            p[asked] += p2[where[asked]]
+            _, v, u, _, _, where = block.requests()
             asked = where >= 0
-            context = np.cumsum(contexts(v, u, shard)) - 1
+            context = np.cumsum(changes(v, u)) - 1
             p[asked] = a[where[asked]] + b[context[where[asked]]] * p[asked]
             firsts = np.cumsum(block.lengths) - block.lengths
-            sums = [np.add.reduceat(x, firsts) for x in (counts[block.tokens] > 0, np.log10(base)[block.tokens], np.log10(p))]
+            sums = [np.add.reduceat(x, firsts) for x in (counts > 0, np.log10(base), np.log10(p))]
             out.append(pa.table([
-                pa.array(row["keys"], pa.int64()), pa.array(block.held), pa.array(block.lengths), pa.array(sums[0].astype(np.int64)),
+                pa.array(block.row["keys"], pa.int64()), pa.array(block.held), pa.array(block.lengths), pa.array(sums[0].astype(np.int64)),
                 pa.array(np.full(len(firsts), n_all)), pa.array(sums[1]), pa.array(sums[2]),
             ], names=names))
         return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
 
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, SCORED)
+    return told.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, SCORED)
 
 
 def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: Column | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -398,10 +421,11 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: Column |
     n_all, n_words = 0, 0
     for row in words.where("kind = 9").select("block", "n").toLocalIterator():  # one small row per shard
         n_all, n_words = n_all + row["block"], n_words + int(expand(bytes(row["n"]))[0])
-    replies = words.where("kind = 1")
+    # Blocks and the replies to them are shuffled once, for the requests and for the scores.
+    told = blocks.unionByName(words.where("kind = 1").select("kind", "shard", "block", "x", "y", "n"), allowMissingColumns=True)
     folder = stage_path(spark, "lm-trie")
     # Not staged: replies go straight on to the blocks, and the requests' shuffle is their only other copy.
-    answers = _answer(_trie_requests(blocks, replies, shards, shard_tokens), folder, shards)
-    out = _score(blocks, replies.unionByName(answers), shards, shard_tokens, n_all, n_words).withColumnRenamed("key", key)
+    answers = _answer(_trie_requests(told, shards, shard_tokens), folder, shards)
+    out = _score(told, answers, shards, shard_tokens, n_all, n_words).withColumnRenamed("key", key)
     out.model_path = folder
     return out
