@@ -236,7 +236,8 @@ def pack(cut: DataFrame, key: tuple[str, ...] = ("doc_id", "piece"), capacity: i
     counts = bucketed.groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    within = F.row_number().over(Window.partitionBy("length", "__bucket").orderBy(*key)) - 1
+    # Rows that tie are equal in all columns, so a retried task hands out the same slots.
+    within = F.row_number().over(Window.partitionBy("length", "__bucket").orderBy(*key, "start", "ids_crc32")) - 1
     numbered = bucketed.withColumn("__within", within).join(bases, ["length", "__bucket"]).withColumn("__number", F.col("__base") + F.col("__within")).select(*cut.columns, "__number")
 
     names = cut.columns

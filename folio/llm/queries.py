@@ -68,7 +68,7 @@ ruled AS (
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
     WHEN rule IS NOT NULL THEN 'block'
-    WHEN regexp_matches(host, '^(.*[.])?({"|".join(LISTED_SITES)})[.]example[.](com|net|org)$') THEN 'block'
+    WHEN regexp_matches(rtrim(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.'), '^(.*[.])?({"|".join(LISTED_SITES)})[.]example[.](com|net|org)$') THEN 'block'
     ELSE 'allow' END AS verdict
 FROM ruled
 """
@@ -125,13 +125,13 @@ FROM b
 """
 
 
-LEAST_SITES, MOST_REMOVED = 10, 0.8
+LEAST_SITES = 10
 
 
 @query
 def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that stand on ten sources or more."""
-    cleaned = line_spread.dedup(table(spark, sf_dir, "documents"), LEAST_SITES, MOST_REMOVED)
+    cleaned = line_spread.dedup(table(spark, sf_dir, "documents"), LEAST_SITES)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), line_spread.digest(F.col("text")).alias("kept_md5"))
 
 
@@ -140,12 +140,11 @@ WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM d
 l AS (SELECT doc_id, source, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
 w AS (SELECT * FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 b AS (SELECT line, min((doc_id, pos)) AS f FROM w GROUP BY line HAVING count(DISTINCT source) >= {LEAST_SITES}),
-h AS (SELECT w.doc_id, list(w.pos) AS cuts, sum(length(w.line)) AS cut_chars FROM w JOIN b USING (line) WHERE (w.doc_id, w.pos) <> b.f GROUP BY w.doc_id),
+h AS (SELECT w.doc_id, list(w.pos) AS cuts FROM w JOIN b USING (line) WHERE (w.doc_id, w.pos) <> b.f GROUP BY w.doc_id),
 n AS (SELECT doc_id, count(*) AS n_lines FROM w GROUP BY doc_id),
-r AS (SELECT d.doc_id, coalesce(n.n_lines, 0) AS n_lines, d.text, d.ls, h.cuts, h.cuts IS NOT NULL AND h.cut_chars <= {MOST_REMOVED} * length(d.text) AS applies
-  FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)),
-k AS (SELECT doc_id, n_lines, CASE WHEN applies THEN len(cuts) ELSE 0 END AS n_removed,
-  CASE WHEN applies THEN array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(cuts, i)), lambda i: ls[i]), chr(10)) ELSE text END AS t FROM r)
+k AS (SELECT d.doc_id, coalesce(n.n_lines, 0) AS n_lines, coalesce(len(h.cuts), 0) AS n_removed,
+  CASE WHEN h.cuts IS NULL THEN d.text ELSE array_to_string(list_transform(list_filter(range(1, len(d.ls) + 1), lambda i: NOT list_contains(h.cuts, i)), lambda i: d.ls[i]), chr(10)) END AS t
+  FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id))
 SELECT doc_id, n_lines, n_removed, length(t) AS kept_chars, md5(t) AS kept_md5 FROM k
 """
 

@@ -1,9 +1,13 @@
 """URL filters: rules first, then a list of canonical URLs behind a blocked Bloom filter.
 
 A URL is looked up under every suffix of its host (whole labels) and every
-prefix of its path that ends in ``/`` or is the whole path.  The lookups probe
-a blocked Bloom filter; only possible hits go on to an exact hash join with the
-list, which removes false positives.  The filter is one array of 512-bit blocks,
+prefix of its path that ends in ``/`` or is the whole path.  For the lookups
+only, the URL is made canonical: user info, port and trailing dots of the host
+are dropped, escapes of unreserved characters are decoded, and ``.`` and ``..``
+segments are resolved.  The list's longest key bounds what is looked up.  The
+lookups probe a blocked Bloom filter, in one pass over the pages; only possible
+hits go on to an exact hash join with the list, which removes false positives.
+The filter is one array of 512-bit blocks,
 eight 64-bit words each, one bit per word and key; its size follows the list up
 to ``most_bytes``, the proven bound of what is broadcast.  Beyond that bound the
 filter passes more rows to the exact join, and verdicts stay the same.
@@ -15,12 +19,18 @@ list allows everything that no rule blocks.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
+from ._common import staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -55,14 +65,42 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
     return name, verdict
 
 
-def lookups(host: Column, path: Column) -> Column:
-    """The canonical URLs under which a URL may be listed."""
-    labels = F.split(host, "\\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    parts = F.split(F.concat(F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))), "/")
-    dirs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))
-    paths = F.array_distinct(F.concat(dirs, F.array(F.array_join(parts, "/"))))
-    return F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))
+UNRESERVED = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
+ESCAPE = re.compile("%([0-9A-Fa-f]{2})")
+
+
+def canonical(host: str, path: str) -> tuple[str, str]:
+    """Host and path as lists write them; used for lookups, never shown."""
+    host = host.rpartition("@")[2]
+    name, colon, port = host.rpartition(":")
+    host = (name if colon and port.isdigit() or colon and not port else host).rstrip(".")
+    if "%" in path:
+        path = ESCAPE.sub(lambda m: chr(int(m[1], 16)) if chr(int(m[1], 16)) in UNRESERVED else m[0].upper(), path)
+    if "/." in path:
+        kept: list[str] = []
+        parts = path.split("/")
+        for part in parts:
+            if part == ".." and len(kept) > 1:
+                kept.pop()
+            elif part not in (".", ".."):
+                kept.append(part)
+        path = "/".join(kept) + ("/" if parts[-1] in (".", "..") and kept[-1:] != [""] else "")
+    return host, path if path.startswith("/") else "/" + path
+
+
+def lookups(host: str, path: str, most_labels: int, most_path: int) -> list[str]:
+    """The canonical URLs under which a URL may be listed, given the list's longest host (labels) and path (characters)."""
+    host, path = canonical(host, path)
+    labels = host.split(".")[-most_labels:] if host else [""]
+    hosts, tail = [labels[-1]], labels[-1]
+    for label in labels[-2::-1]:
+        tail = f"{label}.{tail}"
+        hosts.append(tail)
+    # No key is longer than the list's longest, so the work is bounded for any URL.
+    paths = [path[: m.end()] for m in re.finditer("/", path[:most_path])]
+    if len(path) <= most_path and not path.endswith("/"):
+        paths.append(path)
+    return [h + p for h in hosts for p in paths]
 
 
 class BlockedBloom:
@@ -108,6 +146,18 @@ def build_bloom(hashes: DataFrame, n_keys: int, bits_per_key: int = 12, most_byt
     return BlockedBloom(words.view(np.uint64))
 
 
+def key_hashes(keys: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
+
+
+def _hashed(keys: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(key_hashes(batch.column(0).to_pylist()).view(np.int64))], names=["h"])
+
+    return keys.mapInArrow(run, "h long")
+
+
 def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], url: str = "url", keep: tuple[str, ...] = ("page_id",), most_bytes: int = 8 << 20) -> DataFrame:
     """``keep`` columns, host, path, rule and verdict of every row of ``pages``.
 
@@ -116,30 +166,30 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], url: str = "ur
     """
     spark = pages.sparkSession
     keys = listed.select(F.col(listed.columns[0]).alias("__key")).where(F.col("__key").isNotNull()).distinct()
-    bloom = build_bloom(keys.select(F.xxhash64("__key").alias("h")), keys.count(), most_bytes=most_bytes)
-    shared = spark.sparkContext.broadcast(bloom.words)
+    host_labels, path_chars = F.size(F.split(F.split_part("__key", F.lit("/"), F.lit(1)), "\\.")), F.length("__key") - F.length(F.split_part("__key", F.lit("/"), F.lit(1)))
+    found = keys.agg(F.count("*").alias("n"), F.max(host_labels).alias("labels"), F.max(path_chars).alias("chars")).first()
+    n, labels, chars = found["n"], found["labels"] or 0, found["chars"] or 0
+    shared = spark.sparkContext.broadcast(build_bloom(_hashed(keys), n, most_bytes=most_bytes).words)
 
-    def probe(batches):
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds the keys of the list that a URL without a rule may match: null for nearly all."""
         held = BlockedBloom(shared.value)
         for batch in batches:
-            hashes = batch.column(batch.num_columns - 1)
-            flat = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            ends = np.cumsum(hashes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-            hits = np.r_[0, np.cumsum(held.might_contain(flat))]
-            starts = np.r_[0, ends[:-1]] if len(ends) else ends
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits[ends] > hits[starts])], names=[*batch.schema.names[:-1], "__maybe"])
-
-    host, path = host_of(F.col(url)), path_of(F.col(url))
+            free = batch.column(batch.num_columns - 1).to_pylist()
+            asked = [lookups(h, p, labels, chars) if f and n else [] for h, p, f in zip(*(batch.column(c).to_pylist() for c in ("host", "path")), free, strict=True)]
+            flat = [k for ks in asked for k in ks]
+            hits = iter(held.might_contain(key_hashes(flat)).tolist() if flat else [])
+            maybe = [[k for k in ks if next(hits)] or None for ks in asked]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(maybe, pa.list_(pa.string()))], names=[*batch.schema.names[:-1], "__maybe"])
+
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    named = pages.select(*keep, host.alias("host"), path.alias("path")).select(*keep, "host", "path", name.alias("rule"), verdict.alias("__ruled"))
-    ruled = named.where(F.col("__ruled").isNotNull()).select(*keep, "host", "path", "rule", F.col("__ruled").alias("verdict"))
-    rest = named.where(F.col("__ruled").isNull()).select(*keep, "host", "path", "rule", F.transform(lookups(F.col("host"), F.col("path")), lambda x: F.xxhash64(x)).alias("__hashes"))
-    schema = rest.select(*keep, "host", "path", "rule").schema.add("__maybe", "boolean")
-    rest = rest.mapInArrow(probe, schema)
-    free = rest.where(~F.col("__maybe")).select(*keep, "host", "path", "rule", F.lit("allow").alias("verdict"))
-    maybe = rest.where("__maybe")
-    # One row per distinct URL goes to the exact join, so a hot URL costs one lookup.
-    urls = maybe.groupBy("host", "path").agg(F.lit(1).alias("__one")).select("host", "path", F.explode(lookups(F.col("host"), F.col("path"))).alias("__key"))
-    blocked = urls.join(keys, "__key", "left_semi").groupBy("host", "path").agg(F.lit(True).alias("__listed"))
-    held = maybe.join(blocked, ["host", "path"], "left").select(*keep, "host", "path", "rule", F.when(F.col("__listed"), "block").otherwise("allow").alias("verdict"))
-    return ruled.unionByName(free).unionByName(held)
+    named = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    named = named.select(*keep, "host", "path", name.alias("rule"), verdict.alias("__ruled"), verdict.isNull().alias("__free"))
+    schema = named.select(*keep, "host", "path", "rule", "__ruled").schema.add("__maybe", ArrayType(StringType()))
+    probed = staged(named.mapInArrow(probe, schema), "url-probed")
+    # One row per distinct key goes to the exact join, so a hot URL costs one lookup.
+    hits = probed.select(F.explode("__maybe").alias("__key")).distinct().join(keys, "__key", "left_semi")
+    ways = probed.where("__maybe IS NOT NULL").select("__maybe").distinct()
+    sure = ways.select("__maybe", F.explode("__maybe").alias("__key")).join(hits, "__key", "left_semi").select(F.col("__maybe").alias("__way")).distinct().withColumn("__listed", F.lit(True))
+    judged = probed.join(sure, probed["__maybe"] == sure["__way"], "left")
+    return judged.select(*keep, "host", "path", "rule", F.coalesce("__ruled", F.when(F.col("__listed"), "block").otherwise("allow")).alias("verdict"))

@@ -143,6 +143,37 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == counts[-1]
 
 
+@pytest.fixture
+def odd(spark):
+    """Null and repeated ids, repeated rows, null, empty and very long texts, extra columns."""
+    t, u, r = ("\n".join(f"{x} word{k} and the thing of that water {x}" for k in range(9)) for x in "tur")
+    rows = [(1, t, "a"), (None, t, "b"), (None, u, None), (7, r, "a"), (7, r, "a"), (8, "p q r s t u v", "b"), (8, "other words under the same number", "b"), (9, None, "a"), (None, None, None), (10, "", "b"), (11, "long " * 60_000, "a")]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en")).withColumn("n_chars", F.length("text").cast("long")).withColumn("__nth", F.lit("clash"))
+
+
+def texts(df):
+    return sorted(((r["doc_id"], r["text"] and r["text"][:6]) for r in df.collect()), key=str)
+
+
+def test_near_duplicates_keep_rows_of_null_and_repeated_ids(spark, odd):
+    out = corpus_pipeline.near_duplicates(spark, odd, "")
+    assert out.columns == odd.columns
+    assert texts(out) == texts(odd.where("NOT (doc_id IS NULL AND source <=> 'b')").distinct())
+
+
+def test_stages_take_odd_rows(spark, odd):
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (odd, odd.limit(0)):
+            out = stage(spark, docs, "")
+            if name != "packing":
+                assert out.columns == odd.columns
+            if docs is not odd:
+                assert out.count() == 0
+    assert corpus_pipeline.line_dedup(spark, odd, "").count() == 11
+    packed = corpus_pipeline.packing(spark, odd, "").collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in packed}) == len(packed) and sum(r["piece"] == 0 for r in packed) == 11
+
+
 def test_queries_are_registered():
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES}
     assert unigram_langid.UNDETERMINED == "und"

@@ -90,3 +90,17 @@ def test_filter_has_no_false_negatives(spark):
     assert bloom.might_contain(other).mean() < 0.03
     tiny = U.build_bloom(listed, 5000, most_bytes=64)  # saturated, still no false negative
     assert len(tiny.words) == 1 and tiny.might_contain(own).all()
+
+
+def test_lookups_are_canonical_and_bounded(spark):
+    assert U.canonical("user:pw@spam.org.:8080", "/a/./b/../%7Ex/%2f") == ("spam.org", "/a/~x/%2F")
+    assert [U.canonical("h", p)[1] for p in ("", "/..", "/a/..", "/a/b/..", "/a/.", "/../a")] == ["/", "/", "/", "/a/", "/a/", "/a"]
+    assert U.lookups("x.spam.org", "/a/b", 2, 3) == ["org/", "org/a/", "spam.org/", "spam.org/a/"]
+    urls = ["http://u@x.spam.org.:80/q", "http://part.org/x/../in/side", "http://part.org:/in/", "http://part.org/" + "a/" * 8000, "http://" + "a." * 8000 + "spam.org/", "http://part.org/in/" + "/" * 16000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = spark.createDataFrame([("spam.org/",), ("part.org/in/",)], "u string")
+    from time import monotonic
+
+    began = monotonic()
+    got = {r["page_id"]: r["verdict"] for r in U.judge(pages, listed, RULES[1:]).collect()}
+    assert got == {0: "block", 1: "block", 2: "block", 3: "allow", 4: "block", 5: "block"} and monotonic() - began < 20

@@ -100,16 +100,31 @@ def test_mixing_edges(spark):
 
 def test_line_spread(spark):
     boiler, rare = "Cookies make this site better", "seen on two"
-    rows = [(i, f"own {i} text that is long enough to outweigh all the rest of it\n{boiler}\n\nmore own words {i} here", f"s{i % 12}") for i in range(24)]
-    rows += [(100, f"{rare}\nx y", "s1"), (101, f"{rare}\nz", "s2"), (102, boiler, "s3"), (103, None, "s1"), (104, "", None), (105, f"{boiler} and a tail that differs\n{boiler}\n" + "word " * 50, None)]
+    rows = [(i, f"own {i} text\n{boiler}\n\nmore own words {i} here", f"s{i % 12}") for i in range(24)]
+    rows += [(100, f"{rare}\nx y", "s1"), (101, f"{rare}\nz", "s2"), (102, boiler, "s3"), (103, None, "s1"), (104, "", None), (105, f"{boiler} and a tail that differs\n{boiler}\n" + "word " * 50, None), (None, f"null id\n{boiler}", "s4"), (1, f"own 1 text\n{boiler}\n\nmore own words 1 here", "s1")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("sites", F.lit(1))
-    got = {r["doc_id"]: r for r in L.dedup(df, least_sites=10).collect()}
-    assert len(got) == len(rows) and boiler in got[0]["text"] and got[0]["n_removed"] == 0
-    for i in range(1, 24):
-        assert boiler not in got[i]["text"].split("\n") and (got[i]["n_lines"], got[i]["n_removed"]) == (3, 1) and f"more own words {i} here" in got[i]["text"]
-    assert got[100]["text"].startswith(rare) and got[102]["text"] == boiler  # under the threshold; a whole copy
-    assert (got[103]["text"], got[103]["n_lines"], got[104]["text"]) == (None, 0, "")
-    assert got[105]["n_removed"] == 1 and "and a tail" in got[105]["text"]
-    assert L.dedup(df.limit(0), least_sites=10).collect() == []
+    for most in (1000, 0):  # both ways to the same cuts
+        found = L.dedup(df, least_sites=10, broadcast_lines=most).collect()
+        got = {r["doc_id"]: r for r in found}
+        assert len(found) == len(rows) and boiler in got[0]["text"] and got[0]["n_removed"] == 0
+        for i in range(1, 24):
+            assert got[i]["text"] == f"own {i} text\n\nmore own words {i} here" and (got[i]["n_lines"], got[i]["n_removed"]) == (3, 1)
+        assert [r["n_removed"] for r in found if r["doc_id"] == 1] == [1, 1] and got[None]["text"] == "null id"
+        assert got[100]["text"].startswith(rare) and (got[102]["text"], got[102]["n_removed"]) == ("", 1)
+        assert (got[103]["text"], got[103]["n_lines"], got[104]["text"]) == (None, 0, "")
+        assert got[105]["n_removed"] == 1 and "and a tail" in got[105]["text"]
+        assert L.dedup(df.limit(0), least_sites=10, broadcast_lines=most).collect() == []
     exact = df.where("doc_id < 22").where("source <> 's0' AND source <> 's1' AND source <> 's2'")  # nine sites: close to the threshold, counted exactly
     assert sum(r["n_removed"] for r in L.dedup(exact, least_sites=10).collect()) == 0 and sum(r["n_removed"] for r in L.dedup(exact, least_sites=9).collect()) > 0
+
+
+def test_line_spread_spares_copies(spark):
+    body = [f"line {k} of a text that is copied as a whole" for k in range(20)]
+    near = lambda i: "\n".join([*body[:-1], f"last line {i}"])
+    rows = [(i, near(i), f"s{i}") for i in range(12)] + [(50, "\n".join(body[:15] + [f"own {k} words, not shared" for k in range(12)]), "s1"), (60, body[3], "s2"), (61, "\n".join(body[:8]), "s3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for most in (1000, 0):
+        got = {r["doc_id"]: r["n_removed"] for r in L.dedup(df, 10, spare_copies=True, broadcast_lines=most).collect()}
+        # Copies of the first text stay; pages with shared lines, and parts of it, lose them.
+        assert got == {**dict.fromkeys(range(12), 0), 50: 15, 60: 1, 61: 8}
+        assert {r["doc_id"]: r["n_removed"] for r in L.dedup(df, 10, broadcast_lines=most).collect()} == {0: 0, **dict.fromkeys(range(1, 12), 19), 50: 15, 60: 1, 61: 8}
