@@ -6,9 +6,13 @@ but the last return the columns of ``documents``.  Extra columns pass through.
 * ``language_id`` drops documents whose language is undetermined (no letter, or
   no language more likely than all others together).
 * ``line_dedup`` cuts lines that stand on many sources, but at their first
-  place; ``n_chars`` follows the text.
-* ``near_duplicates`` keeps the document with the smallest id of each group
-  linked by shingles of five words at a similarity of 0.8 or more.
+  place; ``n_chars`` follows the text.  A document that is as a whole a copy of
+  an earlier one is left to the next stage.
+* ``near_duplicates`` keeps the document with the smallest id (null last) of
+  each group linked by shingles of five words at a similarity of 0.8 or more.
+  Every row is a document of its own, whatever its id: of rows that repeat one
+  stays, and rows that share an id but not a text, or have none, are compared
+  like others.
 * ``mixing`` repeats or leaves out documents so that sources meet their targets.
 * ``packing`` tokenises what is left and packs it into sequences.
 
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 
 from folio.llm import cube_mixing, line_spread, lp_packing, metric_join, unigram_langid
 from folio.llm._common import staged
-from folio.llm.queries import LEAST_SITES, MOST_REMOVED, PIECE_VOCABULARY, WORD_TOKENIZER
+from folio.llm.queries import LEAST_SITES, PIECE_VOCABULARY, WORD_TOKENIZER
 from folio.tables import table
 
 LEAST_POSTERIOR = 0.5
@@ -39,17 +43,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = line_spread.dedup(docs, LEAST_SITES, MOST_REMOVED, counts=("__lines", "__removed"))
+    cleaned = line_spread.dedup(docs, LEAST_SITES, spare_copies=True, counts=("__lines", "__removed"))
     n_chars = F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = metric_join.classify(docs, size=SHINGLE_WORDS, percent=SIMILARITY_PERCENT)
-    copies = staged(groups.where("component_id IS NOT NULL AND NOT doc_id <=> component_id").select("doc_id", F.col("doc_id").alias("id")).distinct(), "copies")
-    few = copies.count() <= metric_join.BROADCAST_NODES
-    side = copies.select(F.col("id").alias("__copy"))
-    return docs.join(F.broadcast(side) if few else side, docs["doc_id"].eqNullSafe(F.col("__copy")), "left_anti")
+    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    groups = metric_join.classify(rows, key="__row", size=SHINGLE_WORDS, percent=SIMILARITY_PERCENT)
+    members = staged(groups.where("component_id IS NOT NULL").join(rows.select("__row", "doc_id"), "__row").select("__row", "doc_id", "component_id"), "members")
+    kept = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("kept"), F.count("*").alias("n")).where("n > 1")
+    copies = staged(members.join(_small(kept), "component_id").where("__row <> kept").select("__row"), "copies")
+    return rows.join(_small(copies), "__row", "left_anti").select(*docs.columns)
+
+
+def _small(side: DataFrame) -> DataFrame:
+    """Broadcast after a look at its size: rows of a few numbers."""
+    return F.broadcast(side) if side.count() <= metric_join.BROADCAST_NODES else side
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
