@@ -8,16 +8,23 @@ by the cube method: probabilities move through the null space of the
 constraints (words and documents) until they are 0 or 1, so that both totals of
 each block stay at their expectation.
 
+A step moves the largest open document, and others by their size to keep the
+totals, so large documents balance one another and are settled first, and what
+stays open is small.
+
 Blocks are hash buckets of one source, so a hot source has more blocks, never a
 larger one.  Each block leaves two open documents at most; these meet in blocks
-of the next level (one in ``fan_in`` of the rows), until one block per source is
-left, whose landing takes the choice nearest to its expected words.  All random
-numbers come from a hash of the row, so reruns and retried tasks agree.
+of the next level (one in ``FAN_IN`` of the rows), until one block per source is
+left.  Its landing suppresses the constraints one by one, documents before
+words, and moves on, so that every document keeps its inclusion probability; a
+source's words miss their target by one or two of its smallest documents.  All
+random numbers come from a hash of the row, so reruns and retried tasks agree.
 
 Defined cases: a null text has size 0; null sources form one source that comes
 last; documents of size 0 count in the document totals only; a source of total
 size 0 has target 0 and is not taken; repeated rows are separate documents; an
-empty table gives an empty result.
+empty table gives an empty result.  Rows without a key are told apart by their
+text and their place in the input, so they spread over blocks like others.
 """
 
 from __future__ import annotations
@@ -30,10 +37,9 @@ from pyspark.sql import functions as F
 from ._common import WORD_PATTERN, staged
 
 SEED = 20_240_601
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 512
 FAN_IN = 256
-#: Documents of each source that wait for the landing.
-RESERVE = 64
+TINY = 1e-9
 #: Source tables of up to so many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -70,68 +76,72 @@ def targets(sized: DataFrame, weights: tuple[int, ...], total_percent: int, most
     return rows.withColumn("target", target).withColumn("ratio", ratio).select("source", "source_size", "n_documents", "weight", "target", "ratio")
 
 
-def flight(chance: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """Move probabilities through the null space of (1, size) until two open ones are left at most."""
-    p, s, u = chance.tolist(), size.tolist(), draws.tolist()
-    tiny = 1e-12
-    held: list[int] = []
-    for i in range(len(p)):
-        if tiny < p[i] < 1 - tiny:
-            held.append(i)
+def _direction(rules: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray | None:
+    """Move 1 for document k and the least weighted moves of the others that keep all totals; None if there are none."""
+    weight = weight.copy()
+    weight[k] = 0.0
+    spread = rules * weight
+    gram, owed = spread @ rules.T, -rules[:, k]
+    if len(rules) == 2:
+        (x, y), (_, z) = gram.tolist()
+        det = x * z - y * y
+        if det <= 1e-12 * x * z:
+            factors = np.linalg.lstsq(gram, owed, rcond=1e-9)[0]
         else:
-            p[i] = float(p[i] > 0.5)
-        while len(held) == 3:
-            a, b, c = held
-            move = (s[c] - s[b], s[a] - s[c], s[b] - s[a])
-            if not any(move):
-                move = (1, -1, 0)
-            up = min((1 - p[k]) / m if m > 0 else p[k] / -m for k, m in zip(held, move, strict=True) if m)
-            down = min(p[k] / m if m > 0 else (1 - p[k]) / -m for k, m in zip(held, move, strict=True) if m)
-            step = up if u[i] * (up + down) < down else -down
-            for k, m in zip(held, move, strict=True):
-                p[k] += step * m
-            still = [k for k in held if tiny < p[k] < 1 - tiny]
-            for k in held:
-                if k not in still:
-                    p[k] = float(p[k] > 0.5)
-            if len(still) == 3:  # rounding left all open: close the nearest
-                k = min(held, key=lambda k: min(p[k], 1 - p[k]))
-                p[k] = float(p[k] > 0.5)
-                still.remove(k)
-            held = still
-    return np.array(p)
-
-
-def land(chance: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Close the open probabilities from large to small documents, each the way that leaves fewer words (for empty ones: documents) owed."""
-    p = chance.copy()
-    rest = np.flatnonzero((p > 0) & (p < 1))
-    words = documents = 0.0
-    for k in rest[np.lexsort((rest, -size[rest]))].tolist():
-        words, documents = words + p[k] * size[k], documents + p[k]
-        p[k] = float(words >= size[k] / 2 if size[k] else documents >= 0.5)
-        words, documents = words - p[k] * size[k], documents - p[k]
+            factors = np.array([z * owed[0] - y * owed[1], x * owed[1] - y * owed[0]]) / det
+    else:
+        factors = np.linalg.lstsq(gram, owed, rcond=1e-9)[0]
+    move = factors @ spread
+    move[k] = 1.0
+    return move if np.abs(rules @ move).max(initial=0.0) < 1e-9 else None
+
+
+def flight(chance: np.ndarray, size: np.ndarray, draws: np.random.Generator, constraints: int = 2) -> np.ndarray:
+    """Move probabilities through the null space of the first ``constraints`` of (size, 1) until it has no direction left."""
+    p = np.where(chance < TINY, 0.0, np.where(chance > 1 - TINY, 1.0, chance))
+    scaled = size / max(1.0, float(size.max(initial=0)))
+    rules = np.stack([scaled, np.ones(len(p))])[:constraints]
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    open_ = open_[np.argsort(-size[open_], kind="stable")]
+    while len(open_):
+        # Others move by their size, so that small documents wait until they are needed.
+        tries = (_direction(rules[:, open_], scaled[open_] + TINY, k) for k in range(min(len(open_), constraints + 1)))
+        move = next((m for m in tries if m is not None), None)
+        if move is None:
+            break
+        move[np.abs(move) < 1e-12] = 0.0
+        own = p[open_]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up = np.where(move > 0, (1 - own) / move, np.where(move < 0, own / -move, np.inf)).min()
+            down = np.where(move > 0, own / move, np.where(move < 0, (1 - own) / -move, np.inf)).min()
+        own = own + (up if draws.uniform() * (up + down) < down else -down) * move
+        own[own < TINY] = 0.0
+        own[own > 1 - TINY] = 1.0
+        if ((own > 0) & (own < 1)).all():  # rounding left all open: close the nearest
+            k = int(np.minimum(own, 1 - own).argmin())
+            own[k] = round(own[k])
+        p[open_] = own
+        open_ = open_[(own > 0) & (own < 1)]
     return p
 
 
-def _balance(df: DataFrame, fan_in: int, first: bool, last: bool) -> DataFrame:
+def land(chance: np.ndarray, size: np.ndarray, draws: np.random.Generator) -> np.ndarray:
+    """Settle what the flight leaves: the document total goes first, then the words."""
+    for constraints in (1, 0):
+        chance = flight(chance, size, draws, constraints)
+    return chance
+
+
+def _balance(df: DataFrame, fan_in: int, last: bool) -> DataFrame:
     """One level: the cube's flight in each (source, block), with the landing at the last level."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.take(pa.array(np.lexsort((t["size"].to_numpy(), t["__hash"].to_numpy()))))
-        draws = ((t["__hash"].to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) / float(1 << 53)
-        size, p = t["size"].to_numpy(), t["__chance"].to_numpy().copy()
-        reserve = t["__reserve"].to_numpy(zero_copy_only=False).copy()
-        if first:
-            # The first blocks keep rows of all sizes out of the flight, for the landing.
-            blocks = max(1, t["__blocks"][0].as_py())
-            reserve[: -(-RESERVE // blocks) if t["__block"][0].as_py() < RESERVE else 0] = True
-        main = np.flatnonzero(~reserve)
-        p[main] = flight(p[main], size[main], draws[main])
+        size = t["size"].to_numpy()
+        draws = np.random.default_rng(t["__hash"].to_numpy()[:4].view(np.uint64))
+        p = flight(t["__chance"].to_numpy(), size, draws)
         if last:
-            # Ever smaller documents of the reserve settle the words still owed.
-            p = land(p, size)
-        t = t.set_column(t.schema.get_field_index("__reserve"), "__reserve", pa.array(reserve))
+            p = land(p, size, draws)
         return t.set_column(t.schema.get_field_index("__chance"), "__chance", pa.array(p, pa.float64()))
 
     block = F.pmod(F.floor(F.col("__block") / fan_in), F.lit(1 << 62))
@@ -155,23 +165,24 @@ def mix(
 
     Sources weigh ``weights``, repeating, by code point of their name, null last.
     """
-    sized = df.select(*(F.col(k).alias(f"k_{k}") for k in keep), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), F.xxhash64(F.lit(SEED), F.col(key)).alias("__hash"))
+    row = F.xxhash64(F.lit(SEED), F.col(key), F.col(text), F.when(F.col(key).isNull(), F.monotonically_increasing_id()))
+    sized = df.select(*(F.col(k).alias(f"k_{k}") for k in keep), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), row.alias("__hash"))
     per_source = staged(targets(sized, weights, total_percent, most_repeats), "mix-targets")
     seen = per_source.agg(F.count("*").alias("n"), F.max("n_documents").alias("most")).first()
     small = F.broadcast(per_source) if seen["n"] <= BROADCAST_SOURCES else per_source
     per = small.withColumn("__blocks", F.ceil(F.col("n_documents") / BLOCK_ROWS)).withColumnRenamed("source", "__source").drop("weight", "n_documents")
     rows = sized.join(per, sized["source"].eqNullSafe(per["__source"]), "left").drop("__source")
     chance = F.col("ratio") - F.floor("ratio")
-    rows = rows.withColumn("__block", F.pmod(F.xxhash64("__hash"), F.col("__blocks"))).withColumn("__chance", chance).withColumn("__reserve", F.lit(False))
+    rows = rows.withColumn("__block", F.pmod(F.xxhash64("__hash"), F.col("__blocks"))).withColumn("__chance", chance)
     blocks = -(-(seen["most"] or 0) // BLOCK_ROWS)
     done = None
-    level = _balance(rows, 1, True, blocks <= 1)
+    level = _balance(rows, 1, blocks <= 1)
     while blocks > 1:
         level = staged(level, "mix-level")
         closed = level.where(F.col("__chance").isin(0.0, 1.0))
         done = closed if done is None else done.unionByName(closed)
         blocks = -(-blocks // FAN_IN)
-        level = _balance(level.where(~F.col("__chance").isin(0.0, 1.0)), FAN_IN, False, blocks <= 1)
+        level = _balance(level.where(~F.col("__chance").isin(0.0, 1.0)), FAN_IN, blocks <= 1)
     done = level if done is None else done.unionByName(level)
     made = {"size": F.col("size"), "source": F.col("source"), "source_size": F.col("source_size"), "target": F.col("target"), "ratio": F.col("ratio"), copies: (F.floor("ratio") + F.col("__chance")).cast("long")}
     return done.select(*(F.col(f"k_{k}").alias(k) for k in keep), *(c.alias(name) for name, c in made.items() if name not in keep))

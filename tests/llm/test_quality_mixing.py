@@ -86,12 +86,36 @@ def test_mixing_meets_targets(spark):
 def test_flight_keeps_totals_and_probabilities():
     rng = np.random.default_rng(0)
     size, chance = rng.integers(1, 100, 40), rng.uniform(0.1, 0.9, 40)
-    runs = np.array([C.flight(chance, size, np.random.default_rng(k).uniform(size=40)) for k in range(1500)])
+    runs = np.array([C.flight(chance, size, np.random.default_rng(k)) for k in range(1500)])
     assert np.allclose(runs @ size, chance @ size) and np.allclose(runs.sum(axis=1), chance.sum())
     assert ((runs > 1e-9) & (runs < 1 - 1e-9)).sum(axis=1).max() <= 2
     assert np.abs(runs.mean(axis=0) - chance).max() < 0.06
 
 
+def test_landing_keeps_probabilities_and_leaves_little():
+    rng = np.random.default_rng(2)
+    size, chance = np.r_[rng.integers(1, 30, 40), rng.integers(100, 1000, 60), 0], rng.uniform(0.1, 0.9, 101)
+    runs = []
+    for k in range(1500):
+        draws = np.random.default_rng(k)
+        runs.append(C.land(C.flight(chance, size, draws), size, draws))
+    runs = np.array(runs)
+    assert set(np.unique(runs)) == {0.0, 1.0} and np.abs(runs.mean(axis=0) - chance).max() < 0.06
+    owed = np.abs(runs @ size - chance @ size)  # of about 17,000 words
+    assert np.median(owed) <= 10 and np.quantile(owed, 0.9) <= 120 and np.abs(runs.sum(axis=1) - chance.sum()).max() < 2
+    # Equal sizes, all empty, nothing open.
+    for sizes in (np.full(9, 7), np.zeros(9, np.int64)):
+        draws = np.random.default_rng(1)
+        assert set(np.unique(C.land(C.flight(np.full(9, 0.4), sizes, draws), sizes, draws))) <= {0.0, 1.0}
+    assert C.flight(np.array([0.0, 1.0]), np.array([3, 4]), np.random.default_rng(0)).tolist() == [0.0, 1.0]
+
+
+def test_mixing_spreads_rows_without_key(spark):
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), (F.col("id") % 2).cast("string").alias("source"))
+    got = C.mix(df).collect()
+    assert len(got) == 3000 and abs(sum(r["size"] * r["copies"] for r in got) - 1.5 * 9000) <= 6
+
+
 def test_mixing_edges(spark):
     assert C.mix(documents(spark, [])).collect() == []
     empty = C.mix(spark.createDataFrame([(1, None, "a"), (1, None, "a"), (None, "", None)], "doc_id long, text string, source string")).collect()
