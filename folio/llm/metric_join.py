@@ -49,7 +49,9 @@ BROADCAST_NODES = 500_000
 HOT = 50_000
 SHARD_SHINGLES = 2_000_000
 #: Members of a region that meet one copy of its pivot.
-SALT_ROWS = 20_000
+SALT_ROWS = 256
+#: Bytes of a broadcast table whose rows differ in size; shingles of the open members that meet in one task.
+BROADCAST_BYTES, GROUP_SHINGLES = 32 << 20, 4_000_000
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -89,6 +91,14 @@ class Order:
         return np.where(self.keys[at] == keys, self.counts[at], 0)
 
 
+#: Classes of counts: sixteenths of their binary logarithm.
+CLASSES = 16 * 64
+
+
+def count_class(counts: np.ndarray) -> np.ndarray:
+    return (16 * np.log2(counts.astype(np.float64))).astype(np.int64)
+
+
 def _frequent(rows: DataFrame, size: int, total: int) -> Order:
     """Count the shingles of all nodes (key, text) in shards; gather the ``KNOWN`` most frequent at most."""
     bits = min(48, max(24, total.bit_length() + 5))
@@ -116,22 +126,22 @@ def _frequent(rows: DataFrame, size: int, total: int) -> Order:
         keys, at = np.unique(np.concatenate([expand_sorted(x) for x in t["x"].to_pylist()]), return_inverse=True)
         counts = np.bincount(at, np.concatenate([expand(x) for x in t["y"].to_pylist()])).astype(np.int64)
         often = counts >= LEAST_FREQUENT
-        histogram = np.bincount(np.minimum(counts[often], 65535), minlength=1)
+        histogram = np.bincount(count_class(counts[often]), minlength=1)
         return pa.table({"histogram": pa.array([press(histogram)], pa.binary()), "keys": pa.array([press(keys[often])], pa.binary()), "counts": pa.array([press(counts[often])], pa.binary())})
 
     counted = staged(rows.mapInArrow(send, "shard long, x binary, y binary").groupBy("shard").applyInArrow(add, "histogram binary, keys binary, counts binary"), "frequent")
-    histogram = np.zeros(65536, np.int64)
+    histogram = np.zeros(CLASSES + 1, np.int64)
     for row in counted.select("histogram").toLocalIterator():
         part = expand(bytes(row["histogram"])).astype(np.int64)
         histogram[: len(part)] += part
-    held = np.cumsum(histogram[::-1])[::-1]
-    least = int(np.argmax(held <= KNOWN)) if held[-1] <= KNOWN else 65535
+    # The least class from which on there are KNOWN shingles at most.
+    least = int(np.argmax(np.cumsum(histogram[::-1])[::-1] <= KNOWN))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 keys, counts = expand(x), expand(y)
-                kept = counts >= least
+                kept = count_class(counts) >= least
                 yield pa.RecordBatch.from_arrays([pa.array([press_sorted(keys[kept])], pa.binary()), pa.array([press(counts[kept])], pa.binary())], names=["x", "y"])
 
     keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -139,7 +149,7 @@ def _frequent(rows: DataFrame, size: int, total: int) -> Order:
         keys.append(expand_sorted(bytes(row["x"])))
         counts.append(expand(bytes(row["y"])).astype(np.int64))
     forget(counted)
-    return Order(bits, np.concatenate(keys)[-KNOWN:], np.concatenate(counts)[-KNOWN:])
+    return Order(bits, np.concatenate(keys), np.concatenate(counts))
 
 
 def _packed(rows: DataFrame, size: int, percent: int, order: Order, shards: int) -> DataFrame:
@@ -216,7 +226,7 @@ def _edges(packed: DataFrame) -> DataFrame:
         return cold.distinct()
     rows = rows.withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") + F.col("guest"))
     buckets = rows.groupBy("shingle", "band").agg(F.min("node").alias("pivot"), F.count("*").alias("k"), F.min("guest").alias("own")).where("k > 1 AND own = 0").select("shingle", "band", "pivot")
-    hot = rows.join(buckets, ["shingle", "band"]).where("node <> pivot").select("pivot", "node")
+    hot = rows.join(small(buckets), ["shingle", "band"]).where("node <> pivot").select("pivot", "node")
     return cold.unionByName(hot).distinct()
 
 
@@ -321,7 +331,8 @@ def _first_round(own: DataFrame, edges: DataFrame, size: int, percent: int) -> D
     members = edges.join(sizes, "pivot").select("node", "pivot", F.pmod(F.xxhash64("node"), salts).cast("long").alias("salt"), F.lit(1).alias("own"))
     pivots = sizes.select(F.col("pivot").alias("node"), "pivot", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.lit(0).alias("own"))
     places = staged(members.unionByName(pivots).groupBy("node").agg(F.collect_list(F.struct("pivot", "salt", "own")).alias("places")), "places")
-    side = F.broadcast(places) if places.count() <= BROADCAST_NODES else places
+    held = places.agg(F.sum(32 + 24 * F.size("places"))).first()[0] or 0
+    side = F.broadcast(places) if held <= BROADCAST_BYTES else places
     placed = own.join(side.withColumnRenamed("node", "key"), "key")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,33 +370,45 @@ def _second_round(own: DataFrame, first: DataFrame, size: int, percent: int, sma
     Regions of more than ``small_region`` such members are cut into windows of
     the distance from the pivot and of the set's size (its distance from the
     empty set); neighbouring windows overlap by one, and a pair is compared in
-    the higher one of its two.
+    the higher one of its two.  A window of more than ``GROUP_SHINGLES`` is dealt
+    to parts, and every two parts meet in a cell of their own, so no task holds
+    more than two parts and every pair is still compared.
     """
     eps = 1 - percent / 100
     open_ = first.where(~F.col("linked")).groupBy("pivot").agg(F.min("d").alias("nearest"))
-    members = first.join(open_, "pivot").where(~F.col("linked") | (F.col("d") >= F.col("nearest") - eps - 1e-9))
+    members = first.join(small(open_), "pivot").where(~F.col("linked") | (F.col("d") >= F.col("nearest") - eps - 1e-9))
     sizes = members.groupBy("pivot").agg(F.count("*").alias("k")).where("k > 1")
-    members = staged(members.join(sizes, "pivot"), "open-members")
+    members = staged(members.join(small(sizes), "pivot"), "open-members")
     sets = _sets(_near(own, members.select("node").distinct(), "key"), "key", "text", size)
     wide = F.col("k") > small_region
     ring = F.when(wide, F.floor(F.col("d") / (eps + 1e-9))).otherwise(0)
     band = F.when(wide, F.floor(F.log("n") / float(np.log(100 / percent) + 1e-12))).otherwise(0)
     steps = F.when(wide, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    placed = members.select("pivot", "node", "linked", ring.cast("int").alias("ring"), band.cast("int").alias("band"), steps.alias("steps"))
+    placed = members.select("pivot", "node", "n", "linked", ring.cast("int").alias("ring"), band.cast("int").alias("band"), steps.alias("steps"))
     placed = placed.withColumn("up", F.explode("steps")).withColumn("over", F.explode("steps"))
-    placed = placed.select("pivot", "node", "linked", "ring", "band", (F.col("ring") + F.col("up")).alias("at_ring"), (F.col("band") + F.col("over")).alias("at_band")).join(sets, "node")
+    window = ["pivot", "at_ring", "at_band"]
+    placed = placed.select("pivot", "node", "n", "linked", "ring", "band", (F.col("ring") + F.col("up")).alias("at_ring"), (F.col("band") + F.col("over")).alias("at_band"))
+    loads = placed.groupBy(*window).agg(F.ceil(F.sum("n") / GROUP_SHINGLES).alias("parts")).where("parts > 1")
+    placed = placed.join(small(loads), window, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))))
+    placed = placed.select("pivot", "node", "linked", "ring", "band", "at_ring", "at_band", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")).join(sets, "node")
 
     def run(t: pa.Table) -> pa.Table:
-        node, linked = t["node"].to_pylist(), t["linked"].to_pylist()
-        ring, band, at = t["ring"].to_pylist(), t["band"].to_pylist(), (t["at_ring"][0].as_py(), t["at_band"][0].as_py())
+        node, linked, ring, band, part = (t[c].to_pylist() for c in ("node", "linked", "ring", "band", "part"))
+        at = tuple(t[c][0].as_py() for c in ("at_ring", "at_band", "low", "high"))
 
         def here(i: int, j: int) -> bool:
-            return not (linked[i] and linked[j]) and (max(ring[i], ring[j]), max(band[i], band[j])) == at
+            return not (linked[i] and linked[j]) and (max(ring[i], ring[j]), max(band[i], band[j]), min(part[i], part[j]), max(part[i], part[j])) == at
 
         found = join_region([np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()], percent, here)
         return pa.table({"a": pa.array([node[i] for i, _ in found], pa.int64()), "b": pa.array([node[j] for _, j in found], pa.int64())})
 
-    return placed.groupBy("pivot", "at_ring", "at_band").applyInArrow(run, "a long, b long")
+    return placed.groupBy(*window, "low", "high").applyInArrow(run, "a long, b long")
+
+
+def small(side: DataFrame) -> DataFrame:
+    """Broadcast after a look at its size: rows of a few numbers."""
+    return F.broadcast(side) if side.count() <= BROADCAST_NODES else side
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -410,8 +433,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _near(left: DataFrame, nodes: DataFrame, on: str) -> DataFrame:
     """Rows of ``left`` whose ``on`` is in ``nodes``; broadcast after a look at its size."""
-    side = nodes.select(F.col("node").alias(on))
-    return left.join(F.broadcast(side) if nodes.count() <= BROADCAST_NODES else side, on, "left_semi")
+    return left.join(small(nodes.select(F.col("node").alias(on))), on, "left_semi")
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:

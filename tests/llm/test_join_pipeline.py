@@ -67,11 +67,31 @@ def test_components_by_brute_force(spark, size, percent):
 def test_hot_shingles_take_the_join(spark, monkeypatch):
     monkeypatch.setattr(J, "HOT", 3)
     monkeypatch.setattr(J, "SALT_ROWS", 2)
+    monkeypatch.setattr(J, "BROADCAST_NODES", 5)
+    monkeypatch.setattr(J, "BROADCAST_BYTES", 5)
     rows = corpus(7)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows, 4, 85)
 
 
+@pytest.mark.parametrize("known, shingles", [(40, 100), (0, 1500)])
+def test_open_members_in_parts_and_few_known_shingles(spark, monkeypatch, known, shingles):
+    monkeypatch.setattr(J, "KNOWN", known)
+    monkeypatch.setattr(J, "GROUP_SHINGLES", shingles)
+    rows = corpus(9)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.classify(spark.createDataFrame(rows, "doc_id long, text string"), percent=60).collect()}
+    assert got == brute(rows, 4, 60)
+
+
+def test_known_shingles_are_the_most_frequent(spark, monkeypatch):
+    monkeypatch.setattr(J, "KNOWN", 30)
+    rows = [(i, " ".join(f"w{k}" for k in range(40) if i % (k + 1) == 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "key long, text string")
+    order = J._frequent(df, 1, 200 * 40)
+    counts = sorted((sum(i % (k + 1) == 0 for i in range(200)) for k in range(40)), reverse=True)
+    assert 0 < len(order.counts) <= 30 and sorted(order.counts.tolist(), reverse=True) == counts[: len(order.counts)]
+
+
 def test_edges(spark):
     assert J.classify(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     rows = [(None, "a b c d e"), (5, "a b c d e"), (None, "solo text here now"), (7, "x y"), (7, "p q r s t u v w")]
