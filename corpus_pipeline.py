@@ -53,13 +53,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = metric_join.classify(rows, key="__row", size=SHINGLE_WORDS, percent=SIMILARITY_PERCENT)
     members = staged(groups.where("component_id IS NOT NULL").join(rows.select("__row", "doc_id"), "__row").select("__row", "doc_id", "component_id"), "members")
     kept = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("kept"), F.count("*").alias("n")).where("n > 1")
-    copies = staged(members.join(_small(kept), "component_id").where("__row <> kept").select("__row"), "copies")
-    return rows.join(_small(copies), "__row", "left_anti").select(*docs.columns)
-
-
-def _small(side: DataFrame) -> DataFrame:
-    """Broadcast after a look at its size: rows of a few numbers."""
-    return F.broadcast(side) if side.count() <= metric_join.BROADCAST_NODES else side
+    copies = staged(members.join(metric_join.small(kept), "component_id").where("__row <> kept").select("__row"), "copies")
+    return rows.join(metric_join.small(copies), "__row", "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
