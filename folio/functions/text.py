@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 # The stop words, patterns and keywords that results depend on.
 STOP_WORDS = (
-    "a an and document documents for from in is of on or please query source the to with "
-    "기반 기반으로 내용 대한 문서 문서를 분석해줘 설명 설명해줘 요청 작성 작성해줘 정보 정리 정리해줘 질문 찾아줘 쿼리 해줘"
-).split()
+    "a", "an", "and", "document", "documents", "for", "from", "in", "is", "of", "on", "or", "please", "query", "source", "the", "to", "with", "기반",
+    "기반으로", "내용", "대한", "문서", "문서를", "분석해줘", "설명", "설명해줘", "요청", "작성", "작성해줘", "정보", "정리", "정리해줘", "질문", "찾아줘", "쿼리", "해줘",
+)
 TOKEN = "[0-9A-Za-z가-힣]+"
 UPPER_CODE = "(?U)\\b[A-Z][A-Z0-9&.\\-/]{1,20}\\b"
 NUMERIC_CODE = "(?U)\\b[0-9]{4,8}\\b"
@@ -49,50 +49,76 @@ def weird_ratio(text: Column) -> Column:
     return F.when(visible > 0, 1 - F.regexp_count(text, F.lit(ALLOWED)) / visible).otherwise(1.0)
 
 
-def long_token_ratio(text: Column) -> Column:
-    found = words(text)
-    return F.when(F.size(found) > 0, F.size(F.filter(found, lambda w: F.length(w) >= LONG_TOKEN)) / F.size(found)).otherwise(1.0)
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def longest_run(text: Column) -> Column:
-    """Length of the longest run of one visible character; 1 in any text."""
-    runs = F.regexp_extract_all(text, F.lit("(?sU)((\\S)\\2*)"), F.lit(1))
-    return F.greatest(F.lit(1), F.coalesce(F.array_max(F.transform(runs, lambda r: F.length(r))), F.lit(1)))
+def _long_share(found: Column) -> Column:
+    return F.when(F.size(found) > 0, F.size(F.filter(found, lambda w: F.length(w) >= LONG_TOKEN)) / F.size(found)).otherwise(1.0)
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def long_token_ratio(text: Column) -> Column:
+    return let(words(text), _long_share)
 
 
-def repeated_share(text: Column) -> Column:
-    """Occurrences of words that stand four times or more, by the number of distinct words."""
+def longest_run(text: Column) -> Column:
+    """Length of the longest run of one visible character; 1 in any text."""
+    runs = F.regexp_extract_all(text, F.lit("(?sU)((\\S)\\2+)"), F.lit(1))
+    return F.coalesce(F.greatest(F.lit(1), F.array_max(F.transform(runs, lambda r: F.length(r)))), F.lit(1))
+
 
+def _repeated(found: Column) -> Column:
     def share(found: Column) -> Column:
         # Equal words are neighbours in a sorted array: a place counts if a window of four around it has equal ends.
         def often(w: Column, i: Column) -> Column:
             ends = [(F.get(found, i - k) == w) & (F.get(found, i - k + REPEATS - 1) == w) for k in range(REPEATS)]
             return F.coalesce(*(F.when(e, True) for e in ends), F.lit(False))
 
-        return F.size(F.filter(found, often)) / F.greatest(F.lit(1), F.size(F.array_distinct(found)))
+        # Fewer words than that repeat nothing so often.
+        return F.when(F.size(found) < REPEATS, 0.0).otherwise(F.size(F.filter(found, often)) / F.greatest(F.lit(1), F.size(F.array_distinct(found))))
 
-    return let(F.sort_array(words(text)), share)
+    return let(F.sort_array(found), share)
+
+
+def repeated_share(text: Column) -> Column:
+    """Occurrences of words that stand four times or more, by the number of distinct words."""
+    return _repeated(words(text))
 
 
 def repeat_penalty(text: Column) -> Column:
     return F.when(F.length(text) == 0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(longest_run(text) / RUN_LIMIT, repeated_share(text))))
 
 
+def measures(cleaned: Column) -> Column:
+    """struct<weird, long_tokens, repeat, quality> of text that ``clean_text`` has been over; each count is taken once."""
+    hangul, latin, han, _ = script_counts(cleaned)
+    counted = F.struct(
+        F.length(cleaned).alias("length"), hangul.alias("hangul"), latin.alias("latin"), han.alias("han"), F.regexp_count(cleaned, F.lit("(?U)\\S")).alias("visible"),
+        F.regexp_count(cleaned, F.lit(ALLOWED)).alias("allowed"), longest_run(cleaned).alias("run"), words(cleaned).alias("words"),
+    )
+
+    def shares(c: Column) -> Column:
+        weird = F.when(c["visible"] > 0, 1 - c["allowed"] / c["visible"]).otherwise(1.0)
+        repeat = F.when(c["length"] == 0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(c["run"] / RUN_LIMIT, _repeated(c["words"]))))
+        other = c["visible"] - c["hangul"] - c["latin"] - c["han"]
+        return F.struct(weird.alias("weird"), _long_share(c["words"]).alias("long_tokens"), repeat.alias("repeat"), c["length"].alias("length"), other.alias("other"), *((c[n] > 0).cast("int").alias(n) for n in ("hangul", "latin", "han")))
+
+    def scored(m: Column) -> Column:
+        length, other = m["length"], m["other"]
+        groups = m["hangul"] + m["latin"] + m["han"] + (other > 0).cast("int")
+        mixed = F.when(groups >= 4, 1.0).when((groups == 3) & (other > 0), 0.7).when(other > 0, F.least(F.lit(1.0), other / length)).otherwise(0.0)
+        short = F.when(length < 6, 1.0).when(length < 15, 0.5).otherwise(0.0)
+        score = 1.0 - m["weird"] * 0.4 - mixed * 0.3 - F.greatest(m["repeat"], m["long_tokens"]) * 0.2 - short * 0.1
+        quality = F.when(length == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(score + 1e-9, 4))))
+        return F.struct(m["weird"].alias("weird"), m["long_tokens"].alias("long_tokens"), m["repeat"].alias("repeat"), quality.alias("quality"))
+
+    return let(let(counted, shares), scored)
+
+
 def text_quality(cleaned: Column) -> Column:
     """0 to 1, four places, for text that ``clean_text`` has been over."""
-    hangul, latin, han, other = script_counts(cleaned)
-    groups = sum(((c > 0).cast("int") for c in (hangul, latin, han, other)), F.lit(0))
-    length = F.length(cleaned)
-    mixed = F.when(groups >= 4, 1.0).when((groups == 3) & (other > 0), 0.7).when(other > 0, F.least(F.lit(1.0), other / length)).otherwise(0.0)
-    short = F.when(length < 6, 1.0).when(length < 15, 0.5).otherwise(0.0)
-    repeat = F.greatest(repeat_penalty(cleaned), long_token_ratio(cleaned))
-    score = 1.0 - weird_ratio(cleaned) * 0.4 - mixed * 0.3 - repeat * 0.2 - short * 0.1
-    return F.when(length == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(score + 1e-9, 4))))
+    return measures(cleaned)["quality"]
 
 
 def language_of(hangul: Column, latin: Column, han: Column) -> Column:

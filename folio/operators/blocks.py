@@ -69,8 +69,8 @@ def is_meta(block_label: Column, raw: Column) -> Column:
     return block_label.isin(*META_CANONICAL) | raw.isin(*META_RAW)
 
 
-def canonical(blocks: DataFrame) -> DataFrame:
-    """Cleaned text, canonical label, normalised box, quality, ids and a reading order from 0."""
+def canonical(blocks: DataFrame, measured: bool = False) -> DataFrame:
+    """Cleaned text, canonical label, normalised box, quality, ids and a reading order from 0; ``measured`` adds what quality is made of."""
     given = F.col("given_order") if "given_order" in blocks.columns else F.lit(None).cast("int")
     index = F.col("block_index") - 1
     named = blocks.select(
@@ -80,4 +80,6 @@ def canonical(blocks: DataFrame) -> DataFrame:
         F.coalesce(given, index).alias("given"),
     )
     order = Window.partitionBy("doc_id", "page").orderBy("given", "y1", "x1")
-    return named.withColumn("quality", T.text_quality(F.col("text"))).withColumn("reading_order", F.row_number().over(order) - 1).drop("given")
+    rows = named.withColumn("measures", T.measures(F.col("text"))).withColumn("quality", F.col("measures.quality"))
+    rows = rows.withColumn("reading_order", F.row_number().over(order) - 1)
+    return rows.drop("given") if measured else rows.drop("given", "measures")

@@ -163,7 +163,7 @@ def breakdown(rows: DataFrame, key: str) -> DataFrame:
     """key, n, share (% of all, one place), by falling n, then key."""
     counts = rows.groupBy(key).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select(key, "n", F.round(100.0 * F.col("n") / F.greatest("total", F.lit(1)), 1).alias("share"))
+    return counts.crossJoin(F.broadcast(total)).select(key, "n", F.round(100.0 * F.col("n") / F.greatest("total", F.lit(1)), 1).alias("share")).orderBy(F.desc("n"), key)
 
 
 LEVELS = ("document", "section", "block")

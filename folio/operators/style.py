@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -77,24 +79,59 @@ def edit_slice(source: Column, found: Column) -> Column:
     return F.pandas_udf(run, "first int, stop int")(source, found)
 
 
+def _after(text: str) -> dict[str, np.ndarray]:
+    """By character: where its next occurrence from each place on ends; -1 for none."""
+    found: dict[str, np.ndarray] = {}
+    for c in set(text):
+        at = np.array([i for i, x in enumerate(text) if x == c])
+        nth = np.searchsorted(at, np.arange(len(text) + 1))
+        found[c] = np.where(nth < len(at), at[np.minimum(nth, len(at) - 1)] + 1, -1)
+    return found
+
+
+def best_chain(text: str, boxes: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The boxes, each right of the one before with a gap, that spell most letters of ``text`` in order.
+
+    ``boxes`` (xmin, xmax, characters) may miss letters of the text and may hold
+    several.  Of equal chains the one that ends earliest in the text is taken,
+    then the one of the first box.
+    """
+    boxes = sorted(boxes, key=lambda r: (r[1], r[0], r[2]))
+    after, rights, n = _after(text), [r[1] for r in boxes], len(text)
+    # By number of boxes looked at and letters of the text used up: most letters matched, and the box that does it.
+    most, who = [np.where(np.arange(n + 1) == 0, 0, -1)], [np.full(n + 1, -1)]
+    back: list[np.ndarray] = []
+    for i, (xmin, _, letters) in enumerate(boxes):
+        before = most[bisect_left(rights, xmin, 0, i)]
+        end = np.where(before >= 0, np.arange(n + 1), -1)
+        for c in letters:
+            end = np.where(end >= 0, after[c][end], -1) if c in after else np.full(n + 1, -1)
+        gained, origin = np.full(n + 1, -1), np.full(n + 1, -1)
+        # Later writes win: go from the worst start to the best, and of equal ones to the first.
+        start = np.flatnonzero(end >= 0)
+        start = start[np.lexsort((-start, before[start]))]
+        gained[end[start]], origin[end[start]] = before[start] + len(letters), start
+        better = gained > most[-1]
+        most.append(np.where(better, gained, most[-1]))
+        who.append(np.where(better, i, who[-1]))
+        back.append(origin)
+    chain, j = [], int(np.argmax(most[-1]))
+    looked = len(boxes)
+    while (i := int(who[looked][j])) >= 0:
+        chain.append(boxes[i])
+        looked, j = bisect_left(rights, boxes[i][0], 0, i), int(back[i][j])
+    return chain[::-1]
+
+
 def align_characters(candidates: DataFrame) -> DataFrame:
-    """block_id, place, xmin, xmax, char: the chain of boxes that spells most of ``text``, ending earliest.
+    """block_id, place, xmin, xmax, char: the chain of boxes that spells most of ``text``.
 
     Candidates (block_id, text, xmin, xmax, char) of one block are few; the
     dynamic program goes over them from left to right.
     """
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        text = block["text"].iloc[0] or ""
-        rows = sorted(zip(block["xmin"], block["xmax"], block["char"], strict=True), key=lambda r: (r[1], r[0], r[2]))
-        # By number of letters spelt: the earliest right edge and the chain that has it.
-        best: list[tuple[int, tuple]] = [(-(1 << 30), ())]
-        for k, letter in enumerate(text):
-            options = [(xmax, (*best[k][1], (xmin, xmax, c))) for xmin, xmax, c in rows if c == letter and xmin >= best[k][0]]
-            if not options:
-                break
-            best.append(min(options, key=lambda o: o[0]))
-        chain = best[-1][1]
+        chain = best_chain(block["text"].iloc[0] or "", list(zip(block["xmin"], block["xmax"], block["char"], strict=True)))
         return pd.DataFrame([(block["block_id"].iloc[0], i, *c) for i, c in enumerate(chain)], columns=["block_id", "place", "xmin", "xmax", "char"])
 
     return candidates.groupBy("block_id").applyInPandas(run, "block_id string, place int, xmin int, xmax int, char string")

@@ -29,7 +29,11 @@ QUERIES: dict[str, Query] = {}
 
 #: The questions that the search queries ask.
 QUESTIONS = [("q1", "the thing of the Nation"), ("q2", "thether ERTION with THAN"), ("q3", "para los gestion queasmitaó"), ("q4", "please find documents about ATION ENTHE 2024")]
-ENTITIES = [("q1", "Thenth"), ("q1", "the "), ("q2", "ERTION"), ("q3", "ciónado"), ("q4", "ENTHE")]
+ENTITIES = [("q1", "andonhethnt"), ("q1", "the "), ("q2", "ERTION"), ("q2", "aieauquetion"), ("q3", "ciónado"), ("q3", "achlichtz"), ("q4", "ENTHE"), ("q4", "onanwhinsh")]
+#: Model answers to some of the questions; the others get none, or no JSON.
+EXPANSIONS = {"q1": '{"entities": ["andonhethnt"], "semantic_queries": ["nation of things"], "lexical_queries": ["thing eronin"]}', "q3": '{"entities": ["achlichtz", "aimentier"], "semantic_queries": [], "lexical_queries": []}', "q4": "not-json"}
+#: (question, semantic query, vector): which vectors stand for a question's semantic queries.
+QUERY_VECTORS = [("q1", 0, 0), ("q1", 1, 1), ("q2", 0, 2), ("q3", 0, 3), ("q4", 0, 4)]
 
 
 def query(f: Query) -> Query:
@@ -57,16 +61,23 @@ def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.classify_pages(L.page_metrics(canonical(spark, sf_dir)))
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search records of all indexable blocks."""
-    rows = raw_blocks(spark, sf_dir).where(S.indexable(F.col("content")))
-    block = F.concat(F.lit("block-"), F.col("block_index"))
+def semantic_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stand-in for a semantic run over documents of even ids: roles by arithmetic, and every tenth page left out."""
+    at = F.col("doc_id") + F.col("page") + F.col("block_index")
+    rows = raw_blocks(spark, sf_dir).where("doc_id % 2 = 0 AND (doc_id + page) % 10 <> 0")
     return rows.select(
-        F.concat_ws(":", F.lit("fallback"), "doc_id", "page", "block_index").alias("record_id"), "doc_id", (F.col("page") - 1).alias("page"), block.alias("block_id"), F.col("content").alias("text"),
-        F.when(F.col("raw_label") == "doc_title", 0.8).when(F.col("raw_label") == "paragraph_title", 0.4).otherwise(0.0).alias("role_confidence"), (F.col("raw_label") == "table").alias("needs_review"),
+        "doc_id", "page", "block_index", F.col("content").alias("text"), F.when(at % 3 == 0, "body").when(at % 3 == 1, "evidence").alias("generic_role"), F.when(at % 5 == 0, "key_data_box").alias("domain_role"),
+        F.lit(None).cast("string").alias("generated_role_name"), F.when(at % 3 == 0, "thesis").otherwise("").alias("section_purpose"), ((at % 11) / 10.0).alias("role_confidence"), (at % 4 == 0).alias("needs_review"),
     )
 
 
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search records of all indexable blocks: semantic where there is a semantic page, else parsed."""
+    blocks, semantic = raw_blocks(spark, sf_dir), semantic_blocks(spark, sf_dir)
+    pages = semantic.select("doc_id", "page").distinct().withColumn("is_semantic", F.lit(True))
+    return S.build_records(pages, blocks, semantic)
+
+
 def questions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(QUESTIONS, "query_id string, query string")
 
@@ -88,13 +99,18 @@ def query_profile(spark, sf_dir):
 @query
 def search_records(spark, sf_dir):
     rows = records(spark, sf_dir)
-    text = S.embedding_text(F.col("doc_id"), F.col("page") + 1, F.col("text"))
-    return rows.select("record_id", F.length(text).cast("long").alias("embedding_chars"), F.md5(text).alias("embedding_md5"))
+    text = F.col("embedding_text")
+    return rows.select("record_id", "source_kind", F.round("role_confidence", 6).alias("role_confidence"), "needs_review", F.length("display").cast("long").alias("display_chars"), F.length(text).cast("long").alias("embedding_chars"), F.md5(text).alias("embedding_md5"))
+
+
+@query
+def search_metadata(spark, sf_dir):
+    return S.metadata(records(spark, sf_dir)).select("record_id", "page", "display_block_id", *S.ROLES, "semantic_needs_review", "source_kind")
 
 
 @query
 def bm25_docfreq(spark, sf_dir):
-    return S.postings(records(spark, sf_dir)).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df >= 5")
+    return S.postings(records(spark, sf_dir)).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def _hits(hits: DataFrame) -> DataFrame:
@@ -130,23 +146,39 @@ def entity_scores(spark, sf_dir):
     return S.entity_scores(records(spark, sf_dir), entity_rows(spark))
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Embeddings as vectors of the first block of the document of that id, and the vector 0 as the query."""
-    rows = table(spark, sf_dir, "embeddings")
-    own = rows.select(F.concat(F.lit("fallback:"), F.col("vec_id"), F.lit(":1:1")).alias("record_id"), "embedding")
-    return own, rows.where("vec_id = 0").select(F.lit("q1").alias("query_id"), F.col("embedding").alias("vector"))
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as vectors of the first block of the document of that id."""
+    kind = F.when((F.col("vec_id") % 2 == 0) & ((F.col("vec_id") + 1) % 10 != 0), "semantic").otherwise("fallback")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.concat(kind, F.lit(":"), F.col("vec_id"), F.lit(":1:1")).alias("record_id"), "embedding")
 
 
 @query
 def knn_topk(spark, sf_dir):
-    found = S.nearest(*vectors(spark, sf_dir), top=20)
+    """Every vector whose id is divisible by 50 against all vectors."""
+    rows = vectors(spark, sf_dir)
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("vector"))
+    found = S.nearest(rows, asked, top=20)
     return found.select("query_id", "record_id", F.round("distance", 5).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+def _profiles(spark: SparkSession) -> DataFrame:
+    answer = F.coalesce(*(F.when(F.col("query_id") == q, text) for q, text in EXPANSIONS.items()))
+    return S.expand(S.profile(questions(spark)).withColumn("expansion", answer).withColumn("expanded", F.col("query_id").isin("q1", "q3")))
+
+
 def _hybrid(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    rows = records(spark, sf_dir)
-    profiles = S.profile(questions(spark)).withColumn("expansion", F.when(F.col("query_id") == "q1", '{"entities": ["Thenth"], "semantic_queries": [], "lexical_queries": ["thing eronin"]}').otherwise("not-json"))
-    return S.search(rows, S.expand(profiles), *vectors(spark, sf_dir)), rows
+    rows, own = records(spark, sf_dir), vectors(spark, sf_dir)
+    asked = spark.createDataFrame(QUERY_VECTORS, "query_id string, nth int, asked long")
+    asked = own.join(F.broadcast(asked), F.col("vec_id") == F.col("asked")).select("query_id", "nth", F.col("embedding").alias("vector"))
+    return S.search(rows, _profiles(spark), own, asked), rows
+
+
+@query
+def search_trace(spark, sf_dir):
+    """The events that the hybrid search logs, with the sizes of what they tell."""
+    found, _ = _hybrid(spark, sf_dir)
+    events = S.trace_events(_profiles(spark), found, {"llm_expansion": ~F.col("expanded")})
+    return events.select("query_id", F.col("at").cast("long").alias("at"), "event", F.get_json_object("payload", "$.n").cast("long").alias("n"))
 
 
 @query
@@ -180,9 +212,8 @@ def script_buckets(spark, sf_dir):
 
 @query
 def text_quality(spark, sf_dir):
-    rows = canonical(spark, sf_dir)
-    t = F.col("text")
-    return rows.select("block_id", "page", F.round(T.weird_ratio(t), 6).alias("weird"), F.round(T.long_token_ratio(t), 6).alias("long_tokens"), F.round(T.repeat_penalty(t), 6).alias("repeat"), "quality")
+    rows = B.canonical(raw_blocks(spark, sf_dir), measured=True)
+    return rows.select("block_id", "page", *(F.round(f"measures.{c}", 6).alias(n) for c, n in (("weird", "weird"), ("long_tokens", "long_tokens"), ("repeat", "repeat"))), "quality")
 
 
 @query
@@ -203,7 +234,7 @@ def stable_hash(spark, sf_dir):
 
 @query
 def ordered_dedupe(spark, sf_dir):
-    lines = documents(spark, sf_dir).select("doc_id", T.dedupe_texts(F.split("text", "\n"), 5).alias("lines"))
+    lines = documents(spark, sf_dir).select("doc_id", T.dedupe_texts(F.split("text", "\n")).alias("lines"))
     return lines.select("doc_id", F.size("lines").cast("long").alias("n"), F.md5(F.array_join("lines", "\n")).alias("lines_md5"))
 
 
@@ -429,10 +460,9 @@ def status_stream(spark, sf_dir):
 
     schema = table(spark, sf_dir, "events").schema
     events = X.stream(spark, sf_dir, schema, "events.parquet").select("event_id", "ts", F.col("user_id").alias("run_id"), F.col("event_type").alias("event"))
-    name = f"status_{uuid.uuid4().hex}"
     from folio.shared import shared_dir
 
-    return X.drain(X.status_counts(events), name, f"{shared_dir(spark)}/{name}")
+    return X.drain(X.status_counts(events), f"{shared_dir(spark)}/folio/status-{uuid.uuid4().hex}", "run_id")
 
 
 # --- markup and evidence -------------------------------------------------------
@@ -461,7 +491,7 @@ def json_extract(spark, sf_dir):
 
 @query
 def document_extract(spark, sf_dir):
-    answer = F.concat(F.lit("Answer follows. <page id=\"p\">"), F.substring("html", 1, 80), F.lit("</page> end"))
+    answer = F.concat(F.lit("Answer follows. <page id=\"p\">"), F.col("html"), F.lit("</page> end"))
     full = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("x <document id=\"output\">"), answer, F.lit("</document> y"))).otherwise(answer)
     return table(spark, sf_dir, "pages").select("page_id", F.md5(M.document_block(full)).alias("document_md5"))
 
@@ -524,14 +554,79 @@ def font_merge(spark, sf_dir):
 @query
 def edit_slice(spark, sf_dir):
     rows = table(spark, sf_dir, "benchmark")
-    return rows.select("item_id", Y.edit_slice(F.substring("text", 1, 120), F.substring("text", 20, 30)).alias("s")).select("item_id", "s.first", "s.stop")
+    return rows.select("item_id", Y.edit_slice(F.col("text"), F.substring("text", 20, 30)).alias("s")).select("item_id", "s.first", "s.stop")
 
 
 @query
 def char_align(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id")).alias("block_id"), F.substring("text", 1, 12).alias("text"))
-    letters = rows.select("block_id", "text", F.posexplode(F.split("text", "")).alias("pos", "char"))
-    return Y.align_characters(letters.select("block_id", "text", (F.col("pos") * 10).cast("int").alias("xmin"), (F.col("pos") * 10 + 9).cast("int").alias("xmax"), "char"))
+    """Boxes of a text's letters, of which every seventh is missing and every fifth has a wrong box that touches its neighbours."""
+    rows = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id")).alias("block_id"), "text")
+    letters = rows.select("block_id", "text", F.posexplode(F.split("text", "")).alias("pos", "char")).where("char <> ''")
+    right = letters.where("pos % 7 <> 3").select("block_id", "text", (F.col("pos") * 10).cast("int").alias("xmin"), (F.col("pos") * 10 + 8).cast("int").alias("xmax"), "char")
+    wrong = letters.where("pos % 5 = 2 AND pos % 7 <> 3").select("block_id", "text", (F.col("pos") * 10 - 2).cast("int").alias("xmin"), (F.col("pos") * 10 + 10).cast("int").alias("xmax"), "char")
+    return Y.align_characters(right.unionByName(wrong))
+
+
+# --- agent and writer tools ------------------------------------------------------
+
+
+@query
+def fetch_page(spark, sf_dir):
+    """Pages that an agent asks for: one of each document that is there, one behind its end, one of no document."""
+    blocks = raw_blocks(spark, sf_dir)
+    pages = blocks.groupBy("doc_id", "page").agg(F.concat(F.lit("blocks: "), F.count("*")).alias("html"))
+    docs = documents(spark, sf_dir).where("text IS NOT NULL")
+    last = docs.select("doc_id", F.explode(F.array(F.lit(1), F.lit(0), F.lit(100_000))).alias("page")).unionByName(spark.range(1).select(F.lit(-7).cast("long").alias("doc_id"), F.lit(1).alias("page")))
+    return C.fetch_page(pages, last).select("doc_id", "page", "answer")
+
+
+@query
+def chat_export(spark, sf_dir):
+    _, text = C.export_chat(messages(spark, sf_dir))
+    return text.select("chat_id", F.md5("markdown").alias("markdown_md5"))
+
+
+@query
+def role_overlay(spark, sf_dir):
+    gated = R.gate(decisions(spark, sf_dir)).withColumn("generic_role", F.nullif("generic_role", F.lit("unknown")))
+    return C.overlay(gated).select("block_id", "generic_role", "domain_role", F.col("reading_order").cast("long").alias("reading_order"))
+
+
+@query
+def decision_parse(spark, sf_dir):
+    """A model's answers as JSON, of which some are cut off, say too much, or are out of range."""
+    at = F.col("doc_id") + F.col("reading_order")
+    answer = F.concat(
+        F.lit('<think>hm</think>{"block_id": "'), F.col("block_id"), F.lit('", "generic_role": "'), F.when(at % 5 == 0, "oddity").otherwise("body"), F.lit('", "domain_role": "supporting_argument", "role_confidence": '),
+        F.when(at % 7 == 0, "1.5").otherwise("0.87654"), F.when(at % 11 == 0, ', "mood": 1').otherwise(""), F.lit(', "reason": " first\\nsecond "'), F.when(at % 13 == 0, "").otherwise("}"),
+    )
+    rows = canonical(spark, sf_dir).select("block_id", answer.alias("answer"))
+    return R.parse_decision(rows).select("block_id", "error", "generic_role", "domain_role", "confidence", "reason")
+
+
+@query
+def output_placement(spark, sf_dir):
+    """A writer's HTML: two blocks, of which the first is given twice, and one that holds an image."""
+    div = lambda block, text: F.concat(F.lit(f'<div id="output-page-2-block-{block}"><p>'), text, F.lit("</p></div>\n"))
+    html = F.concat(div(1, F.lit("old")), div(3, F.col("source")), div(1, F.col("lang")), F.lit('<div id="page-2-block-4"><img src="x"></div>'))
+    found = E.placements(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), html.alias("html")))
+    return found.select("id", "page", "block", "html")
+
+
+@query
+def rendered_pages(spark, sf_dir):
+    """Blocks with HTML as positioned entries: how many a page has, and the first one's style."""
+    rows = raw_blocks(spark, sf_dir).withColumn("html", F.when(F.col("raw_label") != "image", F.col("content"))).withColumn("line_count", F.lit(2))
+    rows = rows.withColumn("font_family", F.when(F.col("doc_id") % 2 == 0, "Serif")).withColumn("color", F.lit(None).cast("string"))
+    entries = F.from_json("json", "array<struct<block_index:int,css:string>>")
+    return Y.rendered(rows).select("doc_id", "page", F.size(entries).cast("long").alias("n"), F.get(entries, F.lit(0))["css"].alias("css"))
+
+
+@query
+def chat_rename(spark, sf_dir):
+    """Names that chats may be given: not blank, not over 64 characters."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.repeat(F.lit(" "), 3)).otherwise(F.col("text")).alias("name"))
+    return rows.select("conv_id", "turn", C.rename_allowed(F.col("name")).alias("allowed"), C.chat_name(F.col("name")).alias("short"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,9 +48,11 @@ blocks AS (SELECT doc_id, pos // 10 + 1 AS page, pos % 10 + 1 AS block_index, co
   40 + (pos % 10) * 130 + least(110, 20 + length(content) // 8) AS y2, 1000 AS width, 1400 AS height FROM lines)"""
 
 RECORDS = rf"""{LINES},
-records AS (SELECT 'fallback:' || doc_id || ':' || page || ':' || block_index AS record_id, doc_id, page - 1 AS page, 'block-' || block_index AS block_id, content AS text,
-  CASE raw_label WHEN 'doc_title' THEN 0.8 WHEN 'paragraph_title' THEN 0.4 ELSE 0.0 END AS role_confidence, raw_label = 'table' AS needs_review
-  FROM blocks WHERE length({strip('content')}) > 0 AND NOT regexp_matches(content, '^\s*!\[[^\]]*\]\([^)]+\)\s*$'))"""
+annotated AS (SELECT *, doc_id % 2 = 0 AND (doc_id + page) % 10 <> 0 AS sem, doc_id + page + block_index AS k FROM blocks),
+records AS (SELECT CASE WHEN sem THEN 'semantic:' ELSE 'fallback:' END || doc_id || ':' || page || ':' || block_index AS record_id, doc_id, page - 1 AS page, 'block-' || block_index AS block_id, content AS text, CASE WHEN sem THEN 'semantic' ELSE 'fallback' END AS source_kind,
+  CASE WHEN sem AND k % 3 = 0 THEN 'body' WHEN sem AND k % 3 = 1 THEN 'evidence' ELSE 'unknown' END AS generic_role, CASE WHEN sem AND k % 5 = 0 THEN 'key_data_box' ELSE 'unknown' END AS domain_role, 'unknown' AS generated_role_name, CASE WHEN sem AND k % 3 = 0 THEN 'thesis' ELSE 'unknown' END AS section_purpose,
+  CASE WHEN sem THEN k % 11 / 10 ELSE 0.0 END AS role_confidence, sem AND k % 4 = 0 AS needs_review
+  FROM annotated WHERE length({strip('content')}) > 0 AND NOT regexp_matches(content, '^\s*!\[[^\]]*\]\([^)]+\)\s*$'))"""
 
 _s = scripts("text")
 CANONICAL = f"""{LINES},
@@ -123,32 +125,40 @@ _hit = "SELECT query_id, record_id, round(score, 6) AS score, array_to_string(ma
 ORACLES["bm25_topk"] = f"WITH {bm25(only=chr(34) + 'query_id' + chr(34) + ' = ' + chr(39) + 'q1' + chr(39))} {_hit}"
 ORACLES["bm25_multi_query"] = f"WITH {bm25()} {_hit}"
 ORACLES["bm25_doc_filter"] = f"WITH {bm25('doc_id < 40')} {_hit}"
-ORACLES["bm25_docfreq"] = f"WITH {RECORDS}, t AS (SELECT record_id, unnest({tokens('text')}) AS token FROM records) SELECT token, count(DISTINCT record_id) AS df, count(*) AS cf FROM t GROUP BY token HAVING count(DISTINCT record_id) >= 5"
+ORACLES["bm25_docfreq"] = f"WITH {RECORDS}, t AS (SELECT record_id, unnest({tokens('text')}) AS token FROM records) SELECT token, count(DISTINCT record_id) AS df, count(*) AS cf FROM t GROUP BY token"
 _normal = strip(r"regexp_replace(query, '\s+', ' ', 'g')")
 ORACLES["query_profile"] = rf"""WITH {QUESTIONS}, n AS (SELECT query_id, {_normal} AS normalized FROM q),
 t AS (SELECT *, list_filter({tokens('normalized')}, lambda x: length(x) >= 2 AND x NOT IN ({STOPS})) AS ts, regexp_extract_all(normalized, '\b[A-Z][A-Z0-9&.\-/]{{1,20}}\b') AS up, regexp_extract_all(normalized, '\b[0-9]{{4,8}}\b') AS nums FROM n),
 u AS (SELECT *, list_filter(ts, lambda x, i: list_position(ts, x) = i) AS tokens, list_concat(up, nums) AS entities FROM t),
 v AS (SELECT *, list_concat(entities, tokens) AS al, list_transform(list_concat(entities, tokens), lambda x: lower(x)) AS low FROM u)
 SELECT query_id, normalized, array_to_string(tokens, '|') AS query_tokens, array_to_string(entities, '|') AS entities, array_to_string(list_filter(al, lambda x, i: list_position(low, lower(x)) = i), ' ') AS lexical_queries FROM v"""
-_embed = f"'doc_id: ' || doc_id || {NL} || 'page_id: ' || (page + 1) || {NL} || 'generic_role: unknown' || {NL} || 'domain_role: unknown' || {NL} || 'generated_role_name: unknown' || {NL} || 'section_purpose: unknown' || {NL} || {NL} || 'content:' || {NL} || text"
-ORACLES["search_records"] = f"WITH {RECORDS} SELECT record_id, length({_embed}) AS embedding_chars, md5({_embed}) AS embedding_md5 FROM records"
-ENTITY_SQL = f"""{RECORDS}, e(query_id, entity) AS (VALUES ('q1', 'Thenth'), ('q1', 'the '), ('q2', 'ERTION'), ('q3', 'ciónado'), ('q4', 'ENTHE')), n AS (SELECT count(*) AS n FROM records),
+_embed = f"'doc_id: ' || doc_id || {NL} || 'page_id: ' || (page + 1) || {NL} || 'generic_role: ' || generic_role || {NL} || 'domain_role: ' || domain_role || {NL} || 'generated_role_name: unknown' || {NL} || 'section_purpose: ' || section_purpose || {NL} || {NL} || 'content:' || {NL} || text"
+ORACLES["search_records"] = f"WITH {RECORDS} SELECT record_id, source_kind, round(role_confidence, 6) AS role_confidence, needs_review, length(text) AS display_chars, length({_embed}) AS embedding_chars, md5({_embed}) AS embedding_md5 FROM records"
+ORACLES["search_metadata"] = f"WITH {RECORDS} SELECT record_id, page, block_id AS display_block_id, generic_role, domain_role, generated_role_name, section_purpose, needs_review AS semantic_needs_review, source_kind FROM records"
+ENTITY_SQL = f"""{RECORDS}, e(query_id, entity) AS (VALUES ('q1', 'andonhethnt'), ('q1', 'the '), ('q2', 'ERTION'), ('q2', 'aieauquetion'), ('q3', 'ciónado'), ('q3', 'achlichtz'), ('q4', 'ENTHE'), ('q4', 'onanwhinsh')), n AS (SELECT count(*) AS n FROM records),
 m AS (SELECT query_id, entity, record_id FROM e, records WHERE contains(lower(text), lower(entity))),
 w AS (SELECT e.query_id, e.entity, count(record_id) AS match_count, any_value(n) AS n FROM e LEFT JOIN m USING (query_id, entity), n GROUP BY 1, 2),
 x AS (SELECT *, CASE WHEN n <= 0 THEN 1.0 WHEN match_count > 12 OR match_count / n > 0.30 THEN 0.0 WHEN match_count > 6 OR match_count / n > 0.15 THEN 0.5 ELSE 1.0 END AS factor FROM w)"""
 ORACLES["entity_grounding"] = f"WITH {ENTITY_SQL} SELECT query_id, entity, match_count, round(match_count / greatest(n, 1), 6) AS match_ratio, factor::DOUBLE AS factor, factor < 1 AS is_common FROM x"
 ORACLES["entity_scores"] = f"WITH {ENTITY_SQL} SELECT query_id, record_id, least(1.0, sum(factor))::DOUBLE AS score FROM m JOIN x USING (query_id, entity) WHERE factor > 0 GROUP BY 1, 2"
-KNN = "v AS (SELECT 'fallback:' || vec_id || ':1:1' AS record_id, embedding::DOUBLE[] AS e FROM embeddings), v0 AS (SELECT embedding::DOUBLE[] AS z FROM embeddings WHERE vec_id = 0), dist AS (SELECT record_id, round(list_sum(list_transform(list_zip(e, z), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 9) AS distance FROM v, v0), near AS (SELECT *, row_number() OVER (ORDER BY distance, record_id) AS rank FROM dist)"
-ORACLES["knn_topk"] = f"WITH {KNN} SELECT 'q1' AS query_id, record_id, round(distance, 5) AS distance, rank FROM near WHERE rank <= 20"
+VECTORS = "v AS (SELECT vec_id, CASE WHEN vec_id % 2 = 0 AND (vec_id + 1) % 10 <> 0 THEN 'semantic:' ELSE 'fallback:' END || vec_id || ':1:1' AS record_id, embedding::DOUBLE[] AS e FROM embeddings)"
+
+
+def knn(asked: str) -> str:
+    return f"{VECTORS}, {asked}, dist AS (SELECT query_id, nth, record_id, round(list_sum(list_transform(list_zip(e, z), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 9) AS distance FROM v, asked), near AS (SELECT *, row_number() OVER (PARTITION BY query_id, nth ORDER BY distance, record_id) AS rank FROM dist)"
+
+
+ORACLES["knn_topk"] = f"WITH {knn('asked AS (SELECT vec_id::VARCHAR AS query_id, 0 AS nth, e AS z FROM v WHERE vec_id % 50 = 0)')} SELECT query_id, record_id, round(distance, 5) AS distance, rank FROM near WHERE rank <= 20"
+KNN = knn("asked AS (SELECT query_id, nth, e AS z FROM v JOIN (VALUES ('q1', 0, 0), ('q1', 1, 1), ('q2', 0, 2), ('q3', 0, 3), ('q4', 0, 4)) k(query_id, nth, asked) ON vec_id = asked)")
 
 _lexical = bm25().replace(QUESTIONS, "q(query_id, query) AS (VALUES ('q1/0', 'thing nation'), ('q1/1', 'thing eronin'), ('q2/0', 'ERTION THAN thether'), ('q3/0', 'para los gestion queasmita'), ('q4/0', 'ATION ENTHE 2024 find about'))")
 ORACLES["hybrid_search"] = f"""WITH {_lexical}, {KNN},
 lex AS (SELECT split_part(query_id, '/', 1) AS query_id, record_id, max(score) AS bm25, arg_max(matched, score) AS terms FROM hits WHERE rank <= 8 GROUP BY 1, 2),
-en(query_id, entity) AS (VALUES ('q1', 'Thenth'), ('q2', 'ERTION'), ('q2', 'THAN'), ('q4', 'ATION'), ('q4', 'ENTHE'), ('q4', '2024')),
+en(query_id, entity) AS (VALUES ('q1', 'andonhethnt'), ('q3', 'achlichtz'), ('q3', 'aimentier'), ('q2', 'ERTION'), ('q2', 'THAN'), ('q4', 'ATION'), ('q4', 'ENTHE'), ('q4', '2024')),
 em AS (SELECT query_id, entity, record_id FROM en, records WHERE contains(lower(text), lower(entity))),
 ef AS (SELECT query_id, entity, count(*) AS m, (SELECT count(*) FROM records) AS n FROM em GROUP BY 1, 2),
 ex AS (SELECT query_id, record_id, least(1.0, sum(CASE WHEN m > 6 OR m / n > 0.15 THEN 0.5 ELSE 1.0 END))::DOUBLE AS entity FROM em JOIN ef USING (query_id, entity) WHERE NOT (m > 12 OR m / n > 0.30) GROUP BY 1, 2),
-al AS (SELECT 'q1' AS query_id, record_id, 'semantic' AS channel, distance, NULL AS bm25, NULL AS entity, NULL AS terms FROM near WHERE rank <= 6
+al AS (SELECT query_id, record_id, 'semantic' AS channel, min(distance) AS distance, NULL AS bm25, NULL AS entity, NULL AS terms FROM near WHERE rank <= 6 GROUP BY query_id, record_id
   UNION ALL SELECT query_id, record_id, 'bm25', NULL, bm25, NULL, terms FROM lex UNION ALL SELECT query_id, record_id, 'entity', NULL, NULL, entity, NULL FROM ex),
 mg AS (SELECT query_id, record_id, min(distance) AS distance, max(bm25) AS bm25, max(entity) AS entity, string_agg(channel, ',' ORDER BY channel) AS channels, coalesce(any_value(array_to_string(terms, ',')), '') AS terms FROM al GROUP BY 1, 2),
 sd AS (SELECT mg.*, doc_id, page, block_id, role_confidence::DOUBLE AS rc, needs_review::INT AS nr, max(bm25) OVER (PARTITION BY query_id) AS best FROM mg JOIN records USING (record_id)),
@@ -159,7 +169,7 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY eo, score DES
 _four = "coalesce(printf('%.4f', {0}), 'n/a')".format
 _cut = strip(r"regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')")
 ORACLES["search_output"] = rf"""WITH found AS (SELECT * FROM ({ORACLES["hybrid_search"].replace("SELECT query_id, row_number() OVER", "SELECT doc_id, page, block_id, score AS s, bm25 AS b, distance AS d, query_id, row_number() OVER")})), {LINES},
-shown AS (SELECT f.*, {_cut.replace("text", "content")} AS t FROM found f JOIN blocks k ON f.record_id = 'fallback:' || k.doc_id || ':' || k.page || ':' || k.block_index)
+shown AS (SELECT f.*, {_cut.replace("text", "content")} AS t FROM found f JOIN blocks k ON f.doc_id = k.doc_id AND f.page + 1 = k.page AND f.block_id = 'block-' || k.block_index)
 SELECT query_id, rank, concat_ws(' ', 'Candidate #' || rank || ':', 'document=' || doc_id, 'page=' || (page + 1), 'block=' || block_id, 'score=' || {_four("s")}, 'distance=' || {_four("d")}, 'bm25=' || {_four("b")}, 'channels=' || channels, 'terms=' || coalesce(nullif(terms, ''), 'n/a'),
   'preview=' || CASE WHEN length(t) > 240 THEN regexp_replace(substr(t, 1, 237), '\s+$', '') || '...' ELSE t END) AS line FROM shown"""
 
@@ -171,7 +181,7 @@ ORACLES["language_detect"] = f"SELECT doc_id, CASE WHEN {_s[0]} >= greatest({_s[
 ORACLES["financial_signal"] = f"WITH {LINES}, c AS (SELECT doc_id, {clean('content')} AS text FROM blocks) SELECT doc_id, count(*) FILTER ({FINANCIAL}) AS signals FROM c GROUP BY doc_id"
 ORACLES["stable_hash"] = "SELECT doc_id, substr(sha1(doc_id || '::' || source), 1, 12) AS hash, source || '_' || lang AS name, lang || '_' || source AS role FROM documents"
 ORACLES["ordered_dedupe"] = f"""WITH a AS (SELECT doc_id, list_filter(list_transform(string_split(text, {NL}), lambda x: {strip('x')}), lambda x: length(x) > 0) AS ls FROM documents), b AS (SELECT doc_id, ls, list_transform(ls, lambda x: lower(x)) AS low FROM a),
-c AS (SELECT doc_id, list_filter(ls, lambda x, i: list_position(low, lower(x)) = i)[1:5] AS k FROM b) SELECT doc_id, len(k) AS n, md5(array_to_string(k, {NL})) AS lines_md5 FROM c"""
+c AS (SELECT doc_id, list_filter(ls, lambda x, i: list_position(low, lower(x)) = i) AS k FROM b) SELECT doc_id, len(k) AS n, md5(array_to_string(k, {NL})) AS lines_md5 FROM c"""
 
 # --- layout ---
 ORACLES["canonical_blocks"] = f"WITH {CANONICAL} SELECT doc_id, page, block_id, label, reading_order, n1, n2, n3, n4, length(text) AS chars FROM base"
@@ -257,7 +267,7 @@ ORACLES["html_structured"] = f"""WITH {LINES}, i AS (SELECT *, 'page-' || page |
 h AS (SELECT doc_id, page, block_index, '<div id="' || id || '" data-bbox="[' || concat_ws(', ', x1 * 1000 // width, y1 * 1000 // height, x2 * 1000 // width, y2 * 1000 // height) || ']">' || {NL} ||
   CASE raw_label WHEN 'image' THEN '  <img src="/' || id || '/image">' WHEN 'table' THEN '  ' || content ELSE '  <p>' || {_escaped} || '</p>' END || {NL} || '</div>' AS html FROM i)
 SELECT doc_id, page, md5('<page id="page-' || page || '">' || {NL} || string_agg(html, {NL} ORDER BY block_index) || {NL} || '</page>') AS html_md5 FROM h GROUP BY doc_id, page"""
-ORACLES["document_extract"] = """WITH a AS (SELECT page_id, '<page id="p">' || substr(html, 1, 80) || '</page>' AS pg FROM pages)
+ORACLES["document_extract"] = """WITH a AS (SELECT page_id, '<page id="p">' || html || '</page>' AS pg FROM pages)
 SELECT page_id, md5(CASE WHEN page_id % 2 = 0 THEN '<document id="output">Answer follows. ' || pg || ' end</document>' ELSE '<document id="output">' || chr(10) || pg || chr(10) || '</document>' END) AS document_md5 FROM a"""
 ORACLES["json_extract"] = "SELECT event_id, props AS json_text, props->>'$.k' AS k, NULL AS whole FROM events"
 ORACLES["evidence_normalize"] = "SELECT doc_id AS id, source AS document_id, 1 AS page_id, 'block-1' AS block_id, 'entity' AS matched_via FROM documents UNION ALL SELECT doc_id, source, 0, 'b2', 'semantic,bm25' FROM documents"
@@ -269,4 +279,28 @@ ORACLES["sanitize_table"] = """SELECT doc_id, '<div id="page-1-block-1"><table><
 ORACLES["median_color"] = """WITH p AS (SELECT event_type, pow((event_id % 256) / 255.0, 2.2) AS r, pow((event_id // 3 % 256) / 255.0, 2.2) AS g, pow((event_id // 7 % 256) / 255.0, 2.2) AS b FROM events), m AS (SELECT event_type, floor(pow(median(r), 1 / 2.2) * 255 + 1e-9)::INT AS r, floor(pow(median(g), 1 / 2.2) * 255 + 1e-9)::INT AS g, floor(pow(median(b), 1 / 2.2) * 255 + 1e-9)::INT AS b FROM p GROUP BY 1)
 SELECT event_type, format('#{:02x}{:02x}{:02x}', r, g, b) AS color FROM m"""
 ORACLES["font_merge"] = "WITH m AS (SELECT l_suppkey, l_returnflag AS font, avg(l_quantity) AS cost, median(CASE WHEN l_linenumber <> 7 THEN l_tax END) AS size FROM lineitem GROUP BY 1, 2) SELECT 'b' || l_suppkey AS block_id, arg_min(font, (cost, font)) AS font, round(arg_min(size, (cost, font)), 6) AS size FROM m GROUP BY 1"
-ORACLES["char_align"] = "WITH s AS (SELECT item_id, substr(text, 1, 12) AS t FROM benchmark), c AS (SELECT item_id, unnest(string_split(t, '')) AS ch, generate_subscripts(string_split(t, ''), 1) - 1 AS pos FROM s) SELECT 'b' || item_id AS block_id, pos AS place, pos * 10 AS xmin, pos * 10 + 9 AS xmax, ch AS \"char\" FROM c"
+ORACLES["char_align"] = "WITH c AS (SELECT item_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) - 1 AS pos FROM benchmark) SELECT 'b' || item_id AS block_id, row_number() OVER (PARTITION BY item_id ORDER BY pos) - 1 AS place, pos * 10 AS xmin, pos * 10 + 8 AS xmax, ch AS \"char\" FROM c WHERE pos % 7 <> 3"
+ORACLES["edit_slice"] = "SELECT item_id, strpos(text, substr(text, 20, 30)) - 1 AS first, strpos(text, substr(text, 20, 30)) - 1 + length(substr(text, 20, 30)) AS stop FROM benchmark"
+ORACLES["line_grouping"] = f"""WITH RECURSIVE {LINES}, o AS (SELECT doc_id, page, 'b-' || block_index AS box_id, x1, (y1 / 2)::INT AS y1, y2, row_number() OVER (PARTITION BY doc_id, page ORDER BY (y1 / 2)::INT, 'b-' || block_index) AS n FROM blocks),
+f AS (SELECT doc_id, page, n, box_id, x1, 0 AS line, y1 AS top, y2 AS bottom FROM o WHERE n = 1 UNION ALL
+  SELECT o.doc_id, o.page, o.n, o.box_id, o.x1, CASE WHEN (o.y2 - o.y1) // 2 <= greatest(least(f.bottom, o.y2) - greatest(f.top, o.y1), 0) THEN f.line ELSE f.line + 1 END,
+    CASE WHEN (o.y2 - o.y1) // 2 <= greatest(least(f.bottom, o.y2) - greatest(f.top, o.y1), 0) THEN least(f.top, o.y1) ELSE o.y1 END, CASE WHEN (o.y2 - o.y1) // 2 <= greatest(least(f.bottom, o.y2) - greatest(f.top, o.y1), 0) THEN greatest(f.bottom, o.y2) ELSE o.y2 END
+  FROM f JOIN o ON o.doc_id = f.doc_id AND o.page = f.page AND o.n = f.n + 1)
+SELECT doc_id, page, line, row_number() OVER (PARTITION BY doc_id, page, line ORDER BY x1, box_id) - 1 AS place, box_id FROM f"""
+
+# --- agent and writer tools ---
+ORACLES["search_trace"] = f"""WITH found AS ({ORACLES["hybrid_search"]}), n AS (SELECT query_id, count(*) AS n FROM found GROUP BY 1), q(query_id) AS (VALUES ('q1'), ('q2'), ('q3'), ('q4')),
+e(nth, event) AS (VALUES (0, 'query_preprocessed'), (1, ''), (2, 'semantic_retrieval_completed'), (3, 'bm25_retrieval_completed'), (4, 'entity_grounding_completed'), (5, 'candidate_merge_completed'), (6, 'first_stage_ordered'), (7, 'first_stage_returned'))
+SELECT query_id, nth AS "at", CASE WHEN nth = 1 AND query_id IN ('q1', 'q3') THEN 'llm_expansion_saved' WHEN nth = 1 THEN 'llm_expansion_failed' ELSE event END AS event, CASE WHEN nth >= 5 THEN coalesce(n, 0) END AS n FROM q CROSS JOIN e LEFT JOIN n USING (query_id)"""
+ORACLES["fetch_page"] = f"""WITH {LINES}, p AS (SELECT doc_id, page, 'blocks: ' || count(*) AS html FROM blocks GROUP BY 1, 2), s AS (SELECT doc_id, max(page) AS m FROM p GROUP BY 1),
+a AS (SELECT doc_id, unnest([1, 0, 100000]) AS page FROM documents WHERE text IS NOT NULL UNION ALL SELECT -7, 1)
+SELECT a.doc_id, a.page, CASE WHEN m IS NULL THEN 'document ' || a.doc_id || ' does not exist' WHEN a.page NOT BETWEEN 1 AND m THEN 'page must be between 1 and ' || m ELSE coalesce(html, '') END AS answer FROM a LEFT JOIN s USING (doc_id) LEFT JOIN p ON p.doc_id = a.doc_id AND p.page = a.page"""
+ORACLES["chat_export"] = f"SELECT conv_id AS chat_id, md5(string_agg('## ' || turn || ' (' || CASE role WHEN 'user' THEN 10 WHEN 'assistant' THEN 50 ELSE 60 END || ')' || {NL} || {NL} || coalesce(text, '') || {NL}, {NL} ORDER BY turn)) AS markdown_md5 FROM conversations GROUP BY 1"
+ORACLES["role_overlay"] = f"WITH {DECISIONS} SELECT block_id, nullif(generic_role, 'unknown') AS generic_role, domain_role, reading_order FROM gated WHERE generic_role <> 'unknown' OR domain_role IS NOT NULL"
+ORACLES["decision_parse"] = f"""WITH {CANONICAL}, a AS (SELECT block_id, doc_id + reading_order AS k FROM base), e AS (SELECT *, CASE WHEN k % 13 = 0 THEN 'invalid_json' WHEN k % 5 = 0 OR k % 7 = 0 OR k % 11 = 0 THEN 'schema_mismatch' END AS error FROM a)
+SELECT block_id, error, CASE WHEN error IS NULL THEN 'body' END AS generic_role, CASE WHEN error IS NULL THEN 'supporting_argument' END AS domain_role, CASE WHEN error IS NULL THEN 0.8765::DOUBLE END AS confidence, CASE WHEN error IS NULL THEN 'first' END AS reason FROM e"""
+ORACLES["output_placement"] = """SELECT doc_id AS id, 2 AS page, 1 AS block, '<div id="output-page-2-block-1"><p>' || lang || '</p></div>' AS html FROM documents UNION ALL SELECT doc_id, 2, 3, '<div id="output-page-2-block-3"><p>' || source || '</p></div>' FROM documents"""
+ORACLES["rendered_pages"] = f"""WITH {LINES}, r AS (SELECT *, 'font-family: ' || CASE WHEN doc_id % 2 = 0 THEN 'Serif' ELSE 'sans-serif' END || '; color: #000; line-height: ' || round((y2 - y1) / 2, 2) || 'px;' AS css FROM blocks WHERE raw_label <> 'image')
+SELECT doc_id, page, count(*) AS n, arg_min(css, block_index) AS css FROM r GROUP BY 1, 2"""
+_name = "CASE WHEN turn % 3 = 0 THEN '   ' ELSE text END"
+ORACLES["chat_rename"] = f"SELECT conv_id, turn, length({strip(_name)}) BETWEEN 1 AND 64 AS allowed, {strip('substr(' + strip(_name) + ', 1, 32)')} AS short FROM conversations"

@@ -65,8 +65,21 @@ def status_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id").agg(F.count("*").alias("n_events"), F.max(F.struct("ts", "event_id", "event")).alias("last")).select("run_id", "n_events", F.col("last.event").alias("event"))
 
 
-def drain(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what there is now into a table in memory."""
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(df: DataFrame, folder: str, key: str) -> DataFrame:
+    """Run a stream of updated rows over what there is now, into Parquet files; the last update of each ``key``.
+
+    Each batch writes its own folder, so a batch that is run again replaces its
+    files; nothing passes through the driver.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("__batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    spark = df.sparkSession
+    schema = df.schema.add("__batch", "integer")
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/rows/batch=none")  # a stream without rows has a result too
+    query = df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/rows")
+    last = F.max_by(F.struct(*df.columns), "__batch")
+    return rows.groupBy(key).agg(last.alias("last")).select("last.*")

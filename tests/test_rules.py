@@ -164,6 +164,10 @@ def test_characters_and_ink(spark):
     rows = [("b", "ab", 0, 10, "a"), ("b", "ab", 0, 8, "a"), ("b", "ab", 9, 20, "b"), ("b", "ab", 4, 15, "b")]
     got = [(r["xmin"], r["xmax"]) for r in Y.align_characters(spark.createDataFrame(rows, "block_id string, text string, xmin int, xmax int, char string")).orderBy("place").collect()]
     assert got == [(0, 8), (9, 20)]
+    # Letters without a box are passed over; boxes that touch don't follow one another; a box may hold several letters.
+    assert Y.best_chain("xabc", [(0, 5, "a"), (6, 9, "b"), (10, 15, "c")]) == [(0, 5, "a"), (6, 9, "b"), (10, 15, "c")]
+    assert Y.best_chain("ab", [(0, 5, "a"), (5, 9, "b")]) == [(0, 5, "a")] and Y.best_chain("abcd", [(0, 5, "a"), (7, 9, "cd"), (6, 6, "b")]) == [(0, 5, "a"), (6, 6, "b"), (7, 9, "cd")]
+    assert Y.best_chain("", [(0, 1, "a")]) == [] and Y.best_chain("abc", []) == [] and Y.best_chain("abc", [(0, 1, "z")]) == []
     image = np.full((10, 10), 250, np.uint8)
     image[4:6, 4:6] = 5
     assert Y.ink_mask(image).sum() == 4
@@ -202,3 +206,30 @@ def test_files(spark, tmp_path):
     for bad in ("/a", "../a", "a/../../b", ""):
         with pytest.raises(ValueError):
             files.safe_path("/r", bad)
+
+
+def _chains(text, boxes):
+    """Most letters that any chain of boxes spells, by trying all."""
+    best = 0
+    for k in range(1 << len(boxes)):
+        chain = [b for i, b in enumerate(boxes) if k >> i & 1]
+        if all(a[1] < b[0] for a, b in zip(chain, chain[1:], strict=False)):
+            at = 0
+            for c in "".join(b[2] for b in chain):
+                at = text.find(c, at) + 1
+                if not at:
+                    break
+            else:
+                best = max(best, sum(len(b[2]) for b in chain))
+    return best
+
+
+def test_best_chain_by_brute_force():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(200):
+        text = "".join(rng.choice("abc") for _ in range(rng.randrange(6)))
+        boxes = sorted(((x := rng.randrange(12), x + rng.randrange(4), rng.choice(["a", "b", "c", "ab"])) for _ in range(rng.randrange(7))), key=lambda b: (b[1], b[0], b[2]))
+        chain = Y.best_chain(text, boxes)
+        assert sum(len(b[2]) for b in chain) == _chains(text, boxes) and all(a[1] < b[0] for a, b in zip(chain, chain[1:], strict=False))

@@ -100,3 +100,32 @@ def test_search_without_vectors(spark):
 def test_preview_cuts_long_text(spark):
     text = one(spark, "<p>" + "word " * 100 + "</p>", S.preview)
     assert len(text) <= 240 and text.endswith("...") and "<" not in text
+
+
+def test_nearest_by_vector(spark):
+    rng = __import__("random").Random(2)
+    vectors = [(f"r{i}", [rng.random() for _ in range(3)]) for i in range(40)] + [("null", None), ("empty", []), ("other", [0.1, 0.2])]
+    queries = [("q", 0, vectors[0][1]), ("q", 1, vectors[7][1]), ("p", 0, vectors[0][1]), ("p", 1, None)]
+    own = spark.createDataFrame(vectors, "record_id string, embedding array<float>").repartition(5)
+    found = S.nearest(own, spark.createDataFrame(queries, "query_id string, nth int, vector array<float>"), top=6).collect()
+    got = {}
+    for r in found:
+        got.setdefault((r["query_id"], r["nth"]), {})[r["rank"]] = r["record_id"]
+    f = lambda v: [__import__("struct").unpack("f", __import__("struct").pack("f", x))[0] for x in v]
+    for name, nth, q in queries[:3]:
+        best = sorted((round(sum((a - b) ** 2 for a, b in zip(f(v), f(q), strict=True)), 9), k) for k, v in vectors[:40])[:6]
+        assert [got[name, nth][i + 1] for i in range(6)] == [k for _, k in best]
+    assert set(got) == {("q", 0), ("q", 1), ("p", 0)}
+
+
+def test_records_of_both_kinds(spark):
+    pages = spark.createDataFrame([(1, 1, True), (1, 2, False), (2, 1, True)], "doc_id long, page int, is_semantic boolean")
+    blocks = spark.createDataFrame([(1, 1, 1, "parsed"), (1, 1, 2, "unused"), (1, 2, 1, "plain"), (1, 2, 2, " "), (2, 1, 1, "never")], "doc_id long, page int, block_index int, content string")
+    semantic = spark.createDataFrame([(1, 1, 1, "told", "body", None, None, "thesis", 0.5, None), (1, 1, 3, "no block", None, None, None, None, None, True), (1, 2, 1, "not covered", None, None, None, None, 0.9, None)], "doc_id long, page int, block_index int, text string, generic_role string, domain_role string, generated_role_name string, section_purpose string, role_confidence double, needs_review boolean")
+    got = {r["record_id"]: r for r in S.build_records(pages, blocks, semantic).collect()}
+    assert set(got) == {"semantic:1:1:1", "semantic:1:1:3", "fallback:1:2:1"}  # a semantic page without blocks has no records
+    assert (got["semantic:1:1:1"]["display"], got["semantic:1:1:3"]["display"], got["fallback:1:2:1"]["text"]) == ("parsed", "", "plain")
+    assert (got["semantic:1:1:1"]["role_confidence"], got["semantic:1:1:3"]["needs_review"], got["fallback:1:2:1"]["role_confidence"]) == (0.5, True, 0.0)
+    assert "generic_role: body" in got["semantic:1:1:1"]["embedding_text"] and "generic_role: unknown" in got["fallback:1:2:1"]["embedding_text"]
+    meta = {r["record_id"]: r for r in S.metadata(S.build_records(pages, blocks, semantic)).collect()}
+    assert meta["fallback:1:2:1"]["domain_role"] == "unknown" and meta["semantic:1:1:1"]["section_purpose"] == "thesis"
