@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 TAIL = 120
 
@@ -76,7 +77,7 @@ def drain(df: DataFrame, folder: str, key: str) -> DataFrame:
         batch.withColumn("__batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
     spark = df.sparkSession
-    schema = df.schema.add("__batch", "integer")
+    schema = StructType([*df.schema.fields, StructField("__batch", IntegerType())])
     spark.createDataFrame([], schema).write.parquet(f"{folder}/rows/batch=none")  # a stream without rows has a result too
     query = df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
