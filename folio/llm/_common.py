@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -56,8 +56,15 @@ def give_back() -> None:
         trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+#: What empties the caches that a worker keeps from task to task; operators that don't use them call it.
+CACHES: list[Callable[[], None]] = []
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20, keep_caches: bool = False) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``most_bytes`` at most in each (one row at least)."""
+    if not keep_caches:
+        for empty in CACHES:
+            empty()
     give_back()
     for batch in batches:
         if not batch.num_rows:

@@ -56,7 +56,7 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, .
     """``keep`` columns, piece, start, length and ids_crc32 of every piece of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "__text"):
+        for part in slices(batches, "__text", keep_caches=True):
             rows, at = [], []
             for i, ids in enumerate(token_cache.encode([x or "" for x in part.column("__text").to_pylist()], tokenizer)):
                 ids += END

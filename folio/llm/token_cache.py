@@ -16,6 +16,8 @@ import os
 
 import numpy as np
 
+from ._common import CACHES
+
 #: Characters on which ``str.split`` and the tokenizer's white space may differ; such texts are encoded whole.
 UNSURE = frozenset("\x1c\x1d\x1e\x1f\x85᠎​﻿")
 #: Letters up to here have one code point each when composed and in lower case.
@@ -90,6 +92,7 @@ class Encoder:
 
 
 encoder = functools.lru_cache(2)(Encoder)
+CACHES.append(encoder.cache_clear)
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
