@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import forget, slices, staged
+from ._common import forget, give_back, slices, staged
 from ._planes import expand, expand_sorted, press, press_sorted, runs
 from ._words import shingle_sets
 
@@ -47,7 +47,7 @@ KNOWN, LEAST_FREQUENT = 3_000_000, 3
 BROADCAST_NODES = 500_000
 #: Shingles of fewer nodes than this are grouped in packed shards, which bounds the group; the others by joins.
 HOT = 50_000
-SHARD_SHINGLES = 2_000_000
+SHARD_SHINGLES = 1_000_000
 #: Members of a region that meet one copy of its pivot.
 SALT_ROWS = 256
 #: Bytes of a broadcast table whose rows differ in size; shingles of the open members that meet in one task.
@@ -123,6 +123,7 @@ def _frequent(rows: DataFrame, size: int, total: int) -> Order:
             yield flush(held)
 
     def add(t: pa.Table) -> pa.Table:
+        give_back()
         keys, at = np.unique(np.concatenate([expand_sorted(x) for x in t["x"].to_pylist()]), return_inverse=True)
         counts = np.bincount(at, np.concatenate([expand(x) for x in t["y"].to_pylist()])).astype(np.int64)
         often = counts >= LEAST_FREQUENT
@@ -207,6 +208,7 @@ def _edges(packed: DataFrame) -> DataFrame:
     """pivot, node: every document with the pivots (smallest nodes) of its buckets."""
 
     def run(t: pa.Table) -> pa.Table:
+        give_back()
         shingle = np.concatenate([expand_sorted(x) for x in t["x"].to_pylist()])
         node, band = (np.concatenate([expand(x) for x in t[c].to_pylist()]).astype(np.int64) for c in "yz")
         # A node stands in its own band and, as a guest, in the next one; a bucket without an own node has no pairs of its own.
@@ -344,6 +346,7 @@ def _first_round(own: DataFrame, edges: DataFrame, size: int, percent: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 1000], strict=True), types, strict=True)], names=["pivot", "salt", "own", "node", "shingles"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         region, pivot_sets = None, []
         for batch in batches:
             rows = []
