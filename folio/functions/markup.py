@@ -18,6 +18,7 @@ FENCE = "(?is)^```(?:json)?\\s*(.*?)\\s*```$"
 DOCUMENT, PAGE = "(?is)(<document\\b[^>]*>.*?</document>)", "(?is)(<page\\b[^>]*>.*?</page>)"
 DOCUMENT_KEYS = ("document", "output", "content", "html")
 TRUE_WORDS = ("true", "1", "yes")
+NUMBER = "^\\s*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*$"
 
 
 def escape(text: Column) -> Column:
@@ -101,9 +102,41 @@ def as_int(value: Column) -> Column:
     return F.coalesce(F.trim(value).try_cast("int"), F.lit(0))
 
 
+def as_float(value: Column) -> Column:
+    return F.coalesce(F.when(value.rlike(NUMBER), F.trim(value).try_cast("double")), F.lit(0.0))
+
+
 def as_text(value: Column) -> Column:
     return F.coalesce(T.strip(value), F.lit(""))
 
 
+def as_list(value: Column) -> Column:
+    """The trimmed, non-empty items of a JSON list; anything else is an empty list."""
+    items = F.filter(F.transform(F.from_json(value, "array<string>"), as_text), lambda x: F.length(x) > 0)
+    return F.coalesce(F.when(F.ltrim(value).startswith("["), items), F.array().cast("array<string>"))
+
+
+def as_box(value: Column) -> Column:
+    """The first four items of a JSON list as whole numbers, cut towards zero; null if there are fewer or one is no number."""
+    items = F.slice(F.from_json(value, "array<string>"), 1, 4)
+    fits = F.ltrim(value).startswith("[") & (F.size(items) == 4) & F.forall(items, lambda x: F.coalesce(x.rlike(NUMBER), F.lit(False)))
+    return F.when(fits, F.transform(items, lambda x: F.trim(x).try_cast("double").cast("long")))
+
+
+def shown(value: Column, kind: str) -> Column:
+    """A value of the Spark type ``kind`` as a report prints it; null, empty texts and empty lists are a dash."""
+    if kind == "boolean":
+        text = F.when(value, "Yes").otherwise("No")
+    elif kind in ("float", "double"):
+        text = F.regexp_replace(F.format_string("%.4f", value), "\\.?0+$", "")
+    elif kind.startswith("array"):
+        text = F.array_join(value, ", ", "None")
+    elif kind.startswith(("struct", "map")):
+        text = F.to_json(value)
+    else:
+        text = value.cast("string")
+    return F.when(value.isNull() | (text == ""), "-").otherwise(text)
+
+
 def image_uri(png: Column) -> Column:
     return F.concat(F.lit("data:image/png;base64,"), F.base64(png))

@@ -16,6 +16,7 @@ BLOCK_ID = "^(?:target-|output-)?page-([0-9]+)-block-([0-9]+)$"
 PAYLOAD = (
     "query string, user_intent string, source_documents array<struct<document_id:string,used:string,reason:string>>, "
     "evidence array<struct<document_id:string,page_id:string,block_id:string,matched_via:string,used_for:string,why_selected:string>>, "
+    "writing_strategy string, uncertainties string, "
     "unsupported_blocks array<struct<block_id:string,support_status:string,reason:string,required_action:string,unsupported_selectors:struct<columns:array<string>>>>"
 )
 EMPTY = "-"
@@ -42,6 +43,15 @@ def evidence(payloads: DataFrame) -> DataFrame:
     )
 
 
+def analysis(payloads: DataFrame) -> DataFrame:
+    """id, query (the asked one where the payload has none), user_intent, writing_strategy, uncertainties; a broken payload has only the query."""
+    p = parsed(F.col("payload"))
+    return payloads.select(
+        "id", F.coalesce(F.nullif(M.as_text(p["query"]), F.lit("")), "query").alias("query"), M.as_text(p["user_intent"]).alias("user_intent"),
+        M.as_list(p["writing_strategy"]).alias("writing_strategy"), M.as_list(p["uncertainties"]).alias("uncertainties"),
+    )
+
+
 def source_documents(payloads: DataFrame) -> DataFrame:
     """id, at, document_id, used, reason for each requested source in order; the last answer about a source counts."""
     asked = payloads.select("id", F.posexplode("source_ids").alias("at", "document_id"))

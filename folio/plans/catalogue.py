@@ -13,10 +13,12 @@ from folio.functions import text as T
 from folio.operators import blocks as B
 from folio.operators import catalog as C
 from folio.operators import evidence as E
+from folio.operators import ingest as I
 from folio.operators import layout as L
 from folio.operators import roles as R
 from folio.operators import search as S
 from folio.operators import style as Y
+from folio.sources import files
 from folio.streaming import trace as X
 from folio.tables import table
 
@@ -629,6 +631,76 @@ def chat_rename(spark, sf_dir):
     return rows.select("conv_id", "turn", C.rename_allowed(F.col("name")).alias("allowed"), C.chat_name(F.col("name")).alias("short"))
 
 
+# --- values, clocks and log rows -----------------------------------------------
+
+
+def by_id(key: str, *values):
+    """One of the texts for each row, by its id."""
+    return F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
+
+
+@query
+def coercions(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", by_id("doc_id", " Yes ", "1", "no", "2.75", "-3e2", "abc", None).alias("raw"), by_id("doc_id", '[" a ", "", 3, null]', "[]", "none", '{"a": 1}', None).alias("items"), by_id("doc_id", '[1.9, "2", -3.5, 4, 9]', "[1, 2]", '[1, 2, "x", 4]', "1234").alias("box"))
+    return rows.select(
+        "doc_id", M.as_bool(F.col("raw")).alias("flag"), M.as_int(F.col("raw")).alias("whole"), M.as_float(F.col("raw")).alias("number"),
+        F.array_join(M.as_list(F.col("items")), "|").alias("items"), F.array_join(M.as_box(F.col("box")).cast("array<string>"), "|").alias("box"),
+    )
+
+
+@query
+def value_format(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", "n_chars", F.when(F.col("doc_id") % 5 > 0, F.when(F.col("doc_id") % 5 > 1, F.col("lang")).otherwise("")).alias("word"), (F.col("n_chars") / 7).alias("ratio"), (F.col("n_chars") % 2 == 0).alias("even"))
+    rows = rows.withColumn("names", F.when(F.col("doc_id") % 3 > 0, F.array("n_chars", "doc_id")).otherwise(F.array().cast("array<bigint>"))).withColumn("object", F.struct("n_chars"))
+    return rows.select("doc_id", *(M.shown(F.col(c), kind).alias(c) for c, kind in rows.dtypes[1:]))
+
+
+@query
+def run_clock(spark, sf_dir):
+    at = F.col("ts").cast("timestamp")
+    return table(spark, sf_dir, "events").select("event_id", X.utc_time(at).alias("time"), X.epoch_seconds(at).alias("seconds"), X.run_name(at).alias("run_id"))
+
+
+@query
+def analysis_normalize(spark, sf_dir):
+    payload = by_id("doc_id", '{"query": "  ", "user_intent": " why ", "writing_strategy": [" a ", "", "b"], "uncertainties": "none"}', '{"query": " q ", "uncertainties": [1]}', "not json", None)
+    found = E.analysis(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source").alias("query"), payload.alias("payload")))
+    return found.select("id", "query", "user_intent", F.array_join("writing_strategy", "|").alias("writing_strategy"), F.array_join("uncertainties", "|").alias("uncertainties"))
+
+
+@query
+def trace_records(spark, sf_dir):
+    message = by_id("event_id", '{"event": "hit", "component": "search_index", "duration_ms": 1.23456, "n": 3}', '{"type": "step", "event": "", "duration_ms": "x"}', '{"component": "", "k": {"a": [1]}}', "plain text", "[1, 2]")
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), F.col("ts").cast("timestamp").alias("at"), message.alias("message"))
+    return X.recorded(rows).select("run_id", "time", "component", "event", "duration_ms", "payload", "to_search")
+
+
+@query
+def upload_kinds(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("in.d/"), F.col("source"), by_id("doc_id", ".pdf", ".PNG", ".tar.webp", ".md", ".exe", "")).alias("path"))
+    kind, reason = files.classify_upload(F.col("path"))
+    return rows.select("doc_id", files.extension(F.col("path")).alias("extension"), kind.alias("kind"), reason.alias("reject_reason"))
+
+
+@query
+def box_centres(spark, sf_dir):
+    c = F.col
+    rows = documents(spark, sf_dir).select("doc_id", (c("doc_id") % 50).alias("x1"), (c("doc_id") % 70).alias("y1"), (c("doc_id") % 50 + 8).alias("x2"), (c("doc_id") % 70 + 9).alias("y2"), F.lit(64).alias("width"), F.lit(80).alias("height"))
+    return I.centre_boxes(rows).select("doc_id", "cx", "cy", "w", "h")
+
+
+@query
+def duration_labels(spark, sf_dir):
+    ms = F.when(F.col("doc_id") % 9 > 0, F.col("n_chars") * 10 + 3)
+    return documents(spark, sf_dir).select("doc_id", T.duration(ms).alias("label"), C.append_log(F.lit("queued\n"), F.concat(F.lit("  "), F.col("source"), F.lit(" \n"))).alias("log"))
+
+
+@query
+def chat_list(spark, sf_dir):
+    chats = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chat_id")).distinct()
+    return C.chat_list(chats.select("chat_id", F.concat(F.lit("chat "), F.col("chat_id")).alias("display_name"), F.when(F.col("chat_id") % 3 == 0, F.col("chat_id")).alias("rendered_file_id")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search over all blocks of all documents."""
     return hybrid_search(spark, sf_dir)

@@ -304,3 +304,25 @@ ORACLES["rendered_pages"] = f"""WITH {LINES}, r AS (SELECT *, 'font-family: ' ||
 SELECT doc_id, page, count(*) AS n, arg_min(css, block_index) AS css FROM r GROUP BY 1, 2"""
 _name = "CASE WHEN turn % 3 = 0 THEN '   ' ELSE text END"
 ORACLES["chat_rename"] = f"SELECT conv_id, turn, length({strip(_name)}) BETWEEN 1 AND 64 AS allowed, {strip('substr(' + strip(_name) + ', 1, 32)')} AS short FROM conversations"
+
+# --- values, clocks and log rows ---
+
+
+def by_id(key: str, *values: str) -> str:
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+ORACLES["coercions"] = f"""SELECT doc_id, doc_id % 7 < 2 AS flag, CASE WHEN doc_id % 7 = 1 THEN 1 ELSE 0 END AS whole, {by_id('doc_id', '0.0::DOUBLE', '1.0', '0.0', '2.75', '-300.0', '0.0', '0.0')} AS number,
+CASE WHEN doc_id % 5 = 0 THEN 'a|3' ELSE '' END AS items, CASE WHEN doc_id % 4 = 0 THEN '1|2|-3|4' END AS box FROM documents"""
+ORACLES["value_format"] = r"""SELECT doc_id, n_chars::VARCHAR AS n_chars, CASE WHEN doc_id % 5 > 1 AND lang <> '' THEN lang ELSE '-' END AS word, regexp_replace(printf('%.4f', n_chars / 7.0::DOUBLE), '\.?0+$', '') AS ratio,
+CASE WHEN n_chars IS NULL THEN '-' WHEN n_chars % 2 = 0 THEN 'Yes' ELSE 'No' END AS even, CASE WHEN doc_id % 3 > 0 THEN n_chars || ', ' || doc_id ELSE '-' END AS names, '{"n_chars":' || n_chars || '}' AS object FROM documents"""
+ORACLES["run_clock"] = """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END || '+00:00' AS time,
+epoch_us(ts) / 1000000.0::DOUBLE AS seconds, strftime(ts, '%Y%m%dT%H%M%S%fZ') AS run_id FROM events"""
+ORACLES["analysis_normalize"] = "SELECT doc_id AS id, CASE WHEN doc_id % 4 = 1 THEN 'q' ELSE source END AS query, CASE WHEN doc_id % 4 = 0 THEN 'why' ELSE '' END AS user_intent, CASE WHEN doc_id % 4 = 0 THEN 'a|b' ELSE '' END AS writing_strategy, CASE WHEN doc_id % 4 = 1 THEN '1' ELSE '' END AS uncertainties FROM documents"
+ORACLES["trace_records"] = f"""WITH c AS ({ORACLES['run_clock']}) SELECT event_id AS run_id, time, CASE WHEN event_id % 5 = 0 THEN 'search_index' ELSE 'trace' END AS component, {by_id('event_id', "'hit'", "'step'", "'trace'", "'message'", "'message'")} AS event,
+CASE WHEN event_id % 5 = 0 THEN 1.235::DOUBLE END AS duration_ms, {by_id('event_id', """'{"n":3}'""", 'NULL', """'{"k":{"a":[1]}}'""", """'{"message":"plain text"}'""", """'{"message":"[1, 2]"}'""")} AS payload, event_id % 5 = 0 AS to_search FROM c"""
+ORACLES["upload_kinds"] = f"""SELECT doc_id, {by_id('doc_id', "'pdf'", "'png'", "'webp'", "'md'", "'exe'", "''")} AS extension, {by_id('doc_id', "'pdf'", "'image'", "'image'", "'text'", 'NULL', 'NULL')} AS kind,
+{by_id('doc_id', 'NULL', 'NULL', 'NULL', "'text files are not supported'", "'unknown extension'", "'missing name or extension'")} AS reject_reason FROM documents"""
+ORACLES["box_centres"] = "SELECT doc_id, round((doc_id % 50 + 4) / 64.0::DOUBLE, 6) AS cx, round((doc_id % 70 + 4.5::DOUBLE) / 80, 6) AS cy, 0.125::DOUBLE AS w, 0.1125::DOUBLE AS h FROM documents"
+ORACLES["duration_labels"] = r"""SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '' WHEN n_chars * 10 + 3 < 1000 THEN (n_chars * 10 + 3) || 'ms' ELSE printf('%.1fs', (n_chars * 10 + 3) / 1000.0::DOUBLE) END AS label, 'queued' || chr(10) || source || chr(10) AS log FROM documents"""
+ORACLES["chat_list"] = "SELECT conv_id AS chat_id, 'chat ' || conv_id AS display_name, conv_id % 3 = 0 AS has_render FROM conversations GROUP BY conv_id"

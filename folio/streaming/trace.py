@@ -16,6 +16,57 @@ def route(events: DataFrame) -> DataFrame:
     return events.withColumn("component", component).withColumn("event", event).withColumn("to_search", component.startswith("search"))
 
 
+def _utc(at: Column) -> tuple[Column, Column]:
+    """Whole seconds as ``yyyy-MM-dd HH:mm:ss`` in UTC, whatever the session's zone, and the microseconds beside them."""
+    micros = F.unix_micros(at)
+    seconds = F.make_dt_interval(secs=F.floor(micros / F.lit(1000000).cast("decimal(10,0)")).cast("decimal(18,6)"))
+    return (F.lit("1970-01-01").cast("timestamp_ntz") + seconds).cast("string"), F.lpad(F.pmod(micros, F.lit(1000000)).cast("string"), 6, "0")
+
+
+def utc_time(at: Column) -> Column:
+    whole, micros = _utc(at)
+    return F.concat(F.replace(whole, F.lit(" "), F.lit("T")), F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros)), F.lit("+00:00"))
+
+
+def epoch_seconds(at: Column) -> Column:
+    return F.unix_micros(at) / 1000000
+
+
+def run_name(at: Column) -> Column:
+    """A run's id, from the time when it starts."""
+    whole, micros = _utc(at)
+    return F.concat(F.replace(F.translate(whole, "-:", ""), F.lit(" "), F.lit("T")), micros, F.lit("Z"))
+
+
+ENVELOPE = ("event", "type", "component", "duration_ms")
+
+
+def recorded(messages: DataFrame) -> DataFrame:
+    """Rows of the event log from ``message`` (JSON): run_id, time, ts, component, event, duration_ms, payload, to_search.
+
+    An object's own event, type, component and duration leave its payload;
+    anything else is the message of a ``trace`` row.  A null payload is an
+    empty one.  Rows of ``to_search`` also belong in the search log.
+    """
+    held = F.try_parse_json("message")
+    fields = F.when(F.ltrim("message").startswith("{") & held.isNotNull(), F.from_json("message", "map<string,variant>"))
+    rows = messages.withColumn("fields", fields)
+
+    def field(name: str, kind: str = "string") -> Column:
+        return F.try_variant_get(F.try_element_at("fields", F.lit(name)), "$", kind)
+
+    is_object = F.col("fields").isNotNull()
+    rest = F.map_filter("fields", lambda k, _: ~k.isin(*ENVELOPE))
+    event = F.when(is_object, F.coalesce(F.nullif(field("event"), F.lit("")), F.nullif(field("type"), F.lit("")), F.lit("trace"))).otherwise("message")
+    component = F.coalesce(F.nullif(field("component"), F.lit("")), F.lit("trace"))
+    numeric = F.schema_of_variant(F.try_element_at("fields", F.lit("duration_ms"))).rlike("^(BIGINT|DECIMAL|DOUBLE)")
+    payload = F.when(is_object, F.when(F.size(rest) > 0, F.to_json(rest))).otherwise(F.to_json(F.struct("message")))
+    return rows.select(
+        "run_id", utc_time(F.col("at")).alias("time"), epoch_seconds(F.col("at")).alias("ts"), component.alias("component"), event.alias("event"),
+        F.when(numeric, F.round(field("duration_ms", "double"), 3)).alias("duration_ms"), payload.alias("payload"), component.startswith("search").alias("to_search"),
+    )
+
+
 def latest(events: DataFrame) -> DataFrame:
     """run_id, event, event_id, ts of each run's last event."""
     return events.groupBy("run_id").agg(F.max_by("event", F.struct("ts", "event_id")).alias("event"), F.max(F.struct("ts", "event_id")).alias("at")).select("run_id", "event", F.col("at.ts").alias("ts"), F.col("at.event_id").alias("event_id"))

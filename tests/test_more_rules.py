@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from folio.functions import markup as M
 from folio.operators import blocks as B
 from folio.operators import catalog as C
 from folio.operators import ingest as I
@@ -13,6 +14,7 @@ from folio.operators import layout as L
 from folio.operators import roles as R
 from folio.operators import search as S
 from folio.operators import style as Y
+from folio.streaming import trace as X
 
 
 def test_ingest(spark):
@@ -81,3 +83,28 @@ def test_images(spark):
     assert Y.extend_right(image, 10, 20, 25, 25) == 37
     row = Y.rendered(spark.createDataFrame([(1, 1, 1, 0, 0, 10, 20, "<p/>", None, None, 2), (1, 1, 2, 0, 0, 1, 1, None, None, None, 1)], "doc_id long, page int, block_index int, x1 int, y1 int, x2 int, y2 int, html string, font_family string, color string, line_count int")).first()
     assert [(e["block_index"], e["css"]) for e in json.loads(row["json"])] == [(1, "font-family: sans-serif; color: #000; line-height: 10.0px;")]
+
+
+def test_coercions_and_shown_values(spark):
+    rows = spark.createDataFrame([(" 1e2 ", '["x", null, " "]', "[1, 2, 3, null]"), ("1d", "[", "[1, 2, 3, -4.9]"), (None, None, None)], "v string, items string, box string")
+    got = rows.select(M.as_float(F.col("v")), M.as_list(F.col("items")), M.as_box(F.col("box"))).collect()
+    assert [tuple(r) for r in got] == [(100.0, ["x"], None), (0.0, [], [1, 2, 3, -4]), (0.0, [], None)]
+    typed = spark.createDataFrame([(100.0, True, [1, 2], {"k": "é"}, "x"), (0.12344, False, [], None, ""), (None, None, None, None, None)], "a double, b boolean, c array<int>, d map<string,string>, e string")
+    shown = typed.select(*(M.shown(F.col(c), kind) for c, kind in typed.dtypes)).collect()
+    assert [tuple(r) for r in shown] == [("100", "Yes", "1, 2", '{"k":"é"}', "x"), ("0.1234", "No", "-", "-", "-"), ("-",) * 5]
+
+
+def test_log_rows_and_utc_times_in_any_zone(spark):
+    messages = [(None, "null"), ('{"event": "a", "type": "b", "duration_ms": 2}', "whole"), ('{"broken', "broken"), ("{}", "empty")]
+    rows = spark.createDataFrame(messages, "message string, run_id string").withColumn("at", F.timestamp_micros(F.lit(-1)))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = {r["run_id"]: r for r in X.recorded(rows).collect()}
+        assert spark.range(1).select(X.run_name(F.timestamp_micros(F.lit(1_600_000_000_000_000)))).first()[0] == "20200913T122640000000Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert {r["time"] for r in got.values()} == {"1969-12-31T23:59:59.999999+00:00"} and got["null"]["ts"] == -1e-6
+    assert [(got[k]["event"], got[k]["component"], got[k]["duration_ms"], got[k]["payload"]) for k in ("null", "whole", "broken", "empty")] == [
+        ("message", "trace", None, "{}"), ("a", "trace", 2.0, None), ("message", "trace", None, '{"message":"{\\"broken"}'), ("trace", "trace", None, None),
+    ]
