@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import os
+import string
 
 import numpy as np
 
@@ -22,7 +23,8 @@ from ._common import CACHES
 UNSURE = frozenset("\x1c\x1d\x1e\x1f\x85᠎​﻿")
 #: Letters up to here have one code point each when composed and in lower case.
 LAST_PLAIN = "ɏ"
-PUNCTUATION = ".,!?;:"
+#: Each run of these behind letters is one pre-token; none of them composes with a letter before it.
+PUNCTUATION = string.punctuation
 MOST_CHUNKS = 250_000
 
 
@@ -74,7 +76,7 @@ class Encoder:
     def _chunk(self, chunk: str) -> bytes:
         lower = chunk.lower()
         core = lower.rstrip(PUNCTUATION)
-        if core.isalpha() and max(core) <= LAST_PLAIN:
+        if core.isalpha() and (core.isascii() or max(core) <= LAST_PLAIN):
             tail = lower[len(core) :]
             return self._core(core) + self.tails[tail] if tail else self._core(core)
         return self._whole(chunk)
@@ -82,7 +84,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            if UNSURE.isdisjoint(text):
+            if not any(map(text.__contains__, UNSURE)):
                 out.append(b"".join(map(self.chunks.__getitem__, text.split())))
             else:
                 out.append(self._whole(text))

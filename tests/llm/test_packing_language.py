@@ -17,7 +17,7 @@ from folio.llm import unigram_langid as U
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
-ODD = ["", "Hello, World!! it's 2024", "<|endoftext|> a<|startoftext|>b", "İI ſ x ý 'S\x1ca　don't ①Σς Σ", "é ́a ẛ̣ ​q w\x85z", "Ünï ÇA. x.. y, İa. ŉ ǅ ª aª", "a" * 3000, "日本語 テスト", "\n\t "]
+ODD = ["", "Hello, World!! it's 2024", "<|endoftext|> a<|startoftext|>b", "İI ſ x ý 'S\x1ca　don't ①Σς Σ", "é ́a ẛ̣ ​q w\x85z", "Ünï ÇA. x.. y, İa. ŉ ǅ ª aª", "a" * 3000, "日本語 テスト", "\n\t ", "word*** é### dogs' we'll' \"q\" a_ z~, x.$% ǰ`` <b> Ü&&& ñ=́ y≮"]
 
 
 def test_ids_equal_the_tokenizer():
