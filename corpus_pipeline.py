@@ -59,7 +59,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = cube_mixing.mix(docs, keep=tuple(docs.columns), copies="__copies")
-    return mixed.where("__copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__nth")).drop("__nth")
+    nth = "_" * (1 + max(map(len, docs.columns)))  # longer than any column, so none clashes
+    return mixed.where("__copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias(nth)).drop(nth)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
