@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.tables import table
 
-from . import cube_mixing, line_spread, lp_packing, metric_join, mpeg_audio, suffix_repetition, trie_lm, unigram_langid, url_filter, zip_warc
+from . import attention_mil, cube_mixing, line_spread, lp_packing, metric_join, mpeg_audio, periodic_runs, suffix_repetition, trie_lm, unigram_langid, url_filter, weighted_lloyd, zip_warc
+from ._common import WORD_PATTERN
 
 #: Places of the public vocabularies.
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -160,3 +161,76 @@ def op10_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All whole texts scored by the unigram base and by the trie model of the training texts."""
     return trie_lm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_weighted_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole embeddings of 64 components in 16 clusters, after three rounds over distinct vectors."""
+    found = weighted_lloyd.cluster(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("centroid_sha256", weighted_lloyd.centroid_digest(F.col("centroid"))).drop("centroid")
+
+
+def _lloyd_sql(k: int = 16, rounds: int = 3, dims: int = 64, scale: int = 64) -> str:
+    apart = "list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    parts = [
+        f"""v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), q) - 1 AS c, q FROM v QUALIFY c < {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT v.r, min((d, c)) AS b FROM (SELECT v.r, c.c, {apart} AS d FROM v, c{i} c) v GROUP BY v.r)")
+        if i < rounds:
+            # s - ((s % n + n) % n) is the multiple of n at or below s.
+            parts.append(
+                f"""m{i} AS (SELECT c, list(floored ORDER BY p) AS q FROM (
+    SELECT a.b[2] AS c, p, ((sum(v.q[p]) - ((sum(v.q[p]) % count(*) + count(*)) % count(*))) // count(*))::BIGINT AS floored
+    FROM v JOIN a{i} a USING (r), range(1, {dims + 1}) AS t(p) GROUP BY ALL) GROUP BY c)"""
+            )
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.q, c.q) AS q FROM c{i} c LEFT JOIN m{i} m USING (c))")
+    body = ",\n".join(parts)
+    return f"""WITH {body}
+SELECT v.vec_id, a.b[2]::INT AS cluster, a.b[1]::BIGINT AS distance, (sum(a.b[1]) OVER (PARTITION BY a.b[2]))::BIGINT AS cluster_inertia,
+  (sum(a.b[1]) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} a USING (r) JOIN c{rounds} c ON c.c = a.b[2]"""
+
+
+ORACLES["op11_weighted_lloyd"] = _lloyd_sql()
+
+
+@query
+def op12_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every whole text, learnt from the labels of documents that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = attention_mil.fit(docs, labels.where(~attention_mil.held_out(F.col("doc_id"))))
+    scored = attention_mil.score(docs, model)
+    return scored.select("doc_id", attention_mil.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def periodic_tail(text: Column, key: Column) -> Column:
+    """A tenth of the texts, by their key's checksum, with the words from one of them on made periodic."""
+    h = F.crc32(key.cast("string"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
+    n = F.size(words)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    # Ten periods reach past the end.
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), 10)), F.lit(1), n - a)
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")).otherwise(text)
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of every whole text, a tenth of them with a periodic tail."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic_tail(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic_runs.find_runs(docs).withColumn("best", periodic_runs.longest(F.col("runs")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(periodic_runs.listing(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
