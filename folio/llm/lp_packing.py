@@ -2,16 +2,18 @@
 
 Documents become pieces of at most ``capacity`` tokens.  What the driver sees is
 the histogram of piece lengths, which has ``capacity`` entries at most whatever
-the input's size.  The linear program (how often is each pattern of lengths
-used) is solved approximately by multiplicative weights.  In every round one
-knapsack dynamic program prices the best pattern through each length under the
-current weights; all patterns near the best are used at once, so that each
-length gains a small share of its pieces, and the weights of covered lengths
-fall.  The rounds add up to a fractional solution that covers (nearly) the whole
-histogram.  Its use counts are rounded, with what is lost carried on to the next
-pattern through the same length; the rest, a few pieces of each length, is placed
-by best fit.  The solution is a table of slot ranges by length; every
-piece finds its slot by its number among the pieces of its length.
+the input's size.  The linear program asks how often each pattern of lengths is
+used.  Its first columns are the patterns of best fit.  In every round the lengths
+are priced by their weights; a knapsack dynamic program finds the best pattern
+through each of many lengths, and these are new columns.  The value of the best
+one of all gives a dual bound, below which no packing falls.  Multiplicative
+weights of columns against lengths then settle the fractional solution, which is
+rounded: whole uses of the patterns, the fullest first, then best fit of the few
+pieces that are left into the open room and new sequences.  The best packing of
+all rounds counts, so none needs more sequences than best fit alone; rounds end
+as soon as the bound shows that no fewer will do.  The solution is a table of
+slot ranges by length; every piece finds its slot by its number among the pieces
+of its length.
 
 Numbering is done in two steps so that no length's pieces meet in one task:
 hash buckets within a length, and running sums of bucket counts.
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,16 +39,15 @@ from . import token_cache
 from ._common import slices, staged
 
 END = np.array([0], "<u4").tobytes()
-#: Rounds of pricing at most; pieces in a numbering bucket.
-ROUNDS = 1000
-#: Starting weights are the share of a sequence to this power: long pieces first, short ones fill.
-GREED = 1.15
-#: Patterns within this share of the best one are used; share of a length's pieces that a round covers at most.
-SLACK, STEP = 0.4, 0.5
-#: Share of the fullest pattern's tokens that a pattern may lack.
-LOSS = 0.01
-#: Fall of the logarithm of a length's weight from no cover to full cover.
-FALL = 1.0
+#: Rounds of pricing at most, rounds without a better packing after which they end, and steps of the weights in a round.
+ROUNDS, PATIENCE, TURNS = 60, 25, 200
+#: Step sizes, by turns, over the largest share that a pattern covers: small ones settle few lengths, large ones many.
+RATES = (4.0, 100.0, 10.0, 30.0)
+#: Patterns that a round adds at most; share of use under which one is dropped.
+FRESH, LEAST_SHARE = 256, 1e-7
+#: A packing this near the dual bound is taken for the best.
+NEAR = 0.0005
+#: Pieces in a numbering bucket.
 BUCKET_ROWS = 20_000
 
 Pattern = tuple[tuple[int, int], ...]
@@ -86,72 +87,60 @@ def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np
     return best, last
 
 
-def price(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """The knapsack pattern of largest value (index of length -> times), times cut to ``most``."""
-    _, last = knapsack(lengths, values, capacity)
-    found: dict[int, int] = defaultdict(int)
-    c = capacity
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
-        else:
-            found[int(last[c])] += 1
-            c -= int(lengths[last[c]])
-    return {j: min(n, int(most[j])) for j, n in found.items() if most[j]}
+def price(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int, fresh: int = FRESH) -> tuple[float, list[Pattern]]:
+    """The largest value of any pattern, and the best pattern through each of the ``fresh`` best lengths, times cut to ``most``."""
+    best, last = knapsack(lengths, values, capacity)
+    # Rooms whose last token stays free are skipped.
+    down = np.maximum.accumulate(np.where(last >= 0, np.arange(capacity + 1), 0))
+    found = []
+    for j in np.argsort(-(values + best[capacity - lengths]), kind="stable")[:fresh].tolist():
+        times, room = Counter([j]), int(down[capacity - lengths[j]])
+        while room:
+            times[int(last[room])] += 1
+            room = int(down[room - lengths[last[room]]])
+        found.append(tuple((int(lengths[i]), min(n, int(most[i]))) for i, n in sorted(times.items(), reverse=True)))
+    return float(best[capacity]), found
 
 
-def price_each(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The best pattern through each length with a value, where it is near the best of all.
+def play(patterns: list[Pattern], lengths: np.ndarray, need: np.ndarray, x: np.ndarray, w: np.ndarray, rate: float, turns: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multiplicative weights of patterns (``x``) and of lengths (``w``) against each other; the averages of both.
 
-    Returns the lengths (indices) that the patterns go through, and for the
-    patterns' entries, in order of patterns, the pattern, the length and its
-    times, cut to ``most``.
+    Patterns gain by the share that they cover of heavy lengths, lengths by being
+    covered less than others.  Each step looks ahead by the last one.
     """
-    some = np.flatnonzero(values > 0)
-    own, worth = lengths[some], values[some]
-    best, last = knapsack(own, worth, capacity)
-    through = np.flatnonzero(worth + best[capacity - own] >= (1 - SLACK) * best[capacity])
-    # Rooms whose last token stays free are skipped.
-    down = np.maximum.accumulate(np.where(last >= 0, np.arange(capacity + 1), 0))
-    entries = [np.arange(len(through)) * len(some) + through]
-    rows, room = np.arange(len(through)), down[capacity - own[through]]
-    while (live := room > 0).any():
-        rows, room = rows[live], room[live]
-        item = last[room]
-        entries.append(rows * len(some) + item)
-        room = down[room - own[item]]
-    code, times = np.unique(np.concatenate(entries), return_counts=True)
-    item = some[code % len(some)]
-    row, times = code // len(some), np.minimum(times, np.maximum(most[item], 1)).astype(np.int64)
-    # Patterns that the cut leaves with free room wait until there are no fuller ones.
-    fill = np.bincount(row, lengths[item] * times)
-    full = fill >= (1 - LOSS) * fill.max()
-    return some[through][full], (np.cumsum(full) - 1)[row[full[row]]], item[full[row]], times[full[row]]
-
-
-def fractional(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """The fractional solution, by rounds: patterns as ``price_each`` gives them, and how often each is used."""
-    left, weight = need.copy(), (lengths / capacity) ** GREED
-    for _ in range(rounds):
-        # What rounding errors leave of a length is nothing.
-        values = np.where(left > 1e-6, weight, 0.0)
-        if not values.any():
-            return
-        through, row, item, times = price_each(lengths, values, np.floor(left), capacity)
-        firsts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        # Every pattern would use up its scarcest length; all are scaled so that no length gains more than its part.
-        wish = np.minimum.reduceat(left[item] / times, firsts)
-        wanted = np.bincount(item, wish[row] * times, len(lengths))
-        part = np.minimum(left, np.maximum(STEP * need, 1))
-        used = wish * np.minimum.reduceat((part[item] / wanted[item]), firsts)
-        gained = np.bincount(item, used[row] * times, len(lengths))
-        left = np.maximum(left - gained, 0)
-        weight *= np.exp(-FALL * gained / need)
-        yield through, row, item, times, used
-
-
-def best_fit(left: dict[int, int], capacity: int) -> dict[Pattern, int]:
-    """Best fit by decreasing length, over groups of equal sequences rather than single ones."""
+    row = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
+    item = np.searchsorted(lengths, [length for p in patterns for length, _ in p])
+    share = np.array([times for p in patterns for _, times in p]) / need[item]
+    firsts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    gains = lambda x, w: (np.add.reduceat(w[item] * share, firsts), np.bincount(item, x[row] * share, len(w)))
+    rate /= share.max()
+    sum_x, sum_w, (old_x, old_w) = np.zeros_like(x), np.zeros_like(w), gains(x, w)
+    for _ in range(turns):
+        gain_x, gain_w = gains(x, w)
+        ahead_x, ahead_w = rate * (2 * gain_x - old_x), rate * (old_w - 2 * gain_w)
+        x, w = x * np.exp(ahead_x - ahead_x.max()), w * np.exp(ahead_w - ahead_w.max())
+        x, w = x / x.sum(), w / w.sum()
+        sum_x, sum_w, old_x, old_w = sum_x + x, sum_w + w, gain_x, gain_w
+    return sum_x / turns, sum_w / turns
+
+
+def rounded(patterns: list[Pattern], uses: np.ndarray, histogram: dict[int, int], capacity: int) -> dict[Pattern, int]:
+    """Whole uses of the patterns, the fullest first, a lost share carried on to the next; best fit of the rest into their room and new sequences."""
+    fill = [sum(length * times for length, times in p) for p in patterns]
+    left, out, carried = dict(histogram), Counter(), 0.0
+    for i in sorted(range(len(patterns)), key=lambda i: (-fill[i], -uses[i])):
+        carried += uses[i]
+        n = min(int(carried), min(left[length] // times for length, times in patterns[i]))
+        if n > 0:
+            out[patterns[i]] += n
+            for length, times in patterns[i]:
+                left[length] -= n * times
+        carried = min(carried - n, 1.0)
+    return best_fit({x: n for x, n in left.items() if n}, capacity, out)
+
+
+def best_fit(left: dict[int, int], capacity: int, begun: dict[Pattern, int] | None = None) -> dict[Pattern, int]:
+    """Best fit by decreasing length into the room of sequences ``begun`` and new ones, over groups of equal sequences rather than single ones."""
     groups: dict[int, list[tuple[Pattern, int]]] = defaultdict(list)
     rooms: list[int] = []
 
@@ -160,6 +149,8 @@ def best_fit(left: dict[int, int], capacity: int) -> dict[Pattern, int]:
             insort(rooms, room)
         groups[room].append((pattern, n))
 
+    for pattern, n in (begun or {}).items():
+        put(capacity - sum(length * times for length, times in pattern), pattern, n)
     for length in sorted(left, reverse=True):
         n = left[length]
         while n:
@@ -186,29 +177,45 @@ def best_fit(left: dict[int, int], capacity: int) -> dict[Pattern, int]:
     return out
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> dict[Pattern, int]:
-    """Patterns and how many sequences use each; together they hold the histogram exactly."""
-    out: dict[Pattern, int] = defaultdict(int)
-    lengths = np.array(sorted(x for x, n in histogram.items() if n and x < capacity), np.int64)
-    if n := histogram.get(capacity, 0):
-        out[((capacity, 1),)] += n
-    need = np.array([histogram[x] for x in lengths.tolist()], np.float64)
-    left, carried = need.astype(np.int64), np.full(len(lengths), 0.5)
-    for through, row, item, times, used in fractional(lengths, need, capacity, rounds):
-        carried[through] += used
-        firsts = np.flatnonzero(np.r_[True, row[1:] != row[:-1], True])
-        for i in np.flatnonzero(carried[through] >= 1).tolist():
-            own = slice(firsts[i], firsts[i + 1])
-            j, t = item[own], times[own]
-            n = min(int(carried[through[i]]), int((left[j] // t).min()))
-            if n:
-                carried[through[i]] -= n
-                left[j] -= n * t
-                out[tuple(zip(lengths[j][::-1].tolist(), t[::-1].tolist(), strict=True))] += n
-    rest = {int(x): int(n) for x, n in zip(lengths.tolist(), left.tolist(), strict=True) if n}
-    for pattern, n in best_fit(rest, capacity).items():
-        out[pattern] += n
-    return dict(out)
+def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tuple[dict[Pattern, int], float]:
+    """Patterns and how many sequences use each, together the histogram exactly; and a number of sequences that no packing falls below.
+
+    The first columns are those of best fit, so the result never needs more
+    sequences than best fit alone; where the dual bound shows that these are
+    (nearly) as few as can be, no round is played.
+    """
+    lengths = np.array(sorted(x for x, n in histogram.items() if n), np.int64)
+    if not len(lengths):
+        return {}, 0.0
+    histogram = {int(x): histogram[x] for x in lengths.tolist()}
+    need = np.array(list(histogram.values()), np.float64)
+    found = best_fit(histogram, capacity)
+    weight: dict[Pattern, float] = Counter()
+    for pattern, n in found.items():
+        # A length may come more than once in a pattern of best fit.
+        times = Counter()
+        for length, k in pattern:
+            times[length] += k
+        weight[tuple(sorted(times.items(), reverse=True))] += n
+    fewest, w, bound = sum(found.values()), need * lengths, 0.0
+    w, since = w / w.sum(), 0
+    for turn in range(rounds):
+        value, fresh = price(lengths, w / need, need, capacity)
+        # By duality: lengths priced so that no pattern is worth more than 1.
+        bound = max(bound, 1 / value)
+        if fewest <= max(np.ceil(bound - 1e-6), bound * (1 + NEAR)) or since == PATIENCE:
+            break
+        total = sum(weight.values())
+        columns = list(weight | dict.fromkeys(p for p in fresh if p not in weight))
+        # Every column keeps a little weight, so that it can grow.
+        x = np.array([0.9 * weight.get(p, 0.0) / total + 0.1 / len(columns) for p in columns])
+        x, w = play(columns, lengths, need, x, w, RATES[turn % len(RATES)], TURNS)
+        weight = {p: share for p, share in zip(columns, x.tolist(), strict=True) if share > LEAST_SHARE}
+        tried = rounded(list(weight), np.array(list(weight.values())) * bound, histogram, capacity)
+        since += 1
+        if sum(tried.values()) < fewest:
+            found, fewest, since = tried, sum(tried.values()), 0
+    return dict(found), bound
 
 
 def slots(patterns: dict[Pattern, int]) -> dict[int, np.ndarray]:
@@ -230,7 +237,7 @@ def pack(cut: DataFrame, key: tuple[str, ...] = ("doc_id", "piece"), capacity: i
     """The staged pieces with sequence_id and offset; ``cut`` is read three times."""
     spark = cut.sparkSession
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    table = spark.sparkContext.broadcast(slots(solve(histogram, capacity, rounds)))
+    table = spark.sparkContext.broadcast(slots(solve(histogram, capacity, rounds)[0]))
     buckets = max(1, -(-sum(histogram.values()) // BUCKET_ROWS))
     bucketed = cut.withColumn("__bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
     counts = bucketed.groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
