@@ -1,4 +1,4 @@
-"""Style of text lines in images: line grouping, colours, fonts, character alignment."""
+"""Style of text lines: line grouping, colours, fonts, character alignment; ``raster`` has the operators on images."""
 
 from __future__ import annotations
 
@@ -137,62 +137,6 @@ def align_characters(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("block_id").applyInPandas(run, "block_id string, place int, xmin int, xmax int, char string")
 
 
-def otsu_threshold(values: np.ndarray) -> int:
-    """The grey level that splits a histogram with the largest variance between both sides."""
-    n = np.bincount(np.asarray(values, np.uint8).ravel(), minlength=256).astype(float)
-    low, level = np.cumsum(n), np.cumsum(n * np.arange(256))
-    high = low[-1] - low
-    with np.errstate(divide="ignore", invalid="ignore"):
-        between = low * high * (level / low - (level[-1] - level) / high) ** 2
-    return int(np.nanargmax(np.where((low > 0) & (high > 0), between, -1.0)))
-
-
-def ink_mask(image: np.ndarray) -> np.ndarray:
-    """Foreground of a grey image: the side of the threshold that the border's median is not on."""
-    mask = image > otsu_threshold(image)
-    border = np.r_[mask[0], mask[-1], mask[:, 0], mask[:, -1]]
-    return ~mask if np.median(border) else mask
-
-
-def split_points(mask: np.ndarray, edges: list[int]) -> list[int]:
-    """Proposed cuts between characters: sorted distinct edges with ink between each and the next."""
-    ink = np.r_[0, np.cumsum(np.asarray(mask, bool).any(axis=0))]
-    out: list[int] = []
-    for x in sorted({min(max(e, 0), mask.shape[1]) for e in edges}):
-        if not out or ink[x] > ink[out[-1]]:
-            out.append(x)
-    return out
-
-
-def match_cost(glyph: np.ndarray, seen: np.ndarray) -> float:
-    """Distance of two ink masks of one size: mean and 95th-percentile nearest distances both ways, and 10 x (1 - overlap)."""
-    a, b = (np.argwhere(np.asarray(x, bool)).astype(float) for x in (glyph, seen))
-    if not len(a) or not len(b):
-        return float("inf")
-    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
-    there, back = d.min(axis=1), d.min(axis=0)
-    both = np.logical_and(glyph, seen).sum() / np.logical_or(glyph, seen).sum()
-    return float(there.mean() + back.mean() + 0.5 * (np.percentile(there, 95) + np.percentile(back, 95)) + 10 * (1 - both))
-
-
-def erase_box(image: np.ndarray, x1: int, y1: int, x2: int, y2: int, grow: int = 2) -> np.ndarray:
-    """The image with a box, grown a little, filled by the median of the ring around it."""
-    high, wide = image.shape[:2]
-    x1, y1, x2, y2 = max(0, x1 - grow), max(0, y1 - grow), min(wide, x2 + grow), min(high, y2 + grow)
-    ring = np.concatenate([image[max(0, y1 - 1), x1:x2], image[min(high - 1, y2), x1:x2], image[y1:y2, max(0, x1 - 1)], image[y1:y2, min(wide - 1, x2)]])
-    out = image.copy()
-    out[y1:y2, x1:x2] = np.median(ring, axis=0).astype(image.dtype)
-    return out
-
-
-def extend_right(image: np.ndarray, x1: int, y1: int, x2: int, y2: int, look: int = 4, margin: int = 8) -> int:
-    """The right edge moved on while the next columns equal the border's, short of the page's edge."""
-    border = image[y1:y2, x2 - 1 : x2]
-    while x2 + look <= image.shape[1] - margin and (image[y1:y2, x2 : x2 + look] == border).all():
-        x2 += 1
-    return x2
-
-
 def rendered(blocks: DataFrame) -> DataFrame:
     """doc_id, page, json: blocks with HTML as positioned, styled entries of a rendered page."""
     c = F.col

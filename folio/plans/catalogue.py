@@ -22,12 +22,14 @@ from folio.sources import files
 from folio.streaming import trace as X
 from folio.tables import table
 
+from . import images
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
+QUERIES: dict[str, Query] = dict(images.QUERIES)
+ORACLES |= images.ORACLES
 
 #: The questions that the search queries ask.
 QUESTIONS = [("q1", "the thing of the Nation"), ("q2", "thether ERTION with THAN"), ("q3", "para los gestion queasmitaó"), ("q4", "please find documents about ATION ENTHE 2024")]

@@ -2,7 +2,6 @@
 
 import json
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,16 +70,7 @@ def test_search_trace(spark):
     assert [e["event"] for e in events][0] == "query_preprocessed" and json.loads(events[-1]["payload"])["n"] == 1
 
 
-def test_images(spark):
-    mask = np.zeros((4, 10), bool)
-    mask[:, 1:3] = mask[:, 6:8] = True
-    assert Y.split_points(mask, [0, 1, 3, 5, 8, 20]) == [0, 3, 8]
-    assert Y.match_cost(mask, mask) == 0 and Y.match_cost(mask, ~mask) > 10 and Y.match_cost(mask, np.zeros_like(mask)) == float("inf")
-    image = np.full((30, 60), 200, np.uint8)
-    image[10:14, 10:20] = 0
-    assert (Y.erase_box(image, 10, 10, 20, 14) == 200).all()
-    image[:, 40] = 0
-    assert Y.extend_right(image, 10, 20, 25, 25) == 37
+def test_rendered_pages(spark):
     row = Y.rendered(spark.createDataFrame([(1, 1, 1, 0, 0, 10, 20, "<p/>", None, None, 2), (1, 1, 2, 0, 0, 1, 1, None, None, None, 1)], "doc_id long, page int, block_index int, x1 int, y1 int, x2 int, y2 int, html string, font_family string, color string, line_count int")).first()
     assert [(e["block_index"], e["css"]) for e in json.loads(row["json"])] == [(1, "font-family: sans-serif; color: #000; line-height: 10.0px;")]
 

@@ -168,9 +168,6 @@ def test_characters_and_ink(spark):
     assert Y.best_chain("xabc", [(0, 5, "a"), (6, 9, "b"), (10, 15, "c")]) == [(0, 5, "a"), (6, 9, "b"), (10, 15, "c")]
     assert Y.best_chain("ab", [(0, 5, "a"), (5, 9, "b")]) == [(0, 5, "a")] and Y.best_chain("abcd", [(0, 5, "a"), (7, 9, "cd"), (6, 6, "b")]) == [(0, 5, "a"), (6, 6, "b"), (7, 9, "cd")]
     assert Y.best_chain("", [(0, 1, "a")]) == [] and Y.best_chain("abc", []) == [] and Y.best_chain("abc", [(0, 1, "z")]) == []
-    image = np.full((10, 10), 250, np.uint8)
-    image[4:6, 4:6] = 5
-    assert Y.ink_mask(image).sum() == 4
 
 
 def test_message_groups(spark):
