@@ -32,6 +32,8 @@ RING_PIXELS, RING_SHARE = 2, 0.1
 FILL_BEFORE, FILL_AFTER = 2, 3
 LOOK, MARGIN = 4, 8
 NARROWEST, WIDEST = 0.1, 2
+#: Rows of glyph pairs whose distances are found together.
+STACK_ROWS = 16_384
 
 
 def from_text(text: Column, width: int = 64, channels: int = 1) -> Column:
@@ -459,78 +461,84 @@ def extend_boxes(df: DataFrame, raster: str = "raster", boxes: str = "boxes", ke
 # --- glyphs ----------------------------------------------------------------------------------
 
 
-def squared_distances(ink: np.ndarray) -> np.ndarray:
-    """Squared distance of every pixel to the nearest ink, exactly, in time linear in the pixels (-1 without ink).
+def stacked_distances(ink: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Squared distance of every pixel to the nearest ink of its raster, exactly, in time linear in the pixels (-1 without ink).
 
-    Down every column the distance to the nearest ink comes from two scans.
-    Along the rows, the lower envelope of the parabolas that these distances
-    raise is kept as a stack, for all rows at once.
+    ``ink`` are rasters of one width on top of each other; ``first`` and ``stop``
+    say, for every row, where its raster begins and ends.  Down the columns the
+    nearest ink comes from two scans.  Along the rows, the lower envelope of the
+    parabolas that these distances raise is kept as a stack, for all rows at once.
     """
     high, wide = ink.shape
-    if not ink.any():
-        return np.full((high, wide), -1, np.int64)
-    far = high + wide
-    column = np.where(ink, 0, far).astype(np.int64)
-    for y in range(1, high):
-        np.minimum(column[y], column[y - 1] + 1, out=column[y])
-    for y in range(high - 2, -1, -1):
-        np.minimum(column[y], column[y + 1] + 1, out=column[y])
+    rows = np.arange(high)
+    far = (stop - first + wide)[:, None]
+    above = np.maximum.accumulate(np.where(ink, rows[:, None], -1), axis=0)
+    below = np.minimum.accumulate(np.where(ink, rows[:, None], high)[::-1], axis=0)[::-1]
+    column = np.minimum(np.where(above >= first[:, None], rows[:, None] - above, far), np.where(below < stop[:, None], below - rows[:, None], far))
     column *= column
-    rows, top = np.arange(high), np.zeros(high, np.int64)
+    top = np.zeros(high, np.int64)
     # The columns whose parabolas make the envelope, and where each takes over.
     vertex, since = np.zeros((high, wide), np.int32), np.zeros((high, wide), np.int32)
     for x in range(1, wide):
         live = rows
         while len(live):
-            v = vertex[live, top[live]]
+            v = vertex[live, top[live]].astype(np.int64)
             # The first place at which the new parabola lies under the stack's top.
-            place = (x * x - v.astype(np.int64) ** 2 + column[live, x] - column[live, v]) // (2 * (x - v)) + 1
+            place = (x * x - v * v + column[live, x] - column[live, v]) // (2 * (x - v)) + 1
             under = place <= since[live, top[live]]
-            under &= top[live] >= 0
-            settle = live[~under]
-            push = place[~under] < wide
-            onto = settle[push]
+            push = ~under & (place < wide)
+            onto = live[push]
             top[onto] += 1
-            vertex[onto, top[onto]] = x
-            since[onto, top[onto]] = np.maximum(place[~under][push], 0)
+            vertex[onto, top[onto]], since[onto, top[onto]] = x, place[push]
             live = live[under]
+            # What lies under the new one everywhere goes; the first of a row is replaced.
+            only = top[live] == 0
+            vertex[live[only], 0], since[live[only], 0] = x, 0
+            live = live[~only]
             top[live] -= 1
-            bottom = top[live] < 0
-            empty = live[bottom]
-            top[empty] = 0
-            vertex[empty, 0], since[empty, 0] = x, 0
-            live = live[~bottom]
     out = np.empty((high, wide), np.int64)
     for x in range(wide - 1, -1, -1):
-        v = vertex[rows, top]
-        out[:, x] = (x - v.astype(np.int64)) ** 2 + column[rows, v]
+        v = vertex[rows, top].astype(np.int64)
+        out[:, x] = (x - v) ** 2 + column[rows, v]
         done = (since[rows, top] == x) & (top > 0)
         top[done] -= 1
+    has = np.r_[0, np.cumsum(ink.any(axis=1))]
+    out[has[stop] == has[first]] = -1
     return out
 
 
-def match_cost(seen: np.ndarray, drawn: np.ndarray) -> float:
-    """How far a drawn glyph (255 for ink) is from a seen one (0 for ink) of the same size.
+def squared_distances(ink: np.ndarray) -> np.ndarray:
+    """The same of one raster."""
+    rows = np.zeros(len(ink), np.int64)
+    return stacked_distances(ink, rows, rows + len(ink))
+
+
+def match_costs(seen: list[np.ndarray], drawn: list[np.ndarray]) -> list[float]:
+    """How far drawn glyphs (255 for ink) are from seen ones (0 for ink), pair by pair of one size; all of one width.
 
     Mean distance of each one's ink, by weight, to the other's, half of the
     95th-percentile distances, and ten times the share of the union that is not
     common.  Distances end at the square root of the area; a side without ink
     costs a million.
     """
-    if seen.shape != drawn.shape:
-        raise ValueError(f"glyphs of one size, not {seen.shape} and {drawn.shape}")
-    most = float(np.sqrt(seen.size))
-    away = lambda ink: np.minimum(np.sqrt(np.where((d := squared_distances(ink)) < 0, np.inf, d)), most)
-    weights = (255 - seen.astype(np.float64)) / 255, drawn.astype(np.float64) / 255
-    solid = weights[0] > 0.5, weights[1] > 0.5
-    distances = away(drawn >= 128), away(seen < 128)
-    cost = 0.0
-    for weight, own, distance in zip(weights, solid, distances, strict=True):
-        total = weight.sum()
-        cost += float((distance * weight).sum() / total) if total > 0 else 1e6
-        cost += 0.5 * (float(np.percentile(distance[own], 95)) if own.any() else 1e6)
-    union = np.logical_or(*solid).sum()
-    return cost + 10 * (1 - (float(np.logical_and(*solid).sum() / union) if union else 0.0))
+    heights = np.array([len(a) for a in seen])
+    stops = np.cumsum(heights)
+    first, stop = np.repeat(stops - heights, heights), np.repeat(stops, heights)
+    far = [stacked_distances(np.vstack(side), first, stop) for side in ([b >= 128 for b in drawn], [a < 128 for a in seen])]
+    out = []
+    for a, b, end in zip(seen, drawn, stops.tolist(), strict=True):
+        most, cost = float(np.sqrt(a.size)), 0.0
+        weights = (255 - a.astype(np.float64)) / 255, b.astype(np.float64) / 255
+        solid = weights[0] > 0.5, weights[1] > 0.5
+        for weight, own, squares in zip(weights, solid, far, strict=True):
+            squares = squares[end - len(a) : end]
+            distance = np.minimum(np.sqrt(np.where(squares < 0, np.inf, squares)), most)
+            total = weight.sum()
+            cost += float((distance * weight).sum() / total) if total > 0 else 1e6
+            cost += 0.5 * (float(np.percentile(distance[own], 95)) if own.any() else 1e6)
+        union = np.logical_or(*solid).sum()
+        out.append(cost + 10 * (1 - (float(np.logical_and(*solid).sum() / union) if union else 0.0)))
+    return out
 
 
 def glyph_costs(df: DataFrame, seen: str = "seen", drawn: str = "drawn", keep: tuple[str, ...] = ("block_id", "font")) -> DataFrame:
@@ -543,11 +551,18 @@ def glyph_costs(df: DataFrame, seen: str = "seen", drawn: str = "drawn", keep: t
     def each(part: pa.RecordBatch, flat: Flat) -> list[pa.Array]:
         other = Flat.read(part.column("__other"))
         place = {row: i for i, row in enumerate(other.rows.tolist())}
-        out = []
-        for i, row in enumerate(flat.rows.tolist()):
-            j = place.get(row)
-            a, b = flat.image(i), None if j is None else other.image(j)
-            out.append(match_cost(a[:, :, 0], b[:, :, 0]) if b is not None and a.shape == b.shape and a.shape[2] == 1 else None)
-        return [_spread(part.num_rows, flat.rows, out, pa.float64())]
+        pairs = [(row, flat.image(i), other.image(place[row])) for i, row in enumerate(flat.rows.tolist()) if row in place]
+        pairs = sorted((p for p in pairs if p[1].shape == p[2].shape and p[1].shape[2] == 1), key=lambda p: p[1].shape[1])
+        out, at = [None] * part.num_rows, 0
+        while at < len(pairs):
+            # Pairs of one width together, up to some rows of pixels (one pair at least).
+            to, rows = at, 0
+            while to < len(pairs) and pairs[to][1].shape[1] == pairs[at][1].shape[1] and (to == at or rows + len(pairs[to][1]) <= STACK_ROWS):
+                rows, to = rows + len(pairs[to][1]), to + 1
+            costs = match_costs([a[:, :, 0] for _, a, _ in pairs[at:to]], [b[:, :, 0] for _, _, b in pairs[at:to]])
+            for (row, *_), cost in zip(pairs[at:to], costs, strict=True):
+                out[row] = cost
+            at = to
+        return [pa.array(out, pa.float64())]
 
     return _map(df, keep, [F.col(seen).alias("__raster"), F.col(drawn).alias("__other")], "cost double", each)
