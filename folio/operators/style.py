@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,32 +50,128 @@ def merge_fonts(predictions: DataFrame) -> DataFrame:
     return merged.where(F.col("cost").isNotNull()).groupBy("block_id").agg(best.alias("b")).select("block_id", "b.font", "b.size")
 
 
+#: Letters of a pattern that one machine word holds; texts, and letters of the longest, that are searched side by side.
+WORD_LETTERS, ABREAST, ABREAST_LETTERS = 63, 512, 1 << 23
+
+
+def _columns(source: str, found: str) -> Iterator[tuple[int, int, int]]:
+    """Edit distances of ``found`` to the slices of ``source``, a column of bits at a time (Myers; Hyyrö).
+
+    After every letter of ``source``: the bits at which the distance grows by one
+    from the letter of ``found`` above, those at which it falls, and the distance
+    of the nearest slice that ends there.  A letter costs a dozen operations on
+    numbers of as many bits as ``found`` has letters.
+    """
+    where: dict[str, int] = {}
+    for i, c in enumerate(found):
+        where[c] = where.get(c, 0) | 1 << i
+    full, top = (1 << len(found)) - 1, len(found) - 1
+    up, down, score = full, 0, len(found)
+    yield up, down, score
+    for c in source:
+        eq = where.get(c, 0) | down
+        flat = (((eq & up) + up) ^ up) | eq
+        right, left = down | (full & ~(up | flat)), up & flat
+        score += (right >> top & 1) - (left >> top & 1)
+        right = right << 1 & full
+        up, down = (left << 1 & full) | (full & ~(right | flat)), right & flat
+        yield up, down, score
+
+
+def _begin(source: str, found: str, end: int, cost: int) -> int:
+    """Where the slice that ends at ``end`` begins: back over substitutions first, then letters left out, then letters too many.
+
+    Slices as near as ``cost`` that end there or on the way back reach no
+    further than the pattern and twice the cost, so only these columns are
+    worked out again.
+    """
+    low = max(0, end - len(found) - 2 * cost - 2)
+    states = list(_columns(source[low:end], found))
+    i, j = len(found), end
+    while i and j > low:
+        up, down, _ = states[j - low]
+        below = (1 << i - 1) - 1
+        before = states[j - low - 1]
+        corner = (before[0] & below).bit_count() - (before[1] & below).bit_count()
+        if corner + (found[i - 1] != source[j - 1]) == cost:
+            i, j, cost = i - 1, j - 1, corner
+            continue
+        above = cost - (up >> i - 1 & 1) + (down >> i - 1 & 1)
+        if above + 1 == cost:
+            i, cost = i - 1, above
+        else:
+            j, cost = j - 1, cost - 1
+    return j
+
+
+def _nearest_of(source: str, found: str, least: int, ends) -> tuple[int, int]:
+    """Of the slices at ``ends``, all ``least`` edits away, the shortest, then the first."""
+    best = None
+    for end in ends:
+        first = _begin(source, found, end, least)
+        if best is None or end - first < best[1] - best[0]:
+            best = first, end
+            # No slice with so few edits is shorter.
+            if end - first <= max(0, len(found) - least):
+                break
+    return best
+
+
 def _best_slice(source: str, found: str) -> tuple[int, int]:
-    """The slice of ``source`` nearest to ``found`` by edits, the shortest where several are."""
+    """The slice of ``source`` nearest to ``found`` by edits, the shortest where several are, then the first."""
     if not source or not found:
         return 0, 0
-    letters = np.array([ord(c) for c in source])
-    n = len(letters)
-    cost, start = [0] * (n + 1), list(range(n + 1))
-    for i, c in enumerate(found, 1):
-        same = letters == ord(c)
-        row, begin = [i], [0]
-        for j in range(n):
-            # On equal costs a substitution comes before a deletion, and that before an insertion.
-            options = ((cost[j] + (not same[j]), 0, start[j]), (cost[j + 1] + 1, 1, start[j + 1]), (row[j] + 1, 2, begin[j]))
-            best = min(options)
-            row.append(best[0])
-            begin.append(best[2])
-        cost, start = row, begin
-    end = min(range(n + 1), key=lambda j: (cost[j], j - start[j], j))
-    return start[end], end
+    costs = [score for _, _, score in _columns(source, found)]
+    least = min(costs)
+    return _nearest_of(source, found, least, (j for j, cost in enumerate(costs) if cost == least))
+
+
+def _best_slices(sources: list[str], founds: list[str]) -> list[tuple[int, int]]:
+    """``_best_slice`` of many texts, their columns side by side in machine words, texts of like length together."""
+    out: list = [None] * len(sources)
+    short = [k for k, f in enumerate(founds) if sources[k] and 0 < len(f) <= WORD_LETTERS]
+    short.sort(key=lambda k: len(sources[k]))
+    table, one = np.zeros(0x110000, np.uint64), np.uint64(1)
+    at = 0
+    while at < len(short):
+        to = min(len(short), at + ABREAST)
+        while to > at + 1 and (to - at) * len(sources[short[to - 1]]) > ABREAST_LETTERS:
+            to = at + (to - at) // 2
+        some, at = short[at:to], to
+        longest = len(sources[some[-1]])
+        same = np.zeros((longest, len(some)), np.uint64)
+        size = np.array([len(founds[k]) for k in some], np.int64)
+        for n, k in enumerate(some):
+            letters = np.frombuffer(founds[k].encode("utf-32-le", "surrogatepass"), np.uint32)
+            np.bitwise_or.at(table, letters, one << np.arange(len(letters), dtype=np.uint64))
+            text = np.frombuffer(sources[k].encode("utf-32-le", "surrogatepass"), np.uint32)
+            same[: len(text), n] = table[text]
+            table[letters] = 0
+        top = (size - 1).astype(np.uint64)
+        full = (one << size.astype(np.uint64)) - one
+        up, down, score = full.copy(), np.zeros_like(full), size.copy()
+        costs = np.empty((longest + 1, len(some)), np.int8)
+        costs[0] = score
+        for j in range(longest):
+            eq = same[j] | down
+            flat = (((eq & up) + up) ^ up) | eq
+            right, left = down | ~(up | flat), up & flat
+            score += ((right >> top) & one).astype(np.int64) - ((left >> top) & one).astype(np.int64)
+            right <<= one
+            up, down = ((left << one) | ~(right | flat)) & full, right & flat & full
+            costs[j + 1] = score
+        for n, k in enumerate(some):
+            own = costs[: len(sources[k]) + 1, n]
+            least = int(own.min())
+            out[k] = _nearest_of(sources[k], founds[k], least, np.flatnonzero(own == least).tolist())
+    return [_best_slice(sources[k], founds[k]) if r is None else r for k, r in enumerate(out)]
 
 
 def edit_slice(source: Column, found: Column) -> Column:
     """struct<first, stop> of the best slice of ``source`` for a recognised text."""
 
     def run(source: pd.Series, found: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_best_slice(s or "", f or "") for s, f in zip(source, found, strict=True)], columns=["first", "stop"])
+        return pd.DataFrame(_best_slices([s or "" for s in source], [f or "" for f in found]), columns=["first", "stop"])
 
     return F.pandas_udf(run, "first int, stop int")(source, found)
 

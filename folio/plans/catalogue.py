@@ -20,6 +20,7 @@ from folio.operators import search as S
 from folio.operators import style as Y
 from folio.sources import files
 from folio.streaming import trace as X
+from folio.shared import staged
 from folio.tables import table
 
 from . import images
@@ -31,13 +32,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = dict(images.QUERIES)
 ORACLES |= images.ORACLES
 
-#: The questions that the search queries ask.
-QUESTIONS = [("q1", "the thing of the Nation"), ("q2", "thether ERTION with THAN"), ("q3", "para los gestion queasmitaó"), ("q4", "please find documents about ATION ENTHE 2024")]
-ENTITIES = [("q1", "andonhethnt"), ("q1", "the "), ("q2", "ERTION"), ("q2", "aieauquetion"), ("q3", "ciónado"), ("q3", "achlichtz"), ("q4", "ENTHE"), ("q4", "onanwhinsh")]
-#: Model answers to some of the questions; the others get none, or no JSON.
-EXPANSIONS = {"q1": '{"entities": ["andonhethnt"], "semantic_queries": ["nation of things"], "lexical_queries": ["thing eronin"]}', "q3": '{"entities": ["achlichtz", "aimentier"], "semantic_queries": [], "lexical_queries": []}', "q4": "not-json"}
-#: (question, semantic query, vector): which vectors stand for a question's semantic queries.
-QUERY_VECTORS = [("q1", 0, 0), ("q1", 1, 1), ("q2", 0, 2), ("q3", 0, 3), ("q4", 0, 4)]
+#: The model's answer for conversations whose id is divisible by 100; the other ones that ask get no JSON.
+EXPANSION = '{"entities": ["andonhethnt"], "semantic_queries": ["nation of things"], "lexical_queries": ["thing eronin"]}'
 
 
 def query(f: Query) -> Query:
@@ -82,8 +78,10 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.build_records(pages, blocks, semantic)
 
 
-def questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(QUESTIONS, "query_id string, query string")
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the search queries ask: the first turn of every conversation whose id is divisible by 50."""
+    asked = table(spark, sf_dir, "conversations").where("conv_id % 50 = 0 AND turn = 0")
+    return asked.groupBy("conv_id").agg(F.min("text").alias("query")).select(F.concat(F.lit("q"), "conv_id").alias("query_id"), "query", "conv_id")
 
 
 # --- search ------------------------------------------------------------------
@@ -96,7 +94,7 @@ def tokenize_counts(spark, sf_dir):
 
 @query
 def query_profile(spark, sf_dir):
-    p = S.profile(questions(spark))
+    p = S.profile(questions(spark, sf_dir))
     return p.select("query_id", "normalized", F.array_join("query_tokens", "|").alias("query_tokens"), F.array_join("entities", "|").alias("entities"), F.array_join("lexical_queries", "|").alias("lexical_queries"))
 
 
@@ -123,31 +121,41 @@ def _hits(hits: DataFrame) -> DataFrame:
 
 @query
 def bm25_topk(spark, sf_dir):
-    return _hits(S.bm25(records(spark, sf_dir), questions(spark).where("query_id = 'q1'")))
+    return _hits(S.bm25(records(spark, sf_dir), questions(spark, sf_dir).where("query_id = 'q0'")))
 
 
 @query
 def bm25_multi_query(spark, sf_dir):
-    return _hits(S.bm25(records(spark, sf_dir), questions(spark)))
+    return _hits(S.bm25(records(spark, sf_dir), questions(spark, sf_dir)))
 
 
 @query
 def bm25_doc_filter(spark, sf_dir):
-    return _hits(S.bm25(records(spark, sf_dir), questions(spark), doc_ids=list(range(0, 40))))
+    return _hits(S.bm25(records(spark, sf_dir), questions(spark, sf_dir), doc_ids=list(range(0, 40))))
 
 
-def entity_rows(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ENTITIES, "query_id string, entity string")
+def entity_rows(spark: SparkSession, sf_dir: str, part: int = 50) -> DataFrame:
+    """Entities of benchmark items whose id is divisible by ``part``: all their words, which are common, rare or nowhere."""
+    items = table(spark, sf_dir, "benchmark").where(F.col("item_id") % part == 0)
+    return items.select(F.concat(F.lit("q"), "item_id").alias("query_id"), F.explode(F.regexp_extract_all("text", F.lit("\\S+"), F.lit(0))).alias("entity")).distinct()
 
 
 @query
 def entity_grounding(spark, sf_dir):
-    return S.ground_entities(records(spark, sf_dir), entity_rows(spark)).select("query_id", "entity", "match_count", six("match_ratio"), "factor", "is_common")
+    return S.ground_entities(records(spark, sf_dir), entity_rows(spark, sf_dir)).select("query_id", "entity", "match_count", six("match_ratio"), "factor", "is_common")
 
 
 @query
 def entity_scores(spark, sf_dir):
-    return S.entity_scores(records(spark, sf_dir), entity_rows(spark))
+    return S.entity_scores(records(spark, sf_dir), entity_rows(spark, sf_dir))
+
+
+@query
+def entity_dictionary(spark, sf_dir):
+    """All words of all benchmark items as one automaton over all records: how many records hold each."""
+    words = entity_rows(spark, sf_dir, 1).select(F.lower("entity").alias("word"))
+    lowered = records(spark, sf_dir).select("record_id", F.lower("text").alias("text"))
+    return S.contained(lowered, words).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,23 +173,24 @@ def knn_topk(spark, sf_dir):
     return found.select("query_id", "record_id", F.round("distance", 5).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
-def _profiles(spark: SparkSession) -> DataFrame:
-    answer = F.coalesce(*(F.when(F.col("query_id") == q, text) for q, text in EXPANSIONS.items()))
-    return S.expand(S.profile(questions(spark)).withColumn("expansion", answer).withColumn("expanded", F.col("query_id").isin("q1", "q3")))
+def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answer = F.when(F.col("conv_id") % 100 == 0, EXPANSION).otherwise("not-json")
+    return S.expand(S.profile(questions(spark, sf_dir)).withColumn("expansion", answer).withColumn("expanded", F.col("conv_id") % 100 == 0))
 
 
 def _hybrid(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    rows, own = records(spark, sf_dir), vectors(spark, sf_dir)
-    asked = spark.createDataFrame(QUERY_VECTORS, "query_id string, nth int, asked long")
-    asked = own.join(F.broadcast(asked), F.col("vec_id") == F.col("asked")).select("query_id", "nth", F.col("embedding").alias("vector"))
-    return S.search(rows, _profiles(spark), own, asked), rows
+    rows, own = staged(records(spark, sf_dir), "records"), vectors(spark, sf_dir)
+    # The vectors after the conversation's number stand for its semantic queries.
+    asked = _profiles(spark, sf_dir).select("query_id", F.posexplode("semantic_queries").alias("nth", "of"), "conv_id").withColumn("vec_id", F.col("conv_id") + F.col("nth"))
+    asked = own.join(asked, "vec_id").select("query_id", "nth", F.col("embedding").alias("vector"))
+    return S.search(rows, _profiles(spark, sf_dir), own, asked), rows
 
 
 @query
 def search_trace(spark, sf_dir):
     """The events that the hybrid search logs, with the sizes of what they tell."""
     found, _ = _hybrid(spark, sf_dir)
-    events = S.trace_events(_profiles(spark), found, {"llm_expansion": ~F.col("expanded")})
+    events = S.trace_events(_profiles(spark, sf_dir), found, {"llm_expansion": ~F.col("expanded")})
     return events.select("query_id", F.col("at").cast("long").alias("at"), "event", F.get_json_object("payload", "$.n").cast("long").alias("n"))
 
 
@@ -561,6 +570,16 @@ def edit_slice(spark, sf_dir):
     return rows.select("item_id", Y.edit_slice(F.col("text"), F.substring("text", 20, 30)).alias("s")).select("item_id", "s.first", "s.stop")
 
 
+@query
+def edit_slice_altered(spark, sf_dir):
+    """A piece of every whole document, some of its letters changed, one left out and one put in, found in the text again."""
+    at = 1 + (F.col("doc_id") * 31) % F.greatest(F.lit(1), F.length("text") - 40)
+    piece = F.substring("text", at, F.lit(40))
+    altered = F.concat(F.translate(F.substring(piece, 1, 15), "eo", "xy"), F.lit("q"), F.substring(piece, 17, 30))
+    rows = documents(spark, sf_dir).select("doc_id", Y.edit_slice(F.col("text"), altered).alias("s"), at.alias("at"))
+    return rows.select("doc_id", "s.first", "s.stop", F.col("at").cast("long").alias("at"))
+
+
 @query
 def char_align(spark, sf_dir):
     """Boxes of a text's letters, of which every seventh is missing and every fifth has a wrong box that touches its neighbours."""

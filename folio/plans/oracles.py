@@ -9,7 +9,7 @@ ORACLES: dict[str, str] = {}
 
 NL = "chr(10)"
 STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-QUESTIONS = "q(query_id, query) AS (VALUES ('q1', 'the thing of the Nation'), ('q2', 'thether ERTION with THAN'), ('q3', 'para los gestion queasmitaó'), ('q4', 'please find documents about ATION ENTHE 2024'))"
+QUESTIONS = "q(query_id, query, conv_id) AS (SELECT 'q' || conv_id, min(text), conv_id FROM conversations WHERE conv_id % 50 = 0 AND turn = 0 GROUP BY conv_id)"
 
 
 def strip(t: str) -> str:
@@ -122,24 +122,26 @@ hits AS (SELECT query_id, record_id, score, matched, row_number() OVER (PARTITIO
 
 
 _hit = "SELECT query_id, record_id, round(score, 6) AS score, array_to_string(matched, ',') AS matched, rank FROM hits WHERE rank <= 8"
-ORACLES["bm25_topk"] = f"WITH {bm25(only=chr(34) + 'query_id' + chr(34) + ' = ' + chr(39) + 'q1' + chr(39))} {_hit}"
+ORACLES["bm25_topk"] = f"WITH {bm25(only=chr(34) + 'query_id' + chr(34) + ' = ' + chr(39) + 'q0' + chr(39))} {_hit}"
 ORACLES["bm25_multi_query"] = f"WITH {bm25()} {_hit}"
 ORACLES["bm25_doc_filter"] = f"WITH {bm25('doc_id < 40')} {_hit}"
 ORACLES["bm25_docfreq"] = f"WITH {RECORDS}, t AS (SELECT record_id, unnest({tokens('text')}) AS token FROM records) SELECT token, count(DISTINCT record_id) AS df, count(*) AS cf FROM t GROUP BY token"
 _normal = strip(r"regexp_replace(query, '\s+', ' ', 'g')")
-ORACLES["query_profile"] = rf"""WITH {QUESTIONS}, n AS (SELECT query_id, {_normal} AS normalized FROM q),
-t AS (SELECT *, list_filter({tokens('normalized')}, lambda x: length(x) >= 2 AND x NOT IN ({STOPS})) AS ts, regexp_extract_all(normalized, '\b[A-Z][A-Z0-9&.\-/]{{1,20}}\b') AS up, regexp_extract_all(normalized, '\b[0-9]{{4,8}}\b') AS nums FROM n),
-u AS (SELECT *, list_filter(ts, lambda x, i: list_position(ts, x) = i) AS tokens, list_concat(up, nums) AS entities FROM t),
-v AS (SELECT *, list_concat(entities, tokens) AS al, list_transform(list_concat(entities, tokens), lambda x: lower(x)) AS low FROM u)
-SELECT query_id, normalized, array_to_string(tokens, '|') AS query_tokens, array_to_string(entities, '|') AS entities, array_to_string(list_filter(al, lambda x, i: list_position(low, lower(x)) = i), ' ') AS lexical_queries FROM v"""
+PROFILES = rf"""{QUESTIONS}, n AS (SELECT query_id, conv_id, {_normal} AS normalized FROM q),
+t AS (SELECT *, list_filter({tokens('normalized')}, lambda x: length(x) >= 2 AND x NOT IN ({STOPS})) AS ts, list_concat(regexp_extract_all(normalized, '\b[A-Z][A-Z0-9&.\-/]{{1,20}}\b'), regexp_extract_all(normalized, '\b[0-9]{{4,8}}\b')) AS es FROM n),
+u AS (SELECT *, list_filter(ts, lambda x, i: list_position(ts, x) = i) AS tokens, list_filter(es, lambda x, i: list_position(es, x) = i) AS entities FROM t),
+v AS (SELECT *, list_concat(entities, tokens) AS al, list_transform(list_concat(entities, tokens), lambda x: lower(x)) AS low FROM u),
+profiles AS (SELECT *, array_to_string(list_filter(al, lambda x, i: list_position(low, lower(x)) = i), ' ') AS lexical FROM v)"""
+ORACLES["query_profile"] = f"WITH {PROFILES} SELECT query_id, normalized, array_to_string(tokens, '|') AS query_tokens, array_to_string(entities, '|') AS entities, lexical AS lexical_queries FROM profiles"
 _embed = f"'doc_id: ' || doc_id || {NL} || 'page_id: ' || (page + 1) || {NL} || 'generic_role: ' || generic_role || {NL} || 'domain_role: ' || domain_role || {NL} || 'generated_role_name: unknown' || {NL} || 'section_purpose: ' || section_purpose || {NL} || {NL} || 'content:' || {NL} || text"
 ORACLES["search_records"] = f"WITH {RECORDS} SELECT record_id, source_kind, round(role_confidence, 6) AS role_confidence, needs_review, length(text) AS display_chars, length({_embed}) AS embedding_chars, md5({_embed}) AS embedding_md5 FROM records"
 ORACLES["search_metadata"] = f"WITH {RECORDS} SELECT record_id, page, block_id AS display_block_id, generic_role, domain_role, generated_role_name, section_purpose, needs_review AS semantic_needs_review, source_kind FROM records"
-ENTITY_SQL = f"""{RECORDS}, e(query_id, entity) AS (VALUES ('q1', 'andonhethnt'), ('q1', 'the '), ('q2', 'ERTION'), ('q2', 'aieauquetion'), ('q3', 'ciónado'), ('q3', 'achlichtz'), ('q4', 'ENTHE'), ('q4', 'onanwhinsh')), n AS (SELECT count(*) AS n FROM records),
+ENTITY_SQL = rf"""{RECORDS}, e AS (SELECT DISTINCT 'q' || item_id AS query_id, unnest(regexp_extract_all(text, '\S+')) AS entity FROM benchmark WHERE item_id % 50 = 0), n AS (SELECT count(*) AS n FROM records),
 m AS (SELECT query_id, entity, record_id FROM e, records WHERE contains(lower(text), lower(entity))),
 w AS (SELECT e.query_id, e.entity, count(record_id) AS match_count, any_value(n) AS n FROM e LEFT JOIN m USING (query_id, entity), n GROUP BY 1, 2),
 x AS (SELECT *, CASE WHEN n <= 0 THEN 1.0 WHEN match_count > 12 OR match_count / n > 0.30 THEN 0.0 WHEN match_count > 6 OR match_count / n > 0.15 THEN 0.5 ELSE 1.0 END AS factor FROM w)"""
 ORACLES["entity_grounding"] = f"WITH {ENTITY_SQL} SELECT query_id, entity, match_count, round(match_count / greatest(n, 1), 6) AS match_ratio, factor::DOUBLE AS factor, factor < 1 AS is_common FROM x"
+ORACLES["entity_dictionary"] = rf"WITH {RECORDS}, e AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '\S+'))) AS word FROM benchmark) SELECT word, count(*) AS n FROM e, records WHERE contains(lower(text), word) GROUP BY word"
 ORACLES["entity_scores"] = f"WITH {ENTITY_SQL} SELECT query_id, record_id, least(1.0, sum(factor))::DOUBLE AS score FROM m JOIN x USING (query_id, entity) WHERE factor > 0 GROUP BY 1, 2"
 VECTORS = "v AS (SELECT vec_id, CASE WHEN vec_id % 2 = 0 AND (vec_id + 1) % 10 <> 0 THEN 'semantic:' ELSE 'fallback:' END || vec_id || ':1:1' AS record_id, embedding::DOUBLE[] AS e FROM embeddings)"
 
@@ -149,12 +151,16 @@ def knn(asked: str) -> str:
 
 
 ORACLES["knn_topk"] = f"WITH {knn('asked AS (SELECT vec_id::VARCHAR AS query_id, 0 AS nth, e AS z FROM v WHERE vec_id % 50 = 0)')} SELECT query_id, record_id, round(distance, 5) AS distance, rank FROM near WHERE rank <= 20"
-KNN = knn("asked AS (SELECT query_id, nth, e AS z FROM v JOIN (VALUES ('q1', 0, 0), ('q1', 1, 1), ('q2', 0, 2), ('q3', 0, 3), ('q4', 0, 4)) k(query_id, nth, asked) ON vec_id = asked)")
+KNN = knn("asked AS (SELECT query_id, nth, e AS z FROM v JOIN (SELECT query_id, conv_id, unnest(CASE WHEN conv_id % 100 = 0 THEN [0, 1] ELSE [0] END) AS nth FROM q) k ON vec_id = conv_id + nth)")
+_words = PROFILES.replace("q(query_id", "asking(query_id").replace("FROM q)", "FROM asking)").replace("\nv AS", "\nv0 AS").replace("FROM v)", "FROM v0)").replace(", n AS (", ", n0 AS (").replace("FROM n)", "FROM n0)")
+_lexical = bm25().replace(QUESTIONS, f"{_words}, q AS (SELECT query_id || '/0' AS query_id, lexical AS query, conv_id FROM profiles UNION ALL SELECT query_id || '/1', 'thing eronin', conv_id FROM profiles WHERE conv_id % 100 = 0)")
+KNN = KNN.replace("FROM q) k", "FROM profiles) k")
 
-_lexical = bm25().replace(QUESTIONS, "q(query_id, query) AS (VALUES ('q1/0', 'thing nation'), ('q1/1', 'thing eronin'), ('q2/0', 'ERTION THAN thether'), ('q3/0', 'para los gestion queasmita'), ('q4/0', 'ATION ENTHE 2024 find about'))")
 ORACLES["hybrid_search"] = f"""WITH {_lexical}, {KNN},
 lex AS (SELECT split_part(query_id, '/', 1) AS query_id, record_id, max(score) AS bm25, arg_max(matched, score) AS terms FROM hits WHERE rank <= 8 GROUP BY 1, 2),
-en(query_id, entity) AS (VALUES ('q1', 'andonhethnt'), ('q3', 'achlichtz'), ('q3', 'aimentier'), ('q2', 'ERTION'), ('q2', 'THAN'), ('q4', 'ATION'), ('q4', 'ENTHE'), ('q4', '2024')),
+ep AS (SELECT query_id, list_concat(entities, CASE WHEN conv_id % 100 = 0 THEN ['andonhethnt'] ELSE [] END) AS es FROM profiles),
+eq AS (SELECT *, list_transform(es, lambda x: lower(x)) AS low FROM ep),
+en AS (SELECT query_id, unnest(list_filter(es, lambda x, i: list_position(low, lower(x)) = i)[1:6]) AS entity FROM eq),
 em AS (SELECT query_id, entity, record_id FROM en, records WHERE contains(lower(text), lower(entity))),
 ef AS (SELECT query_id, entity, count(*) AS m, (SELECT count(*) FROM records) AS n FROM em GROUP BY 1, 2),
 ex AS (SELECT query_id, record_id, least(1.0, sum(CASE WHEN m > 6 OR m / n > 0.15 THEN 0.5 ELSE 1.0 END))::DOUBLE AS entity FROM em JOIN ef USING (query_id, entity) WHERE NOT (m > 12 OR m / n > 0.30) GROUP BY 1, 2),
@@ -289,9 +295,9 @@ f AS (SELECT doc_id, page, n, box_id, x1, 0 AS line, y1 AS top, y2 AS bottom FRO
 SELECT doc_id, page, line, row_number() OVER (PARTITION BY doc_id, page, line ORDER BY x1, box_id) - 1 AS place, box_id FROM f"""
 
 # --- agent and writer tools ---
-ORACLES["search_trace"] = f"""WITH found AS ({ORACLES["hybrid_search"]}), n AS (SELECT query_id, count(*) AS n FROM found GROUP BY 1), q(query_id) AS (VALUES ('q1'), ('q2'), ('q3'), ('q4')),
+ORACLES["search_trace"] = f"""WITH found AS ({ORACLES["hybrid_search"]}), n AS (SELECT query_id, count(*) AS n FROM found GROUP BY 1), {QUESTIONS},
 e(nth, event) AS (VALUES (0, 'query_preprocessed'), (1, ''), (2, 'semantic_retrieval_completed'), (3, 'bm25_retrieval_completed'), (4, 'entity_grounding_completed'), (5, 'candidate_merge_completed'), (6, 'first_stage_ordered'), (7, 'first_stage_returned'))
-SELECT query_id, nth AS "at", CASE WHEN nth = 1 AND query_id IN ('q1', 'q3') THEN 'llm_expansion_saved' WHEN nth = 1 THEN 'llm_expansion_failed' ELSE event END AS event, CASE WHEN nth >= 5 THEN coalesce(n, 0) END AS n FROM q CROSS JOIN e LEFT JOIN n USING (query_id)"""
+SELECT query_id, nth AS "at", CASE WHEN nth = 1 AND conv_id % 100 = 0 THEN 'llm_expansion_saved' WHEN nth = 1 THEN 'llm_expansion_failed' ELSE event END AS event, CASE WHEN nth >= 5 THEN coalesce(n, 0) END AS n FROM q CROSS JOIN e LEFT JOIN n USING (query_id)"""
 ORACLES["fetch_page"] = f"""WITH {LINES}, p AS (SELECT doc_id, page, 'blocks: ' || count(*) AS html FROM blocks GROUP BY 1, 2), s AS (SELECT doc_id, max(page) AS m FROM p GROUP BY 1),
 a AS (SELECT doc_id, unnest([1, 0, 100000]) AS page FROM documents WHERE text IS NOT NULL UNION ALL SELECT -7, 1)
 SELECT a.doc_id, a.page, CASE WHEN m IS NULL THEN 'document ' || a.doc_id || ' does not exist' WHEN a.page NOT BETWEEN 1 AND m THEN 'page must be between 1 and ' || m ELSE coalesce(html, '') END AS answer FROM a LEFT JOIN s USING (doc_id) LEFT JOIN p ON p.doc_id = a.doc_id AND p.page = a.page"""

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,3 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
     made = f"file://{tempfile.mkdtemp(prefix='folio-shared-')}"
     spark.conf.set("spark.checkpoint.dir", made)
     return made
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back: computed once, whatever reads it and whoever is lost."""
+    path = f"{shared_dir(df.sparkSession)}/folio/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -129,3 +129,17 @@ def test_records_of_both_kinds(spark):
     assert "generic_role: body" in got["semantic:1:1:1"]["embedding_text"] and "generic_role: unknown" in got["fallback:1:2:1"]["embedding_text"]
     meta = {r["record_id"]: r for r in S.metadata(S.build_records(pages, blocks, semantic)).collect()}
     assert meta["fallback:1:2:1"]["domain_role"] == "unknown" and meta["semantic:1:1:1"]["section_purpose"] == "thesis"
+
+
+def test_words_in_texts_by_automaton(spark):
+    import random
+
+    draw = random.Random(0)
+    word = lambda n: "".join(draw.choice("abü") for _ in range(draw.randint(0, n)))
+    texts, words = [word(60) for _ in range(80)] + ["", None], [word(6) for _ in range(60)] + [None, "ü", "zzz", ""]
+    records_ = spark.createDataFrame([(f"r{i}", t, "x") for i, t in enumerate(texts)], "record_id string, text string, word string")
+    asked = spark.createDataFrame([(w,) for w in words], "word string")
+    want = sorted((f"r{i}", w) for i, t in enumerate(texts) if t is not None for w in set(words) if w is not None and w in t)
+    for most in (S.AUTOMATON_BYTES, 20):  # one automaton, and several passes
+        assert sorted(map(tuple, S.contained(records_, asked, most_bytes=most).collect())) == want
+    assert S.contained(records_.limit(0), asked).count() == 0 and S.contained(records_, asked.limit(0)).count() == 0
