@@ -23,14 +23,14 @@ from folio.streaming import trace as X
 from folio.shared import staged
 from folio.tables import table
 
-from . import images
+from . import images, stores
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = dict(images.QUERIES)
-ORACLES |= images.ORACLES
+QUERIES: dict[str, Query] = images.QUERIES | stores.QUERIES
+ORACLES |= images.ORACLES | stores.ORACLES
 
 #: The model's answer for conversations whose id is divisible by 100; the other ones that ask get no JSON.
 EXPANSION = '{"entities": ["andonhethnt"], "semantic_queries": ["nation of things"], "lexical_queries": ["thing eronin"]}'
