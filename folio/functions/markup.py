@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -16,6 +17,7 @@ IMAGES, TABLES = ("image", "chart"), ("table",)
 SCALE = 1000
 FENCE = "(?is)^```(?:json)?\\s*(.*?)\\s*```$"
 DOCUMENT, PAGE = "(?is)(<document\\b[^>]*>.*?</document>)", "(?is)(<page\\b[^>]*>.*?</page>)"
+OPEN_DOCUMENT = "(?i)<document\\b[^>]*>"
 DOCUMENT_KEYS = ("document", "output", "content", "html")
 TRUE_WORDS = ("true", "1", "yes")
 NUMBER = "^\\s*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*$"
@@ -84,14 +86,26 @@ def json_object(text: Column, whole: bool = False) -> Column:
     return _series(lambda x: _find_object(x, whole))(text)
 
 
+def _find_document(text: str) -> str | None:
+    """What ``document_block`` gives where a text has no closed document: down into JSON answers, then what is left open, then pages."""
+    if closed := re.search(DOCUMENT, text):
+        return closed[1]
+    payload = _find_object(text, False)
+    for key in DOCUMENT_KEYS if payload else ():
+        inner = json.loads(payload).get(key)
+        if isinstance(inner, str) and inner.strip() and (found := _find_document(inner)) is not None:
+            return found
+    if opened := re.search(OPEN_DOCUMENT, text):
+        return text[opened.start() :] + "</document>"
+    pages = re.findall(PAGE, text)
+    return '<document id="output">\n' + "\n".join(pages) + "\n</document>" if pages else None
+
+
 def document_block(text: Column) -> Column:
-    """The first ``<document>``; else that in a JSON answer; else one around the pages; else null."""
-    plain = F.regexp_extract(text, DOCUMENT, 1)
-    payload = json_object(text)
-    inner = [F.regexp_extract(F.coalesce(F.get_json_object(payload, f"$.{k}"), F.lit("")), DOCUMENT, 1) for k in DOCUMENT_KEYS]
-    pages = F.regexp_extract_all(text, F.lit(PAGE), F.lit(1))
-    wrapped = F.when(F.size(pages) > 0, F.concat(F.lit('<document id="output">\n'), F.array_join(pages, "\n"), F.lit("\n</document>")))
-    return F.coalesce(*(F.nullif(x, F.lit("")) for x in (plain, *inner)), wrapped)
+    """The first ``<document>``; else that in a JSON answer, at any depth; else an open one up to the end; else one around the pages; else null."""
+    plain = F.nullif(F.regexp_extract(text, DOCUMENT, 1), F.lit(""))
+    # Only texts without a document of their own go to the scanner.
+    return F.coalesce(plain, _series(_find_document)(F.when(plain.isNull(), text)))
 
 
 def as_bool(value: Column) -> Column:

@@ -1,20 +1,27 @@
-"""Queries of the vector store, the keyed streams and the log sinks, and their SQL."""
+"""Queries of the vector store, keyed streams, sinks, model calls and answers at depth, and their SQL."""
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.functions import markup as M
+from folio.operators import blocks as B
+from folio.operators import model_calls
 from folio.operators import search as S
 from folio.operators import vector_store as V
 from folio.shared import shared_dir
+from folio.sources import blobs
 from folio.streaming import sinks, state
 from folio.streaming import trace as X
 from folio.tables import table
 
+from .oracles import CANONICAL
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 TOP = 10
@@ -154,3 +161,71 @@ c AS (SELECT *, lag(status, 1, 'not_started') OVER (PARTITION BY run_id ORDER BY
 ORACLES["log_sinks"] = """WITH r AS (SELECT CASE event_type WHEN 'view' THEN 'search_index' WHEN 'click' THEN 'write' ELSE 'trace' END AS component, event_type AS event, event_id, user_id FROM events)
 SELECT log, component, event, count(*) AS n, sum(event_id)::DOUBLE AS ms, count(DISTINCT user_id) AS runs FROM (SELECT *, unnest(CASE WHEN component LIKE 'search%' THEN ['events', 'search'] ELSE ['events'] END) AS log FROM r) GROUP BY 1, 2, 3"""
 ORACLES["log_summary"] = 'SELECT user_id::VARCHAR AS key, epoch_us(max(ts)) AS "at" FROM events GROUP BY 1'
+
+
+# --- files, model calls, answers ---------------------------------------------
+
+
+@query
+def blob_files(spark, sf_dir):
+    """Every page's whole markup and a line feed as a file through the two-phase sink, read back."""
+    path = folder(spark, "blobs")
+    rows = table(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), "page_id", F.lit(".html")).alias("name"), F.encode(F.concat(F.coalesce("html", F.lit("")), F.lit("\n")), "UTF-8").alias("content"))
+    blobs.write_blobs(rows, path)
+    return blobs.read_blobs(spark, path).select("name", "length", F.md5("content").alias("md5"))
+
+
+@query
+def font_files(spark, sf_dir):
+    """A font file for every customer, made of a name table alone, some broken, through the sink and the font scan."""
+    path, number = folder(spark, "fonts"), F.col("c_custkey")
+    text = F.encode("c_name", "UTF-16BE")
+    two = lambda c: F.unhex(F.lpad(F.hex(c), 4, "0"))
+    four = lambda c: F.unhex(F.lpad(F.hex(c), 8, "0"))
+    names = F.concat(F.unhex(F.lit("0000000100120003000104090004")), two(F.octet_length(text)), F.unhex(F.lit("0000")), text)
+    made = F.concat(F.unhex(F.lit("00010000000100000000" + "0000")), F.encode(F.lit("name"), "UTF-8"), F.unhex(F.lit("00000000")), four(F.lit(28)), four(F.octet_length(names)), names)
+    content = F.when(number % 10 == 3, F.substring(made, 1, 20)).otherwise(made)
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("f"), number, F.when(number % 10 == 4, ".otf").otherwise(".ttf")).alias("name"), content.alias("content"))
+    blobs.write_blobs(rows, path)
+    return blobs.fonts(spark, path)
+
+
+@query
+def document_nested(spark, sf_dir):
+    """Documents in answers that are JSON in JSON, up to three levels, under any of the known keys."""
+    full = F.concat(F.lit('<document id="output">'), F.coalesce("html", F.lit("")), F.lit("</document>"))
+    # Slashes are escaped, as in answers made for scripts, so that only the decoded text holds a document.
+    once = lambda c, key: F.concat(F.lit("Here: "), F.replace(F.to_json(F.struct(F.lit("x").alias("note"), c.alias(key))), F.lit("</"), F.lit("<\\/")))
+    levels = [full, once(full, "html"), once(once(full, "output"), "content"), once(once(once(full, "content"), "html"), "document")]
+    answer = F.element_at(F.array(*levels), (F.col("page_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(M.document_block(answer)).alias("document_md5"))
+
+
+def stub_model(payload: str, attempt: int) -> str:
+    """Stands in for a model: by the block's number it fails, answers wrongly once or always, or answers well."""
+    held = json.loads(payload)
+    k = held["k"]
+    if k % 17 == 0:
+        raise RuntimeError("no answer")
+    if k % 13 == 0 or (k % 11 == 0 and attempt == 0):
+        return "I can't say."
+    role = "oddity" if k % 7 == 0 else "body"
+    return json.dumps({"block_id": held["block_id"], "generic_role": role, "domain_role": "supporting_argument", "role_confidence": 0.9, "reason": "r"})
+
+
+@query
+def model_driver(spark, sf_dir):
+    """All blocks of all documents through the model driver, with a stand-in for the model."""
+    rows = B.canonical(B.derived(table(spark, sf_dir, "documents"))).withColumn("k", F.col("doc_id") + F.col("reading_order"))
+    blocks = rows.select("block_id", "quality", ((F.length("text") > 0) | F.col("label").isin("table", "chart", "image")).alias("eligible"), F.to_json(F.struct("block_id", "k", "label", "text")).alias("payload"))
+    found = model_calls.decide(blocks, stub_model)
+    return found.select("block_id", "source", "fallback_reason", "generic_role", "domain_role", "needs_review", F.col("attempts").cast("long").alias("attempts"))
+
+
+ORACLES["blob_files"] = "SELECT 'page-' || page_id || '.html' AS name, strlen(coalesce(html, '')) + 1 AS length, md5(coalesce(html, '') || chr(10)) AS md5 FROM pages"
+ORACLES["font_files"] = "SELECT 'f' || c_custkey || '.ttf' AS name, CASE WHEN c_custkey % 10 <> 3 THEN c_name END AS font FROM customer WHERE c_custkey % 10 <> 4"
+ORACLES["document_nested"] = """SELECT page_id, md5(regexp_extract('<document id="output">' || coalesce(html, '') || '</document>', '<document\\b[^>]*>.*?</document>', 0, 'si')) AS document_md5 FROM pages"""
+ORACLES["model_driver"] = f"""WITH {CANONICAL}, a AS (SELECT block_id, doc_id + reading_order AS k, quality, length(text) > 0 OR label IN ('table', 'chart', 'image') AS eligible FROM canonical),
+b AS (SELECT *, CASE WHEN NOT eligible THEN 'ineligible_block' WHEN quality < 0.55 THEN 'low_page_quality' WHEN k % 17 = 0 THEN 'backend_error' WHEN k % 13 = 0 THEN 'invalid_json' WHEN k % 7 = 0 THEN 'schema_mismatch' END AS fallback_reason FROM a)
+SELECT block_id, CASE WHEN fallback_reason IS NULL THEN 'model' ELSE 'fallback' END AS source, fallback_reason, CASE WHEN fallback_reason IS NULL THEN 'body' ELSE 'unknown' END AS generic_role, CASE WHEN fallback_reason IS NULL THEN 'supporting_argument' END AS domain_role,
+  fallback_reason IS NOT NULL AS needs_review, CASE WHEN NOT eligible OR quality < 0.55 THEN 0 WHEN k % 17 = 0 THEN 1 WHEN k % 13 = 0 OR k % 11 = 0 OR k % 7 = 0 THEN 2 ELSE 1 END AS attempts FROM b"""
