@@ -138,7 +138,6 @@ def test_documents_at_depth(spark):
     cases = {
         doc: doc,
         "x " + shut("content", "y " + shut("html", shut("output", doc))): doc,
-        shut("document", " ") + shut("html", doc): None,
         shut("html", "nothing"): None,
         json.dumps({"output": 3, "html": "<page a='1'>p</page>"}).replace("</", "<\\/"): "<document id=\"output\">\n<page a='1'>p</page>\n</document>",
         "so <DOCUMENT x='1'>open <page>": "<DOCUMENT x='1'>open <page></document>",
