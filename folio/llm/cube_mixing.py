@@ -24,7 +24,10 @@ Defined cases: a null text has size 0; null sources form one source that comes
 last; documents of size 0 count in the document totals only; a source of total
 size 0 has target 0 and is not taken; repeated rows are separate documents; an
 empty table gives an empty result.  Rows without a key are told apart by their
-text and their place in the input, so they spread over blocks like others.
+text.  Rows that share key and text are dealt to blocks by their places in the
+input where they are more than ``MOST_EQUAL``, so they cost what others do; under
+another split of the input such rows may exchange their copies with other rows
+of their source.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ SEED = 20_240_601
 BLOCK_ROWS = 512
 FAN_IN = 256
 TINY = 1e-9
+#: Equal rows up to which they go to one block.
+MOST_EQUAL = 64
 #: Source tables of up to so many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -165,15 +170,19 @@ def mix(
 
     Sources weigh ``weights``, repeating, by code point of their name, null last.
     """
-    row = F.xxhash64(F.lit(SEED), F.col(key), F.col(text), F.when(F.col(key).isNull(), F.monotonically_increasing_id()))
-    sized = df.select(*(F.col(k).alias(f"k_{k}") for k in keep), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), row.alias("__hash"))
-    per_source = staged(targets(sized, weights, total_percent, most_repeats), "mix-targets")
+    row = F.xxhash64(F.lit(SEED), F.col(key), F.col(text))
+    # Rows that are equal and many would share a block; their places tell them apart, and only theirs.
+    often = staged(df.groupBy(row.alias("__often")).agg(F.count("*").alias("__n")).where(F.col("__n") > MOST_EQUAL).select("__often"), "mix-often")
+    base = df.select(*(F.col(k).alias(f"k_{k}") for k in keep), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), row.alias("__hash"), F.monotonically_increasing_id().alias("__at"))
+    per_source = staged(targets(base, weights, total_percent, most_repeats), "mix-targets")
+    sized = base.join(F.broadcast(often) if often.count() <= BROADCAST_SOURCES else often, F.col("__hash") == F.col("__often"), "left")
+    sized = sized.withColumn("__salt", F.when(F.col("__often").isNotNull(), F.col("__at")).otherwise(F.lit(0))).drop("__often", "__at")
     seen = per_source.agg(F.count("*").alias("n"), F.max("n_documents").alias("most")).first()
     small = F.broadcast(per_source) if seen["n"] <= BROADCAST_SOURCES else per_source
     per = small.withColumn("__blocks", F.ceil(F.col("n_documents") / BLOCK_ROWS)).withColumnRenamed("source", "__source").drop("weight", "n_documents")
     rows = sized.join(per, sized["source"].eqNullSafe(per["__source"]), "left").drop("__source")
     chance = F.col("ratio") - F.floor("ratio")
-    rows = rows.withColumn("__block", F.pmod(F.xxhash64("__hash"), F.col("__blocks"))).withColumn("__chance", chance)
+    rows = rows.withColumn("__block", F.pmod(F.xxhash64("__hash", "__salt"), F.col("__blocks"))).withColumn("__chance", chance).drop("__salt")
     blocks = -(-(seen["most"] or 0) // BLOCK_ROWS)
     done = None
     level = _balance(rows, 1, blocks <= 1)

@@ -116,6 +116,28 @@ def test_mixing_spreads_rows_without_key(spark):
     assert len(got) == 3000 and abs(sum(r["size"] * r["copies"] for r in got) - 1.5 * 9000) <= 6
 
 
+def test_mixing_agrees_under_another_split(spark):
+    rows = [(None if i % 3 else i % 5, " ".join("w" * (1 + i * 7 % 40)) + f" t{i}", f"s{i % 2}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    takes = lambda found: sorted((r["text"], r["copies"]) for r in found.collect())
+    assert takes(C.mix(df, keep=("text",))) == takes(C.mix(df.repartition(7), keep=("text",)))
+
+
+def test_many_equal_rows_cost_what_others_do(spark):
+    import time
+
+    def seconds(text):
+        df = spark.range(20_000).coalesce(2).select(F.lit(1).alias("doc_id"), text.alias("text"), F.lit("s").alias("source"))
+        began = time.time()
+        taken = sum(r["size"] * r["copies"] for r in C.mix(df, keep=("doc_id",)).collect())
+        assert abs(taken - 90_000) <= 6
+        return time.time() - began
+
+    seconds(F.concat(F.lit("a b c"), F.lit("")))
+    distinct, equal = seconds(F.concat(F.lit("a b c"), "id")), seconds(F.lit("a b c"))
+    assert equal <= 2 * distinct + 2
+
+
 def test_mixing_edges(spark):
     assert C.mix(documents(spark, [])).collect() == []
     empty = C.mix(spark.createDataFrame([(1, None, "a"), (1, None, "a"), (None, "", None)], "doc_id long, text string, source string")).collect()
@@ -152,3 +174,25 @@ def test_line_spread_spares_copies(spark):
         # Copies of the first text stay; pages with shared lines, and parts of it, lose them.
         assert got == {**dict.fromkeys(range(12), 0), 50: 15, 60: 1, 61: 8}
         assert {r["doc_id"]: r["n_removed"] for r in L.dedup(df, 10, broadcast_lines=most).collect()} == {0: 0, **dict.fromkeys(range(1, 12), 19), 50: 15, 60: 1, 61: 8}
+
+
+def test_first_places_without_or_with_shared_ids(spark):
+    line = "This very line stands at the head of all of them."
+    for key in (None, 7):
+        df = spark.createDataFrame([(key, f"{line}\nown text number {i}", f"s{i}", 5) for i in range(8)], "doc_id long, text string, source string, n_lines int")
+        for most in (100, 0):
+            found = L.dedup(df, 5, broadcast_lines=most)
+            assert found.columns == ["doc_id", "text", "source", "n_lines", "n_removed"]
+            rows = found.collect()
+            assert sum(r["n_removed"] for r in rows) == 7 and sum(line in r["text"] for r in rows) == 1 and {r["n_lines"] for r in rows} == {2}
+
+
+def test_many_cuts_in_one_text_take_linear_time(spark):
+    import time
+
+    shared = [f"line number {i}" for i in range(30_000)]
+    df = spark.createDataFrame([(i, "\n".join([f"own {i}", *shared, "", f"end {i}"]), f"s{i}") for i in range(6)], "doc_id long, text string, source string")
+    began = time.time()
+    rows = sorted(L.dedup(df, 5).collect(), key=lambda r: r["doc_id"])
+    assert time.time() - began < 30
+    assert [r["n_removed"] for r in rows] == [0] + [30_000] * 5 and rows[3]["text"] == "own 3\n\nend 3" and rows[0]["text"].count("\n") == 30_002
