@@ -195,5 +195,5 @@ def test_stages_take_odd_rows(spark, odd):
 
 
 def test_queries_are_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.QUERIES}
     assert unigram_langid.UNDETERMINED == "und"
