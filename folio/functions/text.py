@@ -158,7 +158,10 @@ def dedupe_texts(values: Column, limit: int | None = None) -> Column:
     trimmed = F.filter(F.transform(values, lambda v: strip(v)), lambda v: F.length(v) > 0)
 
     def firsts(kept: Column) -> Column:
-        return let(F.transform(kept, lambda v: F.lower(v)), lambda lower: F.filter(kept, lambda v, i: F.array_position(lower, F.lower(v)) == i + 1))
+        # Sorted by lower case, then place, the first of each is the one that differs from its neighbour.
+        keyed = F.array_sort(F.transform(kept, lambda v, i: F.struct(F.lower(v).alias("key"), i.alias("place"), v.alias("value"))))
+        fresh = let(keyed, lambda rows: F.filter(rows, lambda x, i: (i == 0) | (F.get(rows, i - 1)["key"] != x["key"])))
+        return F.transform(F.array_sort(F.transform(fresh, lambda x: F.struct(x["place"].alias("place"), x["value"].alias("value")))), lambda x: x["value"])
 
     first = let(trimmed, firsts)
     return first if limit is None else F.slice(first, 1, limit)
