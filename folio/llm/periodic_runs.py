@@ -21,7 +21,7 @@ words and two periods long.  Every text is read whole:
 The map is narrow: no shuffle, and a lost executor costs the batches it held.  A
 set of end positions is kept in blocks, so a text of one word a million times
 costs as little a word as any other.  Only words inside stretches meet Python's
-interpreter; the automaton takes about a kilobyte for each of them while its
+interpreter; the automaton takes about 400 bytes for each of them while its
 text is worked on.
 
 Defined cases: a null or empty text has no words, no runs and an empty collapsed
