@@ -20,7 +20,7 @@ from folio.operators import search as S
 from folio.operators import style as Y
 from folio.sources import files
 from folio.streaming import trace as X
-from folio.shared import staged
+from folio.shared import few, staged
 from folio.tables import table
 
 from . import images, stores
@@ -71,11 +71,11 @@ def semantic_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def records(spark: SparkSession, sf_dir: str, display: bool = True) -> DataFrame:
     """Search records of all indexable blocks: semantic where there is a semantic page, else parsed."""
     blocks, semantic = raw_blocks(spark, sf_dir), semantic_blocks(spark, sf_dir)
-    pages = semantic.select("doc_id", "page").distinct().withColumn("is_semantic", F.lit(True))
-    return S.build_records(pages, blocks, semantic)
+    pages = staged(semantic.select("doc_id", "page").distinct().withColumn("is_semantic", F.lit(True)), "semantic-pages")
+    return S.build_records(pages, blocks, semantic, display)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,17 +121,17 @@ def _hits(hits: DataFrame) -> DataFrame:
 
 @query
 def bm25_topk(spark, sf_dir):
-    return _hits(S.bm25(records(spark, sf_dir), questions(spark, sf_dir).where("query_id = 'q0'")))
+    return _hits(S.bm25(records(spark, sf_dir, display=False), questions(spark, sf_dir).where("query_id = 'q0'")))
 
 
 @query
 def bm25_multi_query(spark, sf_dir):
-    return _hits(S.bm25(records(spark, sf_dir), questions(spark, sf_dir)))
+    return _hits(S.bm25(records(spark, sf_dir, display=False), questions(spark, sf_dir)))
 
 
 @query
 def bm25_doc_filter(spark, sf_dir):
-    return _hits(S.bm25(records(spark, sf_dir), questions(spark, sf_dir), doc_ids=list(range(0, 40))))
+    return _hits(S.bm25(records(spark, sf_dir, display=False), questions(spark, sf_dir), doc_ids=list(range(0, 40))))
 
 
 def entity_rows(spark: SparkSession, sf_dir: str, part: int = 50) -> DataFrame:
@@ -179,7 +179,9 @@ def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hybrid(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    rows, own = staged(records(spark, sf_dir), "records"), vectors(spark, sf_dir)
+    # Only what the search reads is staged.
+    rows = records(spark, sf_dir, display=False).select("record_id", "doc_id", "page", "block_id", "text", "role_confidence", "needs_review")
+    rows, own = staged(rows, "records"), vectors(spark, sf_dir)
     # The vectors after the conversation's number stand for its semantic queries.
     asked = _profiles(spark, sf_dir).select("query_id", F.posexplode("semantic_queries").alias("nth", "of"), "conv_id").withColumn("vec_id", F.col("conv_id") + F.col("nth"))
     asked = own.join(asked, "vec_id").select("query_id", "nth", F.col("embedding").alias("vector"))

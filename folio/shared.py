@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Tables of a few short columns are broadcast up to so many rows, larger ones joined by a shuffle.
+FEW_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,3 +34,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/folio/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def few(side: DataFrame) -> DataFrame:
+    """Broadcast after a look at its size: rows of a few short columns."""
+    return F.broadcast(side) if side.count() <= FEW_ROWS else side
