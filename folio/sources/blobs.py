@@ -1,14 +1,16 @@
 """A sink of files by two phases, as a data source, and the names of fonts among files.
 
-``folio_blobs`` writes rows (name, content) as files.  Every task writes into a
-folder of its own under ``_pending``; the commit moves each task's folder into
-place by one rename, so what the driver handles is one name a task.  A task that
-fails removes its folder, an aborted job removes all of them and leaves a mark
-for tasks that still run, and readers look at committed folders only.
+``folio_blobs`` writes rows (name, content) as files.  Every task writes into
+folders of its own under ``_pending``, ``FOLDER_FILES`` files in each; the commit
+moves each folder into place by one rename.  A task that fails removes its
+folders, an aborted job removes all of them and leaves a mark for tasks that still
+run.  Readers look at committed folders only: the driver lists the folders, and
+tasks list and read the files in them, so the driver never holds a name a file.
 """
 
 from __future__ import annotations
 
+import fnmatch
 import os
 import struct
 import uuid
@@ -17,6 +19,7 @@ from dataclasses import dataclass
 from urllib.parse import urlparse
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,8 @@ from pyspark.sql.types import StructType
 from folio.sources.files import safe_path
 
 FORMAT = "folio_blobs"
+#: Files of one folder, which one task lists; bytes of contents and files that a reader holds at a time.
+FOLDER_FILES, BATCH_BYTES, BATCH_FILES = 10_000, 4 << 20, 1000
 #: Fixed values of the sfnt format: the record that holds a font's full name, and the platforms whose texts are not UTF-16.
 FULL_NAME, MACINTOSH = 4, 1
 
@@ -39,7 +44,7 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
 @dataclass
 class Written(WriterCommitMessage):
     task: str
-    files: int
+    folders: int
 
 
 class BlobWriter(DataSourceWriter):
@@ -49,11 +54,14 @@ class BlobWriter(DataSourceWriter):
     def write(self, iterator: Iterator[Row]) -> Written:
         files, root = _open(self.path)
         task = uuid.uuid4().hex
-        folder = f"{root}/_pending-{self.run}/{task}"
-        files.create_dir(folder, recursive=True)
+        own = f"{root}/_pending-{self.run}/{task}"
+        files.create_dir(own, recursive=True)
         n = 0
         try:
             for row in iterator:
+                folder = f"{own}/{n // FOLDER_FILES}"
+                if n % FOLDER_FILES == 0:
+                    files.create_dir(folder)
                 place = safe_path(folder, row["name"] or "")
                 if "/" in row["name"]:
                     files.create_dir(place.rsplit("/", 1)[0], recursive=True)
@@ -61,12 +69,12 @@ class BlobWriter(DataSourceWriter):
                     out.write(bytes(row["content"] or b""))
                 n += 1
         except BaseException:
-            files.delete_dir(folder)
+            files.delete_dir(own)
             raise
         # A task that outlives its job's abort takes its files away itself.
         if files.get_file_info(self._mark(root)).type != pafs.FileType.NotFound:
             files.delete_dir(f"{root}/_pending-{self.run}")
-        return Written(task, n)
+        return Written(task, -(-n // FOLDER_FILES))
 
     def _mark(self, root: str) -> str:
         return f"{root}/_aborted/{self.run}"
@@ -75,8 +83,8 @@ class BlobWriter(DataSourceWriter):
         files, root = _open(self.path)
         files.create_dir(f"{root}/files", recursive=True)
         for message in messages:
-            if message is not None and message.files:
-                files.move(f"{root}/_pending-{self.run}/{message.task}", f"{root}/files/part-{message.task}")
+            for k in range(message.folders if message is not None else 0):
+                files.move(f"{root}/_pending-{self.run}/{message.task}/{k}", f"{root}/files/part-{message.task}-{k}")
         self._clear(files, root)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -114,9 +122,34 @@ def write_blobs(rows: DataFrame, path: str) -> None:
 
 
 def read_blobs(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """name, length and content of the committed files whose last name fits ``pattern``; Spark's reader passes over files without a byte."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(f"{path}/files")
-    return found.select(F.regexp_extract("path", "/files/part-[0-9a-f]+/(.*)$", 1).alias("name"), "length", "content")
+    """name, length and content of the committed files whose last name fits ``pattern``; files without a byte are passed over."""
+    files, root = _open(path)
+    folders = [(x.base_name,) for x in files.get_file_info(pafs.FileSelector(f"{root}/files", allow_not_found=True))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = _open(path)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                at = f"{root}/files/{folder}"
+                held, size = [], 0
+                for info in files.get_file_info(pafs.FileSelector(at, recursive=True)):
+                    if info.type != pafs.FileType.File or not info.size or not fnmatch.fnmatchcase(info.base_name, pattern):
+                        continue
+                    with files.open_input_stream(info.path) as f:
+                        held.append((info.path.split(f"/files/{folder}/", 1)[1], info.size, f.read()))
+                    size += info.size
+                    if size >= BATCH_BYTES or len(held) >= BATCH_FILES:
+                        yield _batch(held)
+                        held, size = [], 0
+                if held:
+                    yield _batch(held)
+
+    rows = spark.createDataFrame(folders, "folder string").repartition(max(1, len(folders)))
+    return rows.mapInArrow(run, "name string, length long, content binary")
+
+
+def _batch(held: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["name", "length", "content"])
 
 
 def full_name(data: bytes | None) -> str | None:
