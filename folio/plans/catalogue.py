@@ -207,7 +207,8 @@ def hybrid_search(spark, sf_dir):
 @query
 def search_output(spark, sf_dir):
     found, rows = _hybrid(spark, sf_dir)
-    return S.output_line(found.join(rows.select("record_id", "text"), "record_id"))
+    # What is shown is a few rows; the texts don't move to meet them.
+    return S.output_line(rows.select("record_id", "text").join(few(staged(found, "found")), "record_id"))
 
 
 # --- text --------------------------------------------------------------------
