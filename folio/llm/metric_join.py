@@ -48,6 +48,8 @@ BROADCAST_NODES = 500_000
 #: Shingles of fewer nodes than this are grouped in packed shards, which bounds the group; the others by joins.
 HOT = 50_000
 SHARD_SHINGLES = 1_000_000
+#: Bytes of text whose words are hashed at a time; hashing takes some thirty times as much memory.
+SLICE_BYTES = 1 << 20
 #: Members of a region that meet one copy of its pivot.
 SALT_ROWS = 256
 #: Bytes of a broadcast table whose rows differ in size; shingles of the open members that meet in one task.
@@ -63,7 +65,7 @@ def _summaries(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """key, the size n of its set, and the set's signature s1, s2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "__text"):
+        for part in slices(batches, "__text", SLICE_BYTES):
             sets = shingle_sets(part.column("__text"), size)
             signs = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([part.column("__key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(signs[:, 0]), pa.array(signs[:, 1])], names=["key", "n", "s1", "s2"])
@@ -113,7 +115,7 @@ def _frequent(rows: DataFrame, size: int, total: int) -> Order:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "x", "y"])
 
         held, n = [], 0
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_BYTES):
             held += [s for s in shingle_sets(part.column("text"), size) if len(s)]
             n = sum(map(len, held))
             if n >= SHARD_SHINGLES:
@@ -179,7 +181,7 @@ def _packed(rows: DataFrame, size: int, percent: int, order: Order, shards: int)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
         held, n = [], 0
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_BYTES):
             sets = shingle_sets(part.column("text"), size)
             lengths = np.array([len(s) for s in sets], np.int64)
             counts = np.split(order.count(np.concatenate(sets)), np.cumsum(lengths)[:-1])
@@ -236,7 +238,7 @@ def _sets(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """node and its set as sorted 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "__text"):
+        for part in slices(batches, "__text", SLICE_BYTES):
             sets = [s.tobytes() for s in shingle_sets(part.column("__text"), size)]
             yield pa.RecordBatch.from_arrays([part.column("__key"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
@@ -338,7 +340,7 @@ def _first_round(own: DataFrame, edges: DataFrame, size: int, percent: int) -> D
     placed = own.join(side.withColumnRenamed("node", "key"), "key")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_BYTES):
             sets = [s.tobytes() for s in shingle_sets(part.column("text"), size)]
             rows = [(p["pivot"], p["salt"], p["own"], k, s) for k, s, ps in zip(part.column("key").to_pylist(), sets, part.column("places").to_pylist(), strict=True) for p in ps]
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
